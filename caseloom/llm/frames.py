@@ -29,9 +29,11 @@ def estimated_bytes(df: DataFrame) -> int:
     return int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
 
 
-def blocks_for(df: DataFrame, block_bytes: int) -> int:
+def blocks_for(df: DataFrame, block_bytes: int, text_col: str = "text") -> int:
     """How many blocks keep each near ``block_bytes``; at least two for each shuffle partition."""
-    size = min(estimated_bytes(df), 1 << 60)
+    size = estimated_bytes(df)
+    if size >= 1 << 55:  # no estimate: the texts are measured
+        size = df.agg(F.sum(F.octet_length(F.col(text_col).cast("string")) + 16)).first()[0] or 0
     return int(max(2 * shuffle_partitions(df.sparkSession), -(-size // block_bytes)))
 
 
