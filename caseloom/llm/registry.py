@@ -7,7 +7,7 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from caseloom.llm import exact_dedup, jaccard_join, mixing, pii, quality, substring_dedup, token_store, toxicity
+from caseloom.llm import decontamination, exact_dedup, jaccard_join, mixing, pii, quality, substring_dedup, token_store, toxicity
 from caseloom.llm.frames import checkpoint
 
 
@@ -43,6 +43,10 @@ def op6_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_dedup(table(spark, sf_dir, "documents"))
 
 
+def op7_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontamination.contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op8_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.digest(pii.find(table(spark, sf_dir, "documents")))
 
@@ -58,7 +62,7 @@ def op10_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_store.read_digests(spark, folder)
 
 
-QUERIES = {"op1_substring_dedup": op1_substring_dedup, "op2_toxicity": op2_toxicity, "op4_mixing": op4_mixing, "op5_ngram_jaccard": op5_ngram_jaccard, "op6_exact_dedup": op6_exact_dedup, "op8_pii": op8_pii, "op9_quality": op9_quality, "op10_token_store": op10_token_store}
+QUERIES = {"op1_substring_dedup": op1_substring_dedup, "op2_toxicity": op2_toxicity, "op4_mixing": op4_mixing, "op5_ngram_jaccard": op5_ngram_jaccard, "op6_exact_dedup": op6_exact_dedup, "op7_decontamination": op7_decontamination, "op8_pii": op8_pii, "op9_quality": op9_quality, "op10_token_store": op10_token_store}
 
 OP1_SQL = """
 WITH w AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+') AS words FROM documents),
