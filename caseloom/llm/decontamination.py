@@ -116,7 +116,7 @@ def _counter(items: Items):
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(len(items.seeds), np.int64)
         docs = 0
-        for batch in batches:
+        for batch in K.parts(batches, 0):
             words, counts = _words(batch.column(0))
             docs += len(counts)
             at, slot = items.hits(words, counts)
@@ -138,7 +138,7 @@ def _finder(items: Items, weight: np.ndarray, threshold: float):
     np.add.at(whole, items.owner, weight[seed_of])
 
     def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in K.parts(batches, 1):
             words, counts = _words(batch.column(1))
             at, slot = items.hits(words, counts)
             ids, rows = batch.column(0).to_pylist(), []

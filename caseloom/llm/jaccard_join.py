@@ -113,7 +113,7 @@ def shingle_sets(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
 
 def _keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """doc_id, text -> doc_id, set size and two 64-bit names of the set."""
-    for batch in batches:
+    for batch in K.parts(batches, 1):
         hashes, bounds = shingle_sets(batch.column(1))
         sums = np.concatenate([[_U(0)], np.cumsum(K.mix(hashes ^ _U(0xA0761D6478BD642F)), dtype=np.uint64)])
         more = np.concatenate([[_U(0)], np.cumsum(K.mix(hashes + _U(0xE7037ED1A0B428DB)), dtype=np.uint64)])

@@ -12,6 +12,7 @@ import hashlib
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute  # noqa: F401
 
 PIECE = 1 << 20
 #: A single word above this length is hashed by BLAKE2 and not by powers.
@@ -199,3 +200,13 @@ def doc_texts(column: pa.Array):
     view = memoryview(data)
     for a, b in zip(offsets[:-1].tolist(), offsets[1:].tolist(), strict=True):
         yield bytes(view[a:b])
+
+
+def parts(batches, column: int, size: int = 2 << 20):
+    """Record batches cut so that the texts of ``column`` stay near ``size`` bytes (or are one text)."""
+    for batch in batches:
+        lengths = np.array(pa.compute.binary_length(batch.column(column)).fill_null(0), np.int64) + 64
+        group = np.cumsum(lengths) // size
+        first = np.flatnonzero(np.diff(group, prepend=-1))
+        for a, b in zip(first.tolist(), [*first[1:].tolist(), batch.num_rows], strict=True):
+            yield batch.slice(a, b - a)

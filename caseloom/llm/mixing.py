@@ -39,7 +39,7 @@ def _sized(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """
     letter = np.zeros(256, bool)
     letter[65:91] = letter[97:123] = letter[128:] = True
-    for batch in batches:
+    for batch in K.parts(batches, 2):
         data, offsets = K.text_buffers(batch.column(2))
         start, end, counts = K.word_spans(data, offsets)
         h = K.word_hashes(data, start, end)
@@ -48,8 +48,10 @@ def _sized(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         new = np.ones(len(h), bool)
         new[1:] = (h[order][1:] != h[order][:-1]) | (owner[order][1:] != owner[order][:-1])
         distinct = np.bincount(owner[order][new], minlength=len(counts))
-        letters = np.concatenate([[0], np.cumsum(letter[data], dtype=np.int64)])
-        letters = letters[offsets[1:]] - letters[offsets[:-1]]
+        letters = np.zeros(len(counts), np.int64)
+        some = np.flatnonzero(np.diff(offsets))
+        if len(some):
+            letters[some] = np.add.reduceat(letter[data], offsets[:-1][some], dtype=np.int64)
         size = np.bincount(owner, weights=(end - start).astype(float), minlength=len(counts))
         quality = np.maximum(letters / np.maximum(size, 1), 0.1) * np.maximum(distinct / np.maximum(counts, 1), 0.1)
         yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(counts.astype(np.int64)), pa.array(quality)], names=["doc_id", "source", "size", "quality"])

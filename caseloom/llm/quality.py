@@ -104,7 +104,7 @@ def vote(model: dict, texts: pa.Array) -> np.ndarray:
 
 def scorer(model: dict):
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in K.parts(batches, 1):
             for at in range(0, batch.num_rows, BLOCK):
                 part = batch.slice(at, BLOCK)
                 got = vote(model, part.column(1)) if model else np.zeros(part.num_rows)

@@ -7,7 +7,7 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from caseloom.llm import decontamination, exact_dedup, jaccard_join, mixing, pii, quality, substring_dedup, token_store, toxicity
+from caseloom.llm import decontamination, exact_dedup, jaccard_join, line_dedup, mixing, pii, quality, substring_dedup, token_store, toxicity
 from caseloom.llm.frames import checkpoint
 
 
@@ -31,6 +31,11 @@ def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "held_out", "score", "predicted", F.size("sentences").alias("n_offending"))
 
 
+def op3_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = line_dedup.line_dedup(table(spark, sf_dir, "documents"))
+    return out.withColumn("removed_lines", F.array_join(F.transform("removed_lines", lambda x: x.cast("string")), ","))
+
+
 def op4_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
 
@@ -62,7 +67,7 @@ def op10_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_store.read_digests(spark, folder)
 
 
-QUERIES = {"op1_substring_dedup": op1_substring_dedup, "op2_toxicity": op2_toxicity, "op4_mixing": op4_mixing, "op5_ngram_jaccard": op5_ngram_jaccard, "op6_exact_dedup": op6_exact_dedup, "op7_decontamination": op7_decontamination, "op8_pii": op8_pii, "op9_quality": op9_quality, "op10_token_store": op10_token_store}
+QUERIES = {"op1_substring_dedup": op1_substring_dedup, "op2_toxicity": op2_toxicity, "op3_line_dedup": op3_line_dedup, "op4_mixing": op4_mixing, "op5_ngram_jaccard": op5_ngram_jaccard, "op6_exact_dedup": op6_exact_dedup, "op7_decontamination": op7_decontamination, "op8_pii": op8_pii, "op9_quality": op9_quality, "op10_token_store": op10_token_store}
 
 OP1_SQL = """
 WITH w AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+') AS words FROM documents),
@@ -76,4 +81,4 @@ SELECT w.doc_id, len(words) AS n_words, len(coalesce(gone, [])) AS n_removed,
 FROM w LEFT JOIN marks USING (doc_id)
 """
 
-ORACLES = {"op1_substring_dedup": OP1_SQL, "op6_exact_dedup": exact_dedup.SQL}
+ORACLES = {"op1_substring_dedup": OP1_SQL, "op3_line_dedup": line_dedup.SQL, "op6_exact_dedup": exact_dedup.SQL}

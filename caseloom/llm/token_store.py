@@ -100,7 +100,7 @@ def _chunks(batches: Iterator[pa.RecordBatch], path: str, end_id: int) -> Iterat
     seq = 0
     schema = pa.schema([("doc_id", pa.int64()), ("seq", pa.int64()), ("pos", pa.int32()), ("n", pa.int32()), ("n_tokens", pa.int64()), ("digest", pa.binary()), ("ids", pa.binary()), ("wide", pa.bool_())])
     seen: set[bytes] = set()
-    for batch in batches:
+    for batch in K.parts(batches, 1):
         rows: list[tuple] = []
         size = 0
         for doc, text in zip(batch.column(0).to_pylist(), K.doc_texts(batch.column(1)), strict=True):

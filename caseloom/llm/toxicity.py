@@ -141,7 +141,7 @@ def scorer(model: dict, threshold: float = THRESHOLD):
     """Arrow batches (doc_id, text) -> doc_id, score and the offending sentences in code points."""
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in K.parts(batches, 1):
             features, first, owner, n, start, end, data, offsets = instances(batch.column(1))
             total, found = np.zeros(n), [[] for _ in range(n)]
             if model and len(first):
