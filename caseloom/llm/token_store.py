@@ -37,14 +37,16 @@ END_ID = 1
 #: Chunk borders: a window of ids, a mean length (a power of two) and hard limits.
 WINDOW, MEAN_IDS, LEAST_IDS, MOST_IDS = 16, 2048, 256, 16384
 #: Words kept in a worker's encoding cache; beyond it the cache starts anew.
-CACHE_WORDS = 400_000
+CACHE_WORDS = 1 << 21
 
 
-class WordEncoder(dict):
-    """Ids of a word as little-endian uint32 bytes.
+class WordEncoder:
+    """The library's ids of whole texts, each distinct word encoded once.
 
-    The vocabulary's normaliser and splitter never look across white space, so
-    a text's ids are the ids of its white-space separated words in turn.
+    The vocabulary's normaliser and splitter never look across white space, so a
+    text's ids are the ids of its white-space separated words in turn.  Words
+    are found by their 64-bit hash in an open-addressed table of arrays, a whole
+    batch at a time; the library sees only those that are not there yet.
     """
 
     def __init__(self, path: str):
@@ -52,26 +54,73 @@ class WordEncoder(dict):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-
-    def __missing__(self, word: bytes) -> bytes:
-        ids = self.tokenizer.encode(word.decode("utf-8", "replace"), add_special_tokens=False).ids
-        self[word] = out = np.array(ids, "<u4").tobytes()
-        return out
-
-    def learn(self, words: list[bytes]) -> None:
-        """Encode unseen words together; that is faster than one at a time."""
-        if len(self) > CACHE_WORDS:
-            self.clear()
-        new = [w for w in set(words) if w not in self]
-        if new:
-            texts = [w.decode("utf-8", "replace") for w in new]
-            for w, e in zip(new, self.tokenizer.encode_batch_fast(texts, add_special_tokens=False), strict=True):
-                self[w] = np.array(e.ids, "<u4").tobytes()
-
-    def encode(self, text: bytes) -> bytes:
-        words = text.split()
-        self.learn(words)
-        return b"".join(map(self.__getitem__, words))
+        self._clear()
+
+    def _clear(self) -> None:
+        self.mask = np.uint64(4 * CACHE_WORDS // 2 - 1)
+        self.keys = np.zeros(int(self.mask) + 1, np.uint64)
+        self.first = np.zeros(len(self.keys), np.int32)
+        self.length = np.zeros(len(self.keys), np.int32)
+        self.pool, self.used, self.words = np.zeros(1 << 16, np.uint32), 0, 0
+
+    def _find(self, hashes: np.ndarray) -> np.ndarray:
+        """The slot of each hash: where it is, or the free one where it would be."""
+        slot = (hashes & self.mask).astype(np.int64)
+        left = np.arange(len(hashes))
+        while len(left):
+            there = self.keys[slot[left]]
+            left = left[(there != hashes[left]) & (there != 0)]
+            slot[left] = (slot[left] + 1) & int(self.mask)
+        return slot
+
+    def _add(self, hashes: np.ndarray, ids: list[list[int]]) -> None:
+        lengths = np.fromiter(map(len, ids), np.int64, len(ids))
+        flat = np.fromiter((i for x in ids for i in x), np.uint32, int(lengths.sum()))
+        if self.used + len(flat) > len(self.pool):
+            self.pool = np.concatenate([self.pool, np.zeros(max(len(self.pool), len(flat)), np.uint32)])
+        self.pool[self.used : self.used + len(flat)] = flat
+        first = self.used + np.cumsum(lengths) - lengths
+        self.used += len(flat)
+        self.words += len(ids)
+        left = np.arange(len(hashes))
+        while len(left):  # several may want one free slot: the one that got it stays
+            slot = self._find(hashes[left])
+            self.keys[slot] = hashes[left]
+            got = self.keys[slot] == hashes[left]
+            self.first[slot[got]], self.length[slot[got]] = first[left[got]], lengths[left[got]]
+            left = left[~got]
+
+    def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """(ids of all texts in turn, where each text's ids begin, with the end)."""
+        data, offsets = K.text_buffers(texts)
+        start, end, counts = K.word_spans(data, offsets)
+        hashes = np.maximum(K.word_hashes(data, start, end), np.uint64(1))
+        if self.words > CACHE_WORDS:
+            self._clear()
+        slot = self._find(hashes)
+        new = np.flatnonzero(self.keys[slot] != hashes)
+        if len(new):
+            fresh, where = np.unique(hashes[new], return_index=True)
+            view = memoryview(data)
+            for at in range(0, len(fresh), 20_000):
+                words = [bytes(view[start[i] : end[i]]).decode("utf-8", "replace") for i in new[where[at : at + 20_000]].tolist()]
+                self._add(fresh[at : at + 20_000], [e.ids for e in self.tokenizer.encode_batch_fast(words, add_special_tokens=False)])
+            slot = self._find(hashes)
+        lengths = self.length[slot].astype(np.int64)
+        ends = np.cumsum(lengths)
+        total = int(ends[-1]) if len(ends) else 0
+        ids = self.pool[np.repeat(self.first[slot] - (ends - lengths), lengths) + np.arange(total)]
+        return ids, np.concatenate([[0], ends])[np.concatenate([[0], np.cumsum(counts)])]
+
+
+_ENCODERS: dict[str, WordEncoder] = {}
+
+
+def encoder_for(path: str) -> WordEncoder:
+    """One encoder a worker process, so that later tasks find the words of earlier ones."""
+    if path not in _ENCODERS:
+        _ENCODERS[path] = WordEncoder(path)
+    return _ENCODERS[path]
 
 
 def cut_points(ids: np.ndarray) -> list[int]:
@@ -96,15 +145,16 @@ CHUNK_ROWS = "doc_id long, seq long, pos int, n int, n_tokens long, digest binar
 
 
 def _chunks(batches: Iterator[pa.RecordBatch], path: str, end_id: int) -> Iterator[pa.RecordBatch]:
-    encoder, end = WordEncoder(path), np.array([end_id], "<u4").tobytes()
+    encoder, end = encoder_for(path), np.array([end_id], "<u4")
     seq = 0
     schema = pa.schema([("doc_id", pa.int64()), ("seq", pa.int64()), ("pos", pa.int32()), ("n", pa.int32()), ("n_tokens", pa.int64()), ("digest", pa.binary()), ("ids", pa.binary()), ("wide", pa.bool_())])
     seen: set[bytes] = set()
     for batch in K.parts(batches, 1):
         rows: list[tuple] = []
         size = 0
-        for doc, text in zip(batch.column(0).to_pylist(), K.doc_texts(batch.column(1)), strict=True):
-            ids = np.frombuffer(encoder.encode(text) + end, "<u4")
+        every, bounds = encoder.encode(batch.column(1))
+        for doc, a, b in zip(batch.column(0).to_pylist(), bounds[:-1].tolist(), bounds[1:].tolist(), strict=True):
+            ids = np.concatenate([every[a:b], end]).astype("<u4", copy=False)
             last = 0
             for pos, stop in enumerate(cut_points(ids)):
                 part = ids[last:stop]
