@@ -55,13 +55,15 @@ def fold(c: ColumnLike) -> Column:
     expand (ligatures, fractions) are replaced only where a text has one.
     """
     source, target, marks, many = _fold_table()
-    t = F.translate(text(c), source, target)
     pattern = "[" + "".join(re.escape(a) for a, _ in many) + "]"
-    wide = t
-    for a, b in many:
-        wide = F.replace(wide, F.lit(a), F.lit(b))
-    t = F.when(t.rlike(pattern), wide).otherwise(t)
-    return F.lower(F.when(t.rlike(marks), F.regexp_replace(t, marks, "")).otherwise(t))
+
+    def widened(t: Column) -> Column:
+        wide = t
+        for a, b in many:
+            wide = F.replace(wide, F.lit(a), F.lit(b))
+        return F.when(t.rlike(pattern), wide).otherwise(t)
+
+    return F.lower(F.regexp_replace(bound(F.translate(text(c), source, target), widened), marks, ""))
 
 
 def norm_ws(c: ColumnLike) -> Column:
@@ -80,10 +82,10 @@ ENTITIES = (("&nbsp;", " "), ("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&
 
 
 def unescape(c: ColumnLike) -> Column:
-    t = wide = text(c)
+    t = text(c)
     for entity, char in ENTITIES:
-        wide = F.replace(wide, F.lit(entity), F.lit(char))
-    return F.when(F.instr(t, "&") > 0, wide).otherwise(t)
+        t = F.replace(t, F.lit(entity), F.lit(char))
+    return t
 
 
 def clean(c: ColumnLike) -> Column:
@@ -109,16 +111,15 @@ def case_key(c: ColumnLike) -> Column:
 
 def cut_at_sentence(c: ColumnLike, limit: int) -> Column:
     """At most ``limit`` characters, cut behind the last '.', ';' or ',' that stands in the last two fifths, else at a blank."""
-    t = text(c)
-    head = F.left(t, F.lit(limit))
-    out = None
+    return bound(F.struct(text(c).alias("t"), F.left(text(c), F.lit(limit)).alias("head")), lambda x: _cut(x["t"], x["head"], limit))
+
+
+def _cut(t: Column, head: Column, limit: int) -> Column:
+    last = lambda mark: F.length(head) - F.instr(F.reverse(head), mark[::-1])  # noqa: E731  1-based place of the mark, if there is one
+    out = F.when(F.length(t) <= limit, t)
     for mark in (". ", "; ", ", "):
-        at = F.length(head) - F.instr(F.reverse(head), mark[::-1])  # 1-based place of the mark, if there is one
-        good = (F.instr(head, mark) > 0) & (at - 1 >= limit * 0.6)
-        value = F.trim(F.substring(head, 1, at))
-        out = F.when(good, value) if out is None else out.when(good, value)
-    blank = F.length(head) - F.instr(F.reverse(head), " ")
-    return F.when(F.length(t) <= limit, t).otherwise(out.otherwise(F.trim(F.when((F.instr(head, " ") > 0) & (blank > 0), F.substring(head, 1, blank)).otherwise(head))))
+        out = out.when((F.instr(head, mark) > 0) & (last(mark) - 1 >= limit * 0.6), F.trim(F.substring(head, 1, last(mark))))
+    return out.when((F.instr(head, " ") > 0) & (last(" ") > 0), F.trim(F.substring(head, 1, last(" ")))).otherwise(F.trim(head))
 
 
 def extract_summary(c: ColumnLike, enough: int = 180, limit: int = 420) -> Column:
@@ -145,20 +146,25 @@ def _lookup(table: dict[str, str], key: Column) -> Column:
 def department(c: ColumnLike) -> Column:
     """Canonical name of a text that is a department, or several with slashes; null otherwise."""
     t = F.regexp_replace(squeeze(c), r"(?iu)^regi[oó]n\s+", "")
-    t = F.trim(F.regexp_replace(F.upper(t), "[^A-ZÁÉÍÓÚÜÑ /]", ""))
+    return bound(F.trim(F.regexp_replace(F.upper(t), "[^A-ZÁÉÍÓÚÜÑ /]", "")), _department)
+
+
+def _department(t: Column) -> Column:
     names = F.filter(F.transform(F.split(t, "/"), lambda p: F.trim(p)), lambda p: p != "")
-    mapped = F.transform(names, lambda p: _lookup(departments(), p))
-    several = (F.size(names) >= 2) & F.forall(mapped, lambda x: x.isNotNull())
-    return F.coalesce(_lookup(departments(), t), F.when(several, F.array_join(mapped, " / ")))
+    several = bound(F.transform(names, lambda p: _lookup(departments(), p)), lambda m: F.when((F.size(m) >= 2) & F.forall(m, lambda x: x.isNotNull()), F.array_join(m, " / ")))
+    return F.coalesce(_lookup(departments(), t), several)
 
 
 def leading_department(c: ColumnLike) -> Column:
     """struct(department, rest) of a text that starts with a department's name, the longest first."""
-    t = F.trim(text(c))
     names = "|".join(re.escape(n) for n in sorted(departments(), key=len, reverse=True))
-    name = F.regexp_extract(F.upper(t), rf"^({names})(?!\p{{L}})", 1)
-    rest = F.regexp_replace(F.substring(t, F.length(name) + 1, F.length(t)), r"^[ .\-–—]+", "")
-    return F.struct(F.coalesce(_lookup(departments(), name), F.lit("")).alias("department"), F.when(name != "", rest).otherwise(t).alias("rest"))
+    found = F.struct(F.trim(text(c)).alias("t"), F.regexp_extract(F.upper(F.trim(text(c))), rf"^({names})(?!\p{{L}})", 1).alias("name"))
+
+    def parts(x: Column) -> Column:
+        rest = F.regexp_replace(F.substring(x["t"], F.length(x["name"]) + 1, F.length(x["t"])), r"^[ .\-–—]+", "")
+        return F.struct(F.coalesce(_lookup(departments(), x["name"]), F.lit("")).alias("department"), F.when(x["name"] != "", rest).otherwise(x["t"]).alias("rest"))
+
+    return bound(found, parts)
 
 
 def contained_name(c: ColumnLike, names: dict[str, str]) -> Column:

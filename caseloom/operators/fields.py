@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, functions as F
 
 from caseloom.functions import lexicon as L
-from caseloom.functions.text import clean, cut_at_sentence, fold, norm_ws, text
+from caseloom.functions.text import bound, clean, cut_at_sentence, fold, norm_ws, text
 from caseloom.operators.segmentation import is_badge, is_garbage
 
 _NEXT = "|".join(L.LABELS)
@@ -28,7 +28,10 @@ def break_labels(c: Column) -> Column:
 
 def parse_card(body: Column, events: Column) -> Column:
     """struct of the ten fields of a card; missing ones are empty."""
-    t = break_labels(body)
+    return bound(break_labels(body), lambda t: _fields(t, events))
+
+
+def _fields(t: Column, events: Column) -> Column:
     get = lambda label: clean(F.regexp_extract(t, _field(label), 1))
     first = lambda *found: F.coalesce(*[F.nullif(f, F.lit("")) for f in found], F.lit(""))
     kind = F.left(F.btrim(F.regexp_replace(get("tipo"), r"(?iu)\s+ingres[\s\S]*$", ""), F.lit(" .;")), F.lit(160))

@@ -278,25 +278,30 @@ def latent_rows(texts: DataFrame) -> DataFrame:
 
 def split_type(c: Column) -> Column:
     """struct(caso, tipo) of a row: behind 'Tipo' a known type (the longest) or a short phrase, else a known type at the end."""
-    t = F.trim(text(c))
     known = "|".join(sorted(L.LATENT_TYPES, key=len, reverse=True))
-    labelled = t.rlike(ICASE + r"\btipo\s+\S")
-    before = F.regexp_extract(t, ICASE + r"^(.*?)\btipo\s+.+$", 1)
-    tail = F.trim(F.regexp_extract(t, ICASE + r"\btipo\s+(.+)$", 1))
-    name = F.regexp_extract(tail, ICASE + rf"^({known})(?=\s|$|[.:–—-])", 1)
-    rest = F.regexp_replace(F.substring(tail, F.length(name) + 1, F.length(tail)), r"^[\s.:–—-]+", "")
-    phrase = F.regexp_extract(tail, r"^(.{1,59}?)(?:(?<=\w)(?=[A-ZÁÉÍÓÚ])|\.\s+)", 1)
-    after = F.regexp_replace(F.substring(tail, F.length(phrase) + 1, F.length(tail)), r"^\.\s+", "")
-    at_end = F.regexp_extract(t, ICASE + rf"({known})\s*$", 1)
     short = lambda x: F.left(x, F.lit(160))
     pair = lambda a, b: F.struct(a.alias("caso"), b.alias("tipo"))
-    return (
-        F.when(labelled & (name != ""), pair(clean(F.concat_ws(" ", clean(before), clean(rest))), short(name)))
-        .when(labelled & (phrase != ""), pair(clean(F.concat_ws(" ", clean(before), after)), short(clean(phrase))))
-        .when(labelled, pair(clean(before), short(clean(tail))))
-        .when(at_end != "", pair(clean(F.regexp_replace(t, ICASE + rf"(?:{known})\s*$", "")), short(clean(at_end))))
-        .otherwise(pair(clean(t), F.lit("")))
-    )
+
+    def labelled(x: Column) -> Column:
+        before, tail, name, phrase = x["before"], x["tail"], x["name"], x["phrase"]
+        rest = F.regexp_replace(F.substring(tail, F.length(name) + 1, F.length(tail)), r"^[\s.:–—-]+", "")
+        after = F.regexp_replace(F.substring(tail, F.length(phrase) + 1, F.length(tail)), r"^\.\s+", "")
+        return F.when(name != "", pair(clean(F.concat_ws(" ", before, rest)), short(name))).when(phrase != "", pair(clean(F.concat_ws(" ", before, after)), short(clean(phrase)))).otherwise(pair(before, short(clean(tail))))
+
+    def tailed(x: Column) -> Column:
+        tail = x["tail"]
+        name = F.regexp_extract(tail, ICASE + rf"^({known})(?=\s|$|[.:–—-])", 1)
+        phrase = F.regexp_extract(tail, r"^(.{1,59}?)(?:(?<=\w)(?=[A-ZÁÉÍÓÚ])|\.\s+)", 1)
+        return bound(F.struct(x["before"].alias("before"), tail.alias("tail"), name.alias("name"), phrase.alias("phrase")), labelled)
+
+    def split(t: Column) -> Column:
+        before = clean(F.regexp_extract(t, ICASE + r"^(.*?)\btipo\s+.+$", 1))
+        tail = F.trim(F.regexp_extract(t, ICASE + r"\btipo\s+(.+)$", 1))
+        at_end = F.regexp_extract(t, ICASE + rf"({known})\s*$", 1)
+        ending = pair(clean(F.regexp_replace(t, ICASE + rf"(?:{known})\s*$", "")), short(clean(at_end)))
+        return F.when(t.rlike(ICASE + r"\btipo\s+\S"), bound(F.struct(before.alias("before"), tail.alias("tail")), tailed)).when(at_end != "", ending).otherwise(pair(clean(t), F.lit("")))
+
+    return bound(F.trim(text(c)), split)
 
 
 def new_latent(extra: DataFrame, cards: DataFrame) -> DataFrame:

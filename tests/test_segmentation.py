@@ -87,7 +87,7 @@ def test_whole_panel(spark):
     text = "Detalle de los conflictos sociales activos Tipo: a"
     page = [("d", 1, 800.0, text, [b(60.0, 0.0, "PUNO"), b(80.0, 0.0, "Tipo: Socioambiental Caso: La mina de oro contamina el río."), b(90.0, 400.0, "Marcha del mes")], "unidad_sumilla"), ("e", 1, 800.0, "nada", [], "otro")]
     pages = spark.createDataFrame(page, "doc string, page int, height double, text string, blocks array<struct<type: int, x0: double, y0: double, x1: double, y1: double, lines: array<string>>>, formato string")
-    cards = panel.cards(pages)
+    cards = panel.cards(pages).cache()
     (r,) = cards.collect()
     assert (r.doc, r.departamento, r.tipo, r.es_socioambiental, r.menciona_mineria, r.hechos_del_mes) == ("d", "Puno", "Socioambiental", 1, 1, "Marcha del mes")
     assert [x.archivo for x in panel.failures(pages, cards).collect()] == ["e"]
