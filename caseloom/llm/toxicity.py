@@ -29,7 +29,7 @@ from caseloom.llm.frames import only
 BITS = 18
 #: Besides itself, a word has the features of its beginnings of these lengths in bytes.
 HEADS = (4, 5)
-FIT_ROWS = 1500
+FIT_ROWS = 1000
 LEAST_DOCS = 8
 ROUNDS, RATE, SHRINK, BIAS = 60, 0.1, 1e-4, -6.0
 THRESHOLD = 0.3
@@ -106,13 +106,15 @@ def fit(sample: list[tuple[int, str, int, float]]) -> dict:
     of, term = pairs // size, pairs % size
     good, bad = np.bincount(term[y[of] == 0], minlength=size), np.bincount(term[y[of] == 1], minlength=size)
     common = good + bad >= LEAST_DOCS
+    del pairs, of, term, bag
     # Start from the shrunk log odds of each term's documents; descent then moves the blame to sentences.
     odds = np.log((bad + 1) / (y.sum() + 2)) - np.log((good + 1) / (len(y) - y.sum() + 2))
     slot = np.full(size, -1, np.int32)
     slot[common] = np.arange(common.sum())
     flat = slot[features.ravel()]
     keep = flat >= 0
-    flat, sentence = flat[keep], np.repeat(np.repeat(np.arange(len(first)), lengths), width)[keep]
+    flat, sentence = flat[keep], np.repeat(np.arange(len(first), dtype=np.int32), lengths * width)[keep]
+    del features, keep
     w, b = np.maximum(odds[common] - 2, 0) + np.minimum(odds[common] + 2, 0), BIAS
     m, v, mb, vb = np.zeros_like(w), np.zeros_like(w), 0.0, 0.0
     for step in range(1, ROUNDS + 1):
