@@ -249,12 +249,14 @@ def test_crc_of_joined_parts():
         assert join(zlib.crc32(a), zlib.crc32(b), len(b)) == zlib.crc32(a + b)
 
 
-@pytest.mark.parametrize("name,label", [("op2_toxicity", "toxic"), ("op9_quality", "quality")])
-def test_held_out_accuracy(spark, name, label):
-    out = registry.QUERIES[name](spark, SF)
-    rows = out.join(spark.read.parquet(f"{SF}/labels.parquet"), "doc_id").filter("held_out").collect()
-    assert len(rows) > 50 and sum(r.predicted == r[label] for r in rows) >= 0.9 * len(rows)
-    assert out.count() == 1000 and out.filter("score < 0 or score > 1").count() == 0
+@pytest.mark.parametrize("name,label,least", [("op2_toxicity", "toxic", 0.9), ("op9_quality", "quality", 0.97)])
+def test_held_out_accuracy(spark, name, label, least):
+    """On sf0.1: sf0.01 has too few labels (some 40 toxic documents in four languages) to learn from."""
+    folder = SF.replace("sf0.01", "sf0.1")
+    out = registry.QUERIES[name](spark, folder).cache()
+    rows = out.join(spark.read.parquet(f"{folder}/labels.parquet"), "doc_id").filter("held_out").collect()
+    assert len(rows) > 500 and sum(r.predicted == r[label] for r in rows) >= least * len(rows)
+    assert out.count() == 10000 and out.filter("score < 0 or score > 1").count() == 0
 
 
 def test_classifiers_on_odd_texts(spark):
