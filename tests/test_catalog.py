@@ -1,6 +1,7 @@
 """Every query with SQL gives the SQL's rows; the others run and give rows."""
 
 import duckdb
+import pandas as pd
 import pytest
 
 import __spark_entry__ as entry
@@ -20,7 +21,7 @@ def con():
 
 
 def plain(df, columns):
-    tidy = lambda v: None if v is None or v != v else float(v) if isinstance(v, (int, float)) and not isinstance(v, bool) else str(v)
+    tidy = lambda v: None if pd.isna(v) else float(v) if isinstance(v, (int, float)) and not isinstance(v, bool) else str(v)
     return sorted((tuple(tidy(v) for v in row) for row in df[columns].astype(object).itertuples(index=False)), key=str)
 
 
