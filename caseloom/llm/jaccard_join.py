@@ -367,14 +367,14 @@ def near_duplicates(docs: DataFrame, text_col: str = "text", id_col: str = "doc_
     counts = sent.groupBy("bucket").applyInArrow(_count, ROWS)
     proposed = checkpoint(dealt.cogroup(counts.unionByName(chosen).groupBy("block")).applyInArrow(_proposer(n), ROWS))
     texts = proposed.filter("bucket = -1").select(F.expr("cast(conv(hex(data), 16, -10) as long)").alias("doc_id"), F.col("extra").cast("string").alias("text"))
-    spread = 4 * shuffle_partitions(docs.sparkSession)
+    spread = max(4, shuffle_partitions(docs.sparkSession) // 4)
     loose = proposed.filter("bucket >= 0").groupBy("bucket").applyInArrow(_looser(spread), ROWS).groupBy("bucket").applyInArrow(_forest, "src long, dst long")
     clusters = checkpoint(connected_components(loose))
     sizes = clusters.groupBy("component").agg(F.count(F.lit(1)).alias("members"))
     placed = clusters.join(sizes, "component").withColumn("chunks", F.ceil(F.col("members") / CHUNK).cast("int"))
     chunk = F.pmod(F.xxhash64("node"), F.col("chunks")).cast("int")
     # Small clusters share tasks; chunk c of a large one goes to the tiles (c, c) and (c, other).
-    tiles = F.when(F.col("chunks") == 1, F.array(F.struct(F.pmod(F.xxhash64("component"), F.lit(8 * spread)).cast("long").alias("task"), F.lit(0).alias("i"), F.lit(0).alias("j"), F.lit(0).alias("side"))))
+    tiles = F.when(F.col("chunks") == 1, F.array(F.struct(F.pmod(F.xxhash64("component"), F.lit(32 * spread)).cast("long").alias("task"), F.lit(0).alias("i"), F.lit(0).alias("j"), F.lit(0).alias("side"))))
     others = F.transform(F.sequence(F.lit(0), F.col("chunks") - 1), lambda o: F.struct(F.col("component").alias("task"), (F.least(o, chunk) + 1).cast("int").alias("i"), (F.greatest(o, chunk) + 1).cast("int").alias("j"), F.when(o < chunk, 1).otherwise(0).alias("side")))
     tiled = placed.select(F.col("node").alias("doc_id"), F.col("component").alias("cluster"), F.explode(F.coalesce(tiles, others)).alias("t")).select("doc_id", "cluster", "t.*")
     work = tiled.join(texts, "doc_id").groupBy("task", "i", "j").applyInArrow(_verify, "src long, dst long")
