@@ -4,7 +4,9 @@ A document is a bag of sentences.  Each sentence has a logistic score over
 hashed words and word beginnings; a document is toxic if any sentence is
 (noisy-or): P = 1 - prod(1 - p_s).  Only document labels are known; gradient
 descent on the bag likelihood finds which sentences must be to blame, so the
-fitted model also locates the offending sentences.
+fitted model also locates the offending sentences.  Only terms that the labels
+prove have a weight: with one for every term, descent fits the few toxic
+documents by chance words and the words that tell lose theirs.
 
 Fitting reads at most ``FIT_ROWS`` labelled documents of each class, the first
 ones in the order of a hash of their ids; scoring covers every document.
@@ -30,7 +32,6 @@ BITS = 18
 #: Besides itself, a word has the features of its beginnings of these lengths in bytes.
 HEADS = (4, 5)
 FIT_ROWS = 1000
-LEAST_DOCS = 8
 ROUNDS, RATE, SHRINK, BIAS = 60, 0.1, 1e-4, -6.0
 THRESHOLD = 0.3
 
@@ -90,8 +91,27 @@ def instances(texts: pa.Array):
     return features, first, owner[first], len(counts), start[first], end[last], data, offsets
 
 
+def proven_terms(good: np.ndarray, bad: np.ndarray) -> np.ndarray:
+    """Which terms are more frequent in toxic documents than chance gives among so many terms.
+
+    The log-likelihood ratio of a term's documents against the share of the whole
+    sample must reach the logarithm of the number of terms: less than one passes by chance.
+    """
+    total = good + bad
+    share = bad.sum() / max(1, total.sum())
+    part = bad / np.maximum(total, 1)
+    with np.errstate(divide="ignore", invalid="ignore"):
+        gain = np.where(bad > 0, bad * np.log(part / share), 0) + np.where(good > 0, good * np.log((1 - part) / (1 - share)), 0)
+    return (part > share) & (gain >= np.log(max(2, (total > 0).sum())))
+
+
+def blamed(value: np.ndarray, bias: float) -> np.ndarray:
+    """Scores of sentences; without a proven term one has none, so length alone makes no document toxic."""
+    return np.where(value > 0, value + bias, -np.inf)
+
+
 def fit(sample: list[tuple[int, str, int, float]]) -> dict:
-    """Bag likelihood by Adam over the hashed weights; {} when a class is missing."""
+    """Bag likelihood by Adam over the weights of the proven terms; {} when a class is missing."""
     y = np.array([r[2] for r in sample], float)
     if not len(y) or y.min() == y.max():
         return {}
@@ -105,21 +125,21 @@ def fit(sample: list[tuple[int, str, int, float]]) -> dict:
     pairs = np.unique(np.repeat(bag, width) * size + features.ravel())
     of, term = pairs // size, pairs % size
     good, bad = np.bincount(term[y[of] == 0], minlength=size), np.bincount(term[y[of] == 1], minlength=size)
-    common = good + bad >= LEAST_DOCS
     del pairs, of, term, bag
+    proven = proven_terms(good, bad)
     # Start from the shrunk log odds of each term's documents; descent then moves the blame to sentences.
     odds = np.log((bad + 1) / (y.sum() + 2)) - np.log((good + 1) / (len(y) - y.sum() + 2))
     slot = np.full(size, -1, np.int32)
-    slot[common] = np.arange(common.sum())
+    slot[proven] = np.arange(proven.sum())
     flat = slot[features.ravel()]
     keep = flat >= 0
     flat, sentence = flat[keep], np.repeat(np.arange(len(first), dtype=np.int32), lengths * width)[keep]
     del features, keep
-    w, b = np.maximum(odds[common] - 2, 0) + np.minimum(odds[common] + 2, 0), BIAS
+    w, b = np.maximum(odds[proven], 0), BIAS
     m, v, mb, vb = np.zeros_like(w), np.zeros_like(w), 0.0, 0.0
     for step in range(1, ROUNDS + 1):
-        z = b + np.bincount(sentence, weights=w[flat], minlength=len(first))
-        p = 1 / (1 + np.exp(-np.clip(z, -30, 30)))
+        z = blamed(np.bincount(sentence, weights=w[flat], minlength=len(first)), b)
+        p = np.exp(-np.logaddexp(0, -z))
         stay = np.bincount(owner, weights=np.logaddexp(0, z), minlength=n)  # -log prod(1 - p)
         blame = np.where(y > 0, -1 / np.maximum(np.expm1(np.minimum(stay, 60)), 1e-9), 1.0) * weight
         g = p * blame[owner] / n
@@ -128,10 +148,10 @@ def fit(sample: list[tuple[int, str, int, float]]) -> dict:
         m, v = 0.9 * m + 0.1 * grad, 0.99 * v + 0.01 * grad * grad
         mb, vb = 0.9 * mb + 0.1 * gb, 0.99 * vb + 0.01 * gb * gb
         rate = RATE * (1 - step / (ROUNDS + 1))
-        w -= rate * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.99**step)) + 1e-6)
+        w = np.maximum(w - rate * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.99**step)) + 1e-6), 0)
         b -= rate * (mb / (1 - 0.9**step)) / (np.sqrt(vb / (1 - 0.99**step)) + 1e-6)
     weights = np.zeros(size, np.float32)
-    weights[common] = w
+    weights[proven] = w
     return {"weights": weights, "bias": float(b)}
 
 
@@ -148,8 +168,8 @@ def scorer(model: dict, threshold: float = THRESHOLD):
             total, found = np.zeros(n), [[] for _ in range(n)]
             if model and len(first):
                 value = model["weights"][features].sum(1)
-                z = model["bias"] + np.add.reduceat(value, first)
-                p = 1 / (1 + np.exp(-np.clip(z, -30, 30)))
+                z = blamed(np.add.reduceat(value, first), model["bias"])
+                p = np.exp(-np.logaddexp(0, -z))
                 total = 1 - np.exp(-np.bincount(owner, weights=np.logaddexp(0, z), minlength=n))
                 hot = np.flatnonzero(p >= threshold)
                 for doc in np.unique(owner[hot]).tolist():

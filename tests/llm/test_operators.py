@@ -259,6 +259,26 @@ def test_held_out_accuracy(spark, name, label, least):
     assert out.count() == 10000 and out.filter("score < 0 or score > 1").count() == 0
 
 
+@pytest.mark.parametrize("folder,recall,rejected", [(SF, 0.6, 0.01), (SF.replace("sf0.01", "sf0.1"), 0.9, 0.01)])
+def test_held_out_toxic_documents_are_found(spark, folder, recall, rejected):
+    """Accuracy hides misses where few are toxic; on sf0.01 only 9 of the 14 hold a word that the labels prove."""
+    rows = registry.op2_toxicity(spark, folder).join(spark.read.parquet(f"{folder}/labels.parquet"), "doc_id").filter("held_out").collect()
+    toxic = [r.predicted for r in rows if r.toxic == 1]
+    clean = [r.predicted for r in rows if r.toxic == 0]
+    print(f"{folder}: {sum(toxic)} of {len(toxic)} toxic found, {sum(clean)} of {len(clean)} clean rejected")
+    assert sum(toxic) >= recall * len(toxic) and sum(clean) <= rejected * len(clean)
+
+
+def test_length_is_not_toxic():
+    rng = random.Random(12)
+    text = lambda n: "\n".join(f"w{rng.randrange(300)}" for _ in range(n))
+    sample = [(i, text(30) + (" awful. " if i % 4 == 0 else " ") + text(30), int(i % 4 == 0), 1.0) for i in range(200)]
+    model = toxicity.fit(sample)
+    batch = pa.record_batch([pa.array([1, 2, 3]), pa.array([text(20000), text(5) + " awful.", None], pa.string())], names=["doc_id", "text"])
+    scores = [s for out in toxicity.scorer(model)(iter([batch])) for s in out.column(1).to_pylist()]
+    assert scores[0] < toxicity.THRESHOLD <= scores[1] and scores[2] == 0
+
+
 def test_classifiers_on_odd_texts(spark):
     labels = spark.createDataFrame([(1, 1, 0), (3, None, None), (4, 0, 1), (4, 0, 1), (99, 1, 1)], "doc_id long, quality int, toxic int")
     frame = docs(spark, ODD)
