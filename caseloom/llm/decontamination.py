@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from caseloom.llm import kernels as K
-from caseloom.llm.frames import checkpoint, only
+from caseloom.llm.frames import only, without
 
 SEED = 3
 SLICE_SEEDS = 1 << 20
@@ -188,18 +188,25 @@ def _passages(doc: np.ndarray, item: np.ndarray, threshold: float):
             yield score, at + a, at + b
 
 
-def contaminated(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", id_col: str = "doc_id", item_col: str = "item_id", threshold: float = THRESHOLD) -> DataFrame:
-    """doc_id, item_id, score and the passage (words, end exclusive) of every document and item that align."""
-    base = only(docs, doc_id=id_col, text=text_col).select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
+def _finders(docs: DataFrame, benchmark: DataFrame, text_col: str, item_col: str, threshold: float) -> Iterator:
+    """The finder of each slice of the items, its seeds weighted over all of ``docs``."""
+    texts_of = only(docs, text=text_col).select(F.col("text").cast("string"))
     tests = only(benchmark, item_id=item_col, text="text").select(F.col("item_id").cast("long"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
-    out = None
     for ids, texts in _slices(tests):
         items = Items(ids, texts)
-        seen = base.select("text").mapInArrow(_counter(items), "seed long, n long").groupBy("seed").agg(F.sum("n").alias("n"))
+        seen = texts_of.mapInArrow(_counter(items), "seed long, n long").groupBy("seed").agg(F.sum("n").alias("n"))
         counted = {r["seed"]: r["n"] for r in seen.collect()}  # at most SLICE_SEEDS + 1 numbers
         total = counted.get(-1, 0)
         weight = np.array([math.log((total + 1) / (counted.get(i, 0) + 1)) + 0.1 for i in range(len(items.seeds))])
-        part = base.mapInArrow(_finder(items, weight, threshold), "doc_id long, item_id long, score double, start long, end long")
+        yield _finder(items, weight, threshold)
+
+
+def contaminated(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", id_col: str = "doc_id", item_col: str = "item_id", threshold: float = THRESHOLD) -> DataFrame:
+    """doc_id, item_id, score and the passage (words, end exclusive) of every document and item that align."""
+    base = only(docs, doc_id=id_col, text=text_col).select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
+    out = None
+    for find in _finders(docs, benchmark, text_col, item_col, threshold):
+        part = base.mapInArrow(find, "doc_id long, item_id long, score double, start long, end long")
         out = part if out is None else out.unionByName(part)
     return out if out is not None else base.filter("false").mapInArrow(lambda b: iter(()), "doc_id long, item_id long, score double, start long, end long")
 
@@ -221,8 +228,9 @@ def _slices(tests: DataFrame) -> Iterator[tuple[list, list[str]]]:
         yield ids, texts
 
 
-def clean_documents(docs: DataFrame, benchmark: DataFrame, **options) -> DataFrame:
-    """The rows of ``docs``, all columns, that hold no test item."""
-    id_col = options.get("id_col", "doc_id")
-    bad = checkpoint(contaminated(docs, benchmark, **options).select(F.col("doc_id").alias("__id")).distinct())
-    return docs.join(bad, F.col(f"`{id_col}`").cast("long").eqNullSafe(F.col("__id")), "left_anti")
+def clean_documents(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", item_col: str = "item_id", threshold: float = THRESHOLD) -> DataFrame:
+    """The rows of ``docs``, all columns, that hold no test item, each by its own text."""
+    kept = docs
+    for find in _finders(docs, benchmark, text_col, item_col, threshold):
+        kept = without(kept, text_col, lambda batches, find=find: (out.column(0).to_numpy() for out in find(batches)))
+    return kept

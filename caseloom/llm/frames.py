@@ -1,9 +1,14 @@
-"""DataFrame helpers of the operators: column guards, sizes, checkpoints."""
+"""DataFrame helpers of the operators: column guards, sizes, checkpoints, rows as such."""
 
 from __future__ import annotations
 
+import posixpath
 import tempfile
+import uuid
+from collections.abc import Callable, Iterator
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 
@@ -20,6 +25,36 @@ def checkpoint(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def shared_folder(spark: SparkSession, name: str) -> str:
+    """A fresh folder beside the checkpoints, which all executors share."""
+    checkpoint(spark.range(0))  # makes sure that there is one
+    return posixpath.join(spark.sparkContext._jsc.sc().getCheckpointDir().get(), f"{name}-{uuid.uuid4().hex}")
+
+
+def numbered(docs: DataFrame, column: str) -> DataFrame:
+    """The rows with a number each, written, so that every later read finds the same numbers."""
+    folder = shared_folder(docs.sparkSession, "rows")
+    docs.withColumn(column, F.monotonically_increasing_id()).write.parquet(folder)
+    return docs.sparkSession.read.parquet(folder)
+
+
+def without(docs: DataFrame, text_col: str, gone: Callable[[Iterator[pa.RecordBatch]], Iterator[np.ndarray]]) -> DataFrame:
+    """The rows of ``docs``, all columns, but those that ``gone`` names by their places in batches (place, text).
+
+    Each row is judged by its own text and needs no id.
+    """
+    at = docs.columns.index(text_col)
+
+    def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            stays = np.ones(batch.num_rows, bool)
+            for places in gone(iter([pa.record_batch([pa.array(np.arange(batch.num_rows)), batch.column(at).cast(pa.large_string())], names=["doc_id", "text"])])):
+                stays[places] = False
+            yield batch.filter(pa.array(stays))
+
+    return docs.mapInArrow(keep, docs.schema)
+
+
 def shuffle_partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 

@@ -46,7 +46,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window as W, functions as F
 
 from caseloom.llm import kernels as K
-from caseloom.llm.frames import blocks_for, checkpoint, only, shuffle_partitions
+from caseloom.llm.frames import blocks_for, checkpoint, numbered, only, shuffle_partitions
 from caseloom.operators.graph import connected_components
 
 SHINGLE, NUMERATOR, DENOMINATOR = 5, 80, 100
@@ -381,14 +381,17 @@ def near_duplicates(docs: DataFrame, text_col: str = "text", id_col: str = "doc_
     links = connected_components(work)
     named = classes.join(links, classes["rep"] == links["node"], "left").select(F.col("n").alias("cn"), F.col("a").alias("ca"), F.col("b").alias("cb"), F.coalesce("component", "rep").alias("component"))
     met = keys.join(named, (F.col("n") == F.col("cn")) & (F.col("a") == F.col("ca")) & (F.col("b") == F.col("cb")), "left")
-    return met.select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.coalesce("component", "doc_id")).otherwise(F.col("doc_id")).alias("component_id"))
+    return met.select("doc_id", F.col("n").alias("n_shingles"), F.when((F.col("n") > 0) & F.col("doc_id").isNotNull(), F.coalesce("component", "doc_id")).otherwise(F.col("doc_id")).alias("component_id"))
 
 
-def one_of_each(docs: DataFrame, **options) -> DataFrame:
-    """The rows of ``docs``, all columns, one for each component: that of the least id.
+def one_of_each(docs: DataFrame, id_col: str = "doc_id", **options) -> DataFrame:
+    """The rows of ``docs``, all columns, one for each component: that of the least id, nulls last.
 
-    Rows of empty sets link with nothing and all stay.
+    Rows are told apart by written numbers, so ids may repeat or be null.  Rows of
+    empty sets link with nothing and all stay.
     """
-    id_col = options.get("id_col", "doc_id")
-    met = near_duplicates(docs, **options).filter("n_shingles = 0 or doc_id = component_id").select(F.col("doc_id").alias("__id")).distinct()
-    return docs.join(met, F.col(f"`{id_col}`").cast("long").eqNullSafe(F.col("__id")), "left_semi")
+    rows = numbered(docs, "__row")
+    ids = rows.select(F.col("__row").alias("doc_id"), F.col(f"`{id_col}`").cast("long").alias("id"))
+    met = near_duplicates(rows, id_col="__row", **options).join(ids, "doc_id")
+    kept = met.groupBy("component_id").agg(F.min(F.struct(F.col("id").isNull().alias("none"), "id", "doc_id")).alias("least")).select(F.col("least.doc_id").alias("__row"))
+    return rows.join(kept, "__row", "left_semi").select(*[F.col(f"`{c}`") for c in docs.columns])

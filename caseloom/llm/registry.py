@@ -2,25 +2,16 @@
 
 from __future__ import annotations
 
-import posixpath
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from caseloom.llm import decontamination, exact_dedup, jaccard_join, line_dedup, mixing, pii, quality, substring_dedup, token_store, toxicity
-from caseloom.llm.frames import checkpoint
+from caseloom.llm.frames import shared_folder  # noqa: F401
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shared_folder(spark: SparkSession, name: str) -> str:
-    """A fresh folder beside the checkpoints, which all executors share."""
-    checkpoint(spark.range(0))  # makes sure that there is one
-    return posixpath.join(spark.sparkContext._jsc.sc().getCheckpointDir().get(), f"{name}-{uuid.uuid4().hex}")
-
-
 def op1_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = substring_dedup.remove_repeated_windows(table(spark, sf_dir, "documents"))
     return out.select("doc_id", "n_words", "n_removed", F.sha2("kept_text", 256).alias("kept_sha256"))

@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
 from caseloom.llm import kernels as K
-from caseloom.llm.frames import only
+from caseloom.llm.frames import only, without
 
 BITS = 18
 #: Besides itself, a word has the features of its beginnings of these lengths in bytes.
@@ -187,3 +187,15 @@ def toxicity(docs: DataFrame, labels: DataFrame, text_col: str = "text", id_col:
     model = fit(labelled_sample(base, labels, "toxic", parts, part, rows))
     scored = base.mapInArrow(scorer(model, threshold), OUT)
     return scored.select("doc_id", held_out("doc_id", parts, part).alias("held_out"), "score", (F.col("score") >= threshold).cast("int").alias("predicted"), "sentences")
+
+
+def clean_documents(docs: DataFrame, labels: DataFrame, text_col: str = "text", id_col: str = "doc_id", parts: int = 4, part: int = 2, rows: int = FIT_ROWS, threshold: float = THRESHOLD) -> DataFrame:
+    """The rows of ``docs``, all columns, that are not predicted toxic, each by its own text."""
+    base = only(docs, doc_id=id_col, text=text_col).select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
+    score = scorer(fit(labelled_sample(base, labels, "toxic", parts, part, rows)), threshold)
+
+    def toxic(batches: Iterator[pa.RecordBatch]) -> Iterator[np.ndarray]:
+        for out in score(batches):
+            yield out.column(0).to_numpy()[out.column(1).to_numpy() >= threshold]
+
+    return without(docs, text_col, toxic)

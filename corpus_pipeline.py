@@ -8,7 +8,7 @@ files.  ``sf_dir`` is used only for the side tables (labels, benchmark).
 from __future__ import annotations
 
 import public_tokenizers
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import DataFrame, SparkSession
 
 from caseloom.llm import decontamination, jaccard_join, mixing, token_store, toxicity
 from caseloom.llm.registry import shared_folder, table
@@ -16,8 +16,7 @@ from caseloom.llm.registry import shared_folder, table
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents predicted toxic go.  The labels are fitted on the documents that have some."""
-    judged = toxicity.toxicity(docs, table(spark, sf_dir, "labels")).filter("predicted = 1").select(F.col("doc_id").alias("__id")).distinct()
-    return docs.join(judged, docs["doc_id"] == F.col("__id"), "left_anti")
+    return toxicity.clean_documents(docs, table(spark, sf_dir, "labels"))
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

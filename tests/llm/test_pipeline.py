@@ -1,5 +1,7 @@
 """The pipeline's stages take effect, each on what its predecessor kept."""
 
+import random
+
 import corpus_pipeline
 
 from caseloom.llm import registry
@@ -23,3 +25,46 @@ def test_stages(spark):
     for (start, doc, n), before in zip(rows, [(0, -1, 0), *rows]):
         assert start == at and doc >= before[1]
         at += n
+
+
+def planted(spark, folder):
+    """Rows with null and repeated ids, and what each stage must leave of them, by the column ``n``."""
+    rng = random.Random(13)
+    text = lambda n=40: " ".join(f"w{rng.randrange(500)}" for _ in range(n)) + "."
+    item, twin, shared = text(30), text(), text()
+    rows = [(i, text() + (" awful. " if i % 4 == 0 else " ") + text()) for i in range(200)]
+    toxic, copies, leaks = set(range(0, 200, 4)), set(), set()
+    for group, id_, t in (
+        (toxic, None, text() + " awful."), (None, None, text()), (None, None, twin), (copies, None, twin),
+        (toxic, 500, text() + " awful."), (None, 500, text()), (None, 501, shared), (copies, 501, shared), (copies, 502, shared), (copies, None, shared),
+        (leaks, None, text() + " " + item), (None, None, text()), (leaks, 503, text() + " " + item), (None, 503, text()), (None, None, None), (None, None, ""),
+    ):
+        if group is not None:
+            group.add(len(rows))
+        rows.append((id_, t))
+    spark.createDataFrame([(i, 1, int(i % 4 == 0)) for i in range(200)], "doc_id long, quality int, toxic int").write.parquet(f"{folder}/labels.parquet")
+    spark.createDataFrame([(1, item)], "item_id long, text string").write.parquet(f"{folder}/benchmark.parquet")
+    docs = spark.createDataFrame([(i, t, "en", "s", len(t or ""), n) for n, (i, t) in enumerate(rows)], "doc_id long, text string, lang string, source string, n_chars long, n long")
+    return docs, toxic, copies, leaks
+
+
+def test_null_and_repeated_ids(spark, tmp_path):
+    docs, toxic, copies, leaks = planted(spark, tmp_path)
+    assert len(copies) == 4 and len(leaks) == 2
+    everything = set(range(docs.count()))
+    for (name, stage), gone in zip(corpus_pipeline.STAGES, (toxic, copies, leaks)):
+        out = stage(spark, docs.repartition(3), str(tmp_path)).select("n").collect()
+        left = everything - {r.n for r in out}
+        assert len(out) == len({r.n for r in out}) == len(everything) - len(gone), name
+        if name == "ngram_jaccard":  # of rows that repeat an id and a text, either one stays
+            twins, shared = {202, 203}, {206, 207, 208, 209}
+            assert left <= twins | shared and len(left & twins) == 1 and len(left & shared) == 3 and {208, 209} <= left
+        else:
+            assert left == gone, name
+
+
+def test_null_ids_are_their_own_component(spark):
+    docs = spark.createDataFrame([(1, "a b c d e f"), (None, "a b c d e f")], "doc_id long, text string")
+    from caseloom.llm import jaccard_join
+
+    assert sorted(r.component_id or 0 for r in jaccard_join.near_duplicates(docs).collect()) == [0, 1]
