@@ -253,7 +253,9 @@ def calendar_gaps(spark, sf_dir):
 
 @query("missing_numbers", "SELECT CAST(i AS INTEGER) AS doc_id FROM range(0, 1501) t(i) WHERE i NOT IN (SELECT doc_id FROM labels)")
 def missing_numbers(spark, sf_dir):
-    return rollups.missing_numbers(read(spark, sf_dir, "labels"), "doc_id", 0, 1500)
+    labels = read(spark, sf_dir, "labels")
+    low, high = labels.agg(F.least(F.lit(0), F.min("doc_id")), F.greatest(F.lit(1500), F.max("doc_id"))).first()  # 0..1500 at least, as in the SQL
+    return rollups.missing_numbers(labels, "doc_id", low, high)
 
 
 @query("inventory_dedup", "SELECT doc_id FROM (SELECT doc_id, row_number() OVER (PARTITION BY source, lang ORDER BY n_chars DESC, doc_id) AS r, lang FROM documents) WHERE r = 1 OR lang = 'es'")
