@@ -3,8 +3,10 @@
 Each round hangs every node's larger neighbours on its least neighbour
 (large-star), then every node's smaller neighbours likewise (small-star).  The
 edge count never grows and the number of rounds is logarithmic, also on chains.
-A node's least neighbour comes from an aggregate that combines on the map side,
-so a hub with very many neighbours is never gathered in one task.
+A node's least neighbour comes from an aggregate that combines on the map side.
+It goes back to the edges by a join on the node; hubs, of which there are at most
+``HUBS`` whatever the graph, take it from a broadcast instead, so the edges of a
+hub are never gathered in one task.
 """
 
 from __future__ import annotations
@@ -13,14 +15,20 @@ from pyspark.sql import DataFrame, functions as F
 
 from caseloom.operators.checkpoints import checkpoint
 
+#: A hub has more than LEAST_DEGREE neighbours and more than its share of 2 * edges / HUBS.
+HUBS, LEAST_DEGREE = 50_000, 200
 
-def _star(edges: DataFrame, large: bool) -> DataFrame:
-    """One contraction; ``edges`` are (u, v) with u > v, each once."""
+
+def _star(edges: DataFrame, large: bool, degree: int) -> DataFrame:
+    """One contraction; ``edges`` are (u, v) with u > v, each once.  Nodes with more neighbours than ``degree`` are hubs."""
     both = edges.select(F.col("u").alias("n"), F.col("v").alias("m"))
     if large:
         both = both.unionByName(edges.select(F.col("v").alias("n"), F.col("u").alias("m")))
-    least = both.groupBy("n").agg(F.min("m").alias("least")).select(F.col("n").alias("k"), F.least("n", "least").alias("least"))
-    met = both.join(least, F.col("n") == F.col("k"))
+    least = both.groupBy("n").agg(F.min("m").alias("least"), F.count(F.lit(1)).alias("degree")).select(F.col("n").alias("k"), F.least("n", "least").alias("least"), "degree")
+    hubs = F.broadcast(least.filter(F.col("degree") > degree).select("k", F.col("least").alias("hub_least")))  # at most HUBS rows
+    split = both.join(hubs, F.col("n") == F.col("k"), "left").drop("k")
+    dealt = split.filter("hub_least is null").select("n", "m").join(least.filter(F.col("degree") <= degree), F.col("n") == F.col("k"))
+    met = dealt.select("n", "m", "least").unionByName(split.filter("hub_least is not null").select("n", "m", F.col("hub_least").alias("least")))
     hung = met.filter("m > n") if large else met
     out = hung.select(F.col("m").alias("u"), F.col("least").alias("v"))
     if not large:
@@ -37,9 +45,10 @@ def connected_components(edges: DataFrame, src: str = "src", dst: str = "dst") -
     pairs = edges.select(F.col(src).cast("long").alias("a"), F.col(dst).cast("long").alias("b")).filter("a is not null and b is not null")
     now = pairs.filter("a != b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct()
     now = checkpoint(now)
+    degree = max(LEAST_DEGREE, 2 * now.count() // HUBS)
     mark = None
     while True:
-        now = checkpoint(_star(_star(now, True), False))
+        now = checkpoint(_star(checkpoint(_star(now, True, degree)), False, degree))
         seen = now.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         if mark == tuple(seen):
             break
