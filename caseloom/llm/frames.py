@@ -11,6 +11,9 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
+#: Of the block exchange: bytes of input that a row of it stands for, and the least block.
+ROW_BYTES, LEAST_BLOCK = 1 << 10, 4 << 20
+
 
 def checkpoint(df: DataFrame) -> DataFrame:
     """Cut the lineage through files that every executor can read.
@@ -21,6 +24,8 @@ def checkpoint(df: DataFrame) -> DataFrame:
     context = df.sparkSession.sparkContext
     if context._jsc.sc().getCheckpointDir().isEmpty():
         named = context.getConf().get("spark.checkpoint.dir")
+        if not named and not context.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         context.setCheckpointDir(named or tempfile.mkdtemp(prefix="caseloom-checkpoint-"))
     return df.checkpoint(eager=True)
 
@@ -64,14 +69,26 @@ def estimated_bytes(df: DataFrame) -> int:
     return int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
 
 
-def blocks_for(df: DataFrame, block_bytes: int, text_col: str = "text") -> int:
-    """How many blocks keep each near ``block_bytes``; at least two for each shuffle partition."""
+def blocks_for(df: DataFrame, block_bytes: int | None = None, text_col: str = "text") -> int:
+    """How many blocks keep each near ``block_bytes``; at least two for each shuffle partition.
+
+    Operators that exchange a row for each pair of a block and a range leave it
+    open: blocks then grow with the square root of the input, so that a row holds
+    about ``ROW_BYTES`` of it however large it is (100 TB: 3 * 10**5 blocks of 300 MB).
+    """
     size = estimated_bytes(df)
     if size >= 1 << 55:  # no estimate: the texts are measured
         size = df.agg(F.sum(F.octet_length(F.col(text_col).cast("string")) + 16)).first()[0] or 0
+    block_bytes = block_bytes or max(LEAST_BLOCK, int((size * ROW_BYTES) ** 0.5))
     return int(max(2 * shuffle_partitions(df.sparkSession), -(-size // block_bytes)))
 
 
+def broadcast_if_few(rows: DataFrame, most: int = 100_000) -> DataFrame:
+    """The rows, written, and marked for broadcast if their count is at most ``most``; else they are joined like any others."""
+    rows = checkpoint(rows)
+    return F.broadcast(rows) if rows.count() <= most else rows
+
+
 def only(df: DataFrame, **columns: str) -> DataFrame:
     """Just the named columns under new names; other columns, whatever they are called, are not carried."""
     return df.select(*[F.col(f"`{old}`").alias(new) for new, old in columns.items()])

@@ -14,7 +14,8 @@ hashes.
 parts - t segments agree.  Each set works in its own band and, if a set there
 can still be near enough, in the next one.  Empty segments say nothing: a set
 whose empty segments alone could be the agreeing ones uses them too, any other
-set leaves them out.
+set leaves them out.  Sets of up to ``SMALL`` shingles have too few segments for
+that: there each shingle is a segment of its own, and at least 80 % of them agree.
 
 *Rarity prefix.*  If a set has K segments in use and g = parts - t - (empty and
 unused ones) must agree, then any K - g + 1 of them contain an agreeing one; all
@@ -22,14 +23,21 @@ sets take the rarest by one global order (count, hash).  The counts come from a
 first round over blocks of documents, like those of the substring operator.
 Segments seen once anywhere find no partner, so most sets send nothing more.
 
-*Verification.*  Sets that share a segment form loose clusters (union-find in
-each hash range, then star contraction).  A cluster is compared inside tasks of
-bounded size, large ones as tiles of two chunks: dense parity sketches bound the
-distance from below, what they leave is intersected exactly, and each tile
-returns a spanning forest of its links only.  Components of those forests are
-the components of all links.
+*Distance.*  A segment is sent with the set's size and a 256-bit parity sketch.
+Two sets that share a segment are candidates only if those allow 0.8; within
+very large groups of one segment small sets are split by the pieces of the
+sketch (one of them must agree), larger ones all stay candidates.
 
-Shingles are identified by 64-bit hashes, classes by two of them and the size.
+*Verification.*  Candidates form loose clusters (union-find in each hash range,
+then star contraction).  A cluster is compared inside tasks of bounded size.  A
+large one is first compared, chunk by chunk, with one chunk of it; only what that
+leaves outside its greatest component meets all others, in tiles of two chunks.
+Dense parity sketches bound the distance from below, what they leave is
+intersected exactly, and each task returns a spanning forest of its links only.
+Components of those forests are the components of all links.
+
+Shingles are identified by 64-bit hashes of which 61 bits are independent,
+classes by two of them and the size.
 
 Defined cases: a null, empty or blank text has an empty set and links with
 nothing; a text of fewer words than a shingle is one shingle; repeated rows are
@@ -39,23 +47,28 @@ component (null); no rows give no rows; other columns are not read.
 
 from __future__ import annotations
 
+import itertools
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window as W, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from caseloom.llm import kernels as K
-from caseloom.llm.frames import blocks_for, checkpoint, numbered, only, shuffle_partitions
+from caseloom.llm.frames import blocks_for, broadcast_if_few, checkpoint, numbered, only, shuffle_partitions
 from caseloom.operators.graph import connected_components
 
 SHINGLE, NUMERATOR, DENOMINATOR = 5, 80, 100
 #: Size bands grow by this factor; a band of sizes up to r has about r / SEGMENT segments.
 GROWTH, SEGMENT = 1.25, 3.5
-BLOCK_BYTES = 4 << 20
-#: Members of one comparison chunk; a task compares two chunks at most.
-CHUNK = 1500
-SKETCH_WORDS = 32
+#: Sets of up to so many shingles have their shingles for segments (band SHINGLES).
+SMALL, SHINGLES = 128, -1
+#: Members and bytes of one comparison chunk; a task compares two chunks at most.
+CHUNK, CHUNK_BYTES = 1500, 8 << 20
+#: 64-bit words of the sketch that decides links and of the one that travels.
+SKETCH_WORDS, SENT_WORDS = 32, 4
+#: Sets with one segment in common are compared pair by pair up to this number.
+CROWD = 4096
 
 _U = np.uint64
 
@@ -124,6 +137,8 @@ def _keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def segments(shingles: np.ndarray, band: int) -> tuple[np.ndarray, int]:
     """(signatures of the segments in use, how many of them must agree with a linked set's)."""
+    if band == SHINGLES:
+        return K.mix(shingles ^ _U(0x8EBC6AF09C88C6E3)), -(-NUMERATOR * len(shingles) // DENOMINATOR)
     parts, apart = sketch_shape(band)
     place = ((shingles >> _U(32)) * _U(parts)) >> _U(32)
     order = np.argsort(place, kind="stable")
@@ -144,9 +159,12 @@ def segments(shingles: np.ndarray, band: int) -> tuple[np.ndarray, int]:
 
 
 def works_in(n: int) -> list[int]:
-    """Bands of a set of n shingles: its own, and the next if a linked set can be there."""
+    """Bands of a set of n shingles: its own, and others where a linked set can be."""
+    if n <= SMALL:
+        return [SHINGLES]
     own = int(np.searchsorted(TOPS, n))
-    return [own, own + 1] if DENOMINATOR * n >= NUMERATOR * (int(TOPS[own]) + 1) else [own]
+    bands = [own, own + 1] if DENOMINATOR * n >= NUMERATOR * (int(TOPS[own]) + 1) else [own]
+    return [SHINGLES, *bands] if DENOMINATOR * SMALL >= NUMERATOR * n else bands
 
 
 def _signatures(table: pa.Table, chosen: set[int]):
@@ -216,7 +234,8 @@ def _proposer(buckets: int):
             raise ValueError("a block's counts do not fit its signatures")
         block, rows, keys, nodes = key[0].as_py(), [], [], []
         texts = docs.column("text")
-        for row, doc, _, bands in found:
+        sketch, size = np.zeros((len(found), SENT_WORDS), np.uint64), np.zeros(len(found), np.int32)
+        for i, (row, doc, own, bands) in enumerate(found):
             sends = False
             for s, must in bands:
                 rank = ranks[np.searchsorted(distinct, s)]
@@ -224,16 +243,18 @@ def _proposer(buckets: int):
                 mine = s[prefix][rank[prefix] > 0]
                 if len(mine):
                     keys.append(mine)
-                    nodes.append(np.full(len(mine), doc, np.int64))
+                    nodes.append(np.full(len(mine), i))
                     sends = True
             if sends:
+                sketch[i], size[i] = _parity(own, SENT_WORDS), len(own)
                 rows.append((block, -1, int(doc).to_bytes(8, "big", signed=True), (texts[row].as_py() or "").encode()))
         if keys:
             flat, owners = np.concatenate(keys), np.concatenate(nodes)
             order = np.argsort(flat, kind="stable")
             flat, owners = flat[order], owners[order]
             bounds = K.bucket_bounds(flat, buckets).tolist()
-            rows += [(block, b, K.pack_sorted(flat[x:y]), owners[x:y].tobytes()) for b, (x, y) in enumerate(zip(bounds[:-1], bounds[1:], strict=True)) if y > x]
+            ids = np.array([doc for _, doc, *_ in found], np.int64)
+            rows += [(block, b, K.pack_sorted(flat[x:y]), b"".join(part[owners[x:y]].tobytes() for part in (ids, size, sketch))) for b, (x, y) in enumerate(zip(bounds[:-1], bounds[1:], strict=True)) if y > x]
         return _rows(rows)
 
     return propose
@@ -257,17 +278,84 @@ def _roots(u: np.ndarray, v: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
             root = jump
 
 
+def _parity(shingles: np.ndarray, words: int) -> np.ndarray:
+    """Parity sketch of a set: each shingle toggles one of ``words`` * 64 bits."""
+    odd = np.bincount((K.mix(shingles) % _U(words * 64)).astype(np.int64), minlength=words * 64) & 1
+    return np.packbits(odd.astype(np.uint8)).view(np.uint64)
+
+
+def _allowed(u: np.ndarray, v: np.ndarray, size: np.ndarray, sketch: np.ndarray) -> np.ndarray:
+    """Whether sizes and sketches of the pairs allow a link."""
+    apart = most_apart(size[u] + size[v])
+    return (np.abs(size[u] - size[v]) <= apart) & (np.bitwise_count(sketch[u] ^ sketch[v]).sum(1) <= apart)
+
+
+def _star(members: np.ndarray, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Edges from each member to the first one with the same key."""
+    order = np.lexsort((members, keys))
+    members, keys = members[order], keys[order]
+    first = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]]))
+    return members, np.repeat(members[first], np.diff(np.append(first, len(keys))))
+
+
+def candidates(sigs: np.ndarray, size: np.ndarray, sketch: np.ndarray):
+    """Edges (u, v) between rows that join every two rows of one signature which sizes and sketches allow to be linked."""
+    order = np.argsort(sigs, kind="stable")
+    first = np.flatnonzero(np.diff(sigs[order], prepend=~sigs[order[:1]]))
+    count = np.diff(np.append(first, len(sigs)))
+    few = np.flatnonzero((count > 1) & (count <= 32))
+    for step in range(1, 32):  # pairs of members that are ``step`` places apart
+        some = few[count[few] > step]
+        if not len(some):
+            break
+        times = count[some] - step
+        at = np.repeat(first[some], times) + np.arange(times.sum()) - np.repeat(np.cumsum(times) - times, times)
+        u, v = order[at], order[at + step]
+        good = _allowed(u, v, size, sketch)
+        yield u[good], v[good]
+    for g in np.flatnonzero(count > 32).tolist():
+        members = order[first[g] : first[g] + count[g]]
+        if len(members) <= CROWD:
+            for at in range(0, len(members), 128):
+                u, v = (x.ravel() for x in np.meshgrid(members[at : at + 128], members[at:], indexing="ij"))
+                good = _allowed(u, v, size, sketch)
+                who, root = _roots(u[good], v[good])
+                yield who, root
+        else:
+            pieces = sketch.view(np.uint32).reshape(len(sketch), -1)
+            small = most_apart(2 * size[members] + size[members] // 4 + 1) < pieces.shape[1]  # one of the pieces agrees with a linked set's
+            for j in range(pieces.shape[1]):
+                yield _star(members[small], pieces[members[small], j])
+            yield _star(members[~small], np.zeros((~small).sum()))
+            yield from _edges_between(members[small], members[~small], size)
+
+
+def _edges_between(small: np.ndarray, large: np.ndarray, size: np.ndarray):
+    """Sets of the one kind that can be linked with one of the other kind join it."""
+    if len(large):
+        near = small[size[small] >= NUMERATOR * size[large].min() // DENOMINATOR]
+        yield near, np.full(len(near), large.min())
+
+
 def _looser(spread: int):
     def loosen(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
-        """Of one range: a forest that joins the documents of each signature, packed by a range of nodes."""
-        sigs = np.concatenate([K.unpack_sorted(b) for b in table.column("data").to_pylist()])
-        nodes = np.concatenate([np.frombuffer(b, np.int64) for b in table.column("extra").to_pylist()])
-        order = np.lexsort((nodes, sigs))
-        sigs, nodes = sigs[order], nodes[order]
-        first = np.flatnonzero(np.diff(sigs, prepend=~sigs[:1]))
-        head = np.repeat(nodes[first], np.diff(np.append(first, len(sigs))))
-        real = head != nodes
-        who, root = _roots(nodes[real], head[real])
+        """Of one range: a forest that joins the documents of each signature that may be linked, packed by a range of nodes."""
+        sigs, ids, size, sketch = [], [], [], []
+        for data, extra in zip(table.column("data").to_pylist(), table.column("extra").to_pylist(), strict=True):
+            sigs.append(K.unpack_sorted(data))
+            n = len(sigs[-1])
+            ids.append(np.frombuffer(extra, np.int64, n))
+            size.append(np.frombuffer(extra, np.int32, n, 8 * n).astype(np.int64))
+            sketch.append(np.frombuffer(extra, np.uint64, n * SENT_WORDS, 12 * n).reshape(n, SENT_WORDS))
+        nodes = np.concatenate(ids)
+        who, root = np.zeros(0, np.int64), np.zeros(0, np.int64)
+        wait: list[tuple[np.ndarray, np.ndarray]] = []
+        for edge in itertools.chain(candidates(np.concatenate(sigs), np.concatenate(size), np.concatenate(sketch)), [None]):
+            if edge is not None:
+                wait.append((nodes[edge[0]], nodes[edge[1]]))
+            if wait and (edge is None or sum(len(w[0]) for w in wait) > 1 << 20):
+                who, root = _roots(np.concatenate([who, *(w[0] for w in wait)]), np.concatenate([root, *(w[1] for w in wait)]))
+                wait = []
         keep = who != root
         who, root = who[keep], root[keep]
         place = (K.mix(who.view(np.uint64)) % _U(spread)).astype(np.int64)
@@ -292,33 +380,16 @@ def _forest(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
     return pa.table([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], schema=_EDGES)
 
 
-def _dense(sets: list[np.ndarray]) -> np.ndarray:
-    """Parity sketches of SKETCH_WORDS * 64 bits, one row a set."""
-    bits = SKETCH_WORDS * 64
-    out = np.zeros((len(sets), SKETCH_WORDS), np.uint64)
-    for i, s in enumerate(sets):
-        odd = np.bincount((K.mix(s) % _U(bits)).astype(np.int64), minlength=bits) & 1
-        out[i] = np.packbits(odd.astype(np.uint8)).view(np.uint64)
-    return out
-
-
 def tile_links(ids: np.ndarray, sets: list[np.ndarray], side: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """A spanning forest of the links within a tile (only those across, where both sides are there)."""
     n = len(ids)
     size = np.array([len(s) for s in sets])
-    sketch = _dense(sets)
-    root = np.arange(n)
+    sketch = np.array([_parity(s, SKETCH_WORDS) for s in sets])
+    label = np.arange(n)
     u, v = [], []
-
-    def find(x: int) -> int:
-        while root[x] != x:
-            root[x] = root[root[x]]
-            x = root[x]
-        return x
-
     cross = side.min() != side.max()
     for i in range(n):
-        others = np.arange(i + 1, n)
+        others = np.flatnonzero(label[i + 1 :] != label[i]) + i + 1  # what already hangs together needs no look
         if cross:
             others = others[side[others] != side[i]]
         near = most_apart(size[i] + size[others])
@@ -328,12 +399,11 @@ def tile_links(ids: np.ndarray, sets: list[np.ndarray], side: np.ndarray) -> tup
         far = np.bitwise_count(sketch[others] ^ sketch[i]).sum(1)
         others = others[far <= most_apart(size[i] + size[others])]
         for j in others.tolist():
-            a, b = find(i), find(j)
-            if a == b:
+            if label[i] == label[j]:
                 continue
             both = len(np.intersect1d(sets[i], sets[j], assume_unique=True))
             if linked(both, size[i] + size[j] - both):
-                root[max(a, b)] = min(a, b)
+                label[label == label[j]] = label[i]
                 u.append(max(ids[i], ids[j]))
                 v.append(min(ids[i], ids[j]))
     return np.array(u, np.int64), np.array(v, np.int64)
@@ -354,7 +424,45 @@ def _verify(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
     return pa.table([pa.array(np.concatenate(u)), pa.array(np.concatenate(v))], schema=_EDGES)
 
 
-def near_duplicates(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id", block_bytes: int = BLOCK_BYTES) -> DataFrame:
+def _compared(placed: DataFrame, tiles: Column, texts: DataFrame) -> DataFrame:
+    """Links found in the tiles (task, i, j, side) that each node goes to."""
+    tiled = placed.select(F.col("node").alias("doc_id"), F.col("component").alias("cluster"), F.explode(tiles).alias("t")).select("doc_id", "cluster", "t.*")
+    return tiled.join(texts, "doc_id").groupBy("task", "i", "j").applyInArrow(_verify, "src long, dst long")
+
+
+def _tile(task: Column, i: Column, j: Column, side: Column | int) -> Column:
+    return F.struct(task.cast("long").alias("task"), i.cast("int").alias("i"), j.cast("int").alias("j"), (F.lit(side) if isinstance(side, int) else side).alias("side"))
+
+
+def _links(clusters: DataFrame, texts: DataFrame, tasks: int) -> DataFrame:
+    """Edges whose components are those of all links within the loose clusters (node, component)."""
+    sized = checkpoint(clusters.join(texts.select(F.col("doc_id").alias("node"), F.octet_length("text").alias("bytes")), "node"))
+    chunks = lambda n, size: F.ceil(F.greatest(n / CHUNK, size / CHUNK_BYTES)).cast("int")
+    large = sized.groupBy("component").agg(chunks(F.count(F.lit(1)), F.sum("bytes")).alias("chunks")).filter("chunks > 1")
+    placed = sized.join(broadcast_if_few(large), "component", "left").withColumn("chunks", F.coalesce("chunks", F.lit(1))).withColumn("chunk", F.pmod(F.xxhash64("node"), F.col("chunks")).cast("int"))
+    each = lambda n, f: F.transform(F.sequence(F.lit(0), n - 1), f)
+    # Small clusters share tasks; all chunks of a large one meet its first chunk.
+    alone = F.array(_tile(F.pmod(F.xxhash64("component"), F.lit(tasks)), F.lit(0), F.lit(0), 0))
+    pivots = each(F.col("chunks"), lambda c: _tile(F.col("component"), F.lit(1), c + 1, 0))
+    others = F.array(_tile(F.col("component"), F.lit(1), F.col("chunk") + 1, 1))
+    found = checkpoint(_compared(placed, F.when(F.col("chunks") == 1, alone).when(F.col("chunk") == 0, pivots).otherwise(others), texts))
+    crowds = placed.filter("chunks > 1")
+    if crowds.isEmpty():
+        return found
+    # What is not in the greatest component of its cluster yet is compared with all the rest.
+    known = connected_components(found).select("node", F.col("component").alias("label"))
+    crowds = checkpoint(crowds.join(known, "node", "left").withColumn("label", F.coalesce("label", "node")))
+    main = crowds.groupBy("component", "label").agg(F.count(F.lit(1)).alias("n")).groupBy("component").agg(F.max(F.struct("n", "label"))["label"].alias("main"))
+    rest = checkpoint(crowds.join(broadcast_if_few(main), "component").withColumn("out", F.col("label") != F.col("main")))
+    open_ = rest.filter("out").groupBy("component").agg(chunks(F.count(F.lit(1)), F.sum("bytes")).alias("parts"))
+    rest = rest.join(broadcast_if_few(open_), "component").withColumn("part", F.pmod(F.xxhash64("node"), F.col("parts")).cast("int"))
+    inner = each(F.col("chunks"), lambda c: _tile(F.col("component"), F.col("part") + 1, -1 - c, 0))
+    outer = each(F.col("parts"), lambda o: _tile(F.col("component"), F.least(o, F.col("part")) + 1, F.greatest(o, F.col("part")) + 1, F.when(o < F.col("part"), 1).otherwise(0)))
+    mine = each(F.col("parts"), lambda o: _tile(F.col("component"), o + 1, -1 - F.col("chunk"), 1))
+    return found.unionByName(_compared(rest, F.when(F.col("out"), F.concat(inner, outer)).otherwise(mine), texts))
+
+
+def near_duplicates(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id", block_bytes: int | None = None) -> DataFrame:
     """doc_id, n_shingles, component_id of every row."""
     base = only(docs, doc_id=id_col, text=text_col).select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
     n = blocks_for(base, block_bytes)
@@ -369,16 +477,7 @@ def near_duplicates(docs: DataFrame, text_col: str = "text", id_col: str = "doc_
     texts = proposed.filter("bucket = -1").select(F.expr("cast(conv(hex(data), 16, -10) as long)").alias("doc_id"), F.col("extra").cast("string").alias("text"))
     spread = max(4, shuffle_partitions(docs.sparkSession) // 4)
     loose = proposed.filter("bucket >= 0").groupBy("bucket").applyInArrow(_looser(spread), ROWS).groupBy("bucket").applyInArrow(_forest, "src long, dst long")
-    clusters = checkpoint(connected_components(loose))
-    sizes = clusters.groupBy("component").agg(F.count(F.lit(1)).alias("members"))
-    placed = clusters.join(sizes, "component").withColumn("chunks", F.ceil(F.col("members") / CHUNK).cast("int"))
-    chunk = F.pmod(F.xxhash64("node"), F.col("chunks")).cast("int")
-    # Small clusters share tasks; chunk c of a large one goes to the tiles (c, c) and (c, other).
-    tiles = F.when(F.col("chunks") == 1, F.array(F.struct(F.pmod(F.xxhash64("component"), F.lit(32 * spread)).cast("long").alias("task"), F.lit(0).alias("i"), F.lit(0).alias("j"), F.lit(0).alias("side"))))
-    others = F.transform(F.sequence(F.lit(0), F.col("chunks") - 1), lambda o: F.struct(F.col("component").alias("task"), (F.least(o, chunk) + 1).cast("int").alias("i"), (F.greatest(o, chunk) + 1).cast("int").alias("j"), F.when(o < chunk, 1).otherwise(0).alias("side")))
-    tiled = placed.select(F.col("node").alias("doc_id"), F.col("component").alias("cluster"), F.explode(F.coalesce(tiles, others)).alias("t")).select("doc_id", "cluster", "t.*")
-    work = tiled.join(texts, "doc_id").groupBy("task", "i", "j").applyInArrow(_verify, "src long, dst long")
-    links = connected_components(work)
+    links = connected_components(_links(connected_components(loose), texts, 32 * spread))
     named = classes.join(links, classes["rep"] == links["node"], "left").select(F.col("n").alias("cn"), F.col("a").alias("ca"), F.col("b").alias("cb"), F.coalesce("component", "rep").alias("component"))
     met = keys.join(named, (F.col("n") == F.col("cn")) & (F.col("a") == F.col("ca")) & (F.col("b") == F.col("cb")), "left")
     return met.select("doc_id", F.col("n").alias("n_shingles"), F.when((F.col("n") > 0) & F.col("doc_id").isNotNull(), F.coalesce("component", "doc_id")).otherwise(F.col("doc_id")).alias("component_id"))

@@ -8,6 +8,8 @@ so that the temporary arrays stay small however long a document is.
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
 import hashlib
 
 import numpy as np
@@ -15,8 +17,8 @@ import pyarrow as pa
 import pyarrow.compute  # noqa: F401
 
 PIECE = 1 << 20
-#: A single word above this length is hashed by BLAKE2 and not by powers.
-LONG_WORD = 1 << 16
+#: Words above this many bytes are hashed by BLAKE2, shorter ones eight bytes at a time.
+LONG_WORD = 64
 
 _U = np.uint64
 IS_SPACE = np.zeros(256, dtype=bool)
@@ -24,11 +26,14 @@ IS_SPACE[[0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D]] = True
 LOWER_ASCII = np.arange(256, dtype=np.uint8)
 LOWER_ASCII[65:91] += 32
 
-_BASE = _U(0x9E3779B97F4A7C15)
-_BASE_INVERSE = _U(pow(0x9E3779B97F4A7C15, -1, 1 << 64))
-_WINDOW_BASE = _U(0xD6E8FEB86659FD93)
-_BYTE_VALUE = np.random.default_rng(20240229).integers(1, 1 << 63, 256, dtype=np.uint64)
-_powers: dict[str, np.ndarray] = {}
+#: Window hashes are polynomials over the prime field of this size: no power of two divides their differences.
+PRIME = (1 << 61) - 1
+_WINDOW_BASE = 0x16E8FEB86659FD93
+_LANE = _U(0x9E3779B97F4A7C15)
+#: Masks that keep the first 0 to 8 bytes of a little-endian lane.
+_KEEP = np.array([(1 << 8 * n) - 1 for n in range(9)], dtype=np.uint64)
+#: Values hashed at a time, so that temporary arrays stay in the processor's cache.
+_STRIP = 1 << 14
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -41,15 +46,6 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x
 
 
-def _power_table(name: str, base: np.uint64, n: int) -> np.ndarray:
-    table = _powers.get(name)
-    if table is None or len(table) < n:
-        steps = np.full(max(n, PIECE + 1), base, dtype=np.uint64)
-        steps[0] = 1
-        table = _powers[name] = np.multiply.accumulate(steps)
-    return table
-
-
 def text_buffers(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """(bytes, offsets) of a string column; nulls are empty texts."""
     if isinstance(column, pa.ChunkedArray):
@@ -108,41 +104,84 @@ def word_spans(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.nd
     return start, end, counts
 
 
-def word_hashes(data: np.ndarray, start: np.ndarray, end: np.ndarray, lower: bool = False) -> np.ndarray:
-    """64-bit hash of every word's bytes, optionally with A-Z lower-cased."""
-    out = np.empty(len(start), np.uint64)
+def _word_pieces(data: np.ndarray, start: np.ndarray, end: np.ndarray, lower: bool):
+    """Words in pieces: (slice of words, bytes with eight zeros after them, starts and ends therein)."""
     done = 0
     while done < len(start):
         base = start[done]
         upto = max(done + 1, int(np.searchsorted(end, base + PIECE, "right")))
         s, e = start[done:upto] - base, end[done:upto] - base
-        if upto == done + 1 and e[0] > LONG_WORD:
-            raw = data[base : base + e[0]]
-            raw = LOWER_ASCII[raw] if lower else raw
-            out[done] = _U(int.from_bytes(hashlib.blake2b(raw.tobytes(), digest_size=8).digest(), "little"))
-        else:
-            raw = data[base : base + e[-1]]
-            raw = LOWER_ASCII[raw] if lower else raw
-            sums = np.empty(len(raw) + 1, np.uint64)
-            sums[0] = 0
-            np.cumsum(_BYTE_VALUE[raw] * _power_table("byte", _BASE, len(raw) + 1)[: len(raw)], out=sums[1:])
-            inverse = _power_table("inverse", _BASE_INVERSE, len(raw) + 1)
-            out[done:upto] = mix((sums[e] - sums[s]) * inverse[s])
-            for i in np.flatnonzero(e - s > LONG_WORD):  # the same rule wherever the word stands
-                word = raw[s[i] : e[i]].tobytes()
-                out[done + i] = _U(int.from_bytes(hashlib.blake2b(word, digest_size=8).digest(), "little"))
+        raw = np.zeros(int(e[-1]) + 8, np.uint8)
+        raw[:-8] = LOWER_ASCII[data[base : base + e[-1]]] if lower else data[base : base + e[-1]]
+        yield slice(done, upto), raw, s, e
         done = upto
+
+
+def _lanes(raw: np.ndarray) -> np.ndarray:
+    """The eight bytes from each place on, as one number (a view, not a copy)."""
+    return np.ndarray((len(raw) - 7,), "<u8", raw, strides=(1,))
+
+
+def word_hashes(data: np.ndarray, start: np.ndarray, end: np.ndarray, lower: bool = False) -> np.ndarray:
+    """64-bit hash of every word's bytes, optionally with A-Z lower-cased.
+
+    Lanes of eight bytes go through a bijective mixer in turn, so words of one
+    length up to eight bytes never share a hash, and there is no arithmetic
+    structure that longer words could exploit.
+    """
+    out = np.empty(len(start), np.uint64)
+    for words, raw, s, e in _word_pieces(data, start, end, lower):
+        lanes, n = _lanes(raw), e - s
+        h = mix((lanes[s] & _KEEP[np.minimum(n, 8)]) ^ (n.astype(np.uint64) * _LANE))
+        at, k = np.flatnonzero(n > 8), 8
+        while len(at) and k < LONG_WORD:
+            h[at] = mix(h[at] ^ ((lanes[s[at] + k] & _KEEP[np.minimum(n[at] - k, 8)]) * _LANE))
+            k += 8
+            at = at[n[at] > k]
+        for i in at.tolist():
+            h[i] = _U(int.from_bytes(hashlib.blake2b(raw[s[i] : e[i]].tobytes(), digest_size=8).digest(), "little"))
+        out[words] = h
     return out
 
 
+def word_names(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The first and second eight bytes of every word and its length: words of up to 16 bytes are equal if and only if these are."""
+    low, high = np.empty(len(start), np.uint64), np.empty(len(start), np.uint64)
+    for words, raw, s, e in _word_pieces(data, start, end, False):
+        lanes, n = _lanes(raw), e - s
+        low[words] = lanes[s] & _KEEP[np.minimum(n, 8)]
+        high[words] = lanes[np.minimum(s + 8, len(lanes) - 1)] & _KEEP[np.clip(n - 8, 0, 8)]
+    return low, high, end - start
+
+
+def _times(x: np.ndarray, c: int) -> np.ndarray:
+    """x * c modulo PRIME, for x and c below it, in halves of 31 and 30 bits that never overflow 64."""
+    c1, c0 = _U(c >> 31), _U(c & 0x7FFFFFFF)
+    x1, x0 = x >> _U(31), x & _U(0x7FFFFFFF)
+    middle = x0 * c1 + x1 * c0
+    return _reduced(x1 * (c1 + c1) + (middle >> _U(30)) + ((middle & _U(0x3FFFFFFF)) << _U(31)) + x0 * c0)
+
+
+def _reduced(x: np.ndarray) -> np.ndarray:
+    x = (x & _U(PRIME)) + (x >> _U(61))
+    return np.minimum(x, x - _U(PRIME))  # below PRIME the subtraction wraps to something greater
+
+
 def rolling(values: np.ndarray, width: int) -> np.ndarray:
-    """Rabin-Karp hash of every window of ``width`` values: sum of v[i+j] * B**(width-1-j).
+    """Rabin-Karp hash of every window of ``width`` values: the mixed sum of v[i+j] * B**(width-1-j) modulo PRIME.
 
     Windows of doubled length are joined from two halves, so the work is
-    logarithmic in the width and needs no table of powers.
+    logarithmic in the width.
     """
     if len(values) < width:
         return np.zeros(0, np.uint64)
+    out = np.empty(len(values) - width + 1, np.uint64)
+    for at in range(0, len(out), _STRIP):
+        out[at : at + _STRIP] = _rolling(_reduced(values[at : at + _STRIP + width - 1]), width)
+    return out
+
+
+def _rolling(values: np.ndarray, width: int) -> np.ndarray:
     total, have, joined = None, 0, 0
     part, length, factor = values, 1, _WINDOW_BASE
     while True:
@@ -151,21 +190,17 @@ def rolling(values: np.ndarray, width: int) -> np.ndarray:
                 total, have = part, length
             else:  # the part stands before what there is
                 n = len(values) - (length + have) + 1
-                total = part[:n] * _pow(_WINDOW_BASE, have) + total[length : length + n]
+                total = _reduced(_times(part[:n], pow(_WINDOW_BASE, have, PRIME)) + total[length : length + n])
                 have += length
         joined += width & length
         if joined == width:
             return mix(total[: len(values) - width + 1])
         n = len(part) - length
-        part = part[:n] * factor + part[length : length + n]
-        factor = _pow(factor, 2)
+        part = _reduced(_times(part[:n], factor) + part[length : length + n])
+        factor = factor * factor % PRIME
         length *= 2
 
 
-def _pow(base: np.uint64, n: int) -> np.uint64:
-    return _U(pow(int(base), n, 1 << 64))
-
-
 def window_starts(counts: np.ndarray, width: int) -> np.ndarray:
     """Indices of the words that start a window lying within one document."""
     first = np.cumsum(counts) - counts
@@ -210,3 +245,10 @@ def parts(batches, column: int, size: int = 2 << 20):
         first = np.flatnonzero(np.diff(group, prepend=-1))
         for a, b in zip(first.tolist(), [*first[1:].tolist(), batch.num_rows], strict=True):
             yield batch.slice(a, b - a)
+
+
+def give_back() -> None:
+    """Return freed memory to the system: a worker that waits for its next task keeps what its allocators hold."""
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):  # not every C library can
+        ctypes.CDLL(None).malloc_trim(0)

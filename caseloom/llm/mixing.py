@@ -6,14 +6,18 @@ sampling: each document has the key ``-ln(u) / quality``, u a hash of its id,
 and documents are taken in ascending order of the key until the words reach the
 rest.  The document that crosses the border is taken if that comes closer.
 
-No sort of a whole source happens.  Keys are mapped monotonically to
-``SLICES`` slices, words are summed for each slice (on the map side first), and
-only the one slice of a source where the border falls is put in order.
-
-Defined cases: a null text has size 0; documents of size 0 take 0 words and a
-null source is a source of its own, the last one; rows that repeat an id are
-drawn by further hashed columns and stay apart; no rows give no rows; other
-columns are not read.
+No sort of a whole source happens.  Keys are mapped monotonically to slices of
+the logarithm of the key, ``SLICES`` for a doubling, so that no slice holds more
+than about 0.37 * ln(2) / SLICES of the documents of one quality, however low it
+is.  Words are summed for each slice (on the map side first), and only the one
+slice of a source where the border falls is put in order.  The plan of a source
+then is a number of epochs and the greatest key taken: each row is decided by
+its own key, and no row is looked up by its id.
+
+Defined cases: a null text has size 0; documents of size 0 take 0 words; a null
+source is a source of its own, the last one; null ids take part, told apart by
+their texts; rows that repeat an id, source and text have one key and are drawn
+together; no rows give no rows; other columns are not read.
 """
 
 from __future__ import annotations
@@ -22,39 +26,56 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window as W, functions as F
+from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from caseloom.llm import kernels as K
-from caseloom.llm.frames import checkpoint, only
+from caseloom.llm.frames import broadcast_if_few, checkpoint, only
 
-SLICES = 4096
+SLICES = 1024
 WEIGHTS, SHARE, LIMIT = (5.0, 2.0, 1.0), 1.5, 2.0
 
 
-def _sized(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """doc_id, source, text -> doc_id, source, size, quality.
+def _measured(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """Size and quality of each text.
 
     Quality is the share of letters among the bytes that are not white space,
     times the share of distinct words (both at least a tenth).
     """
-    letter = np.zeros(256, bool)
-    letter[65:91] = letter[97:123] = letter[128:] = True
-    for batch in K.parts(batches, 2):
-        data, offsets = K.text_buffers(batch.column(2))
-        start, end, counts = K.word_spans(data, offsets)
-        h = K.word_hashes(data, start, end)
-        owner = np.repeat(np.arange(len(counts)), counts)
-        order = np.lexsort((h, owner))
-        new = np.ones(len(h), bool)
-        new[1:] = (h[order][1:] != h[order][:-1]) | (owner[order][1:] != owner[order][:-1])
-        distinct = np.bincount(owner[order][new], minlength=len(counts))
-        letters = np.zeros(len(counts), np.int64)
-        some = np.flatnonzero(np.diff(offsets))
-        if len(some):
-            letters[some] = np.add.reduceat(letter[data], offsets[:-1][some], dtype=np.int64)
-        size = np.bincount(owner, weights=(end - start).astype(float), minlength=len(counts))
-        quality = np.maximum(letters / np.maximum(size, 1), 0.1) * np.maximum(distinct / np.maximum(counts, 1), 0.1)
-        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(counts.astype(np.int64)), pa.array(quality)], names=["doc_id", "source", "size", "quality"])
+    data, offsets = K.text_buffers(texts)
+    start, end, counts = K.word_spans(data, offsets)
+    h = K.word_hashes(data, start, end)
+    owner = np.repeat(np.arange(len(counts)), counts)
+    order = np.lexsort((h, owner))
+    new = np.ones(len(h), bool)
+    new[1:] = (h[order][1:] != h[order][:-1]) | (owner[order][1:] != owner[order][:-1])
+    distinct = np.bincount(owner[order][new], minlength=len(counts))
+    letters = np.zeros(len(counts), np.int64)
+    some = np.flatnonzero(np.diff(offsets))
+    if len(some):
+        letters[some] = np.add.reduceat(_LETTER[data], offsets[:-1][some], dtype=np.int64)
+    size = np.bincount(owner, weights=(end - start).astype(float), minlength=len(counts))
+    quality = np.maximum(letters / np.maximum(size, 1), 0.1) * np.maximum(distinct / np.maximum(counts, 1), 0.1)
+    return counts.astype(np.int64), quality
+
+
+_LETTER = np.zeros(256, bool)
+_LETTER[65:91] = _LETTER[97:123] = _LETTER[128:] = True
+
+
+def _measurer(text: int, names: list[str]):
+    """Batches with their first columns under ``names`` and the size and quality of the text in column ``text`` as the last two."""
+
+    def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in K.parts(batches, text):
+            size, quality = _measured(batch.column(text))
+            yield pa.RecordBatch.from_arrays([*batch.columns[: len(names) - 2], pa.array(size), pa.array(quality)], names=names)
+
+    return measure
+
+
+def _key(seed: int, doc_id: Column, source: Column, text_hash: Column, quality: Column) -> Column:
+    unit = (F.shiftrightunsigned(F.xxhash64(F.lit(seed), doc_id, source, text_hash), 11) + 0.5) / F.lit(float(1 << 53))
+    return -F.log(unit) / quality
 
 
 def targets(sources: DataFrame, weights: tuple[float, ...] = WEIGHTS, share: float = SHARE, limit: float = LIMIT) -> DataFrame:
@@ -76,37 +97,63 @@ def targets(sources: DataFrame, weights: tuple[float, ...] = WEIGHTS, share: flo
     return s.select("source", "source_size", F.least(F.col("cap"), F.coalesce(F.col("level"), F.lit(float("inf"))) * F.col("weight")).alias("target"))
 
 
-def mix(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id", source_col: str = "source", seed: int = 17, weights: tuple[float, ...] = WEIGHTS, share: float = SHARE, limit: float = LIMIT) -> DataFrame:
-    """doc_id, source, size, source_size, target, taken (words, repeats counted), quality, key."""
-    base = only(docs, doc_id=id_col, source=source_col, text=text_col).select(F.col("doc_id").cast("long"), F.col("source").cast("string"), F.col("text").cast("string"))
-    sized = base.mapInArrow(_sized, "doc_id long, source string, size long, quality double")
-    unit = (F.shiftrightunsigned(F.xxhash64(F.lit(seed), "doc_id", "source", "size"), 11) + 0.5) / F.lit(float(1 << 53))
-    keyed = sized.withColumn("key", -F.log(unit) / F.col("quality")).withColumn("slice", F.floor((1 - F.exp(-F.col("key"))) * SLICES).cast("int"))
-    keyed = checkpoint(keyed)
-    slices = checkpoint(keyed.groupBy("source", "slice").agg(F.sum("size").alias("words")))
+def keyed(docs: DataFrame, text_col: str, id_col: str, source_col: str, seed: int) -> DataFrame:
+    """doc_id, source, size, quality, key of every row."""
+    base = only(docs, doc_id=id_col, source=source_col, text=text_col).select(F.col("doc_id").cast("long"), F.col("source").cast("string"), F.xxhash64(F.col("text").cast("string")).alias("h"), F.col("text").cast("string"))
+    sized = base.mapInArrow(_measurer(3, ["doc_id", "source", "h", "size", "quality"]), "doc_id long, source string, h long, size long, quality double")
+    return sized.select("doc_id", "source", "size", "quality", _key(seed, F.col("doc_id"), F.col("source"), F.col("h"), F.col("quality")).alias("key"))
+
+
+def plan(rows: DataFrame, weights: tuple[float, ...] = WEIGHTS, share: float = SHARE, limit: float = LIMIT) -> DataFrame:
+    """Of the keyed ``rows``, one row a source: source, source_size, target, epochs and cut, the greatest key of the last epoch's draw."""
+    sliced = rows.withColumn("slice", F.floor(F.log2("key") * SLICES).cast("int"))
+    slices = checkpoint(sliced.groupBy("source", "slice").agg(F.sum("size").alias("words")))
     aims = targets(slices.groupBy("source").agg(F.sum("words").alias("source_size")), weights, share, limit)
     aims = aims.withColumn("epochs", F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(0)).withColumn("rest", F.col("target") - F.col("epochs") * F.col("source_size"))
+    aims = checkpoint(aims)
     running = W.partitionBy("source").orderBy("slice").rowsBetween(W.unboundedPreceding, W.currentRow)
     upto = slices.withColumn("upto", F.sum("words").over(running)).withColumn("before", F.col("upto") - F.col("words"))
     same = F.col("source").eqNullSafe(F.col("s"))
-    edge = upto.join(aims.select(F.col("source").alias("s"), "rest"), same).filter("upto >= rest").groupBy("source").agg(F.min(F.struct("slice", "before")).alias("edge"))
-    plan = aims.join(edge.select(F.col("source").alias("s"), F.col("edge.slice").alias("edge"), F.col("edge.before").alias("before")), same, "left").drop("s")
-    plan = checkpoint(plan)
-    met = keyed.join(plan.withColumnRenamed("source", "s"), same, "left").drop("s")
-    order = W.partitionBy("source").orderBy("key", "doc_id", "size").rowsBetween(W.unboundedPreceding, W.currentRow)
-    border = met.filter("slice = edge").withColumn("upto", F.sum("size").over(order) + F.col("before"))
-    border = border.withColumn("more", (F.col("upto") <= F.col("rest")) | ((F.col("upto") - F.col("size") < F.col("rest")) & (F.col("upto") - F.col("rest") <= F.col("rest") - (F.col("upto") - F.col("size"))))).drop("upto")
-    others = met.filter("edge is null or slice != edge").withColumn("more", F.coalesce(F.col("slice") < F.col("edge"), F.lit(True)))
-    taken = F.col("size") * (F.col("epochs") + F.col("more").cast("int"))
-    return border.unionByName(others).select("doc_id", "source", "size", "source_size", "target", taken.cast("long").alias("taken"), "quality", "key")
-
-
-def mixed_documents(docs: DataFrame, **options) -> DataFrame:
+    rest = aims.select(F.col("source").alias("s"), "rest")
+    edge = upto.join(rest, same).filter("upto >= rest").groupBy("source").agg(F.min(F.struct("slice", "before", "rest")).alias("edge")).select(F.col("source").alias("s"), "edge.*")
+    border = sliced.join(broadcast_if_few(edge.withColumnRenamed("slice", "edge")), same & (F.col("slice") == F.col("edge")))
+    # Rows of one key are drawn together, so they are summed before they are put in order.
+    border = border.groupBy("source", "key", "before", "rest").agg(F.sum("size").alias("size"))
+    up = W.partitionBy("source").orderBy("key").rowsBetween(W.unboundedPreceding, W.currentRow)
+    over = F.col("upto") - F.col("rest")
+    border = border.withColumn("upto", F.sum("size").over(up) + F.col("before")).filter((over <= 0) | ((F.col("size") - over > 0) & (over <= F.col("size") - over)))
+    cut = border.groupBy("source").agg(F.max("key").alias("last")).select(F.col("source").alias("c"), "last")
+    met = aims.join(edge.select("s", "slice"), same, "left").drop("s").join(cut, F.col("source").eqNullSafe(F.col("c")), "left").drop("c")
+    # Without a border everything is drawn; a border slice that takes nothing ends at its lower edge.
+    before_slice = F.pow(F.lit(2.0), F.col("slice") / F.lit(float(SLICES))) * F.lit(1 - 1e-12)
+    last = F.when(F.col("slice").isNull(), F.lit(float("inf"))).otherwise(F.coalesce("last", before_slice))
+    return checkpoint(met.select("source", "source_size", "target", "epochs", F.when(F.col("rest") > 0, last).otherwise(F.lit(-1.0)).alias("cut")))
+
+
+def mix(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id", source_col: str = "source", seed: int = 17, weights: tuple[float, ...] = WEIGHTS, share: float = SHARE, limit: float = LIMIT) -> DataFrame:
+    """doc_id, source, size, source_size, target, taken (words, repeats counted), quality, key."""
+    rows = checkpoint(keyed(docs, text_col, id_col, source_col, seed))
+    of = broadcast_if_few(plan(rows, weights, share, limit).withColumnRenamed("source", "s"))
+    met = rows.join(of, F.col("source").eqNullSafe(F.col("s")), "left")
+    taken = F.col("size") * (F.col("epochs") + (F.col("key") <= F.col("cut")).cast("int"))
+    return met.select("doc_id", "source", "size", "source_size", "target", taken.cast("long").alias("taken"), "quality", "key")
+
+
+def mixed_documents(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id", source_col: str = "source", seed: int = 17, weights: tuple[float, ...] = WEIGHTS, share: float = SHARE, limit: float = LIMIT) -> DataFrame:
     """The rows of ``docs``, all columns, each as often as the mix takes it; rows not taken are gone.
 
-    Documents without words have nothing to take and stay once.
+    Documents without words have nothing to take and stay once.  Each row is
+    measured once more where it lies, so that texts are neither moved nor looked up.
     """
-    id_col = options.get("id_col", "doc_id")
-    drawn = mix(docs, **options).groupBy("doc_id").agg(F.max(F.when(F.col("size") == 0, 1).otherwise((F.col("taken") / F.col("size")).cast("int"))).alias("__times"))
-    met = docs.join(drawn.withColumnRenamed("doc_id", "__id"), F.col(f"`{id_col}`").cast("long").eqNullSafe(F.col("__id")))
-    return met.withColumn("__copy", F.explode(F.sequence(F.lit(1), F.col("__times")))).filter("__times > 0").select(*[F.col(f"`{c}`") for c in docs.columns])
+    rows = checkpoint(keyed(docs, text_col, id_col, source_col, seed))
+    of = broadcast_if_few(plan(rows, weights, share, limit).select(F.col("source").alias("__of"), "epochs", "cut"))
+    names = [f"__{i}" for i in range(len(docs.columns))]
+    doc, source, text = (F.col(names[docs.columns.index(c)]) for c in (id_col, source_col, text_col))
+    plain = docs.toDF(*names)
+    schema = ", ".join(f"{n} {t}" for n, t in plain.dtypes) + ", __size long, __quality double"
+    sized = plain.mapInArrow(_measurer(docs.columns.index(text_col), [*names, "__size", "__quality"]), schema)
+    key = _key(seed, doc.cast("long"), source.cast("string"), F.xxhash64(text.cast("string")), F.col("__quality"))
+    met = sized.withColumn("__key", key).join(of, source.cast("string").eqNullSafe(F.col("__of")), "left")
+    times = F.when(F.col("__size") == 0, 1).otherwise((F.col("epochs") + (F.col("__key") <= F.col("cut")).cast("int")).cast("int"))
+    copies = met.withColumn("__times", times).filter("__times > 0").withColumn("__copy", F.explode(F.sequence(F.lit(1), F.col("__times"))))
+    return copies.select(*names).toDF(*docs.columns)

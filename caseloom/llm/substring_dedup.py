@@ -11,8 +11,8 @@ maximal spans.  Counting goes in two rounds over blocks of documents:
    returns one bit a hash.  The block, which Spark still has in the same
    exchange, turns its bits into spans.
 
-Windows are identified by 64 bits; with n windows about n*n/2**65 pairs of
-different windows would be taken for equal.
+Windows are identified by a Rabin-Karp value modulo the prime 2**61 - 1; with n
+windows about n*n/2**62 pairs of different windows would be taken for equal.
 
 Defined cases: a null text is an empty one; texts shorter than a window keep
 every word; repeated rows repeat their windows; null ids take part; no rows
@@ -30,7 +30,6 @@ from caseloom.llm import kernels as K
 from caseloom.llm.frames import blocks_for, only
 
 WINDOW = 35
-BLOCK_BYTES = 4 << 20
 
 _SENT = pa.schema([("block", pa.int32()), ("bucket", pa.int32()), ("data", pa.binary()), ("flags", pa.binary())])
 
@@ -116,7 +115,7 @@ def _cleaner(window: int):
     return clean
 
 
-def remove_repeated_windows(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id", window: int = WINDOW, block_bytes: int = BLOCK_BYTES) -> DataFrame:
+def remove_repeated_windows(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id", window: int = WINDOW, block_bytes: int | None = None) -> DataFrame:
     """doc_id, n_words, n_removed, spans (of word indices, end exclusive) and kept_text of every row."""
     base = only(docs, doc_id=id_col, text=text_col).select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
     n = blocks_for(base, block_bytes)

@@ -36,8 +36,10 @@ from caseloom.llm.frames import checkpoint, only
 END_ID = 1
 #: Chunk borders: a window of ids, a mean length (a power of two) and hard limits.
 WINDOW, MEAN_IDS, LEAST_IDS, MOST_IDS = 16, 2048, 256, 16384
-#: Words kept in a worker's encoding cache; beyond it the cache starts anew.
-CACHE_WORDS = 1 << 21
+#: Words kept in a task's encoding cache; beyond it the cache starts anew.
+CACHE_WORDS = 1 << 19
+#: Words up to this many bytes are found by their own bytes in arrays, longer ones in a dictionary.
+ARRAY_WORD = 16
 
 
 class WordEncoder:
@@ -45,8 +47,9 @@ class WordEncoder:
 
     The vocabulary's normaliser and splitter never look across white space, so a
     text's ids are the ids of its white-space separated words in turn.  Words
-    are found by their 64-bit hash in an open-addressed table of arrays, a whole
-    batch at a time; the library sees only those that are not there yet.
+    are found in an open-addressed table of arrays that holds their very bytes
+    (``ARRAY_WORD`` of them; longer words are keys of a dictionary), a slice of
+    a batch at a time; the library sees only those that are not there yet.
     """
 
     def __init__(self, path: str):
@@ -54,26 +57,35 @@ class WordEncoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self._clear()
-
-    def _clear(self) -> None:
-        self.mask = np.uint64(4 * CACHE_WORDS // 2 - 1)
-        self.keys = np.zeros(int(self.mask) + 1, np.uint64)
-        self.first = np.zeros(len(self.keys), np.int32)
-        self.length = np.zeros(len(self.keys), np.int32)
-        self.pool, self.used, self.words = np.zeros(1 << 16, np.uint32), 0, 0
-
-    def _find(self, hashes: np.ndarray) -> np.ndarray:
-        """The slot of each hash: where it is, or the free one where it would be."""
-        slot = (hashes & self.mask).astype(np.int64)
-        left = np.arange(len(hashes))
+        self.clear()
+
+    def clear(self) -> None:
+        """Forget all words and give the tables back."""
+        self.low = self.high = np.zeros(0, np.uint64)
+        self.size, self.first, self.length = np.zeros(0, np.uint8), np.zeros(0, np.int32), np.zeros(0, np.int32)
+        self.pool, self.used, self.words = np.zeros(0, np.uint32), 0, 0
+        self.long: dict[bytes, tuple[int, int]] = {}
+
+    def _open(self) -> None:
+        slots = 2 * CACHE_WORDS
+        self.low, self.high = np.zeros(slots, np.uint64), np.zeros(slots, np.uint64)
+        self.size, self.first, self.length = np.zeros(slots, np.uint8), np.zeros(slots, np.int32), np.zeros(slots, np.int32)
+        self.pool = np.zeros(1 << 16, np.uint32)
+
+    def _find(self, low: np.ndarray, high: np.ndarray, n: np.ndarray) -> np.ndarray:
+        """The slot of each word: where it is, or the free one where it would be."""
+        mask = len(self.low) - 1
+        slot = (K.mix(low ^ K.mix(high + n.astype(np.uint64))) & np.uint64(mask)).astype(np.int64)
+        left = np.arange(len(low))
         while len(left):
-            there = self.keys[slot[left]]
-            left = left[(there != hashes[left]) & (there != 0)]
-            slot[left] = (slot[left] + 1) & int(self.mask)
+            at = slot[left]
+            there = self.size[at]
+            left = left[(there != 0) & ((there != n[left]) | (self.low[at] != low[left]) | (self.high[at] != high[left]))]
+            slot[left] = (slot[left] + 1) & mask
         return slot
 
-    def _add(self, hashes: np.ndarray, ids: list[list[int]]) -> None:
+    def _pooled(self, ids: list[list[int]]) -> tuple[np.ndarray, np.ndarray]:
+        """Where each list begins in the pool, and its length."""
         lengths = np.fromiter(map(len, ids), np.int64, len(ids))
         flat = np.fromiter((i for x in ids for i in x), np.uint32, int(lengths.sum()))
         if self.used + len(flat) > len(self.pool):
@@ -82,45 +94,80 @@ class WordEncoder:
         first = self.used + np.cumsum(lengths) - lengths
         self.used += len(flat)
         self.words += len(ids)
-        left = np.arange(len(hashes))
-        while len(left):  # several may want one free slot: the one that got it stays
-            slot = self._find(hashes[left])
-            self.keys[slot] = hashes[left]
-            got = self.keys[slot] == hashes[left]
-            self.first[slot[got]], self.length[slot[got]] = first[left[got]], lengths[left[got]]
-            left = left[~got]
+        return first, lengths
+
+    def _library(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        return self._pooled([e.ids for e in self.tokenizer.encode_batch_fast([w.decode("utf-8", "replace") for w in words], add_special_tokens=False)])
+
+    def _short(self, view: memoryview, start: np.ndarray, end: np.ndarray, low: np.ndarray, high: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        slot = self._find(low, high, n)
+        new = np.flatnonzero(self.size[slot] == 0)
+        if len(new):
+            order = new[np.lexsort((n[new], high[new], low[new]))]
+            other = np.ones(len(order), bool)
+            other[1:] = (low[order][1:] != low[order][:-1]) | (high[order][1:] != high[order][:-1]) | (n[order][1:] != n[order][:-1])
+            fresh = order[other]
+            if self.words + len(fresh) > CACHE_WORDS and self.words:
+                self.clear()
+                self._open()
+                return self._short(view, start, end, low, high, n)
+            for at in range(0, len(fresh), 20_000):
+                left = fresh[at : at + 20_000]
+                first, length = self._library([bytes(view[start[i] : end[i]]) for i in left.tolist()])
+                while len(left):  # several may want one free slot: the first gets it
+                    slot_of = self._find(low[left], high[left], n[left])
+                    slots, got = np.unique(slot_of, return_index=True)
+                    who = left[got]
+                    self.low[slots], self.high[slots], self.size[slots] = low[who], high[who], n[who]
+                    self.first[slots], self.length[slots] = first[got], length[got]
+                    rest = np.ones(len(left), bool)
+                    rest[got] = False
+                    left, first, length = left[rest], first[rest], length[rest]
+            slot = self._find(low, high, n)
+        return self.first[slot], self.length[slot]
+
+    def _slice(self, data: np.ndarray, start: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(ids of the words in turn, number of ids of each word)."""
+        if self.words > CACHE_WORDS:
+            self.clear()
+        if not len(self.low):
+            self._open()
+        view = memoryview(data)
+        low, high, n = K.word_names(data, start, end)
+        short = np.flatnonzero(n <= ARRAY_WORD)
+        first, length = np.zeros(len(n), np.int64), np.zeros(len(n), np.int64)
+        first[short], length[short] = self._short(view, start[short], end[short], low[short], high[short], n[short])
+        far = np.flatnonzero(n > ARRAY_WORD).tolist()  # at most as many again as the arrays may hold
+        if far:
+            words = [bytes(view[start[i] : end[i]]) for i in far]
+            fresh = [w for w in dict.fromkeys(words) if w not in self.long]
+            if fresh:
+                self.long.update(zip(fresh, zip(*(x.tolist() for x in self._library(fresh)), strict=True), strict=True))
+            first[far], length[far] = zip(*(self.long[w] for w in words), strict=True)
+        ends = np.cumsum(length)
+        total = int(ends[-1]) if len(ends) else 0
+        return self.pool[np.repeat(first - (ends - length), length) + np.arange(total)], length
 
     def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """(ids of all texts in turn, where each text's ids begin, with the end)."""
         data, offsets = K.text_buffers(texts)
         start, end, counts = K.word_spans(data, offsets)
-        hashes = np.maximum(K.word_hashes(data, start, end), np.uint64(1))
-        if self.words > CACHE_WORDS:
-            self._clear()
-        slot = self._find(hashes)
-        new = np.flatnonzero(self.keys[slot] != hashes)
-        if len(new):
-            fresh, where = np.unique(hashes[new], return_index=True)
-            view = memoryview(data)
-            for at in range(0, len(fresh), 20_000):
-                words = [bytes(view[start[i] : end[i]]).decode("utf-8", "replace") for i in new[where[at : at + 20_000]].tolist()]
-                self._add(fresh[at : at + 20_000], [e.ids for e in self.tokenizer.encode_batch_fast(words, add_special_tokens=False)])
-            slot = self._find(hashes)
-        lengths = self.length[slot].astype(np.int64)
-        ends = np.cumsum(lengths)
-        total = int(ends[-1]) if len(ends) else 0
-        ids = self.pool[np.repeat(self.first[slot] - (ends - lengths), lengths) + np.arange(total)]
-        return ids, np.concatenate([[0], ends])[np.concatenate([[0], np.cumsum(counts)])]
+        step = CACHE_WORDS // 2
+        done = [self._slice(data, start[at : at + step], end[at : at + step]) for at in range(0, len(start), step)]
+        if not done:
+            return np.zeros(0, np.uint32), np.zeros(len(counts) + 1, np.int64)
+        ends = np.cumsum(np.concatenate([d[1] for d in done]))
+        return np.concatenate([d[0] for d in done]), np.concatenate([[0], ends])[np.concatenate([[0], np.cumsum(counts)])]
 
 
-_ENCODERS: dict[str, WordEncoder] = {}
+_TOKENIZERS: dict[str, WordEncoder] = {}
 
 
 def encoder_for(path: str) -> WordEncoder:
-    """One encoder a worker process, so that later tasks find the words of earlier ones."""
-    if path not in _ENCODERS:
-        _ENCODERS[path] = WordEncoder(path)
-    return _ENCODERS[path]
+    """One vocabulary a worker process; its words are forgotten at the end of each task."""
+    if path not in _TOKENIZERS:
+        _TOKENIZERS[path] = WordEncoder(path)
+    return _TOKENIZERS[path]
 
 
 def cut_points(ids: np.ndarray) -> list[int]:
@@ -169,11 +216,14 @@ def _chunks(batches: Iterator[pa.RecordBatch], path: str, end_id: int) -> Iterat
                 size += len(raw or b"")
                 last = stop
             seq += 1
-            if size > 8 << 20:
+            if size > 2 << 20:
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), schema.types, strict=True)], schema=schema)
                 rows, size = [], 0
         if rows:
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), schema.types, strict=True)], schema=schema)
+    encoder.clear()
+    seen.clear()
+    K.give_back()
 
 
 def write_store(docs: DataFrame, folder: str, tokenizer_path: str, text_col: str = "text", id_col: str = "doc_id", end_id: int = END_ID) -> str:

@@ -50,14 +50,46 @@ def test_kernels():
     h = kernels.word_hashes(data, start, end)
     assert h[0] == h[3] and h[1] == h[2] and len(set(h.tolist())) == 4
     values = np.random.default_rng(1).integers(0, 1 << 63, 90, dtype=np.uint64)
-    base = int(kernels._WINDOW_BASE)
+    base, prime = kernels._WINDOW_BASE, kernels.PRIME
     for width in (1, 2, 5, 35, 64):
-        want = [sum(int(values[i + j]) * pow(base, width - 1 - j, 1 << 64) for j in range(width)) % (1 << 64) for i in range(91 - width)]
+        want = [sum(int(values[i + j]) * pow(base, width - 1 - j, prime) for j in range(width)) % prime for i in range(91 - width)]
         assert (kernels.mix(np.array(want, dtype=np.uint64)) == kernels.rolling(values, width)).all()
     keys = np.sort(values)
     assert (kernels.unpack_sorted(kernels.pack_sorted(keys)) == keys).all()
 
 
+def thue_morse(n, one="a", other="b"):
+    """Two sequences that every polynomial hash over a power of two takes for one from some length on."""
+    bits = [bin(i).count("1") % 2 for i in range(n)]
+    return [(one, other)[b] for b in bits], [(other, one)[b] for b in bits]
+
+
+@pytest.mark.parametrize("n", [32, 64, 512, 1024, 2048, 4096])
+def test_structured_words_and_windows_have_their_own_hashes(n):
+    a, b = map("".join, thue_morse(n))
+    data, offsets = kernels.text_buffers(pa.array([f"{a} {b}"]))
+    start, end, _ = kernels.word_spans(data, offsets)
+    one, other = kernels.word_hashes(data, start, end).tolist()
+    assert one != other
+    x, y = (kernels.rolling(np.array([{"a": 3, "b": 1 << 40}[c] for c in s], np.uint64), n)[0] for s in (a, b))
+    assert x != y
+
+
+def test_structured_words_in_the_operators(spark):
+    a, b = map("".join, thue_morse(2048))
+    rest = " ".join(f"r{i}" for i in range(8))
+    frame = docs(spark, [f"{a} {rest}", f"{b} {rest}", a, b])
+    assert [r.n_removed for r in substring_dedup.remove_repeated_windows(frame, window=9).collect()] == [0] * 4
+    assert table(jaccard_join.near_duplicates(docs(spark, [a, b])), "doc_id", "component_id") == {0: (0,), 1: (1,)}
+    from public_tokenizers import path
+    from tokenizers import Tokenizer
+
+    plain = Tokenizer.from_file(path("word_bpe_49k.json"))
+    texts = [a, b, "x" * 16, "x" * 17, "x" * 15 + "\0", "x" * 15]
+    ids, bounds = token_store.WordEncoder(path("word_bpe_49k.json")).encode(pa.array(texts))
+    assert [ids[i:j].tolist() for i, j in zip(bounds[:-1], bounds[1:])] == [plain.encode(t, add_special_tokens=False).ids for t in texts]
+
+
 @pytest.mark.parametrize("piece", [8, 1 << 20])
 def test_pieces_do_not_matter(monkeypatch, piece):
     texts = pa.array(["alpha beta", "gammadeltaepsilonzeta eta " * 4, None, "x"], pa.string())
