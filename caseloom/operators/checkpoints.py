@@ -7,8 +7,10 @@ import tempfile
 from pyspark.sql import DataFrame
 
 
-def checkpoint(df: DataFrame) -> DataFrame:
-    """Write ``df`` where every executor can read it and go on from the files.
+def checkpoint(df: DataFrame, parts: int | None = None) -> DataFrame:
+    """Write ``df`` where every executor can read it and go on from the files, ``parts`` at most.
+
+    A small table need not become a file for each shuffle partition.
 
     The folder is the one the session names in ``spark.checkpoint.dir``; only a
     session without that setting (local tests) gets a folder of its own.
@@ -19,4 +21,4 @@ def checkpoint(df: DataFrame) -> DataFrame:
         if not named and not context.master.startswith("local"):
             raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         context.setCheckpointDir(named or tempfile.mkdtemp(prefix="caseloom-checkpoint-"))
-    return df.checkpoint(eager=True)
+    return (df.coalesce(parts) if parts else df).checkpoint(eager=True)

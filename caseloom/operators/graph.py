@@ -17,6 +17,8 @@ from caseloom.operators.checkpoints import checkpoint
 
 #: A hub has more than LEAST_DEGREE neighbours and more than its share of 2 * edges / HUBS.
 HUBS, LEAST_DEGREE = 50_000, 200
+#: Edges of a task, from one task a core on.
+TASK_EDGES = 1 << 18
 
 
 def _star(edges: DataFrame, large: bool, degree: int) -> DataFrame:
@@ -44,11 +46,14 @@ def connected_components(edges: DataFrame, src: str = "src", dst: str = "dst") -
     """
     pairs = edges.select(F.col(src).cast("long").alias("a"), F.col(dst).cast("long").alias("b")).filter("a is not null and b is not null")
     now = pairs.filter("a != b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct()
-    now = checkpoint(now)
-    degree = max(LEAST_DEGREE, 2 * now.count() // HUBS)
+    cores = edges.sparkSession.sparkContext.defaultParallelism
+    now = checkpoint(now, 2 * cores)
+    edge_count = now.count()
+    parts = max(cores, edge_count // TASK_EDGES)
+    degree = max(LEAST_DEGREE, 2 * edge_count // HUBS)
     mark = None
     while True:
-        now = checkpoint(_star(checkpoint(_star(now, True, degree)), False, degree))
+        now = checkpoint(_star(checkpoint(_star(now, True, degree), parts), False, degree), parts)
         seen = now.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         if mark == tuple(seen):
             break
