@@ -15,8 +15,8 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 ROW_BYTES, LEAST_BLOCK = 1 << 10, 4 << 20
 
 
-def checkpoint(df: DataFrame) -> DataFrame:
-    """Cut the lineage through files that every executor can read.
+def checkpoint(df: DataFrame, parts: int | None = None) -> DataFrame:
+    """Cut the lineage through files that every executor can read, ``parts`` of them at most.
 
     The folder is the one that the session names in ``spark.checkpoint.dir``;
     only a session without that setting (local tests) gets a folder of its own.
@@ -27,7 +27,7 @@ def checkpoint(df: DataFrame) -> DataFrame:
         if not named and not context.master.startswith("local"):
             raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         context.setCheckpointDir(named or tempfile.mkdtemp(prefix="caseloom-checkpoint-"))
-    return df.checkpoint(eager=True)
+    return (df.coalesce(parts) if parts else df).checkpoint(eager=True)
 
 
 def shared_folder(spark: SparkSession, name: str) -> str:
@@ -60,6 +60,11 @@ def without(docs: DataFrame, text_col: str, gone: Callable[[Iterator[pa.RecordBa
     return docs.mapInArrow(keep, docs.schema)
 
 
+def cores(df: DataFrame) -> int:
+    """One task each for the cores: enough files for a table that is much smaller than the texts."""
+    return df.sparkSession.sparkContext.defaultParallelism
+
+
 def shuffle_partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
@@ -85,7 +90,7 @@ def blocks_for(df: DataFrame, block_bytes: int | None = None, text_col: str = "t
 
 def broadcast_if_few(rows: DataFrame, most: int = 100_000) -> DataFrame:
     """The rows, written, and marked for broadcast if their count is at most ``most``; else they are joined like any others."""
-    rows = checkpoint(rows)
+    rows = checkpoint(rows, cores(rows))
     return F.broadcast(rows) if rows.count() <= most else rows
 
 

@@ -55,7 +55,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
 from caseloom.llm import kernels as K
-from caseloom.llm.frames import blocks_for, broadcast_if_few, checkpoint, numbered, only, shuffle_partitions
+from caseloom.llm.frames import blocks_for, broadcast_if_few, checkpoint, cores, numbered, only, shuffle_partitions
 from caseloom.operators.graph import connected_components
 
 SHINGLE, NUMERATOR, DENOMINATOR = 5, 80, 100
@@ -246,7 +246,7 @@ def _proposer(buckets: int):
                     nodes.append(np.full(len(mine), i))
                     sends = True
             if sends:
-                sketch[i], size[i] = _parity(own, SENT_WORDS), len(own)
+                sketch[i], size[i] = parity(own, SENT_WORDS), len(own)
                 rows.append((block, -1, int(doc).to_bytes(8, "big", signed=True), (texts[row].as_py() or "").encode()))
         if keys:
             flat, owners = np.concatenate(keys), np.concatenate(nodes)
@@ -260,7 +260,7 @@ def _proposer(buckets: int):
     return propose
 
 
-def _roots(u: np.ndarray, v: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def roots(u: np.ndarray, v: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """(nodes, least node of each one's component) of edges u - v, by pointer jumping over arrays."""
     nodes, flat = np.unique(np.concatenate([u, v]), return_inverse=True)
     a, b = flat[: len(u)], flat[len(u) :]
@@ -278,16 +278,18 @@ def _roots(u: np.ndarray, v: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
             root = jump
 
 
-def _parity(shingles: np.ndarray, words: int) -> np.ndarray:
+def parity(shingles: np.ndarray, words: int) -> np.ndarray:
     """Parity sketch of a set: each shingle toggles one of ``words`` * 64 bits."""
     odd = np.bincount((K.mix(shingles) % _U(words * 64)).astype(np.int64), minlength=words * 64) & 1
     return np.packbits(odd.astype(np.uint8)).view(np.uint64)
 
 
-def _allowed(u: np.ndarray, v: np.ndarray, size: np.ndarray, sketch: np.ndarray) -> np.ndarray:
-    """Whether sizes and sketches of the pairs allow a link."""
-    apart = most_apart(size[u] + size[v])
-    return (np.abs(size[u] - size[v]) <= apart) & (np.bitwise_count(sketch[u] ^ sketch[v]).sum(1) <= apart)
+def _allowed(u: np.ndarray, v: np.ndarray, size: np.ndarray, sketch: np.ndarray, left: np.ndarray | None) -> np.ndarray:
+    """Whether sizes, sketches and, if given, the numbers of elements left from the common one on allow a link."""
+    total = size[u] + size[v]
+    apart = most_apart(total)
+    good = (np.abs(size[u] - size[v]) <= apart) & (np.bitwise_count(sketch[u] ^ sketch[v]).sum(1) <= apart)
+    return good if left is None else good & ((DENOMINATOR + NUMERATOR) * np.minimum(left[u], left[v]) >= NUMERATOR * total)
 
 
 def _star(members: np.ndarray, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -298,8 +300,11 @@ def _star(members: np.ndarray, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray
     return members, np.repeat(members[first], np.diff(np.append(first, len(keys))))
 
 
-def candidates(sigs: np.ndarray, size: np.ndarray, sketch: np.ndarray):
-    """Edges (u, v) between rows that join every two rows of one signature which sizes and sketches allow to be linked."""
+def candidates(sigs: np.ndarray, size: np.ndarray, sketch: np.ndarray, left: np.ndarray | None = None):
+    """Edges (u, v) between rows that join every two rows of one signature which sizes, sketches and positions allow to be linked.
+
+    ``left`` tells how many elements of a row's set are left from the signature's on.
+    """
     order = np.argsort(sigs, kind="stable")
     first = np.flatnonzero(np.diff(sigs[order], prepend=~sigs[order[:1]]))
     count = np.diff(np.append(first, len(sigs)))
@@ -311,15 +316,15 @@ def candidates(sigs: np.ndarray, size: np.ndarray, sketch: np.ndarray):
         times = count[some] - step
         at = np.repeat(first[some], times) + np.arange(times.sum()) - np.repeat(np.cumsum(times) - times, times)
         u, v = order[at], order[at + step]
-        good = _allowed(u, v, size, sketch)
+        good = _allowed(u, v, size, sketch, left)
         yield u[good], v[good]
     for g in np.flatnonzero(count > 32).tolist():
         members = order[first[g] : first[g] + count[g]]
         if len(members) <= CROWD:
             for at in range(0, len(members), 128):
                 u, v = (x.ravel() for x in np.meshgrid(members[at : at + 128], members[at:], indexing="ij"))
-                good = _allowed(u, v, size, sketch)
-                who, root = _roots(u[good], v[good])
+                good = _allowed(u, v, size, sketch, left)
+                who, root = roots(u[good], v[good])
                 yield who, root
         else:
             pieces = sketch.view(np.uint32).reshape(len(sketch), -1)
@@ -354,7 +359,7 @@ def _looser(spread: int):
             if edge is not None:
                 wait.append((nodes[edge[0]], nodes[edge[1]]))
             if wait and (edge is None or sum(len(w[0]) for w in wait) > 1 << 20):
-                who, root = _roots(np.concatenate([who, *(w[0] for w in wait)]), np.concatenate([root, *(w[1] for w in wait)]))
+                who, root = roots(np.concatenate([who, *(w[0] for w in wait)]), np.concatenate([root, *(w[1] for w in wait)]))
                 wait = []
         keep = who != root
         who, root = who[keep], root[keep]
@@ -384,7 +389,7 @@ def tile_links(ids: np.ndarray, sets: list[np.ndarray], side: np.ndarray) -> tup
     """A spanning forest of the links within a tile (only those across, where both sides are there)."""
     n = len(ids)
     size = np.array([len(s) for s in sets])
-    sketch = np.array([_parity(s, SKETCH_WORDS) for s in sets])
+    sketch = np.array([parity(s, SKETCH_WORDS) for s in sets])
     label = np.arange(n)
     u, v = [], []
     cross = side.min() != side.max()
@@ -430,35 +435,35 @@ def _compared(placed: DataFrame, tiles: Column, texts: DataFrame) -> DataFrame:
     return tiled.join(texts, "doc_id").groupBy("task", "i", "j").applyInArrow(_verify, "src long, dst long")
 
 
-def _tile(task: Column, i: Column, j: Column, side: Column | int) -> Column:
+def tile(task: Column, i: Column, j: Column, side: Column | int) -> Column:
     return F.struct(task.cast("long").alias("task"), i.cast("int").alias("i"), j.cast("int").alias("j"), (F.lit(side) if isinstance(side, int) else side).alias("side"))
 
 
 def _links(clusters: DataFrame, texts: DataFrame, tasks: int) -> DataFrame:
     """Edges whose components are those of all links within the loose clusters (node, component)."""
-    sized = checkpoint(clusters.join(texts.select(F.col("doc_id").alias("node"), F.octet_length("text").alias("bytes")), "node"))
+    sized = checkpoint(clusters.join(texts.select(F.col("doc_id").alias("node"), F.octet_length("text").alias("bytes")), "node"), 2 * cores(clusters))
     chunks = lambda n, size: F.ceil(F.greatest(n / CHUNK, size / CHUNK_BYTES)).cast("int")
     large = sized.groupBy("component").agg(chunks(F.count(F.lit(1)), F.sum("bytes")).alias("chunks")).filter("chunks > 1")
     placed = sized.join(broadcast_if_few(large), "component", "left").withColumn("chunks", F.coalesce("chunks", F.lit(1))).withColumn("chunk", F.pmod(F.xxhash64("node"), F.col("chunks")).cast("int"))
     each = lambda n, f: F.transform(F.sequence(F.lit(0), n - 1), f)
     # Small clusters share tasks; all chunks of a large one meet its first chunk.
-    alone = F.array(_tile(F.pmod(F.xxhash64("component"), F.lit(tasks)), F.lit(0), F.lit(0), 0))
-    pivots = each(F.col("chunks"), lambda c: _tile(F.col("component"), F.lit(1), c + 1, 0))
-    others = F.array(_tile(F.col("component"), F.lit(1), F.col("chunk") + 1, 1))
+    alone = F.array(tile(F.pmod(F.xxhash64("component"), F.lit(tasks)), F.lit(0), F.lit(0), 0))
+    pivots = each(F.col("chunks"), lambda c: tile(F.col("component"), F.lit(1), c + 1, 0))
+    others = F.array(tile(F.col("component"), F.lit(1), F.col("chunk") + 1, 1))
     found = checkpoint(_compared(placed, F.when(F.col("chunks") == 1, alone).when(F.col("chunk") == 0, pivots).otherwise(others), texts))
     crowds = placed.filter("chunks > 1")
     if crowds.isEmpty():
         return found
     # What is not in the greatest component of its cluster yet is compared with all the rest.
     known = connected_components(found).select("node", F.col("component").alias("label"))
-    crowds = checkpoint(crowds.join(known, "node", "left").withColumn("label", F.coalesce("label", "node")))
+    crowds = checkpoint(crowds.join(known, "node", "left").withColumn("label", F.coalesce("label", "node")), 2 * cores(clusters))
     main = crowds.groupBy("component", "label").agg(F.count(F.lit(1)).alias("n")).groupBy("component").agg(F.max(F.struct("n", "label"))["label"].alias("main"))
-    rest = checkpoint(crowds.join(broadcast_if_few(main), "component").withColumn("out", F.col("label") != F.col("main")))
+    rest = checkpoint(crowds.join(broadcast_if_few(main), "component").withColumn("out", F.col("label") != F.col("main")), 2 * cores(clusters))
     open_ = rest.filter("out").groupBy("component").agg(chunks(F.count(F.lit(1)), F.sum("bytes")).alias("parts"))
     rest = rest.join(broadcast_if_few(open_), "component").withColumn("part", F.pmod(F.xxhash64("node"), F.col("parts")).cast("int"))
-    inner = each(F.col("chunks"), lambda c: _tile(F.col("component"), F.col("part") + 1, -1 - c, 0))
-    outer = each(F.col("parts"), lambda o: _tile(F.col("component"), F.least(o, F.col("part")) + 1, F.greatest(o, F.col("part")) + 1, F.when(o < F.col("part"), 1).otherwise(0)))
-    mine = each(F.col("parts"), lambda o: _tile(F.col("component"), o + 1, -1 - F.col("chunk"), 1))
+    inner = each(F.col("chunks"), lambda c: tile(F.col("component"), F.col("part") + 1, -1 - c, 0))
+    outer = each(F.col("parts"), lambda o: tile(F.col("component"), F.least(o, F.col("part")) + 1, F.greatest(o, F.col("part")) + 1, F.when(o < F.col("part"), 1).otherwise(0)))
+    mine = each(F.col("parts"), lambda o: tile(F.col("component"), o + 1, -1 - F.col("chunk"), 1))
     return found.unionByName(_compared(rest, F.when(F.col("out"), F.concat(inner, outer)).otherwise(mine), texts))
 
 

@@ -1,142 +1,358 @@
-"""Line deduplication by an exact set-similarity join, in DataFrame operations only.
+"""Line deduplication by an exact set-similarity join.
 
-A line is the set of its words.  Lines are in the order (document, place); a
-line is removed if an earlier line has Jaccard similarity 0.8 or more with it,
+A line is the set of its words.  Lines are in the order (document, row, place);
+a line is removed if an earlier line has Jaccard similarity 0.8 or more with it,
 equal sets included (an earlier line counts whether or not it is itself
 removed, so the result does not depend on the order of work).
 
-Equal sets are found by grouping.  Different sets are joined as follows:
+The texts are read where they lie, four times, and never shuffled:
 
-1. Rarity: words are counted over all lines in 2**16 hash buckets.  The table
-   has a byte a bucket, so it can go to every task; (count, word hash) is one
+1. Rarity: words are counted over all lines in ``CELLS`` hash cells.  A byte a
+   cell, the logarithm of its count, goes to every task; (byte, word hash) is one
    global order of words, rare ones first.
-2. Prefix, length and position: a line of n words sends its n - ceil(0.8 n) + 1
-   rarest.  Two lines with a common one go on if their sizes allow 0.8, if the
-   words from that place on still can overlap enough, and if 64-bit parity
-   sketches do not already differ in too many places.  It is a left semi join:
-   a line stops at its first possible partner, and no pairs are emitted.
-3. Verification: only the lines left, a small part, meet again on the same keys,
-   now with their words, and again in a semi join that intersects the words.
-
-Equal sets share two 64-bit hashes.
-
-Defined cases: a null or empty text has no line; blank lines are kept and match
-nothing; null ids come first in the order; repeated rows repeat their lines, the
-one that Spark reads first staying; no rows give no rows; other columns are not
-read.
+2. Names: every line's place and the 64-bit name of its set.  A set's first line
+   is the only one that can stay.
+3. Prefix: a set of n words sends its n - ceil(0.8 n) + 1 rarest words, without
+   those counted once, with its size, the word's position and a parity sketch.
+   Two sets with a common word are candidates if sizes (length filter), the words
+   from that position on (positional filter) and the sketches allow 0.8.
+4. Verification: candidates form clusters; the words of their sets meet in tasks
+   of bounded size and are intersected, the earliest first, and a set that is
+   beaten once is not looked at again.  A large cluster is compared with one chunk
+   of it first, and only sets that nothing there beats meet all the others.
+
+Words and sets are identified by 64-bit hashes.
+
+Defined cases: a null, empty or blank text has no line and removes nothing, and
+its row stays with 0 lines; blank lines are kept and match nothing; null ids come
+first in the order; repeated rows repeat their lines, the one that Spark reads
+first staying; no rows give no rows; other columns are not read.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
-from caseloom.llm.frames import checkpoint, only
+from caseloom.llm import kernels as K
+from caseloom.llm.frames import blocks_for, broadcast_if_few, checkpoint, cores, numbered, only
+from caseloom.llm.jaccard_join import CHUNK, CHUNK_BYTES, DENOMINATOR, NUMERATOR, candidates, linked, most_apart, parity, roots, tile
+from caseloom.operators.graph import connected_components
 
-BUCKETS = 1 << 16
-SEEN_BITS = 1 << 20
-#: Removal from 80 % on; lines of up to three words can only match equal ones.
-LEAST = 4
+#: Cells of the rarity table (a byte each) and of the table of wanted sets (a bit each); the latter only spares work.
+CELLS, SLAB, WANTED = 1 << 22, 1 << 16, 1 << 25
+#: 64-bit words of a set's parity sketch.
+SKETCH = 2
+#: Texts whose prefixes are packed together.
+FLUSH_BYTES = 24 << 20
 
+_U = np.uint64
+_PACK = pa.schema([("bucket", pa.int32()), ("data", pa.binary()), ("extra", pa.binary())])
+PACK = "bucket int, data binary, extra binary"
 
-def _words(line: Column) -> Column:
-    """Distinct words of a line, as one string with single blanks."""
-    return F.split(F.regexp_replace(F.regexp_replace(line, "[\\x20\\x09-\\x0D]+", " "), "^ | $", ""), " ")
 
+def line_sets(texts: pa.Array, ranks: np.ndarray | None = None):
+    """Lines with words of a column of texts: (document, place, bounds, words, ranks).
 
-def _lines(docs: DataFrame, text_col: str, id_col: str) -> DataFrame:
-    """row, doc_id, place, words of every line that has words; row tells repeated ids apart."""
-    base = only(docs, doc_id=id_col, text=text_col).select(F.monotonically_increasing_id().alias("row"), F.col("doc_id").cast("long"), F.col("text").cast("string"))
-    lines = base.filter("text is not null").select("row", "doc_id", F.posexplode(F.split("text", "\n")).alias("place", "line"))
-    return lines.filter(F.col("line").rlike("[^\\x20\\x09-\\x0D]")).select("row", "doc_id", "place", _words(F.col("line")).alias("words"))
-
-
-def _hashed(lines: DataFrame) -> DataFrame:
-    """Adds hashes (of the distinct words, ascending), n and the two names of the set."""
-    some = lines.withColumn("hashes", F.sort_array(F.array_distinct(F.transform("words", lambda w: F.xxhash64(w)))))
-    return some.select("*", F.size("hashes").alias("n"), F.xxhash64("hashes").alias("a"), F.xxhash64(F.lit(1), "hashes").alias("b"))
-
-
-def _dense(rows: DataFrame, at: str, value: str, size: int, empty) -> Column:
-    """Scalar array of ``size`` cells from (at, value) rows; cells without a row are ``empty``."""
-    spark = rows.sparkSession
-    blank = spark.range(size).select(F.col("id").cast("int").alias(at), F.lit(empty).cast(dict(rows.dtypes)[value]).alias(value))
-    whole = rows.select(F.col(at).cast("int").alias(at), value).unionByName(blank).groupBy(at).agg(F.bit_or(value).alias(value))
-    return checkpoint(whole.groupBy().agg(F.transform(F.array_sort(F.collect_list(F.struct(at, value))), lambda x: x[value]).alias("cells"))).scalar()
-
-
-def _rarity(lines: DataFrame) -> Column:
-    """A byte for each bucket of words, 1 to 127, growing with the logarithm of the bucket's count."""
-    counted = lines.select(F.explode("words").alias("w")).groupBy(F.pmod(F.xxhash64("w"), F.lit(BUCKETS)).cast("int").alias("bucket")).agg(F.count(F.lit(1)).alias("times"))
-    cells = bytearray(b"\x01" * BUCKETS)
-    for r in counted.select("bucket", F.least(F.floor(F.log2("times") * 3) + 1, F.lit(127)).cast("int").alias("rank")).collect():  # at most BUCKETS rows
-        cells[r["bucket"]] = r["rank"]
-    return F.lit(bytes(cells))
-
-
-def _keyed(lines: DataFrame, rarity: Column) -> DataFrame:
-    """The prefix keys of each line: key, place in the order, with n and the parity sketch."""
-    low = (1 << 48) - 1
-    order = F.sort_array(F.transform("hashes", lambda h: F.shiftleft(F.ascii(F.substring(rarity, F.pmod(h, F.lit(BUCKETS)).cast("int") + 1, F.lit(1)).cast("string")).cast("long"), 48).bitwiseOR(h.bitwiseAND(F.lit(low)))))
-    sketch = F.aggregate("hashes", F.lit(0).cast("long"), lambda s, h: s.bitwiseXOR(F.call_function("shiftleft", F.lit(1).cast("long"), F.shiftrightunsigned(h, 58).cast("int"))))
-    prefix = F.slice(order, 1, F.col("n") - F.ceil(F.col("n") * 4 / 5).cast("int") + 1)
-    some = lines.filter(F.col("n") >= LEAST)
-    return some.select(*[c for c in lines.columns if c not in ("hashes", "words")], sketch.alias("sketch"), F.posexplode(prefix).alias("at", "key"))
-
-
-def _possible(x: str, y: str) -> Column:
-    """Length, position and sketch filters of two keyed lines."""
-    c = lambda side, name: F.col(f"{side}.{name}")
-    both = c(x, "n") + c(y, "n")
-    return (
-        (c(x, "key") == c(y, "key"))
-        & (c(x, "a") != c(y, "a"))
-        & (5 * c(x, "n") >= 4 * c(y, "n"))
-        & (5 * c(y, "n") >= 4 * c(x, "n"))
-        & (9 * (1 + F.least(c(x, "n") - c(x, "at"), c(y, "n") - c(y, "at")) - 1) >= 4 * both)
-        & (9 * F.bit_count(c(x, "sketch").bitwiseXOR(c(y, "sketch"))) <= both)
-    )
-
-
-def removed_lines(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id") -> DataFrame:
-    """row, doc_id, place and removed of every line that has words."""
-    lines = _lines(docs, text_col, id_col)
-    rarity = _rarity(lines)
-    hashed = _hashed(lines)
-    keyed = _keyed(hashed.select("hashes", "n", "a"), rarity)
-    likely = checkpoint(keyed.alias("l").join(keyed.alias("r"), _possible("l", "r"), "left_semi").select("a").distinct())
-    # Which sets are left goes to the third scan as a fixed-size bit table; the join after it is exact.
-    bit = F.pmod("a", F.lit(SEEN_BITS))
-    cells = likely.select((bit / 64).cast("int").alias("cell"), F.call_function("shiftleft", F.lit(1).cast("long"), (bit % 64).cast("int")).alias("bits")).groupBy("cell").agg(F.bit_or("bits").alias("bits"))
-    seen = _dense(cells, "cell", "bits", SEEN_BITS // 64, 0)
-    maybe = F.call_function("shiftright", F.get(seen, (bit / 64).cast("int")), (bit % 64).cast("int")).bitwiseAND(F.lit(1)) == 1
-    chosen = hashed.filter(maybe).join(likely.select(F.col("a").alias("la")), F.col("a") == F.col("la"), "left_semi")
-    first = F.struct("doc_id", "row", "place")
-    sets = chosen.groupBy("a", "b").agg(F.min(first).alias("first"), F.first("hashes").alias("hashes"), F.first("n").alias("n"), F.first(F.array_join(F.array_distinct("words"), " ")).alias("line"))
-    sets = checkpoint(sets)
-    met = _keyed(sets, rarity)
-    shared = F.size(F.array_intersect(F.split("l.line", " "), F.split("r.line", " ")))
-    exact = 9 * shared >= 4 * (F.col("l.n") + F.col("r.n"))
-    beaten = checkpoint(met.alias("l").join(met.alias("r"), _possible("l", "r") & (F.col("r.first") < F.col("l.first")) & exact, "left_semi").select("a", "b").distinct())
-    places = hashed.select("row", "doc_id", "place", "a", "b")
-    firsts = places.groupBy("a", "b").agg(F.min(first).alias("first"))
-    firsts = firsts.join(beaten.select(F.col("a").alias("xa"), F.col("b").alias("xb"), F.lit(True).alias("beaten")), (F.col("a") == F.col("xa")) & (F.col("b") == F.col("xb")), "left").select("a", "b", F.when(F.col("beaten").isNull(), F.col("first")).alias("keep"))
-    # The only line of a set that can stay is its first; every other line is removed.
-    return places.join(firsts, ["a", "b"], "left").select("row", "doc_id", "place", (~F.coalesce(F.struct("doc_id", "row", "place") == F.col("keep"), F.lit(False))).alias("removed"))
+    ``words`` has the distinct word hashes of each line between its bounds, in
+    ascending order of (rank, hash), or of the hash without ``ranks``.
+    """
+    data, offsets = K.text_buffers(texts)
+    start, end, counts = K.word_spans(data, offsets)
+    breaks = np.concatenate([[0], np.cumsum(data == 10, dtype=np.int64)])
+    owner = np.repeat(np.arange(len(counts)), counts)
+    place = breaks[start] - breaks[offsets[owner]]
+    new = np.ones(len(start), bool)
+    new[1:] = (owner[1:] != owner[:-1]) | (place[1:] != place[:-1])
+    line = np.cumsum(new) - 1
+    words = K.word_hashes(data, start, end)
+    rank = ranks[(words & _U(CELLS - 1)).astype(np.int64)] if ranks is not None else np.zeros(len(words), np.uint8)
+    order = np.argsort(words, kind="stable")
+    if ranks is not None:
+        order = order[np.argsort(rank[order], kind="stable")]
+    order = order[np.argsort(line[order], kind="stable")]
+    words, line, rank = words[order], line[order], rank[order]
+    keep = np.ones(len(words), bool)
+    keep[1:] = (words[1:] != words[:-1]) | (line[1:] != line[:-1])
+    words, line, rank = words[keep], line[keep], rank[keep]
+    first = np.flatnonzero(new)
+    return owner[first], place[first], np.searchsorted(line, np.arange(len(first) + 1)), words, rank
+
+
+def set_names(words: np.ndarray, bounds: np.ndarray) -> np.ndarray:
+    """A 64-bit name of each line's set, the same in any order of its words."""
+    sums = np.concatenate([[_U(0)], np.cumsum(K.mix(words ^ _U(0xA0761D6478BD642F)), dtype=np.uint64)])
+    return K.mix((sums[bounds[1:]] - sums[bounds[:-1]]) ^ np.diff(bounds).astype(np.uint64)).view(np.int64)
+
+
+def _packed(rows: list[tuple]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows) if rows else [[]] * 3, _PACK.types, strict=True)], schema=_PACK)
+
+
+def _cells(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Words by cell, the cells in slabs."""
+    total = np.zeros(CELLS, np.int64)
+    for batch in K.parts(batches, 0):
+        data, offsets = K.text_buffers(batch.column(0))
+        start, end, _ = K.word_spans(data, offsets)
+        cells, times = np.unique((K.word_hashes(data, start, end) & _U(CELLS - 1)).astype(np.int64), return_counts=True)
+        total[cells] += times
+    for slab in range(CELLS // SLAB):
+        part = total[slab * SLAB : (slab + 1) * SLAB]
+        used = np.flatnonzero(part)
+        if len(used):
+            yield _packed([(slab, used.astype("<u2").tobytes(), part[used].astype("<u4" if part.max() < 1 << 32 else "<u8").tobytes())])
+    del total
+    K.give_back()
+
+
+def _slab_ranks(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
+    """A byte for each cell of a slab: 0 for no word, 1 for one, then growing with the logarithm of the count."""
+    total = np.zeros(SLAB, np.int64)
+    for used, times in zip(table.column("data").to_pylist(), table.column("extra").to_pylist(), strict=True):
+        total[np.frombuffer(used, "<u2")] += np.frombuffer(times, "<u4" if len(times) == 2 * len(used) else "<u8").astype(np.int64)
+    rank = np.where(total > 0, np.minimum(1 + np.ceil(4 * np.log2(np.maximum(total, 1))), 255), 0).astype(np.uint8)
+    return pa.table([pa.array([key[0].as_py()], pa.int32()), pa.array([rank.tobytes()], pa.binary()), pa.nulls(1, pa.binary())], schema=_PACK)
+
+
+def rarity(texts: DataFrame) -> np.ndarray:
+    """The table of all words' ranks; its size does not depend on the corpus."""
+    slabs = texts.mapInArrow(_cells, PACK).groupBy("bucket").applyInArrow(_slab_ranks, PACK).select("bucket", "data").collect()  # at most CELLS bytes
+    out = np.zeros(CELLS, np.uint8)
+    for r in slabs:
+        out[r["bucket"] * SLAB : (r["bucket"] + 1) * SLAB] = np.frombuffer(r["data"], np.uint8)
+    return out
+
+
+def _named(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """row, doc_id, text -> row, doc_id, places and set names of the lines that have words."""
+    for batch in K.parts(batches, 2):
+        doc, place, bounds, words, _ = line_sets(batch.column(2))
+        cuts = pa.array(np.searchsorted(doc, np.arange(batch.num_rows + 1)), pa.int32())
+        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.ListArray.from_arrays(cuts, pa.array(place, pa.int32())), pa.ListArray.from_arrays(cuts, pa.array(set_names(words, bounds)))], names=["row", "doc_id", "places", "names"])
+
+
+def _prefixes(ranks: np.ndarray, buckets: int):
+    def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Prefix words of every distinct set, by hash range, packed with name, size, position and sketch."""
+        waiting: list[tuple] = []
+        seen = np.zeros(0, np.int64)
+        size = 0
+        for batch in K.parts(batches, 0):
+            _, _, bounds, words, rank = line_sets(batch.column(0), ranks)
+            names, n = set_names(words, bounds), np.diff(bounds)
+            _, own = np.unique(names, return_index=True)
+            own = own[~np.isin(names[own], seen)]
+            seen = np.concatenate([seen, names[own]])
+            length = n[own] - -(-NUMERATOR * n[own] // DENOMINATOR) + 1
+            at = np.arange(length.sum()) - np.repeat(np.cumsum(length) - length, length)
+            word = np.repeat(bounds[own], length) + at
+            line = np.repeat(own, length)
+            twice = rank[word] > 1  # a word counted once has no partner
+            at, word, line = at[twice], word[twice], line[twice]
+            sketch = _sketches(words, bounds)
+            waiting.append((words[word], names[line], n[line].astype(np.int32), at.astype(np.int32), sketch[line]))
+            size += batch.column(0).nbytes
+            if size >= FLUSH_BYTES:
+                yield _flushed(waiting, buckets)
+                waiting, seen, size = [], np.zeros(0, np.int64), 0
+        if waiting:
+            yield _flushed(waiting, buckets)
+        del waiting, seen
+        K.give_back()
+
+    return send
+
+
+def _sketches(words: np.ndarray, bounds: np.ndarray) -> np.ndarray:
+    """The parity sketch of each line: SKETCH words of 64 bits."""
+    out = np.zeros((len(bounds) - 1, SKETCH), np.uint64)
+    if len(words):
+        bit = K.mix(words ^ _U(0x8EBC6AF09C88C6E3))
+        for k in range(SKETCH):
+            mine = np.where((bit >> _U(6)) % _U(SKETCH) == _U(k), _U(1) << (bit & _U(63)), _U(0))
+            out[:, k] = np.bitwise_xor.reduceat(mine, bounds[:-1])
+    return out
+
+
+def _planes(values: np.ndarray) -> bytes:
+    return np.ascontiguousarray(values).view(np.uint8).reshape(-1, values.dtype.itemsize).T.tobytes()
+
+
+def _unplanes(blob: bytes, at: int, n: int, kind) -> np.ndarray:
+    width = np.dtype(kind).itemsize
+    return np.ascontiguousarray(np.frombuffer(blob, np.uint8, n * width, at).reshape(width, n).T).view(kind).ravel()
+
+
+def _flushed(waiting: list[tuple], buckets: int) -> pa.RecordBatch:
+    key, name, n, at, sketch = (np.concatenate(c) for c in zip(*waiting, strict=True))
+    order = np.argsort(key, kind="stable")
+    key, name, n, at, sketch = key[order], name[order], n[order], at[order], sketch[order]
+    bounds = K.bucket_bounds(key, buckets).tolist()
+    return _packed([(b, K.pack_sorted(key[x:y]), b"".join((name[x:y].tobytes(), _planes(n[x:y]), _planes(at[x:y]), sketch[x:y].tobytes()))) for b, (x, y) in enumerate(zip(bounds[:-1], bounds[1:], strict=True)) if y > x])
+
+
+_EDGES = pa.schema([("src", pa.int64()), ("dst", pa.int64())])
+
+
+def _pairs(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
+    """Of one range of words: a forest that joins sets which length, position and sketch allow to be similar."""
+    found: list[tuple] = []
+    for data, extra in zip(table.column("data").to_pylist(), table.column("extra").to_pylist(), strict=True):
+        keys = K.unpack_sorted(data)
+        m = len(keys)
+        found.append((keys, np.frombuffer(extra, np.int64, m), _unplanes(extra, 8 * m, m, np.int32), _unplanes(extra, 12 * m, m, np.int32), np.frombuffer(extra, np.uint64, SKETCH * m, 16 * m).reshape(m, SKETCH)))
+    keys, names, n, at, sketch = (np.concatenate(c) for c in zip(*found, strict=True))
+    order = np.lexsort((names, keys))
+    keys, names, n, at, sketch = keys[order], names[order], n[order].astype(np.int64), at[order].astype(np.int64), sketch[order]
+    once = np.ones(len(keys), bool)  # a set that several flushes sent
+    once[1:] = (keys[1:] != keys[:-1]) | (names[1:] != names[:-1])
+    keys, names, n, at, sketch = keys[once], names[once], n[once], at[once], sketch[once]
+    who, root = np.zeros(0, np.int64), np.zeros(0, np.int64)
+    for u, v in candidates(keys, n, sketch, n - at):
+        who, root = roots(np.concatenate([who, names[u]]), np.concatenate([root, names[v]]))
+    return pa.table([pa.array(who[who != root]), pa.array(root[who != root])], schema=_EDGES)
+
+
+def _bits(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    table = np.zeros(WANTED >> 3, np.uint8)
+    for batch in batches:
+        _mark(table, batch.column(0).to_numpy())
+    for slab in range((WANTED >> 3) // SLAB):
+        part = table[slab * SLAB : (slab + 1) * SLAB]
+        if part.any():
+            yield _packed([(slab, part.tobytes(), None)])
+
+
+def _mark(table: np.ndarray, names: np.ndarray) -> None:
+    at = K.mix(names.view(np.uint64)) & _U(WANTED - 1)
+    np.bitwise_or.at(table, (at >> _U(3)).astype(np.int64), np.left_shift(np.uint8(1), (at & _U(7)).astype(np.uint8)))
+
+
+def _either(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
+    out = np.bitwise_or.reduce([np.frombuffer(b, np.uint8) for b in table.column("data").to_pylist()])
+    return pa.table([pa.array([key[0].as_py()], pa.int32()), pa.array([out.tobytes()], pa.binary()), pa.nulls(1, pa.binary())], schema=_PACK)
+
+
+def _wanted(nodes: DataFrame) -> np.ndarray:
+    """A bit table of the nodes, of a size that does not depend on their number."""
+    out = np.zeros(WANTED >> 3, np.uint8)
+    for r in nodes.coalesce(cores(nodes)).mapInArrow(_bits, PACK).groupBy("bucket").applyInArrow(_either, PACK).select("bucket", "data").collect():  # at most WANTED bits
+        out[r["bucket"] * SLAB : (r["bucket"] + 1) * SLAB] = np.frombuffer(r["data"], np.uint8)
+    return out
+
+
+def _words_of(wanted: np.ndarray):
+    def words_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """node, words: the word hashes of sets that may be wanted, ascending."""
+        for batch in K.parts(batches, 0):
+            _, _, bounds, words, _ = line_sets(batch.column(0))
+            names = set_names(words, bounds)
+            at = K.mix(names.view(np.uint64)) & _U(WANTED - 1)
+            some = np.flatnonzero(wanted[(at >> _U(3)).astype(np.int64)] >> (at & _U(7)).astype(np.uint8) & 1)
+            _, own = np.unique(names[some], return_index=True)
+            some = some[own]
+            yield pa.RecordBatch.from_arrays([pa.array(names[some]), pa.array([words[bounds[i] : bounds[i + 1]].tobytes() for i in some.tolist()], pa.binary())], names=["node", "words"])
+
+    return words_of
+
+
+def beaten_in_tile(sets: list[np.ndarray], rank: np.ndarray, side: np.ndarray) -> np.ndarray:
+    """Which sets have an earlier similar one in the tile (on the other side, where both are there)."""
+    order = np.argsort(rank, kind="stable")
+    size = np.array([len(s) for s in sets])
+    sketch = np.array([parity(s, 32) for s in sets])
+    beaten = np.zeros(len(sets), bool)
+    cross = side.min() != side.max()
+    for k, i in enumerate(order.tolist()):
+        later = order[k + 1 :]
+        later = later[~beaten[later]]
+        if cross:
+            later = later[side[later] != side[i]]
+        apart = most_apart(size[i] + size[later])
+        later = later[(np.abs(size[later] - size[i]) <= apart) & (np.bitwise_count(sketch[later] ^ sketch[i]).sum(1) <= apart)]
+        for j in later.tolist():
+            both = len(np.intersect1d(sets[i], sets[j], assume_unique=True))
+            beaten[j] = linked(both, size[i] + size[j] - both)
+    return beaten
+
+
+def _judge(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
+    """A task's clusters or tile: the sets that an earlier similar one beats."""
+    node, cluster, side = (table.column(c).to_numpy() for c in ("node", "cluster", "side"))
+    at = [np.array([-(1 << 63) if v is None else v for v in table.column(c).to_pylist()], np.int64) for c in ("doc_id", "row", "place")]
+    rank = np.empty(len(node), np.int64)
+    rank[np.lexsort((at[2], at[1], at[0]))] = np.arange(len(node))
+    words, out = table.column("words").to_pylist(), []
+    order = np.argsort(cluster, kind="stable")
+    for rows in np.split(order, np.flatnonzero(np.diff(cluster[order])) + 1):
+        lost = beaten_in_tile([np.frombuffer(words[r], np.uint64) for r in rows.tolist()], rank[rows], side[rows])
+        out.append(node[rows[lost]])
+    return pa.table([pa.array(np.concatenate(out), pa.int64())], names=["node"])
+
+
+def _beaten(clusters: DataFrame, firsts: DataFrame, words: DataFrame) -> DataFrame:
+    """node of every set of the clusters (node, component) that an earlier similar set beats; may repeat."""
+    sized = words.select("node", F.octet_length("words").alias("bytes"))
+    placed = checkpoint(clusters.join(firsts, "node").join(sized, "node"), 2 * cores(clusters))
+    chunks = lambda: F.ceil(F.greatest(F.count(F.lit(1)) / CHUNK, F.sum("bytes") / CHUNK_BYTES)).cast("int")
+    large = placed.groupBy("component").agg(chunks().alias("chunks")).filter("chunks > 1")
+    placed = placed.join(broadcast_if_few(large), "component", "left").withColumn("chunks", F.coalesce("chunks", F.lit(1))).withColumn("chunk", F.pmod(F.xxhash64("node"), F.col("chunks")).cast("int"))
+
+    def judged(rows: DataFrame, tiles: Column) -> DataFrame:
+        tiled = rows.select("node", F.col("component").alias("cluster"), "doc_id", "row", "place", F.explode(tiles).alias("t")).select("node", "cluster", "doc_id", "row", "place", "t.*")
+        return tiled.join(words, "node").groupBy("task", "i", "j").applyInArrow(_judge, "node long")
+
+    each = lambda n, f: F.transform(F.sequence(F.lit(0), n - 1), f)
+    c = F.col("component")
+    alone = F.array(tile(F.pmod(F.xxhash64(c), F.lit(32 * cores(clusters))), F.lit(0), F.lit(0), 0))
+    pivots, others = each(F.col("chunks"), lambda k: tile(c, F.lit(1), k + 1, 0)), F.array(tile(c, F.lit(1), F.col("chunk") + 1, 1))
+    lost = checkpoint(judged(placed, F.when(F.col("chunks") == 1, alone).when(F.col("chunk") == 0, pivots).otherwise(others)).distinct(), cores(clusters))
+    crowds = placed.filter("chunks > 1")
+    if crowds.isEmpty():
+        return lost
+    # What no set of the first chunk beats is compared with all the others.
+    rest = checkpoint(crowds.join(lost.withColumn("lost", F.lit(True)), "node", "left").withColumn("left", F.col("lost").isNull()), 2 * cores(clusters))
+    parts = rest.filter("left").groupBy("component").agg(chunks().alias("parts"))
+    rest = rest.join(broadcast_if_few(parts), "component").withColumn("part", F.pmod(F.xxhash64("node"), F.col("parts")).cast("int"))
+    inner = each(F.col("chunks"), lambda k: tile(c, F.col("part") + 1, -1 - k, 0))
+    outer = each(F.col("parts"), lambda o: tile(c, F.least(o, F.col("part")) + 1, F.greatest(o, F.col("part")) + 1, F.when(o < F.col("part"), 1).otherwise(0)))
+    mine = each(F.col("parts"), lambda o: tile(c, o + 1, -1 - F.col("chunk"), 1))
+    return lost.unionByName(judged(rest, F.when(F.col("left"), F.concat(inner, outer)).otherwise(mine)))
+
+
+def removed_lines(rows: DataFrame) -> DataFrame:
+    """row, doc_id, places of all lines with words and places of the removed ones, of every (row, doc_id, text)."""
+    texts = rows.select("text")
+    ranks = rarity(texts)
+    lines = checkpoint(rows.mapInArrow(_named, "row long, doc_id long, places array<int>, names array<long>"))
+    each = lines.select("row", "doc_id", F.explode(F.arrays_zip("places", "names")).alias("l"))
+    firsts = each.groupBy(F.col("l.names").alias("node")).agg(F.min(F.struct("doc_id", "row", F.col("l.places").alias("place"))).alias("first")).select("node", "first.*")
+    loose = texts.mapInArrow(_prefixes(ranks, blocks_for(texts)), PACK).groupBy("bucket").applyInArrow(_pairs, "src long, dst long")
+    clusters = checkpoint(connected_components(loose), 2 * cores(rows))
+    some = texts.mapInArrow(_words_of(_wanted(clusters.select("node"))), "node long, words binary")
+    words = checkpoint(some.join(clusters.select("node"), "node", "left_semi").dropDuplicates(["node"]))
+    kept = firsts.join(_beaten(clusters, firsts, words), "node", "left_anti")
+    stays = kept.groupBy("row").agg(F.collect_list("place").alias("stays")).withColumnRenamed("row", "r")
+    met = lines.join(stays, F.col("row") == F.col("r"), "left")
+    return met.select("row", "doc_id", "places", F.array_except("places", F.coalesce("stays", F.array().cast("array<int>"))).alias("removed"))
 
 
 def line_dedup(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id") -> DataFrame:
-    """doc_id, n_lines, n_removed and the places of the removed lines, of every row that has a text with words."""
-    lines = removed_lines(docs, text_col, id_col)
-    gone = F.array_sort(F.collect_list(F.when(F.col("removed"), F.col("place"))))
-    return lines.groupBy("row").agg(F.first("doc_id").alias("doc_id"), F.count(F.lit(1)).alias("n_lines"), F.count_if("removed").alias("n_removed"), gone.alias("removed_lines")).select("doc_id", "n_lines", "n_removed", "removed_lines")
+    """doc_id, n_lines, n_removed and the places of the removed lines, of every row."""
+    base = only(docs, doc_id=id_col, text=text_col).select(F.monotonically_increasing_id().alias("row"), F.col("doc_id").cast("long"), F.col("text").cast("string"))
+    return removed_lines(base).select("doc_id", F.size("places").cast("long").alias("n_lines"), F.size("removed").cast("long").alias("n_removed"), F.array_sort("removed").alias("removed_lines"))
 
 
 def clean_texts(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id") -> DataFrame:
     """The rows of ``docs``, all columns, with the removed lines cut from the text."""
-    base = docs.withColumn("__row", F.monotonically_increasing_id())
-    gone = removed_lines(docs, text_col, id_col).filter("removed").groupBy("row").agg(F.collect_list("place").alias("__gone"))
+    base = numbered(docs, "__row")
+    gone = removed_lines(only(base, row="__row", doc_id=id_col, text=text_col).select("row", F.col("doc_id").cast("long"), F.col("text").cast("string"))).filter("size(removed) > 0").select(F.col("row").alias("__of"), F.col("removed").alias("__gone"))
     kept = F.array_join(F.filter(F.split(F.col(f"`{text_col}`"), "\n"), lambda x, i: ~F.array_contains("__gone", i)), "\n")
-    met = base.join(gone, F.col("__row") == F.col("row"), "left")
+    met = base.join(gone, F.col("__row") == F.col("__of"), "left")
     return met.select(*[F.when(F.col("__gone").isNull(), F.col(f"`{c}`")).otherwise(kept).alias(c) if c == text_col else F.col(f"`{c}`") for c in docs.columns])
 
 
@@ -152,7 +368,7 @@ p AS (SELECT * FROM r WHERE i <= n - ceil(n * 0.8) + 1),
 pairs AS (SELECT DISTINCT x.id AS x, y.id AS y FROM p x JOIN p y USING (word) WHERE y.f < x.f AND x.n * 5 >= y.n * 4 AND y.n * 5 >= x.n * 4),
 lost AS (SELECT DISTINCT x FROM pairs JOIN c cx ON cx.id = x JOIN c cy ON cy.id = y WHERE 9 * len(list_intersect(cx.s, cy.s)) >= 4 * (cx.n + cy.n)),
 j AS (SELECT doc_id, place, NOT (doc_id * 1000000 + place = f AND lost.x IS NULL) AS removed FROM w JOIN c USING (s) LEFT JOIN lost ON lost.x = c.id)
-SELECT doc_id, count(*) AS n_lines, count(*) FILTER (removed) AS n_removed,
+SELECT documents.doc_id, count(place) AS n_lines, count(*) FILTER (removed) AS n_removed,
        coalesce(string_agg(place::VARCHAR, ',' ORDER BY place) FILTER (removed), '') AS removed_lines
-FROM j GROUP BY doc_id
+FROM documents LEFT JOIN j USING (doc_id) GROUP BY documents.doc_id
 """

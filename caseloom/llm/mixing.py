@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from caseloom.llm import kernels as K
-from caseloom.llm.frames import broadcast_if_few, checkpoint, only
+from caseloom.llm.frames import broadcast_if_few, checkpoint, cores, only
 
 SLICES = 1024
 WEIGHTS, SHARE, LIMIT = (5.0, 2.0, 1.0), 1.5, 2.0
@@ -107,10 +107,10 @@ def keyed(docs: DataFrame, text_col: str, id_col: str, source_col: str, seed: in
 def plan(rows: DataFrame, weights: tuple[float, ...] = WEIGHTS, share: float = SHARE, limit: float = LIMIT) -> DataFrame:
     """Of the keyed ``rows``, one row a source: source, source_size, target, epochs and cut, the greatest key of the last epoch's draw."""
     sliced = rows.withColumn("slice", F.floor(F.log2("key") * SLICES).cast("int"))
-    slices = checkpoint(sliced.groupBy("source", "slice").agg(F.sum("size").alias("words")))
+    slices = checkpoint(sliced.groupBy("source", "slice").agg(F.sum("size").alias("words")), cores(rows))
     aims = targets(slices.groupBy("source").agg(F.sum("words").alias("source_size")), weights, share, limit)
     aims = aims.withColumn("epochs", F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(0)).withColumn("rest", F.col("target") - F.col("epochs") * F.col("source_size"))
-    aims = checkpoint(aims)
+    aims = checkpoint(aims, cores(rows))
     running = W.partitionBy("source").orderBy("slice").rowsBetween(W.unboundedPreceding, W.currentRow)
     upto = slices.withColumn("upto", F.sum("words").over(running)).withColumn("before", F.col("upto") - F.col("words"))
     same = F.col("source").eqNullSafe(F.col("s"))
@@ -127,7 +127,7 @@ def plan(rows: DataFrame, weights: tuple[float, ...] = WEIGHTS, share: float = S
     # Without a border everything is drawn; a border slice that takes nothing ends at its lower edge.
     before_slice = F.pow(F.lit(2.0), F.col("slice") / F.lit(float(SLICES))) * F.lit(1 - 1e-12)
     last = F.when(F.col("slice").isNull(), F.lit(float("inf"))).otherwise(F.coalesce("last", before_slice))
-    return checkpoint(met.select("source", "source_size", "target", "epochs", F.when(F.col("rest") > 0, last).otherwise(F.lit(-1.0)).alias("cut")))
+    return checkpoint(met.select("source", "source_size", "target", "epochs", F.when(F.col("rest") > 0, last).otherwise(F.lit(-1.0)).alias("cut")), cores(rows))
 
 
 def mix(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id", source_col: str = "source", seed: int = 17, weights: tuple[float, ...] = WEIGHTS, share: float = SHARE, limit: float = LIMIT) -> DataFrame:

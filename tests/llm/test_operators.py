@@ -171,7 +171,7 @@ def test_line_dedup(spark):
     lines = [line() for _ in range(60)]
     texts = [None, "", "a\n\na"] + ["\n".join(rng.choice(lines) + rng.choice(["", " v1", " zz"]) for _ in range(rng.randrange(1, 6))) for _ in range(60)]
     flat = [(d, p, frozenset(WORD.findall(x))) for d, t in enumerate(texts) if t is not None for p, x in enumerate(t.split("\n"))]
-    want = {}
+    want = {d: (0, []) for d in range(len(texts))}
     for i, (d, p, s) in enumerate(flat):
         if s:
             gone = any(e and 9 * len(s & e) >= 4 * (len(s) + len(e)) for _, _, e in flat[:i])
