@@ -44,10 +44,11 @@ def connected_components(edges: DataFrame, src: str = "src", dst: str = "dst") -
     Edges to or from null are ignored; an edge of a node to itself makes it a
     component of its own; no edges give no rows.
     """
-    pairs = edges.select(F.col(src).cast("long").alias("a"), F.col(dst).cast("long").alias("b")).filter("a is not null and b is not null")
-    now = pairs.filter("a != b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct()
+    ends = edges.select(F.col(src).cast("long").alias("a"), F.col(dst).cast("long").alias("b")).filter("a is not null and b is not null")
     cores = edges.sparkSession.sparkContext.defaultParallelism
-    now = checkpoint(now, 2 * cores)
+    # Written before all else: the edges may be dear, and are read again for the nodes that have none but their own.
+    pairs = checkpoint(ends.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct(), 2 * cores)
+    now = pairs.filter("u > v")
     edge_count = now.count()
     parts = max(cores, edge_count // TASK_EDGES)
     degree = max(LEAST_DEGREE, 2 * edge_count // HUBS)
@@ -60,6 +61,6 @@ def connected_components(edges: DataFrame, src: str = "src", dst: str = "dst") -
         mark = tuple(seen)
     stars = now.select(F.col("u").alias("node"), F.col("v").alias("component"))
     roots = now.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct()
-    alone = pairs.filter("a = b").select(F.col("a").alias("node"), F.col("a").alias("component")).distinct()
+    alone = pairs.filter("u = v").select(F.col("u").alias("node"), F.col("v").alias("component"))
     alone = alone.join(stars.select("node").unionByName(roots.select("node")), "node", "left_anti")
     return stars.unionByName(roots).unionByName(alone)
