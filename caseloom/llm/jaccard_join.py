@@ -69,6 +69,8 @@ CHUNK, CHUNK_BYTES = 1500, 8 << 20
 SKETCH_WORDS, SENT_WORDS = 32, 4
 #: Sets with one segment in common are compared pair by pair up to this number.
 CROWD = 4096
+#: Groups up to this size are compared all at once, step by step.
+FEW = 128
 
 _U = np.uint64
 
@@ -288,8 +290,12 @@ def _allowed(u: np.ndarray, v: np.ndarray, size: np.ndarray, sketch: np.ndarray,
     """Whether sizes, sketches and, if given, the numbers of elements left from the common one on allow a link."""
     total = size[u] + size[v]
     apart = most_apart(total)
-    good = (np.abs(size[u] - size[v]) <= apart) & (np.bitwise_count(sketch[u] ^ sketch[v]).sum(1) <= apart)
-    return good if left is None else good & ((DENOMINATOR + NUMERATOR) * np.minimum(left[u], left[v]) >= NUMERATOR * total)
+    good = np.abs(size[u] - size[v]) <= apart
+    if left is not None:  # neither set has what stands before the common element in the other
+        good &= (total - left[u] - left[v] <= apart) & ((DENOMINATOR + NUMERATOR) * np.minimum(left[u], left[v]) >= NUMERATOR * total)
+    some = np.flatnonzero(good)
+    good[some] = np.bitwise_count(sketch[u[some]] ^ sketch[v[some]]).sum(1) <= apart[some]
+    return good
 
 
 def _star(members: np.ndarray, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -308,8 +314,8 @@ def candidates(sigs: np.ndarray, size: np.ndarray, sketch: np.ndarray, left: np.
     order = np.argsort(sigs, kind="stable")
     first = np.flatnonzero(np.diff(sigs[order], prepend=~sigs[order[:1]]))
     count = np.diff(np.append(first, len(sigs)))
-    few = np.flatnonzero((count > 1) & (count <= 32))
-    for step in range(1, 32):  # pairs of members that are ``step`` places apart
+    few = np.flatnonzero((count > 1) & (count <= FEW))
+    for step in range(1, FEW):  # pairs of members that are ``step`` places apart
         some = few[count[few] > step]
         if not len(some):
             break
@@ -318,7 +324,7 @@ def candidates(sigs: np.ndarray, size: np.ndarray, sketch: np.ndarray, left: np.
         u, v = order[at], order[at + step]
         good = _allowed(u, v, size, sketch, left)
         yield u[good], v[good]
-    for g in np.flatnonzero(count > 32).tolist():
+    for g in np.flatnonzero(count > FEW).tolist():
         members = order[first[g] : first[g] + count[g]]
         if len(members) <= CROWD:
             for at in range(0, len(members), 128):
@@ -342,6 +348,19 @@ def _edges_between(small: np.ndarray, large: np.ndarray, size: np.ndarray):
         yield near, np.full(len(near), large.min())
 
 
+def forest(edges) -> tuple[np.ndarray, np.ndarray]:
+    """(nodes, root of each other node) of batches of edges, joined whenever some have gathered."""
+    who, root, wait, size = np.zeros(0, np.int64), np.zeros(0, np.int64), [], 0
+    for edge in itertools.chain(edges, [None]):
+        if edge is not None and len(edge[0]):
+            wait.append(edge)
+            size += len(edge[0])
+        if wait and (edge is None or size > 1 << 20):
+            who, root = roots(np.concatenate([who, *(w[0] for w in wait)]), np.concatenate([root, *(w[1] for w in wait)]))
+            who, root, wait, size = who[who != root], root[who != root], [], 0
+    return who, root
+
+
 def _looser(spread: int):
     def loosen(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
         """Of one range: a forest that joins the documents of each signature that may be linked, packed by a range of nodes."""
@@ -353,16 +372,7 @@ def _looser(spread: int):
             size.append(np.frombuffer(extra, np.int32, n, 8 * n).astype(np.int64))
             sketch.append(np.frombuffer(extra, np.uint64, n * SENT_WORDS, 12 * n).reshape(n, SENT_WORDS))
         nodes = np.concatenate(ids)
-        who, root = np.zeros(0, np.int64), np.zeros(0, np.int64)
-        wait: list[tuple[np.ndarray, np.ndarray]] = []
-        for edge in itertools.chain(candidates(np.concatenate(sigs), np.concatenate(size), np.concatenate(sketch)), [None]):
-            if edge is not None:
-                wait.append((nodes[edge[0]], nodes[edge[1]]))
-            if wait and (edge is None or sum(len(w[0]) for w in wait) > 1 << 20):
-                who, root = roots(np.concatenate([who, *(w[0] for w in wait)]), np.concatenate([root, *(w[1] for w in wait)]))
-                wait = []
-        keep = who != root
-        who, root = who[keep], root[keep]
+        who, root = forest((nodes[u], nodes[v]) for u, v in candidates(np.concatenate(sigs), np.concatenate(size), np.concatenate(sketch)))
         place = (K.mix(who.view(np.uint64)) % _U(spread)).astype(np.int64)
         order = np.argsort(place, kind="stable")
         bounds = np.searchsorted(place[order], np.arange(spread + 1)).tolist()

@@ -39,7 +39,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from caseloom.llm import kernels as K
 from caseloom.llm.frames import blocks_for, broadcast_if_few, checkpoint, cores, numbered, only
-from caseloom.llm.jaccard_join import CHUNK, CHUNK_BYTES, DENOMINATOR, NUMERATOR, candidates, linked, most_apart, parity, roots, tile
+from caseloom.llm.jaccard_join import CHUNK, CHUNK_BYTES, DENOMINATOR, NUMERATOR, candidates, forest, linked, most_apart, parity, tile
 from caseloom.operators.graph import connected_components
 
 #: Cells of the rarity table (a byte each) and of the table of wanted sets (a bit each); the latter only spares work.
@@ -211,10 +211,8 @@ def _pairs(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
     once = np.ones(len(keys), bool)  # a set that several flushes sent
     once[1:] = (keys[1:] != keys[:-1]) | (names[1:] != names[:-1])
     keys, names, n, at, sketch = keys[once], names[once], n[once], at[once], sketch[once]
-    who, root = np.zeros(0, np.int64), np.zeros(0, np.int64)
-    for u, v in candidates(keys, n, sketch, n - at):
-        who, root = roots(np.concatenate([who, names[u]]), np.concatenate([root, names[v]]))
-    return pa.table([pa.array(who[who != root]), pa.array(root[who != root])], schema=_EDGES)
+    who, root = forest((names[u], names[v]) for u, v in candidates(keys, n, sketch, n - at))
+    return pa.table([pa.array(who), pa.array(root)], schema=_EDGES)
 
 
 def _bits(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
