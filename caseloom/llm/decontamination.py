@@ -1,27 +1,35 @@
 """Benchmark decontamination: rare n-gram seeds, then Smith-Waterman alignment.
 
-Seeds are the word n-grams of the test items.  One pass counts every seed over
-the whole corpus; a seed's weight is its inverse document frequency, so common
-phrases seed little and rare ones much.  In a second pass, seeds that a document
-shares with an item fall on diagonals (place in the document minus place in the
-item).  Neighbouring diagonals whose distinct seeds weigh enough open a passage
-of the document, and a local alignment of its words against the item's (match
-+2, mismatch -1, gap -1) scores it.  The score is the share of the item's best
-possible one, so edited and paraphrased copies keep most of it.
+A document holds a test item if the local alignment of their words (match +2,
+mismatch -1, gap -1) reaches ``THRESHOLD`` of the item's best possible score, so
+edited and paraphrased copies are found.  With a threshold of one half:
+
+*Seeds.*  Such an alignment matches at least half of the item's n words, and
+spans at most 2n words of the document.  Of any n/2 + j word places of the item
+at least j are then matched.  The seeds are the n/2 + j rarest places (unigrams:
+edits can break every longer n-gram), rare by the number of documents that hold
+the word, counted over the whole corpus, times the number of items that do.  A
+passage opens where j seeds lie within 2n words, so no alignment above the
+threshold can be missed; common words never open one.
+
+*Confirmation.*  Within an opened passage, words of the item of any kind are
+counted: n/2 must lie within 2n words, and the longest common subsequence must
+have n/2.
+
+*Alignment.*  What is left is aligned word by word, and the share of the item's
+best possible score is the document's score for it.
 
 The test items are a query set: they are taken in slices of at most
 ``SLICE_SEEDS`` seeds, so what each task holds is bounded however large the
 benchmark is, and every document meets every slice.
 
-Defined cases: null texts are empty and match nothing; items shorter than a seed
-are one seed as a whole; items without words match nothing; repeated items and
+Defined cases: null texts are empty and match nothing; items without words match nothing; repeated items and
 documents match each on their own; null ids are kept; no rows on either side
 give no rows; other columns are not read.
 """
 
 from __future__ import annotations
 
-import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -31,10 +39,11 @@ from pyspark.sql import DataFrame, functions as F
 from caseloom.llm import kernels as K
 from caseloom.llm.frames import only, without
 
-SEED = 3
 SLICE_SEEDS = 1 << 20
-#: Diagonals this near belong to one passage; it opens when its distinct seeds reach this share of the item's weight.
-DRIFT, OPEN_SHARE = 8, 0.08
+#: Of an item of n words, n / EXTRA seeds must lie together to open a passage.
+EXTRA = 6
+#: Hits of seeds that a task holds at a time.
+HITS = 1 << 21
 MATCH, MISMATCH, GAP = 2, -1, -1
 #: Share of the item's best possible score from which a document counts as contaminated.
 THRESHOLD = 0.5
@@ -46,46 +55,48 @@ def _words(column: pa.Array):
     return K.word_hashes(data, start, end, lower=True), counts
 
 
-def _grams(words: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    at = K.window_starts(counts, SEED)
-    return (K.rolling(words, SEED)[at] if len(at) else np.zeros(0, np.uint64)), at
+def least_matches(n: np.ndarray, threshold: float) -> np.ndarray:
+    """How many words of an item of n an alignment at the threshold matches at least: each scores MATCH, nothing else adds."""
+    return np.ceil(threshold * n - 1e-9).astype(np.int64)
 
 
 class Items:
-    """A slice of the test items: their words, and an index from seed to places."""
+    """A slice of the test items: their words, the distinct ones in order, and the items that hold each."""
 
     def __init__(self, ids: list, texts: list[str]):
         words, counts = _words(pa.array(texts, pa.large_string()))
         ends = np.cumsum(counts)
         self.ids, self.counts = ids, counts
         self.words = [words[e - c : e] for e, c in zip(ends.tolist(), counts.tolist(), strict=True)]
-        grams, at = _grams(words, counts)
-        owner = np.searchsorted(ends, at, "right")
-        place = at - (ends - counts)[owner]
-        for i in np.flatnonzero((counts > 0) & (counts < SEED)):
-            grams = np.append(grams, K.rolling(self.words[i], int(counts[i])))
-            owner, place = np.append(owner, i), np.append(place, 0)
-        order = np.argsort(grams, kind="stable")
-        grams, self.owner, self.place = grams[order], owner[order], place[order]
-        self.first = np.flatnonzero(np.diff(grams, prepend=~grams[:1]))
-        self.seeds = grams[self.first]
-        self.repeat = np.diff(np.append(self.first, len(grams)))
+        self.all = words
+        self.owner = np.repeat(np.arange(len(counts)), counts)
+        self.distinct, self.slot = np.unique(words, return_inverse=True)
         self.maybe = np.zeros(1 << 20, bool)
-        self.maybe[(self.seeds & np.uint64((1 << 20) - 1)).astype(np.int64)] = True
-        self.short = sorted({int(c) for c in counts if 0 < c < SEED})
-
-    def hits(self, words: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """(word index, seed index) of every seed in the documents."""
-        found = []
-        for width in [SEED, *self.short]:
-            at = K.window_starts(counts, width)
-            grams = K.rolling(words, width)[at] if len(at) else np.zeros(0, np.uint64)
-            near = np.flatnonzero(self.maybe[(grams & np.uint64((1 << 20) - 1)).astype(np.int64)])
-            grams, at = grams[near], at[near]
-            slot = np.minimum(np.searchsorted(self.seeds, grams), max(0, len(self.seeds) - 1))
-            real = self.seeds[slot] == grams if len(self.seeds) else np.zeros(0, bool)
-            found.append((at[real], slot[real]))
-        return np.concatenate([f[0] for f in found]), np.concatenate([f[1] for f in found])
+        self.maybe[(self.distinct & np.uint64((1 << 20) - 1)).astype(np.int64)] = True
+
+    def known(self, words: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(index, slot of the word) of the words that some item holds."""
+        at = np.flatnonzero(self.maybe[(words & np.uint64((1 << 20) - 1)).astype(np.int64)])
+        if not len(self.distinct):
+            return at[:0], at[:0]
+        slot = np.minimum(np.searchsorted(self.distinct, words[at]), len(self.distinct) - 1)
+        real = self.distinct[slot] == words[at]
+        return at[real], slot[real]
+
+    def seed(self, docs_with: np.ndarray, threshold: float) -> None:
+        """Choose the seeds: the rarest places of every item."""
+        per_item = np.unique(self.owner * max(1, len(self.distinct)) + self.slot)
+        items_with = np.bincount(per_item % max(1, len(self.distinct)), minlength=len(self.distinct))
+        cost = (docs_with + 1.0) * items_with
+        self.least = least_matches(self.counts, threshold)
+        self.span = np.ceil(self.counts * (3 - 2 * threshold)).astype(np.int64)  # words of a document that such an alignment can span
+        self.open = np.maximum(1, np.minimum(self.counts // EXTRA, self.least))
+        order = np.lexsort((self.slot, cost[self.slot], self.owner))
+        place = np.arange(len(order)) - np.repeat(np.cumsum(self.counts) - self.counts, self.counts)
+        rare = order[place < np.repeat(self.counts - self.least + self.open, self.counts)]
+        pairs = np.unique(self.slot[rare] * len(self.counts) + self.owner[rare])
+        slots, self.item_of = pairs // max(1, len(self.counts)), pairs % max(1, len(self.counts))
+        self.first = np.searchsorted(slots, np.arange(len(self.distinct) + 1))
 
 
 def align(doc: np.ndarray, item: np.ndarray) -> tuple[int, int, int]:
@@ -114,17 +125,16 @@ def align(doc: np.ndarray, item: np.ndarray) -> tuple[int, int, int]:
 
 def _counter(items: Items):
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros(len(items.seeds), np.int64)
-        docs = 0
+        """Documents that hold each word of the items."""
+        total = np.zeros(len(items.distinct), np.int64)
         for batch in K.parts(batches, 0):
             words, counts = _words(batch.column(0))
-            docs += len(counts)
-            at, slot = items.hits(words, counts)
+            at, slot = items.known(words)
             owner = np.searchsorted(np.cumsum(counts), at, "right")
-            pairs = np.unique(owner * max(1, len(items.seeds)) + slot)
-            total += np.bincount(pairs % max(1, len(items.seeds)), minlength=len(total))
+            pairs = np.unique(owner * max(1, len(total)) + slot)
+            total += np.bincount(pairs % max(1, len(total)), minlength=len(total))
         used = np.flatnonzero(total)
-        yield pa.RecordBatch.from_arrays([pa.array(np.append(used, -1)), pa.array(np.append(total[used], docs))], names=["seed", "n"])
+        yield pa.RecordBatch.from_arrays([pa.array(used), pa.array(total[used])], names=["word", "n"])
 
     return count
 
@@ -132,73 +142,120 @@ def _counter(items: Items):
 _OUT = pa.schema([("doc_id", pa.int64()), ("item_id", pa.int64()), ("score", pa.float64()), ("start", pa.int64()), ("end", pa.int64())])
 
 
-def _finder(items: Items, weight: np.ndarray, threshold: float):
-    whole = np.zeros(len(items.ids))
-    seed_of = np.repeat(np.arange(len(items.seeds)), items.repeat)
-    np.add.at(whole, items.owner, weight[seed_of])
+def _openings(items: Items, at: np.ndarray, slot: np.ndarray, doc: np.ndarray) -> Iterator[tuple[np.ndarray, ...]]:
+    """(document, item, first and last word) of places where enough seeds of an item lie together.
 
+    ``at`` are ascending places of known words.  They are taken in stretches of at most ``HITS`` hits, which overlap by what a passage spans.
+    """
+    times = items.first[slot + 1] - items.first[slot]
+    some = times > 0
+    at, slot, doc, times = at[some], slot[some], doc[some], times[some]
+    upto = np.cumsum(times)
+    reach = int(items.span.max(initial=0))
+    low = 0
+    while low < len(at):
+        high = max(low + 1, int(np.searchsorted(upto, (upto[low - 1] if low else 0) + HITS, "right")))
+        back = int(np.searchsorted(at, at[low] - reach)) if low else 0
+        mine = slice(back, high)
+        n = times[mine]
+        item = items.item_of[np.repeat(items.first[slot[mine]], n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)]
+        d, where = np.repeat(doc[mine], n), np.repeat(at[mine], n)
+        order = np.lexsort((where, item, d))
+        item, d, where = item[order], d[order], where[order]
+        need, span = items.open[item], items.span[item]
+        last = np.arange(len(item)) + need - 1
+        inside = np.flatnonzero(last < len(item))
+        end = last[inside]
+        good = inside[(item[end] == item[inside]) & (d[end] == d[inside]) & (where[end] - where[inside] < span[inside])]
+        yield d[good], item[good], where[good], where[last[good]]
+        low = high
+
+
+def _finder(items: Items, threshold: float):
     def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in K.parts(batches, 1):
             words, counts = _words(batch.column(1))
-            at, slot = items.hits(words, counts)
-            ids, rows = batch.column(0).to_pylist(), []
-            if len(at):
-                # one row for each place of the seed in an item
-                times = items.repeat[slot]
-                which = np.repeat(items.first[slot], times) + np.arange(times.sum()) - np.repeat(np.cumsum(times) - times, times)
-                at, slot = np.repeat(at, times), np.repeat(slot, times)
-                item, place = items.owner[which], items.place[which]
-                ends = np.cumsum(counts)
-                doc = np.searchsorted(ends, at, "right")
-                local = at - (ends - counts)[doc]
-                lean = local - place
-                order = np.lexsort((lean, item, doc))
-                doc, item, lean, slot, local = doc[order], item[order], lean[order], slot[order], local[order]
-                new = np.ones(len(doc), bool)
-                new[1:] = (doc[1:] != doc[:-1]) | (item[1:] != item[:-1]) | (np.diff(lean) > DRIFT)
-                group = np.cumsum(new) - 1
-                distinct = np.unique(group * max(1, len(items.seeds)) + slot)
-                heavy = np.bincount(distinct // max(1, len(items.seeds)), weights=weight[distinct % max(1, len(items.seeds))], minlength=group[-1] + 1)
-                first = np.flatnonzero(new)
-                best: dict[tuple[int, int], tuple] = {}
-                for g in np.flatnonzero(heavy >= OPEN_SHARE * whole[item[first]]).tolist():
-                    d, i = int(doc[first[g]]), int(item[first[g]])
-                    last = first[g + 1] if g + 1 < len(first) else len(doc)
-                    n = int(items.counts[i])
-                    base = int(ends[d] - counts[d])
-                    low = max(0, int(lean[first[g]]) - n // 2 - DRIFT)
-                    high = min(int(counts[d]), int(lean[last - 1]) + n + n // 2 + DRIFT)
-                    for score, a, b in _passages(words[base + low : base + high], items.words[i], threshold):
-                        share = score / (MATCH * n)
-                        if share > best.get((d, i), (0,))[0]:
-                            best[d, i] = (share, low + a, low + b)
-                rows = [(ids[d], items.ids[i], s, a, b) for (d, i), (s, a, b) in sorted(best.items()) if s >= threshold]
+            ids, ends = batch.column(0).to_pylist(), np.cumsum(counts)
+            at, slot = items.known(words)
+            best: dict[tuple[int, int], tuple] = {}
+            for d, i, low, high in _openings(items, at, slot, np.searchsorted(ends, at, "right")):
+                for doc, item, a, b in _passages_of(d, i, low, high, items.span, ends, counts):
+                    base = int(ends[doc] - counts[doc])
+                    for score, x, y in _aligned(words[a:b], items.words[item], int(items.least[item]), int(items.span[item])):
+                        share = score / (MATCH * int(items.counts[item]))
+                        if share >= threshold and share > best.get((doc, item), (0,))[0]:
+                            best[doc, item] = (share, a - base + x, a - base + y)
+            rows = [(ids[d], items.ids[i], s, a, b) for (d, i), (s, a, b) in sorted(best.items())]
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows) if rows else [[]] * 5, _OUT.types, strict=True)], schema=_OUT)
 
     return find
 
 
-def _passages(doc: np.ndarray, item: np.ndarray, threshold: float):
+def _passages_of(doc: np.ndarray, item: np.ndarray, low: np.ndarray, high: np.ndarray, spans: np.ndarray, ends: np.ndarray, counts: np.ndarray):
+    """Openings of one document and item that reach into each other, as (document, item, first word, end) with room on both sides."""
+    if not len(doc):
+        return
+    room = spans[item]
+    begin, end = np.maximum(low - room, (ends - counts)[doc]), np.minimum(high + room + 1, ends[doc])
+    new = np.ones(len(doc), bool)
+    new[1:] = (doc[1:] != doc[:-1]) | (item[1:] != item[:-1]) | (begin[1:] > end[:-1])
+    first = np.flatnonzero(new)
+    last = np.append(first[1:], len(doc)) - 1
+    yield from zip(doc[first].tolist(), item[first].tolist(), begin[first].tolist(), end[last].tolist(), strict=True)
+
+
+def common_subsequence(doc: list[int], item: list[int]) -> int:
+    """Length of the longest common subsequence, which an alignment's matches cannot exceed: a bit a word of the item."""
+    places: dict[int, int] = {}
+    for i, w in enumerate(item):
+        places[w] = places.get(w, 0) | 1 << i
+    whole = free = (1 << len(item)) - 1
+    for w in doc:
+        met = free & places.get(w, 0)
+        free = ((free + met) | (free - met)) & whole
+    return len(item) - free.bit_count()
+
+
+def _aligned(doc: np.ndarray, item: np.ndarray, least: int, span: int):
+    """Alignments of the parts of a passage where enough words of the item lie together."""
+    held = np.flatnonzero(np.isin(doc, item))
+    if len(held) < least:
+        return
+    near = np.flatnonzero(held[least - 1 :] - held[: len(held) - least + 1] < span)
+    low = 0
+    while low < len(near):  # each run of such places with room for an alignment around them
+        high = low
+        while high + 1 < len(near) and held[near[high + 1]] - held[near[high] + least - 1] <= span:
+            high += 1
+        a, b = max(0, int(held[near[low]]) - span), int(held[near[high] + least - 1]) + span + 1
+        inside = held[np.searchsorted(held, a) : np.searchsorted(held, b)]
+        if common_subsequence(doc[inside].tolist(), item.tolist()) >= least:
+            for score, x, y in _passages(doc[a:b], item, span):
+                yield score, a + x, a + y
+        low = high + 1
+
+
+def _passages(doc: np.ndarray, item: np.ndarray, reach: int):
     """The alignment of a passage; pieces of a very long one overlap by what an alignment can span."""
-    span = max(2048, 8 * len(item))
-    reach = 3 * len(item)  # an alignment above nothing spends at most its matches on gaps
-    for at in range(0, max(1, len(doc) - reach), span):
-        score, a, b = align(doc[at : at + span + reach], item)
+    step = max(2048, 8 * len(item))
+    for at in range(0, max(1, len(doc) - reach), step):
+        score, a, b = align(doc[at : at + step + reach], item)
         if score:
             yield score, at + a, at + b
 
 
 def _finders(docs: DataFrame, benchmark: DataFrame, text_col: str, item_col: str, threshold: float) -> Iterator:
-    """The finder of each slice of the items, its seeds weighted over all of ``docs``."""
+    """The finder of each slice of the items, its seeds chosen by all of ``docs``."""
     texts_of = only(docs, text=text_col).select(F.col("text").cast("string"))
     tests = only(benchmark, item_id=item_col, text="text").select(F.col("item_id").cast("long"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
     for ids, texts in _slices(tests):
         items = Items(ids, texts)
-        seen = texts_of.mapInArrow(_counter(items), "seed long, n long").groupBy("seed").agg(F.sum("n").alias("n"))
-        counted = {r["seed"]: r["n"] for r in seen.collect()}  # at most SLICE_SEEDS + 1 numbers
-        total = counted.get(-1, 0)
-        weight = np.array([math.log((total + 1) / (counted.get(i, 0) + 1)) + 0.1 for i in range(len(items.seeds))])
-        yield _finder(items, weight, threshold)
+        seen = texts_of.mapInArrow(_counter(items), "word long, n long").groupBy("word").agg(F.sum("n").alias("n"))
+        docs_with = np.zeros(len(items.distinct))
+        for r in seen.collect():  # at most SLICE_SEEDS numbers
+            docs_with[r["word"]] = r["n"]
+        items.seed(docs_with, threshold)
+        yield _finder(items, threshold)
 
 
 def contaminated(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", id_col: str = "doc_id", item_col: str = "item_id", threshold: float = THRESHOLD) -> DataFrame:

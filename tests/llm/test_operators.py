@@ -226,6 +226,53 @@ def test_decontamination(spark):
     assert sorted(r.doc_id for r in decontamination.clean_documents(docs(spark, texts), bench).collect()) == [0, 1, 2, 5, 6]
 
 
+def plain_alignment(doc, item):
+    """Smith-Waterman, cell by cell."""
+    best, above = 0, [0] * (len(item) + 1)
+    for w in doc:
+        row = [0]
+        for j, v in enumerate(item):
+            row.append(max(0, above[j] + (2 if v == w else -1), above[j + 1] - 1, row[j] - 1))
+        best, above = max(best, *row), row
+    return best
+
+
+@pytest.mark.parametrize("vocabulary", [8, 60, 2000])
+def test_decontamination_finds_what_plain_alignment_finds(spark, vocabulary):
+    """Recall against brute force over edited copies: replaced, inserted and deleted words, short items, repeated words, common words only."""
+    rng = random.Random(vocabulary)
+    word = lambda: f"t{rng.randrange(vocabulary)}"
+    items = [[word() for _ in range(n)] for n in (1, 2, 3, 5, 8, 13, 30, 30, 45)] + [["same"] * 6, ["t1", "t2"] * 9]
+    texts = [[word() for _ in range(rng.choice([0, 3, 30, 200]))] for _ in range(25)]
+    for _ in range(60):
+        copy = []
+        for w in rng.choice(items):
+            edit = rng.random()
+            copy += [] if edit < 0.1 else [word()] if edit < 0.3 else [w, word()] if edit < 0.4 else [w]
+        pad = [word() for _ in range(rng.randrange(60))]
+        texts.append(pad + copy + pad[::-1])
+    for step in (2, 3):
+        texts.append([f"x{i}" if i % step == step - 1 else w for i, w in enumerate(items[6])])
+        texts.append([v for i, w in enumerate(items[7]) for v in ([w, f"y{i}"] if i % step == step - 1 else [w])])
+    bench = spark.createDataFrame([(i, " ".join(x)) for i, x in enumerate(items)], "item_id long, text string")
+    got = {(r.doc_id, r.item_id): r.score for r in decontamination.contaminated(docs(spark, [" ".join(t) for t in texts]), bench).collect()}
+    want = {(d, i): plain_alignment(t, x) / (2 * len(x)) for d, t in enumerate(texts) for i, x in enumerate(items) if plain_alignment(t, x) >= len(x)}
+    assert got == want and len(want) > 30
+
+
+def test_a_word_of_all_items_opens_nothing(spark, monkeypatch):
+    """Work stays bounded where every item holds one word that a document repeats; stretches of few hits find the same."""
+    items = [["question"] + [f"i{i}w{k}" for k in range(9)] for i in range(400)]
+    texts = ["question " * 3000, " ".join(items[7]), " ".join(["question"] * 50 + items[3][:8])]
+    bench = spark.createDataFrame([(i, " ".join(x)) for i, x in enumerate(items)], "item_id long, text string")
+    for hits in (1 << 21, 64):
+        monkeypatch.setattr(decontamination, "HITS", hits)
+        got = {(r.doc_id, r.item_id) for r in decontamination.contaminated(docs(spark, texts), bench).collect()}
+        assert got == {(1, 7), (2, 3)}
+    none = docs(spark, texts).filter("false")
+    assert decontamination.contaminated(none, bench).count() == 0 and decontamination.clean_documents(none, bench).count() == 0
+
+
 EMAIL = re.compile(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+")
 IP, CARD, PHONE = re.compile(r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)"), re.compile(r"[0-9]([\x20-]?[0-9])+"), re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 
