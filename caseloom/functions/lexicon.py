@@ -114,3 +114,18 @@ PANEL = (
     "ubicacion", "actores_primarios", "actores_secundarios", "actores_terciarios", "actores", "hechos_del_mes", "es_socioambiental",
     "menciona_mineria", "caso_estandarizado", "texto_crudo", "pagina",
 )
+
+# Numbers in the names of stored files, and the phrases of layout families with the length of text they must stand in (0: all).
+STORE_PREFIX = r"^n\d{1,3}_"
+STORE_NUMBERS = (r"(?:^|[-_\s])n[o.\s_-]*(\d{1,3})(?!\d)", r"conflictos(?:[_\s-]*sociales)?[_\s-]*(\d{1,3})\b", r"reporte[-_\s]*(\d{1,3})\b")
+STORE_LIMITS = (320, 320, 269)
+STORE_OTHERS = ("adjuntia", "costos-del-conflicto", "costos_del_conflicto")
+LAYOUT_PHRASES = {
+    "k_intensity": (0, ("distinta intensidad",)),
+    "k_unit": (3000, ("unidad de conflictos",)),
+    "k_direction": (3000, ("direccion de la unidad",)),
+    "k_deputy": (4000, ("adjuntia", "subadjuntia")),
+    "k_summary": (2500, ("sumilla",)),
+    "k_special": (2000, ("reporte especial",)),
+    "k_cycle": (4000, ("fase temprana", "desescalamiento")),
+}

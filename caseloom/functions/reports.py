@@ -91,6 +91,39 @@ def number_in_name(c: ColumnLike) -> Column:
     return F.coalesce(F.try_element_at(F.filter(valid, lambda n: n >= 50), F.lit(1)), F.try_element_at(valid, F.lit(1)))
 
 
+def number_in_store(c: ColumnLike) -> Column:
+    """Report number of a stored file's name: the last one behind an 'n', else behind 'conflictos', else a small one behind 'reporte'.
+
+    An inventory's own prefix 'n12_' is no report number; misnamed files and titles that are no monthly report have none.
+    """
+    name = fold(c)
+    t = F.regexp_replace(fold(stem(c)), L.STORE_PREFIX, "")
+    found = [F.transform(F.regexp_extract_all(t, F.lit(p), F.lit(1)), lambda x: x.cast("int")) for p in L.STORE_NUMBERS]
+    picks = [F.try_element_at(found[0], F.lit(-1)), F.try_element_at(found[1], F.lit(1)), F.try_element_at(found[2], F.lit(1))]
+    valid = F.coalesce(*[F.when(n.between(1, most), n) for n, most in zip(picks, L.STORE_LIMITS, strict=True)])
+    other = F.lit(False)
+    for word in L.STORE_OTHERS:
+        other = other | name.contains(word)
+    return F.when(~other & ~fold(stem(c)).startswith("malnombrado"), valid)
+
+
+def layout_features(first: ColumnLike, second: ColumnLike, pages: Column, images: Column) -> dict[str, Column]:
+    """What ``layout`` judges by: size and scan of the first page, and phrases near the start of the first two."""
+    chars = F.length(F.regexp_replace(text(first), r"(?U)\s+", ""))
+    head = F.translate(fold(F.concat(text(first), F.lit("\n"), text(second))), "º°", "oo")
+
+    def has(key: str) -> Column:
+        upto, phrases = L.LAYOUT_PHRASES[key]
+        part = F.left(head, F.lit(upto)) if upto else head
+        out = F.lit(False)
+        for phrase in phrases:
+            out = out | part.contains(phrase)
+        return out
+
+    report_n = F.left(head, F.lit(2500)).rlike(r"reporte\s+n[o.\s_-]*\s*\d+")
+    return {"pages": pages, "images": images, "chars": chars, "scanned": (chars < 250) & (images >= 1), "k_report_n": report_n} | {k: has(k) for k in L.LAYOUT_PHRASES}
+
+
 def name_key(c: ColumnLike) -> Column:
     """Letters and digits of a file name without boilerplate."""
     return F.regexp_replace(F.regexp_replace(fold(stem(c)), "[^a-z0-9]+", ""), "reportemensualde|reportede", "")

@@ -98,8 +98,8 @@ def strip_html(c: ColumnLike) -> Column:
 
 
 def strip_controls(c: ColumnLike, limit: int = L.CELL_LIMIT) -> Column:
-    """Control characters other than tab, line feed and carriage return out; cut to what a cell holds."""
-    return F.left(F.regexp_replace(text(c), r"[\x00-\x08\x0B\x0C\x0E-\x1F]", ""), F.lit(limit))
+    """Control characters other than tab and line feed out; cut to what a cell holds."""
+    return F.left(F.regexp_replace(text(c), r"[\x00-\x08\x0B-\x1F]", ""), F.lit(limit))
 
 
 def case_key(c: ColumnLike) -> Column:

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from caseloom.functions.text import text
+from caseloom.operators.checkpoints import checkpoint
 
 
 def enrich(rows: DataFrame, extra: DataFrame, key: str) -> DataFrame:
@@ -36,19 +37,33 @@ def calendar_coverage(grid: DataFrame, reports: DataFrame) -> DataFrame:
 
 
 def uncovered(candidates: DataFrame, base: DataFrame, keys: list[str], order: str) -> DataFrame:
-    """Candidates that share no key with the base, nor with a kept candidate before them.
+    """Candidates that share no key with the base, nor with a candidate kept before them.
 
-    A candidate goes if any of its keys was taken.  Taking grows with each kept
-    row; that is the first row of every key, applied key by key.
+    A candidate goes only if a kept one took one of its keys, so the outcome of a
+    row depends on the rows before it.  Each round keeps the rows that come
+    first for all their keys among those left, and drops what shares a key with
+    them; rows whose keys are all blank stay.  ``order`` tells rows apart.
     """
-    out = candidates
+    filled = lambda k: text(k) != ""
+    left = candidates
     for k in keys:
-        known = base.filter(text(k) != "").select(k).distinct()
-        out = out.join(known, k, "left_anti")
-    for k in keys:
-        rank = F.row_number().over(W.partitionBy(k).orderBy(order))
-        out = out.withColumn("__r", rank).filter((F.col("__r") == 1) | (text(k) == "")).drop("__r")
-    return out.select(*candidates.columns)
+        left = left.join(base.filter(filled(k)).select(k).distinct(), k, "left_anti")
+    left, kept = checkpoint(left.select(*candidates.columns)), None
+    while not left.isEmpty():
+        ranked = left
+        for i, k in enumerate(keys):
+            first = left.filter(filled(k)).groupBy(F.col(k).alias(f"__k{i}")).agg(F.min(order).alias(f"__first{i}"))
+            ranked = ranked.join(first, F.col(k) == F.col(f"__k{i}"), "left")
+        leads = F.lit(True)
+        for i, k in enumerate(keys):
+            leads = leads & (~filled(k) | (F.col(order) == F.col(f"__first{i}")))
+        won = checkpoint(ranked.filter(leads).select(*candidates.columns))
+        kept = won if kept is None else kept.unionByName(won)
+        left = left.join(won.select(order), order, "left_anti")
+        for k in keys:
+            left = left.join(won.filter(filled(k)).select(k).distinct(), k, "left_anti")
+        left = checkpoint(left.select(*candidates.columns))
+    return candidates.filter("false") if kept is None else kept
 
 
 def by_priority(rows: DataFrame, key: str, url: str, priority: Column, order: str) -> DataFrame:

@@ -128,9 +128,9 @@ def extractive_summary(spark, sf_dir):
     return read(spark, sf_dir, "documents").select("doc_id", T.extract_summary("text").alias("summary"))
 
 
-@query("control_strip", r"SELECT doc_id, sha256(left(regexp_replace(text, '[\x00-\x08\x0B\x0C\x0E-\x1F]', '', 'g'), 32767)) AS cell FROM documents")
+@query("control_strip", r"SELECT doc_id, sha256(left(regexp_replace(text || CASE WHEN doc_id % 2 = 0 THEN chr(13) || chr(10) || chr(7) ELSE '' END, '[\x00-\x08\x0B-\x1F]', '', 'g'), 32767)) AS cell FROM documents")
 def control_strip(spark, sf_dir):
-    return read(spark, sf_dir, "documents").select("doc_id", F.sha2(T.strip_controls("text"), 256).alias("cell"))
+    return read(spark, sf_dir, "documents").select("doc_id", F.sha2(T.strip_controls(F.concat("text", F.when(F.col("doc_id") % 2 == 0, "\r\n\a").otherwise(""))), 256).alias("cell"))
 
 
 @query("prompt_build", "SELECT doc_id, sha256(concat_ws(chr(10), 'Departamento: (sin dato)', 'Tipo en la ficha: ' || CASE WHEN coalesce(lang, '') = '' THEN '(sin dato)' ELSE lang END, 'Ubicación: ' || CASE WHEN coalesce(source, '') = '' THEN '(sin dato)' ELSE source END, 'Actores: (sin dato)', 'Meses cubiertos: ' || n_chars, '', 'Texto de la ficha (columna de descripción y hechos del mes):', trim(text))) AS prompt FROM documents")
@@ -251,7 +251,7 @@ def calendar_gaps(spark, sf_dir):
     return joins.calendar_coverage(rollups.month_grid(spark, "1994-06-01", "2001-12-01"), o).drop("numeros")
 
 
-@query("missing_numbers", "SELECT CAST(i AS INTEGER) AS doc_id FROM range(0, 1501) t(i) WHERE i NOT IN (SELECT doc_id FROM labels)")
+@query("missing_numbers", "SELECT CAST(i AS INTEGER) AS doc_id FROM (SELECT unnest(range(least(0, min(doc_id)), greatest(1500, max(doc_id)) + 1)) AS i FROM labels) WHERE i NOT IN (SELECT doc_id FROM labels)")
 def missing_numbers(spark, sf_dir):
     labels = read(spark, sf_dir, "labels")
     low, high = labels.agg(F.least(F.lit(0), F.min("doc_id")), F.greatest(F.lit(1500), F.max("doc_id"))).first()  # 0..1500 at least, as in the SQL
@@ -269,9 +269,16 @@ def source_priority(spark, sf_dir):
     return joins.by_priority(p, "k", "url", F.when(F.col("url").startswith("https"), 0).otherwise(1), "page_id").select("page_id")
 
 
-@query("uncovered_files", "WITH d AS (SELECT doc_id, source || '-' || (doc_id % 50) AS clave, CAST(n_chars % 400 AS VARCHAR) AS numero FROM documents), b AS (SELECT DISTINCT CAST(quality + 2 * toxic AS VARCHAR) AS numero FROM labels), c AS (SELECT * FROM d WHERE numero NOT IN (SELECT numero FROM b)), e AS (SELECT *, row_number() OVER (PARTITION BY clave ORDER BY doc_id) AS r FROM c), f AS (SELECT *, row_number() OVER (PARTITION BY numero ORDER BY doc_id) AS q FROM e WHERE r = 1) SELECT doc_id FROM f WHERE q = 1")
+@query("uncovered_files", """
+WITH RECURSIVE b AS (SELECT DISTINCT CAST(quality + 2 * toxic AS VARCHAR) AS numero FROM labels),
+d AS (SELECT row_number() OVER (ORDER BY doc_id) AS i, doc_id, source || '-' || (doc_id % 20) AS clave, CAST(n_chars % 400 AS VARCHAR) AS numero FROM documents),
+step AS (SELECT CAST(0 AS BIGINT) AS i, CAST([] AS VARCHAR[]) AS taken, CAST(NULL AS BIGINT) AS kept
+  UNION ALL SELECT i, CASE WHEN free THEN list_concat(taken, mine) ELSE taken END, CASE WHEN free THEN doc_id END
+  FROM (SELECT d.i, d.doc_id, taken, ['c' || clave, 'n' || numero] AS mine, numero NOT IN (SELECT numero FROM b) AND NOT list_has_any(taken, ['c' || clave, 'n' || numero]) AS free FROM step JOIN d ON d.i = step.i + 1))
+SELECT kept AS doc_id FROM step WHERE kept IS NOT NULL
+""")
 def uncovered_files(spark, sf_dir):
-    d = read(spark, sf_dir, "documents").select("doc_id", F.concat_ws("-", "source", (F.col("doc_id") % 50).cast("string")).alias("clave"), (F.col("n_chars") % 400).cast("string").alias("numero"))
+    d = read(spark, sf_dir, "documents").select("doc_id", F.concat_ws("-", "source", (F.col("doc_id") % 20).cast("string")).alias("clave"), (F.col("n_chars") % 400).cast("string").alias("numero"))
     base = read(spark, sf_dir, "labels").select((F.col("quality") + 2 * F.col("toxic")).cast("string").alias("numero"), F.lit("").alias("clave"))
     return joins.uncovered(d, base, ["clave", "numero"], "doc_id").select("doc_id")
 
@@ -391,7 +398,7 @@ def match_statistics(spark, sf_dir):
 # --- identity -----------------------------------------------------------------------------------------------------
 
 
-@query("exact_merge_cc", "WITH RECURSIVE d AS (SELECT doc_id, n_chars AS a, source || lang AS b FROM documents WHERE doc_id < 1000000000), k AS (SELECT doc_id, 'a' || a AS k FROM d UNION ALL SELECT doc_id, 'b' || b || (doc_id % 40) FROM d), e AS (SELECT DISTINCT x.doc_id AS s, y.doc_id AS t FROM k x JOIN k y USING (k)), r AS (SELECT doc_id AS node, doc_id AS label FROM d UNION SELECT e.t, r.label FROM r JOIN e ON r.node = e.s AND r.label < e.t) SELECT node AS doc_id, min(label) AS component FROM r GROUP BY 1")
+@query("exact_merge_cc", "WITH RECURSIVE d AS (SELECT doc_id, n_chars AS a, source || lang AS b FROM documents), k AS (SELECT doc_id, 'a' || a AS k FROM d UNION ALL SELECT doc_id, 'b' || b || (doc_id % 40) FROM d), e AS (SELECT DISTINCT x.doc_id AS s, y.doc_id AS t FROM k x JOIN k y USING (k)), r AS (SELECT doc_id AS node, doc_id AS label FROM d UNION SELECT e.t, r.label FROM r JOIN e ON r.node = e.s AND r.label < e.t) SELECT node AS doc_id, min(label) AS component FROM r GROUP BY 1")
 def exact_merge_cc(spark, sf_dir):
     d = read(spark, sf_dir, "documents")
     k = d.select("doc_id", F.concat(F.lit("a"), F.col("n_chars").cast("string")).alias("k")).unionByName(d.select("doc_id", F.concat(F.lit("b"), "source", "lang", (F.col("doc_id") % 40).cast("string")).alias("k")))
