@@ -52,18 +52,19 @@ def fold(c: ColumnLike) -> Column:
     """Compatibility decomposition without marks, lower case.
 
     One-to-one characters go through one ``translate``; the rare ones that
-    expand (ligatures, fractions) are replaced only where a text has one.
+    expand (ligatures, fractions) and marks only where a text has one.
     """
     source, target, marks, many = _fold_table()
-    pattern = "[" + "".join(re.escape(a) for a, _ in many) + "]"
+    rare = "[" + "".join(re.escape(a) for a, _ in many) + marks + "]"
 
-    def widened(t: Column) -> Column:
+    def plain(t: Column) -> Column:
         wide = t
         for a, b in many:
             wide = F.replace(wide, F.lit(a), F.lit(b))
-        return F.when(t.rlike(pattern), wide).otherwise(t)
+        return F.when(t.rlike(rare), F.regexp_replace(wide, marks, "")).otherwise(t)
 
-    return F.lower(F.regexp_replace(bound(F.translate(text(c), source, target), widened), marks, ""))
+    # A text of as many bytes as characters is ASCII and only wants lower case.
+    return bound(text(c), lambda t: F.lower(F.when(F.octet_length(t) == F.length(t), t).otherwise(bound(F.translate(t, source, target), plain))))
 
 
 def norm_ws(c: ColumnLike) -> Column:

@@ -57,9 +57,17 @@ def precision(rows: DataFrame, fields: list[str], by: list[str] | None = None) -
 
 
 def cluster_profile(rows: DataFrame, key: str) -> DataFrame:
-    """One row: ids, single ones and their share, upper median and greatest number of rows."""
-    sizes = rows.groupBy(key).agg(F.count(F.lit(1)).alias("n_filas"))
-    return sizes.agg(F.count(F.lit(1)).alias("n_ids"), F.count_if(F.col("n_filas") == 1).alias("n_single"), F.round(100 * F.count_if(F.col("n_filas") == 1) / F.count(F.lit(1)), 6).alias("pct_single"), upper_median("n_filas").alias("median"), F.max("n_filas").alias("largest"))
+    """One row: ids, single ones and their share, upper median and greatest number of rows.
+
+    The median comes from the histogram of sizes: n rows have less than
+    sqrt(2 n) different sizes.
+    """
+    sizes = rows.groupBy(key).agg(F.count(F.lit(1)).alias("n_filas")).groupBy("n_filas").agg(F.count(F.lit(1)).alias("ids"))
+    single = F.coalesce(F.sum(F.when(F.col("n_filas") == 1, F.col("ids"))), F.lit(0))
+    whole = sizes.agg(F.coalesce(F.sum("ids"), F.lit(0)).alias("n_ids"), single.alias("n_single"), F.max("n_filas").alias("largest"), F.array_sort(F.collect_list(F.struct("n_filas", "ids"))).alias("h"))
+    start = F.struct(F.lit(0).cast("long").alias("seen"), F.lit(None).cast("long").alias("median"))
+    walk = lambda a, x: F.struct((a["seen"] + x["ids"]).alias("seen"), F.coalesce(a["median"], F.when(a["seen"] + x["ids"] > F.floor(F.col("n_ids") / 2), x["n_filas"])).alias("median"))
+    return whole.select("n_ids", "n_single", F.round(100 * F.col("n_single") / F.col("n_ids"), 6).alias("pct_single"), F.aggregate("h", start, walk)["median"].alias("median"), "largest")
 
 
 def merge_report(rows: DataFrame, new: str, old: str, sample: str, top: int = 10) -> DataFrame:

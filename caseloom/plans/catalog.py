@@ -452,3 +452,6 @@ def greedy_match(spark, sf_dir):
 @query("components_of_pairs", "WITH RECURSIVE e AS (SELECT a.vec_id AS s, b.vec_id AS t FROM embeddings a JOIN embeddings b ON a.label = b.label AND a.vec_id <> b.vec_id WHERE list_cosine_similarity(CAST(a.embedding AS DOUBLE[]), CAST(b.embedding AS DOUBLE[])) >= 0.3), r AS (SELECT DISTINCT s AS node, s AS label FROM e UNION SELECT e.t, r.label FROM r JOIN e ON r.node = e.s AND r.label < e.t) SELECT node, min(label) AS component FROM r GROUP BY 1")
 def components_of_pairs(spark, sf_dir):
     return graph.connected_components(identity.cosine_pairs(read(spark, sf_dir, "embeddings"), "label", "vec_id", "embedding", 0.3), "a", "b")
+
+
+from caseloom.plans import panel_catalog  # noqa: E402,F401  adds the queries of the panel plan

@@ -129,3 +129,28 @@ def test_cached_stream(spark, tmp_path):
 def test_precision_ignores_what_is_no_number(spark, fields, want):
     df = spark.createDataFrame([("1",), ("0",), ("x",), (None,)], "q string")
     assert [tuple(r) for r in rollups.precision(df, fields).collect()] == want
+
+
+def test_uncovered_files_follow_the_order(spark):
+    """A row goes only if a row that is kept took one of its keys; against the plain loop."""
+    rng = np.random.default_rng(3)
+    rows = [(0, "c1", "n1"), (1, "c2", "n1"), (2, "c2", "n2"), (3, "", ""), (4, "", "")]
+    rows += [(i, f"c{a}" if a else "", f"n{b}" if b else "") for i, a, b in zip(range(5, 300), rng.integers(0, 90, 295).tolist(), rng.integers(0, 90, 295).tolist())]
+    base = {("c5", ""), ("", "n7")}
+    taken, want = {k for row in base for k in row if k}, []
+    for i, *keys in rows:
+        if not any(k in taken for k in keys if k):
+            want.append(i)
+            taken |= {k for k in keys if k}
+    df = spark.createDataFrame(rows, "pos long, clave string, numero string").repartition(3)
+    got = joins.uncovered(df, spark.createDataFrame(list(base), "clave string, numero string"), ["clave", "numero"], "pos")
+    assert sorted(r.pos for r in got.collect()) == want and 2 in want and {3, 4} <= set(want)
+    assert joins.uncovered(df.filter("false"), df, ["clave", "numero"], "pos").count() == 0
+
+
+def test_hubs_of_a_graph(spark, monkeypatch):
+    monkeypatch.setattr(graph, "LEAST_DEGREE", 10)
+    monkeypatch.setattr(graph, "HUBS", 40)
+    edges = [(i, 5000) for i in range(300)] + [(i, 6000) for i in range(290, 600)] + [(i, i + 1) for i in range(7000, 7040)]
+    got = dict(graph.connected_components(spark.createDataFrame(edges, "src long, dst long")).collect())
+    assert got == {n: 0 if n < 7000 else 7000 for e in edges for n in e}
