@@ -51,7 +51,8 @@ def name_documents(docs: DataFrame, text_col: str = "text", id_col: str = "doc_i
         torn = by_hash.filter("clash").select(F.col("h").alias("torn"))
         pairs = contents.join(torn, F.col("h") == F.col("torn"), "left").select("h", F.when(F.col("torn").isNotNull(), F.col("block")).alias("block")).distinct()
         ranked = checkpoint(pairs.select("h", "block", (F.row_number().over(W.partitionBy("h").orderBy("block"))).alias("k")))
-        spread = raw.select(F.monotonically_increasing_id().alias("row"), "doc_id", F.sha2("raw", 256).alias("text_sha256"), F.posexplode_outer(blocks).alias("pos", "block"))
+        # The number of a row is given before its blocks become rows.
+        spread = raw.select(F.monotonically_increasing_id().alias("row"), "doc_id", "raw").select("row", "doc_id", F.sha2("raw", 256).alias("text_sha256"), F.posexplode_outer(blocks).alias("pos", "block"))
         spread = spread.withColumn("h", F.when(F.col("block").isNotNull(), F.xxhash64("block")))
         mine = ranked.select(F.col("h").alias("rh"), F.col("block").alias("rb"), "k")
         met = spread.join(mine, (F.col("h") == F.col("rh")) & (F.col("rb").isNull() | (F.col("rb") == F.col("block"))), "left")

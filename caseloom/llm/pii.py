@@ -3,8 +3,8 @@
 Base spans are exact: regular expressions with checks (octets, digit counts,
 Luhn).  The method adds spans of looser candidate kinds.  Four labelers vote on
 every candidate, base or not: its format, a cue among the characters before it,
-a gazetteer of what is certainly none (reserved numbers, too uniform strings),
-and its company in the document.  Each vote is yes, no or abstain.
+gazetteers (top-level domains, card issuers, calling codes; reserved networks,
+example hosts, void numbers), and its company in the document.  Each vote is yes, no or abstain.
 
 Expectation-maximisation over the table of vote patterns (bounded: 3**4 patterns
 for each kind and feature cell, whatever the corpus) estimates how reliable each
@@ -34,8 +34,8 @@ BASE = ("email", "ip", "card", "phone")
 EMAIL = r"(?:(?<![A-Za-z0-9._%+-])|\G)[A-Za-z0-9._%+-]++@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+"
 IP = r"(?<![0-9])[0-9]++(?:\.[0-9]++){3}"
 PHONE = r"\+[0-9][\x20().0-9-]+[0-9]"
-#: A card candidate is a maximal run of digits with single blanks or hyphens: where it starts, where it ends.
-CARD_START, CARD_END = r"(?<![0-9])(?<![0-9][\x20-])(?=[0-9])", r"(?<=[0-9])(?![\x20-]?[0-9])"
+#: A card candidate is a maximal run of digits with single blanks or hyphens: where one of 14 or more starts, where any ends.
+CARD_START, CARD_END = r"(?<![0-9])(?<![0-9][\x20-])(?=[0-9](?:[\x20-]?[0-9]){13})", r"(?<=[0-9])(?![\x20-]?[0-9])"
 #: Looser candidates of the method.
 ADDED = {
     "secret": r"(?<![A-Za-z0-9])[0-9a-f]{24,128}(?![A-Za-z0-9])",
@@ -44,25 +44,79 @@ ADDED = {
 }
 KINDS = (*BASE, *ADDED)
 CUES = r"(?iu)\b(?:token|secret|key|password|passwd|api|mail|e-mail|contact|phone|tel|call|fax|card|visa|account|iban|ip|host|server|ssn|social)\b[^\n]{0,12}$"
-#: Gazetteer of what is nobody's: documentation and loopback networks, example hosts, test numbers, repeated digits.
-NOBODY = r"^(?:127\.|0\.0\.|192\.0\.2\.|198\.51\.100\.|203\.0\.113\.)|@example\.|\b555[\x20.-]01[0-9]{2}$|^([0-9a-f])\1+$|^(?:000|666|9[0-9]{2})-|-0000$"
+#: Gazetteers.  What is nobody's: reserved networks, example hosts, test numbers, digests of the empty text.
+RESERVED_NETWORKS = ("0.0.", "127.", "192.0.2.", "198.51.100.", "203.0.113.", "255.")
+EXAMPLE_HOSTS = ("example.com", "example.org", "example.net", "localhost")
+EMPTY_DIGESTS = ("d41d8cd98f00b204e9800998ecf8427e", "da39a3ee5e6b4b0d3255bfef95601890afd80709", "e3b0c44298fc1c149afbf4c8996fb92427ae41e4649b934ca495991b7852b855")
+VOID_AREAS = ("000", "666")
+#: Gazetteers.  What somebody has: top-level domains, issuer prefixes of cards, country calling codes.
+DOMAINS = (
+    "com", "org", "net", "edu", "gov", "info", "io", "eu", "at", "au", "be", "br", "ca", "ch", "cl", "cn", "co", "cz", "de", "dk", "es", "fi", "fr",
+    "gr", "ie", "in", "it", "jp", "kr", "mx", "nl", "no", "pe", "pl", "pt", "ru", "se", "tr", "uk", "us",
+)
+ISSUERS = ("34", "35", "36", "37", "38", "4", "51", "52", "53", "54", "55", "6011", "62", "65")
+CALLING_CODES = (
+    "1", "20", "27", "30", "31", "32", "33", "34", "36", "39", "40", "41", "43", "44", "45", "46", "47", "48", "49", "51", "52", "53", "54", "55", "56",
+    "57", "58", "60", "61", "62", "63", "64", "65", "66", "7", "81", "82", "84", "86", "90", "91", "92", "93", "94", "95", "98",
+)
+
+
+def _either(words) -> str:
+    return "(?:" + "|".join(w.replace(".", r"\.") for w in words) + ")"
+
+
+#: Of each kind, what its gazetteer knows as somebody's and as nobody's.  One sign repeated is nobody's whatever the kind.
+SOMEBODY = {
+    "email": rf"(?i)\.{_either(DOMAINS)}$",
+    "card": rf"^{_either(ISSUERS)}",
+    "phone": rf"^\+{_either(CALLING_CODES)}",
+    "local_phone": r"^\(?[2-9][0-9]{2}\)?[\x20.-][2-9]",
+    "id_number": rf"^(?!{_either(VOID_AREAS)}|9)[0-9]{{3}}-(?!00)[0-9]{{2}}-(?!0000)",
+}
+NOBODY = {
+    "email": rf"(?i)@(?:[a-z0-9-]+\.)*{_either(EXAMPLE_HOSTS)}$",
+    "ip": rf"^{_either(RESERVED_NETWORKS)}",
+    "local_phone": r"555[\x20.-]01[0-9]{2}$",
+    "id_number": rf"^(?:{_either(VOID_AREAS)}|9)|-00-|-0000$",
+    "secret": rf"^{_either(EMPTY_DIGESTS)}$",
+}
+UNIFORM = r"^(.)\1+$"
 ROUNDS = 60
+#: Spans that gather before they join those found so far.
+STRETCH = 512
 
 MARK, STOP, SPARE = "\u0001", "\u0002", "\u0003"
 _SPAN = "array<struct<start:int,end:int,text:string>>"
 
 
+def _once(value: Column, use) -> Column:
+    """``use(value)`` with the value worked out once."""
+    return F.element_at(F.transform(F.array(value), use), 1)
+
+
 def _cut(marked: Column) -> Column:
-    """Spans of a text with marks: start, end (code points, end exclusive), text."""
-    pieces = F.split(marked, MARK)
-    start = F.struct(F.length(F.element_at(pieces, 1)).alias("at"), F.array().cast(_SPAN).alias("found"))
+    """Spans of a text with marks: start, end (code points, end exclusive), text.
+
+    Stops without a mark before them count for nothing.  Arrays grow by copying,
+    so spans gather in stretches first: a text of n spans costs n**1.5 and not n**2.
+    """
+    none = F.array().cast(_SPAN)
+    bare = lambda piece: F.length(F.translate(piece, STOP, ""))
 
     def add(so_far: Column, piece: Column) -> Column:
         hit = F.substring_index(piece, STOP, 1)
         span = F.struct(so_far["at"].alias("start"), (so_far["at"] + F.length(hit)).alias("end"), hit.alias("text"))
-        return F.struct((so_far["at"] + F.length(piece) - 1).alias("at"), F.concat(so_far["found"], F.array(span)).alias("found"))
+        return F.struct((so_far["at"] + bare(piece)).alias("at"), F.concat(so_far["found"], F.array(span)).alias("found"))
+
+    def spans(pieces: Column) -> Column:
+        def stretch(so_far: Column, at: Column) -> Column:
+            more = F.aggregate(F.slice(pieces, at, F.lit(STRETCH)), F.struct(so_far["at"].alias("at"), none.alias("found")), add)
+            return _once(more, lambda m: F.struct(m["at"].alias("at"), F.concat(so_far["found"], m["found"]).alias("found")))
+
+        start = F.struct(bare(F.element_at(pieces, 1)).alias("at"), none.alias("found"))
+        return F.aggregate(F.sequence(F.lit(2), F.greatest(F.size(pieces), F.lit(2)), F.lit(STRETCH)), start, stretch, lambda s: s["found"])
 
-    return F.aggregate(F.slice(pieces, 2, F.size(pieces)), start, add, lambda s: s["found"])
+    return _once(F.split(marked, MARK), spans)
 
 
 def _matches(text: Column, pattern: str) -> Column:
@@ -103,7 +157,7 @@ def candidates(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id")
     found = {
         "email": F.when(F.instr(t, "@") > 0, _tagged("email", _matches(t, EMAIL), t)),
         "ip": F.when(F.col("digits") & (F.instr(t, ".") > 0), _tagged("ip", _matches(t, IP), t, _octets)),
-        "card": F.when(t.rlike(r"[0-9]{2}|[0-9][\x20-][0-9]"), _tagged("card", F.filter(_cut(card), lambda s: F.length(s["text"]) > 1), t, _luhn)),
+        "card": F.when(t.rlike(r"[0-9]{2}|[0-9][\x20-][0-9]"), _tagged("card", _cut(card), t, _luhn)),
         "phone": F.when(F.instr(t, "+") > 0, _tagged("phone", _matches(t, PHONE), t, lambda x: F.length(_digits(x)).between(10, 15))),
     }
     for kind, pattern in ADDED.items():
@@ -125,9 +179,10 @@ def _judged(spans: Column, base: Column) -> Column:
         variety = F.size(F.array_distinct(F.split(text, "")))
         shape = F.when(rank == KINDS.index("secret"), F.when(length.isin(32, 40, 48, 64, 96, 128), 1).otherwise(0)).when(rank >= len(BASE), F.lit(2)).otherwise(F.lit(1))
         cue = F.when(s["before"].rlike(CUES), 1).otherwise(2)
-        nobody = F.when(text.rlike(NOBODY) | (variety < 3), 0).otherwise(F.when(variety >= 8, 1).otherwise(2))
+        known = lambda table: F.coalesce(*[F.when(rank == KINDS.index(k), text.rlike(p)) for k, p in table.items()], F.lit(False))
+        listed = F.when(known(NOBODY) | text.rlike(UNIFORM), 0).when(known(SOMEBODY), 1).otherwise(2)
         company = F.when(F.size(base) > F.when(rank < len(BASE), 1).otherwise(0), 1).otherwise(2)
-        votes = ((shape * 3 + cue) * 3 + nobody) * 3 + company
+        votes = ((shape * 3 + cue) * 3 + listed) * 3 + company
         cell = (F.least((length / 8).cast("int"), F.lit(7)) * 3 + F.least((variety / 6).cast("int"), F.lit(2))) * 2 + (cue == 1).cast("int")
         return F.struct(*[s[c].alias(c) for c in ("start", "rank", "end")], votes.cast("int").alias("votes"), cell.cast("int").alias("cell"))
 

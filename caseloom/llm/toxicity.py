@@ -32,6 +32,8 @@ BITS = 18
 #: Besides itself, a word has the features of its beginnings of these lengths in bytes.
 HEADS = (4, 5)
 FIT_ROWS = 1000
+#: Longer texts are not in the sample that the driver fits on, so it has FIT_ROWS * classes * FIT_TEXT_BYTES at most.
+FIT_TEXT_BYTES = 1 << 17
 ROUNDS, RATE, SHRINK, BIAS = 60, 0.1, 1e-4, -6.0
 THRESHOLD = 0.3
 
@@ -48,7 +50,7 @@ def held_out(id_col: str | Column, parts: int, part: int) -> Column:
 
 
 def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, parts: int, part: int, rows: int) -> list[tuple[int, str, int, float]]:
-    """At most ``rows`` training documents of each class: (id, text, label, weight of its class).
+    """At most ``rows`` training documents of each class, of at most ``FIT_TEXT_BYTES``: (id, text, label, weight of its class).
 
     The weight is how many training labels of the class each sampled one stands for.
     """
@@ -58,7 +60,7 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, parts: int,
     for value in (0, 1):
         some = known.filter(F.col("label") == value).orderBy(F.xxhash64(F.lit(7), "doc_id"), "doc_id").limit(rows)
         picked = some if picked is None else picked.unionByName(some)
-    met = docs.join(F.broadcast(picked.select(F.col("doc_id").alias("__id"), "label")), F.col("doc_id") == F.col("__id"))  # at most 2 * rows ids
+    met = docs.join(F.broadcast(picked.select(F.col("doc_id").alias("__id"), "label")), F.col("doc_id") == F.col("__id")).filter(F.coalesce(F.octet_length("text"), F.lit(0)) <= FIT_TEXT_BYTES)  # at most 2 * rows ids
     got = met.groupBy("doc_id").agg(F.first("text").alias("text"), F.first("label").alias("label")).collect()
     weight = {v: counts.get(v, 0) / max(1, sum(r["label"] == v for r in got)) for v in (0, 1)}
     return sorted((r["doc_id"], r["text"] or "", r["label"], weight[r["label"]]) for r in got)

@@ -388,3 +388,189 @@ def test_queries_against_sql(spark):
 def test_shared_folder_setting(spark):
     frames.checkpoint(spark.range(1))
     assert registry.shared_folder(spark, "x").rsplit("/", 1)[0] == spark.sparkContext._jsc.sc().getCheckpointDir().get()
+
+
+def test_reliabilities_from_votes_alone():
+    """Expectation-maximisation finds the reliabilities that votes were drawn with, and the classifier their truth."""
+    rng = np.random.default_rng(5)
+    n, prior, chance = 40_000, 0.55, [(0.9, 0.1), (0.75, 0.2), (0.85, 0.3), (0.7, 0.15)]
+    truth = rng.random(n) < prior
+    votes = np.zeros(n, int)
+    for yes, no in chance:
+        vote = (rng.random(n) < np.where(truth, yes, no)).astype(int)
+        votes = votes * 3 + np.where(rng.random(n) < 0.2, 2, vote)
+    cell = np.where(truth, rng.integers(0, 3, n), rng.integers(2, 5, n))
+    seen, counts = np.unique(np.stack([votes, cell], 1), axis=0, return_counts=True)
+    table = [(4, int(v), int(c), int(k)) for (v, c), k in zip(seen, counts)]
+    got_prior, got, post = pii.reliabilities(table)
+    assert abs(got_prior - prior) < 0.05 and all(abs(a - x) < 0.06 and abs(b - y) < 0.06 for (a, b), (x, y) in zip(got, chance))
+    accept = pii.classifier(table)
+    right = np.array([accept[40_000 + c * 100 + v] for v, c in zip(votes.tolist(), cell.tolist())]) == truth
+    assert right.mean() > 0.9 and set(post) == set(votes.tolist())
+
+
+def test_gazetteers_and_added_spans(spark):
+    """Added spans come where labelers agree, and not where the gazetteer knows that they are nobody's."""
+    rng = random.Random(14)
+    digits = lambda n: "".join(rng.choice("123456789") for _ in range(n))
+    hexes = lambda: "".join(rng.choice("0123456789abcdef") for _ in range(40))
+    texts = [f"contact me at user{i}@mail.de, call (2{digits(2)}) 2{digits(2)}-{digits(4)} or social 1{digits(2)}-{digits(2)}-{digits(4)}. password = {hexes()}" for i in range(60)]
+    texts += [f"part {'9' * 3}-00-0000 and 000-{digits(2)}-0000 of {'a' * 30}" for _ in range(60)]
+    found = pii.find(docs(spark, texts)).collect()
+    kinds = {r.doc_id: [pii.KINDS[s.rank] for s in r.spans] for r in found}
+    assert all(kinds[i].count("email") == 1 and {"secret", "local_phone"} <= set(kinds[i]) for i in range(60))
+    assert not any(set(kinds[i]) & set(pii.ADDED) for i in range(60, 120))
+
+
+def test_offending_sentences_are_located(spark):
+    """Trained on document labels alone, the model points at the planted sentence, in code points, behind accents and in long texts."""
+    rng = random.Random(15)
+    words = [f"é{i}" for i in range(200)]
+    plain = lambda n: " ".join(rng.choice(words) for _ in range(n)) + ". "
+    bad = lambda: f"{rng.choice(words)} awful {rng.choice(words)}."
+    texts, where = [], {}
+    for i in range(240):
+        before = "".join(plain(rng.randrange(3, 9)) for _ in range(rng.randrange(0, 400 if i == 3 else 6)))
+        middle = bad() if i % 3 == 0 else plain(3).strip()
+        texts.append(before + middle + " " + plain(5))
+        where[i] = (len(before), len(before) + len(middle))
+    labels = spark.createDataFrame([(i, 1, int(i % 3 == 0)) for i in range(240)], "doc_id long, quality int, toxic int")
+    got = {r.doc_id: [(s.start, s.end) for s in r.sentences] for r in toxicity.toxicity(docs(spark, texts), labels).collect()}
+    assert got == {i: [where[i]] if i % 3 == 0 else [] for i in range(240)}
+
+
+def test_noisy_or_gradient():
+    """A bag's probability is one minus the product of its sentences' misses."""
+    model = {"weights": np.zeros(1 << toxicity.BITS, np.float32), "bias": -1.0}
+    sentences = ["un deux.", "trois quatre cinq.", "six."]
+    features, first, *_ = toxicity.instances(pa.array([" ".join(sentences)]))
+    model["weights"][np.unique(features)] = np.linspace(0.1, 0.9, len(np.unique(features)))
+    z = np.add.reduceat(model["weights"][features].sum(1), first) + model["bias"]
+    want = 1 - np.prod(1 - 1 / (1 + np.exp(-z.astype(float))))
+    batch = pa.record_batch([pa.array([1]), pa.array([" ".join(sentences)])], names=["doc_id", "text"])
+    assert abs(next(iter(toxicity.scorer(model)(iter([batch])))).column(1)[0].as_py() - want) < 1e-6
+
+
+def test_votes_against_plain_cosine():
+    """The blocked vote equals neighbours found one by one."""
+    rng = random.Random(16)
+    text = lambda good: " ".join(rng.choice(["alpha", "beta", "gamma", "delta"] if good else ["xx!!", "YY", "99", "zz;"]) for _ in range(rng.randrange(5, 40)))
+    sample = [(i, text(i % 2), i % 2, 1.0 + i % 3) for i in range(300)]
+    model = quality.fit(sample)
+    texts = [text(i % 3 == 0) for i in range(40)] + ["", "alpha"]
+    got, latent = quality.vote(model, pa.array(texts)), quality.latent_vectors(model, pa.array(texts))
+    for i, z in enumerate(latent):
+        near = sorted(((float(z @ v), k) for k, v in enumerate(model["vectors"])), reverse=True)[: quality.NEIGHBOURS]
+        pull = [(max(c, 0) ** quality.SHARPNESS * model["w"][k], model["y"][k]) for c, k in near]
+        total = sum(p for p, _ in pull)
+        assert abs(got[i] - (sum(p * y for p, y in pull) / total if total else model["prior"])) < 1e-3
+
+
+def test_draws_against_plain_sampling(spark):
+    """Which documents the last epoch takes: ascending exponential keys up to the border, source by source."""
+    frame = docs(spark, corpus(11, 60))
+    rows = mixing.mix(frame).collect()
+    for source in {r.source for r in rows}:
+        mine = sorted((r for r in rows if r.source == source), key=lambda r: r.key)
+        size, target = sum(r["size"] for r in mine), mine[0].target
+        epochs = int(target // size) if size else 0
+        rest, upto, taken = target - epochs * size, 0, {}
+        for r in mine:
+            more = upto + r["size"] <= rest or (upto < rest and upto + r["size"] - rest <= rest - upto)
+            taken[r.doc_id] = r["size"] * (epochs + (rest > 0 and more))
+            upto += r["size"]
+        assert {r.doc_id: r.taken for r in mine} == taken, source
+    copies = mixing.mixed_documents(frame).groupBy("doc_id").count().collect()
+    assert {r.doc_id: r["count"] for r in copies} == {r.doc_id: r.taken // r["size"] if r["size"] else 1 for r in rows if r.taken or not r["size"]}
+
+
+def test_heavier_documents_are_drawn_more_often(spark):
+    """Keys scaled by quality: of equal sizes, good texts come before bad ones more often than not."""
+    texts = [" ".join(f"w{i}x{k}" for k in range(20)) if i % 2 else " ".join(["8" * 5] * 20) for i in range(400)]
+    rows = mixing.mix(docs(spark, texts).withColumn("source", F.lit("s")), share=0.5).collect()
+    taken = [sum(r.taken > 0 for r in rows if r.doc_id % 2 == k) for k in (0, 1)]
+    assert taken[1] > 4 * taken[0] and abs(sum(r.taken for r in rows) - 4000) <= 20
+
+
+def test_null_ids_and_long_texts(spark):
+    """Every operator gives each row its result where ids are null or repeat and a text is longer than a piece."""
+    long = " ".join(f"w{i % 50_000}" for i in range(250_000))
+    assert len(long) > kernels.PIECE
+    frame = spark.createDataFrame([(None, "a b c", "s"), (None, None, None), (None, long, "s"), (1, "a b c", "s"), (1, "a b c", "s"), (2, long, "t")], "doc_id long, text string, source string")
+    labels = spark.createDataFrame([(1, 1, 0), (2, 0, 1)], "doc_id long, quality int, toxic int")
+    bench = spark.createDataFrame([(1, "w7 w8 w9 w10 w11 w12 w13 w14")], "item_id long, text string")
+    import public_tokenizers
+
+    folder = token_store.write_store(frame, registry.shared_folder(spark, "odd"), public_tokenizers.path("word_bpe_49k.json"))
+    for out in (substring_dedup.remove_repeated_windows(frame), jaccard_join.near_duplicates(frame), exact_dedup.exact_dedup(frame), line_dedup.line_dedup(frame), mixing.mix(frame), pii.find(frame), toxicity.toxicity(frame, labels), quality.quality(frame, labels), token_store.read_digests(spark, folder)):
+        assert out.count() == 6
+    assert sum(r.kept for r in exact_dedup.exact_dedup(frame).collect()) == 3
+    assert sorted(r.n_removed for r in line_dedup.line_dedup(frame).collect()) == [0, 0, 0, 1, 1, 1]
+    assert sorted(r.n_shingles for r in jaccard_join.near_duplicates(frame).collect())[:4] == [0, 1, 1, 1]
+    hits = decontamination.contaminated(frame, bench).collect()
+    assert sorted(str(r.doc_id) for r in hits) == ["2", "None"] and all(r.score == 1 for r in hits)
+    assert jaccard_join.one_of_each(frame).count() == 3 and decontamination.clean_documents(frame, bench).count() == 4 and toxicity.clean_documents(frame, labels).count() == 6
+
+
+def test_large_clusters_lose_no_link(spark, monkeypatch):
+    """With tiny chunks and crowds every way of the comparison runs; links equal brute force."""
+    monkeypatch.setattr(jaccard_join, "CHUNK", 8)
+    rng = random.Random(17)
+    base = [[f"b{k}w{i}" for i in range(60)] for k in range(3)]
+    texts = []
+    for _ in range(90):
+        words = list(rng.choice(base))
+        for _ in range(rng.randrange(0, 3)):
+            words[rng.randrange(60)] = f"n{rng.randrange(40)}"
+        texts.append(" ".join(words))
+    sets = [frozenset(tuple(t.split()[i : i + 5]) for i in range(56)) for t in texts]
+    root = list(range(90))
+    for i in range(90):
+        for j in range(i):
+            if 100 * len(sets[i] & sets[j]) >= 80 * len(sets[i] | sets[j]):
+                a, b = root[i], root[j]
+                root = [min(a, b) if r in (a, b) else r for r in root]
+    assert table(jaccard_join.near_duplicates(docs(spark, texts)), "doc_id", "component_id") == {i: (r,) for i, r in enumerate(root)}
+
+
+@pytest.mark.parametrize("few,crowd", [(2, 10_000), (2, 4), (128, 4096)])
+def test_candidates_hold_every_link(monkeypatch, few, crowd):
+    """Whatever way a group is compared, sets that are linked hang together."""
+    monkeypatch.setattr(jaccard_join, "FEW", few)
+    monkeypatch.setattr(jaccard_join, "CROWD", crowd)
+    rng = np.random.default_rng(18)
+    sets = []
+    for _ in range(12):
+        one = rng.integers(0, 1 << 62, rng.choice([3, 10, 30, 45, 80])).astype(np.uint64)
+        for _ in range(8):
+            keep = rng.random(len(one)) < 0.95
+            sets.append(np.unique(np.concatenate([one[keep], rng.integers(0, 1 << 62, (~keep).sum()).astype(np.uint64)])))
+    size, sketch = np.array([len(s) for s in sets]), np.array([jaccard_join.parity(s, jaccard_join.SENT_WORDS) for s in sets])
+    who, root = jaccard_join.forest(jaccard_join.candidates(np.zeros(len(sets), np.uint64), size, sketch))
+    label = dict(zip(who.tolist(), root.tolist()))
+    for i in range(len(sets)):
+        for j in range(i):
+            both = len(np.intersect1d(sets[i], sets[j]))
+            if both and jaccard_join.linked(both, size[i] + size[j] - both):
+                assert label.get(i, i) == label.get(j, j)
+
+
+def test_short_unlinked_sets_stay_apart(spark):
+    """Short texts without a common shingle make no candidates, however many there are."""
+    rng = random.Random(19)
+    frame = spark.createDataFrame([(i, " ".join(f"z{rng.randrange(10**9)}" for _ in range(12))) for i in range(4000)], "doc_id long, text string")
+    seen = []
+    real = jaccard_join.connected_components
+    jaccard_join.connected_components = lambda edges, **k: seen.append(edges.count()) or real(edges, **k)
+    try:
+        assert jaccard_join.near_duplicates(frame).filter("doc_id != component_id").count() == 0 and seen == [0, 0]
+    finally:
+        jaccard_join.connected_components = real
+
+
+def test_blocks_whose_hashes_clash(spark, monkeypatch):
+    """With a hash that is the same for all blocks, contents alone tell them apart."""
+    monkeypatch.setattr(exact_dedup.F, "xxhash64", lambda *columns: F.lit(7).cast("long"))
+    texts = ["aaaabbbb", "aaaacccc", "aaaabbbb", "", None, "ccccaaaa", "aaaa"]
+    got = table(exact_dedup.exact_dedup(docs(spark, texts), block_bytes=4), "doc_id", "keep_id")
+    assert got == {0: (2,), 1: (1,), 2: (2,), 3: (4,), 4: (4,), 5: (5,), 6: (6,)}
