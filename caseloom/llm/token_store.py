@@ -36,8 +36,11 @@ from caseloom.llm.frames import checkpoint, only
 END_ID = 1
 #: Chunk borders: a window of ids, a mean length (a power of two) and hard limits.
 WINDOW, MEAN_IDS, LEAST_IDS, MOST_IDS = 16, 2048, 256, 16384
-#: Words kept in a task's encoding cache; beyond it the cache starts anew.
-CACHE_WORDS = 1 << 19
+#: Slots of a worker's encoding cache, and the words kept in it; beyond them the cache starts anew.  Some 70 MB in all.
+CACHE_SLOTS = 1 << 21
+CACHE_WORDS = CACHE_SLOTS * 3 // 4
+#: Words that go to the library in one text, with a special token between them.
+JOINED = 200
 #: Words up to this many bytes are found by their own bytes in arrays, longer ones in a dictionary.
 ARRAY_WORD = 16
 
@@ -57,19 +60,21 @@ class WordEncoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
+        plain = [(i, t.content) for i, t in self.tokenizer.get_added_tokens_decoder().items() if t.special and not (t.lstrip or t.rstrip or t.single_word or t.normalized)]
+        self.border = max(plain, default=None)
         self.clear()
 
     def clear(self) -> None:
         """Forget all words and give the tables back."""
         self.low = self.high = np.zeros(0, np.uint64)
-        self.size, self.first, self.length = np.zeros(0, np.uint8), np.zeros(0, np.int32), np.zeros(0, np.int32)
+        self.size, self.first, self.length = np.zeros(0, np.uint8), np.zeros(0, np.int32), np.zeros(0, np.uint8)
         self.pool, self.used, self.words = np.zeros(0, np.uint32), 0, 0
         self.long: dict[bytes, tuple[int, int]] = {}
 
     def _open(self) -> None:
-        slots = 2 * CACHE_WORDS
+        slots = CACHE_SLOTS
         self.low, self.high = np.zeros(slots, np.uint64), np.zeros(slots, np.uint64)
-        self.size, self.first, self.length = np.zeros(slots, np.uint8), np.zeros(slots, np.int32), np.zeros(slots, np.int32)
+        self.size, self.first, self.length = np.zeros(slots, np.uint8), np.zeros(slots, np.int32), np.zeros(slots, np.uint8)
         self.pool = np.zeros(1 << 16, np.uint32)
 
     def _find(self, low: np.ndarray, high: np.ndarray, n: np.ndarray) -> np.ndarray:
@@ -84,20 +89,42 @@ class WordEncoder:
             slot[left] = (slot[left] + 1) & mask
         return slot
 
-    def _pooled(self, ids: list[list[int]]) -> tuple[np.ndarray, np.ndarray]:
-        """Where each list begins in the pool, and its length."""
-        lengths = np.fromiter(map(len, ids), np.int64, len(ids))
-        flat = np.fromiter((i for x in ids for i in x), np.uint32, int(lengths.sum()))
+    def _pooled(self, flat: np.ndarray, lengths: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Where each word's ids begin in the pool, and their number."""
         if self.used + len(flat) > len(self.pool):
             self.pool = np.concatenate([self.pool, np.zeros(max(len(self.pool), len(flat)), np.uint32)])
         self.pool[self.used : self.used + len(flat)] = flat
         first = self.used + np.cumsum(lengths) - lengths
         self.used += len(flat)
-        self.words += len(ids)
+        self.words += len(lengths)
         return first, lengths
 
-    def _library(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-        return self._pooled([e.ids for e in self.tokenizer.encode_batch_fast([w.decode("utf-8", "replace") for w in words], add_special_tokens=False)])
+    def _ids(self, texts: list[str]) -> list[list[int]]:
+        return [e.ids for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+
+    def _library(self, told: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """The library's ids of the words.
+
+        A special token ends what stands before it, so words with one between
+        them are encoded as if alone, in fewer calls.  Where the border does not
+        come out as often as it went in, a word held it, and each goes alone.
+        """
+        step = JOINED if self.border else 1
+        groups = [told[at : at + step] for at in range(0, len(told), step)]
+        flat, lengths = [], []
+        joined = self._ids([(self.border[1] if self.border else "").join(g) for g in groups])
+        for group, ids in zip(groups, joined, strict=True):
+            ids = np.array(ids, np.uint32)
+            cuts = np.flatnonzero(ids == self.border[0]) if self.border else np.zeros(0, np.int64)
+            if len(cuts) == len(group) - 1:
+                edges = np.concatenate([[-1], cuts, [len(ids)]])
+                flat.append(np.delete(ids, cuts))
+                lengths.append(np.diff(edges) - 1)
+            else:
+                alone = self._ids(group)
+                flat += [np.array(x, np.uint32) for x in alone]
+                lengths.append(np.array([len(x) for x in alone], np.int64))
+        return self._pooled(np.concatenate(flat), np.concatenate(lengths))
 
     def _short(self, view: memoryview, start: np.ndarray, end: np.ndarray, low: np.ndarray, high: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         slot = self._find(low, high, n)
@@ -113,7 +140,7 @@ class WordEncoder:
                 return self._short(view, start, end, low, high, n)
             for at in range(0, len(fresh), 20_000):
                 left = fresh[at : at + 20_000]
-                first, length = self._library([bytes(view[start[i] : end[i]]) for i in left.tolist()])
+                first, length = self._library([str(view[a:b], "utf-8", "replace") for a, b in zip(start[left].tolist(), end[left].tolist(), strict=True)])
                 while len(left):  # several may want one free slot: the first gets it
                     slot_of = self._find(low[left], high[left], n[left])
                     slots, got = np.unique(slot_of, return_index=True)
@@ -124,7 +151,7 @@ class WordEncoder:
                     rest[got] = False
                     left, first, length = left[rest], first[rest], length[rest]
             slot = self._find(low, high, n)
-        return self.first[slot], self.length[slot]
+        return self.first[slot], self.length[slot].astype(np.int64)
 
     def _slice(self, data: np.ndarray, start: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(ids of the words in turn, number of ids of each word)."""
@@ -142,7 +169,7 @@ class WordEncoder:
             words = [bytes(view[start[i] : end[i]]) for i in far]
             fresh = [w for w in dict.fromkeys(words) if w not in self.long]
             if fresh:
-                self.long.update(zip(fresh, zip(*(x.tolist() for x in self._library(fresh)), strict=True), strict=True))
+                self.long.update(zip(fresh, zip(*(x.tolist() for x in self._library([w.decode("utf-8", "replace") for w in fresh])), strict=True), strict=True))
             first[far], length[far] = zip(*(self.long[w] for w in words), strict=True)
         ends = np.cumsum(length)
         total = int(ends[-1]) if len(ends) else 0
@@ -152,7 +179,7 @@ class WordEncoder:
         """(ids of all texts in turn, where each text's ids begin, with the end)."""
         data, offsets = K.text_buffers(texts)
         start, end, counts = K.word_spans(data, offsets)
-        step = CACHE_WORDS // 2
+        step = max(1, CACHE_WORDS // 2)
         done = [self._slice(data, start[at : at + step], end[at : at + step]) for at in range(0, len(start), step)]
         if not done:
             return np.zeros(0, np.uint32), np.zeros(len(counts) + 1, np.int64)
@@ -164,25 +191,27 @@ _TOKENIZERS: dict[str, WordEncoder] = {}
 
 
 def encoder_for(path: str) -> WordEncoder:
-    """One vocabulary a worker process; its words are forgotten at the end of each task."""
+    """One encoder a worker process, so that later tasks find the words of earlier ones."""
     if path not in _TOKENIZERS:
         _TOKENIZERS[path] = WordEncoder(path)
     return _TOKENIZERS[path]
 
 
-def cut_points(ids: np.ndarray) -> list[int]:
-    """Ends of the content-defined chunks of one id stream."""
-    n = len(ids)
-    if n <= LEAST_IDS:
-        return [n]
+def borders(ids: np.ndarray) -> np.ndarray:
+    """Where the rolling hash of the last WINDOW ids allows a chunk to end, in a whole batch of streams."""
     hashes = K.rolling(K.mix(ids.astype(np.uint64) + np.uint64(1)), WINDOW)
-    ends = np.flatnonzero((hashes & np.uint64(MEAN_IDS - 1)) == 0) + WINDOW
-    out, last = [], 0
-    for e in [*ends.tolist(), n]:
+    return np.flatnonzero((hashes & np.uint64(MEAN_IDS - 1)) == 0) + WINDOW
+
+
+def cut_points(start: int, end: int, ends: np.ndarray) -> list[int]:
+    """Ends of the content-defined chunks of the stream from start to end; its chunks depend on nothing outside it."""
+    inside = ends[np.searchsorted(ends, start + WINDOW) : np.searchsorted(ends, end)].tolist() if end - start > LEAST_IDS else []
+    out, last = [], start
+    for e in [*inside, end]:
         while e - last > MOST_IDS:
             last += MOST_IDS
             out.append(last)
-        if e - last >= LEAST_IDS or (e == n and e > last):
+        if e - last >= LEAST_IDS or (e == end and e > last):
             out.append(e)
             last = e
     return out
@@ -192,7 +221,7 @@ CHUNK_ROWS = "doc_id long, seq long, pos int, n int, n_tokens long, digest binar
 
 
 def _chunks(batches: Iterator[pa.RecordBatch], path: str, end_id: int) -> Iterator[pa.RecordBatch]:
-    encoder, end = encoder_for(path), np.array([end_id], "<u4")
+    encoder = encoder_for(path)
     seq = 0
     schema = pa.schema([("doc_id", pa.int64()), ("seq", pa.int64()), ("pos", pa.int32()), ("n", pa.int32()), ("n_tokens", pa.int64()), ("digest", pa.binary()), ("ids", pa.binary()), ("wide", pa.bool_())])
     seen: set[bytes] = set()
@@ -200,11 +229,13 @@ def _chunks(batches: Iterator[pa.RecordBatch], path: str, end_id: int) -> Iterat
         rows: list[tuple] = []
         size = 0
         every, bounds = encoder.encode(batch.column(1))
+        closed = np.insert(every, bounds[1:], end_id).astype("<u4", copy=False)
+        ends = borders(closed)
+        bounds = bounds + np.arange(len(bounds))  # an end id more for every document before
         for doc, a, b in zip(batch.column(0).to_pylist(), bounds[:-1].tolist(), bounds[1:].tolist(), strict=True):
-            ids = np.concatenate([every[a:b], end]).astype("<u4", copy=False)
-            last = 0
-            for pos, stop in enumerate(cut_points(ids)):
-                part = ids[last:stop]
+            last = a
+            for pos, stop in enumerate(cut_points(a, b, ends)):
+                part = closed[last:stop]
                 wide = bool(part.max() > 0xFFFF)
                 raw = part.tobytes() if wide else part.astype("<u2").tobytes()
                 digest = hashlib.sha256(part.tobytes()).digest()
@@ -212,7 +243,7 @@ def _chunks(batches: Iterator[pa.RecordBatch], path: str, end_id: int) -> Iterat
                     raw = None
                 elif len(seen) < 200_000:
                     seen.add(digest)
-                rows.append((doc, seq, pos, len(part), len(ids), digest, raw, wide))
+                rows.append((doc, seq, pos, len(part), b - a, digest, raw, wide))
                 size += len(raw or b"")
                 last = stop
             seq += 1
@@ -221,7 +252,6 @@ def _chunks(batches: Iterator[pa.RecordBatch], path: str, end_id: int) -> Iterat
                 rows, size = [], 0
         if rows:
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), schema.types, strict=True)], schema=schema)
-    encoder.clear()
     seen.clear()
     K.give_back()
 
