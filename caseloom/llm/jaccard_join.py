@@ -25,8 +25,9 @@ Segments seen once anywhere find no partner, so most sets send nothing more.
 
 *Distance.*  A segment is sent with the set's size and a 256-bit parity sketch.
 Two sets that share a segment are candidates only if those allow 0.8; within
-very large groups of one segment small sets are split by the pieces of the
-sketch (one of them must agree), larger ones all stay candidates.
+groups of one segment above ``CROWD`` small sets are compared with those that
+agree in a piece of the sketch (one of the pieces must), larger ones all stay
+candidates.
 
 *Verification.*  Candidates form loose clusters (union-find in each hash range,
 then star contraction).  A cluster is compared inside tasks of bounded size.  A
@@ -299,17 +300,20 @@ def _allowed(u: np.ndarray, v: np.ndarray, size: np.ndarray, sketch: np.ndarray,
 
 
 def _star(members: np.ndarray, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Edges from each member to the first one with the same key."""
+    """Edges from each member to the first one with the same key; none without members."""
+    if not len(members):
+        return members, members
     order = np.lexsort((members, keys))
     members, keys = members[order], keys[order]
     first = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]]))
     return members, np.repeat(members[first], np.diff(np.append(first, len(keys))))
 
 
-def candidates(sigs: np.ndarray, size: np.ndarray, sketch: np.ndarray, left: np.ndarray | None = None):
+def candidates(sigs: np.ndarray, size: np.ndarray, sketch: np.ndarray, left: np.ndarray | None = None, crowded: bool = False):
     """Edges (u, v) between rows that join every two rows of one signature which sizes, sketches and positions allow to be linked.
 
-    ``left`` tells how many elements of a row's set are left from the signature's on.
+    ``left`` tells how many elements of a row's set are left from the signature's
+    on; ``crowded``, that the signatures already are pieces of sketches.
     """
     order = np.argsort(sigs, kind="stable")
     first = np.flatnonzero(np.diff(sigs[order], prepend=~sigs[order[:1]]))
@@ -332,13 +336,17 @@ def candidates(sigs: np.ndarray, size: np.ndarray, sketch: np.ndarray, left: np.
                 good = _allowed(u, v, size, sketch, left)
                 who, root = roots(u[good], v[good])
                 yield who, root
+        elif crowded:  # no more pieces tell them apart
+            yield _star(members, np.zeros(len(members)))
         else:
             pieces = sketch.view(np.uint32).reshape(len(sketch), -1)
             small = most_apart(2 * size[members] + size[members] // 4 + 1) < pieces.shape[1]  # one of the pieces agrees with a linked set's
-            for j in range(pieces.shape[1]):
-                yield _star(members[small], pieces[members[small], j])
-            yield _star(members[~small], np.zeros((~small).sum()))
-            yield from _edges_between(members[small], members[~small], size)
+            some, rest = members[small], members[~small]
+            for j in range(pieces.shape[1] if len(some) else 0):
+                for u, v in candidates(pieces[some, j].astype(np.uint64), size[some], sketch[some], None if left is None else left[some], crowded=True):
+                    yield some[u], some[v]
+            yield _star(rest, np.zeros(len(rest)))
+            yield from _edges_between(some, rest, size)
 
 
 def _edges_between(small: np.ndarray, large: np.ndarray, size: np.ndarray):

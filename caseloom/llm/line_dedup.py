@@ -15,7 +15,9 @@ The texts are read where they lie, four times, and never shuffled:
 3. Prefix: a set of n words sends its n - ceil(0.8 n) + 1 rarest words, without
    those counted once, with its size, the word's position and a parity sketch.
    Two sets with a common word are candidates if sizes (length filter), the words
-   from that position on (positional filter) and the sketches allow 0.8.
+   from that position on (positional filter) and the sketches allow 0.8.  Sets
+   with a very frequent word in the prefix send, in its place, the XOR hashes of
+   segments of their words, of which a similar set has one.
 4. Verification: candidates form clusters; the words of their sets meet in tasks
    of bounded size and are intersected, the earliest first, and a set that is
    beaten once is not looked at again.  A large cluster is compared with one chunk
@@ -39,13 +41,15 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from caseloom.llm import kernels as K
 from caseloom.llm.frames import blocks_for, broadcast_if_few, checkpoint, cores, numbered, only
-from caseloom.llm.jaccard_join import CHUNK, CHUNK_BYTES, DENOMINATOR, NUMERATOR, candidates, forest, linked, most_apart, parity, tile
+from caseloom.llm.jaccard_join import CHUNK, CHUNK_BYTES, DENOMINATOR, NUMERATOR, TOPS, candidates, forest, linked, most_apart, parity, tile
 from caseloom.operators.graph import connected_components
 
 #: Cells of the rarity table (a byte each) and of the table of wanted sets (a bit each); the latter only spares work.
 CELLS, SLAB, WANTED = 1 << 22, 1 << 16, 1 << 25
 #: 64-bit words of a set's parity sketch.
 SKETCH = 2
+#: Rank from which a prefix word (counted 2**20 times) gives way to segments, so that no word's sets all meet.
+HEAVY = 81
 #: Texts whose prefixes are packed together.
 FLUSH_BYTES = 24 << 20
 
@@ -143,7 +147,7 @@ def _named(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.ListArray.from_arrays(cuts, pa.array(place, pa.int32())), pa.ListArray.from_arrays(cuts, pa.array(set_names(words, bounds)))], names=["row", "doc_id", "places", "names"])
 
 
-def _prefixes(ranks: np.ndarray, buckets: int):
+def _prefixes(ranks: np.ndarray, buckets: int, most: int):
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Prefix words of every distinct set, by hash range, packed with name, size, position and sketch."""
         waiting: list[tuple] = []
@@ -162,7 +166,10 @@ def _prefixes(ranks: np.ndarray, buckets: int):
             twice = rank[word] > 1  # a word counted once has no partner
             at, word, line = at[twice], word[twice], line[twice]
             sketch = _sketches(words, bounds)
-            waiting.append((words[word], names[line], n[line].astype(np.int32), at.astype(np.int32), sketch[line]))
+            heavy = rank[word] >= most
+            keys, lines = _segments(words, bounds, words[word[heavy]], line[heavy])
+            at, word, line = at[~heavy], word[~heavy], line[~heavy]
+            waiting.append((np.append(words[word], keys), np.append(names[line], names[lines]), np.append(n[line], n[lines]).astype(np.int32), np.append(at, np.zeros(len(lines), np.int64)).astype(np.int32), sketch[np.append(line, lines)]))
             size += batch.column(0).nbytes
             if size >= FLUSH_BYTES:
                 yield _flushed(waiting, buckets)
@@ -175,6 +182,39 @@ def _prefixes(ranks: np.ndarray, buckets: int):
     return send
 
 
+def _segments(words: np.ndarray, bounds: np.ndarray, heavy: np.ndarray, owner: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(keys, lines) in place of the ``heavy`` prefix words of lines ``owner``: the XOR of each of a line's segments.
+
+    In the size band of the larger set of a similar pair the words fall into one
+    segment more than can differ, so the sets agree in one of them.  A segment
+    without words tells little; its key has each heavy word of the line instead.
+    """
+    lines = np.unique(owner)
+    n = np.diff(bounds)[lines]
+    own = np.searchsorted(TOPS, n)
+    next_too = DENOMINATOR * n >= NUMERATOR * (TOPS[own] + 1)
+    line, band = np.concatenate([lines, lines[next_too]]), np.concatenate([own, own[next_too] + 1])
+    if not len(line):
+        return np.zeros(0, np.uint64), np.zeros(0, np.int64)
+    parts = most_apart(2 * TOPS[band]) + 1
+    first = np.cumsum(parts) - parts
+    size = np.diff(bounds)[line]
+    word = words[np.repeat(bounds[line] - (np.cumsum(size) - size), size) + np.arange(size.sum())]
+    place = (((word >> _U(32)) * np.repeat(parts, size).astype(np.uint64)) >> _U(32)).astype(np.int64) + np.repeat(first, size)
+    value, used = np.zeros(parts.sum(), np.uint64), np.zeros(parts.sum(), bool)
+    np.bitwise_xor.at(value, place, K.mix(word))
+    used[place] = True
+    of = np.repeat(np.arange(len(line)), parts)
+    salt = K.mix(((band[of] + 1) << 32 | (np.arange(len(of)) - first[of])).astype(np.uint64))
+    full, bare = np.flatnonzero(used), np.flatnonzero(~used)
+    order = np.argsort(owner, kind="stable")
+    begin, end = np.searchsorted(owner[order], line[of[bare]]), np.searchsorted(owner[order], line[of[bare]], "right")
+    times = end - begin
+    mine = heavy[order[np.repeat(begin - (np.cumsum(times) - times), times) + np.arange(times.sum())]]
+    bare = np.repeat(bare, times)
+    return np.concatenate([K.mix(value[full] ^ salt[full]), K.mix(mine ^ K.mix(salt[bare]))]), np.concatenate([line[of[full]], line[of[bare]]])
+
+
 def _sketches(words: np.ndarray, bounds: np.ndarray) -> np.ndarray:
     """The parity sketch of each line: SKETCH words of 64 bits."""
     out = np.zeros((len(bounds) - 1, SKETCH), np.uint64)
@@ -330,14 +370,14 @@ def _beaten(clusters: DataFrame, firsts: DataFrame, words: DataFrame) -> DataFra
     return lost.unionByName(judged(rest, F.when(F.col("left"), F.concat(inner, outer)).otherwise(mine)))
 
 
-def removed_lines(rows: DataFrame) -> DataFrame:
+def removed_lines(rows: DataFrame, heavy: int = HEAVY) -> DataFrame:
     """row, doc_id, places of all lines with words and places of the removed ones, of every (row, doc_id, text)."""
     texts = rows.select("text")
     ranks = rarity(texts)
     lines = checkpoint(rows.mapInArrow(_named, "row long, doc_id long, places array<int>, names array<long>"))
     each = lines.select("row", "doc_id", F.explode(F.arrays_zip("places", "names")).alias("l"))
     firsts = each.groupBy(F.col("l.names").alias("node")).agg(F.min(F.struct("doc_id", "row", F.col("l.places").alias("place"))).alias("first")).select("node", "first.*")
-    loose = texts.mapInArrow(_prefixes(ranks, blocks_for(texts)), PACK).groupBy("bucket").applyInArrow(_pairs, "src long, dst long")
+    loose = texts.mapInArrow(_prefixes(ranks, blocks_for(texts), heavy), PACK).groupBy("bucket").applyInArrow(_pairs, "src long, dst long")
     clusters = checkpoint(connected_components(loose), 2 * cores(rows))
     some = texts.mapInArrow(_words_of(_wanted(clusters.select("node"))), "node long, words binary")
     words = checkpoint(some.join(clusters.select("node"), "node", "left_semi").dropDuplicates(["node"]))
@@ -347,10 +387,10 @@ def removed_lines(rows: DataFrame) -> DataFrame:
     return met.select("row", "doc_id", "places", F.array_except("places", F.coalesce("stays", F.array().cast("array<int>"))).alias("removed"))
 
 
-def line_dedup(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id") -> DataFrame:
-    """doc_id, n_lines, n_removed and the places of the removed lines, of every row."""
+def line_dedup(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id", heavy: int = HEAVY) -> DataFrame:
+    """doc_id, n_lines, n_removed and the places of the removed lines, of every row.  ``heavy`` changes the way, not the result."""
     base = only(docs, doc_id=id_col, text=text_col).select(F.monotonically_increasing_id().alias("row"), F.col("doc_id").cast("long"), F.col("text").cast("string"))
-    return removed_lines(base).select("doc_id", F.size("places").cast("long").alias("n_lines"), F.size("removed").cast("long").alias("n_removed"), F.array_sort("removed").alias("removed_lines"))
+    return removed_lines(base, heavy).select("doc_id", F.size("places").cast("long").alias("n_lines"), F.size("removed").cast("long").alias("n_removed"), F.array_sort("removed").alias("removed_lines"))
 
 
 def clean_texts(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id") -> DataFrame:

@@ -165,7 +165,8 @@ def test_exact_dedup(spark, size):
     assert got == {i: (max(groups[t or ""]), len(groups[t or ""]), i == max(groups[t or ""]), hashlib.sha256((t or "").encode()).hexdigest()) for i, t in enumerate(texts)}
 
 
-def test_line_dedup(spark):
+@pytest.mark.parametrize("heavy", [line_dedup.HEAVY, 2, 20])
+def test_line_dedup(spark, heavy):
     rng = random.Random(6)
     line = lambda: " ".join(f"v{rng.randrange(30)}" for _ in range(rng.randrange(1, 14)))
     lines = [line() for _ in range(60)]
@@ -177,7 +178,7 @@ def test_line_dedup(spark):
             gone = any(e and 9 * len(s & e) >= 4 * (len(s) + len(e)) for _, _, e in flat[:i])
             n, lost = want.get(d, (0, []))
             want[d] = (n + 1, lost + [p] * gone)
-    got = table(line_dedup.line_dedup(docs(spark, texts)), "doc_id", "n_lines", "removed_lines")
+    got = table(line_dedup.line_dedup(docs(spark, texts), heavy=heavy), "doc_id", "n_lines", "removed_lines")
     assert {d: (n, list(x)) for d, (n, x) in got.items()} == want
 
 
@@ -534,14 +535,15 @@ def test_large_clusters_lose_no_link(spark, monkeypatch):
 
 
 @pytest.mark.parametrize("few,crowd", [(2, 10_000), (2, 4), (128, 4096)])
-def test_candidates_hold_every_link(monkeypatch, few, crowd):
-    """Whatever way a group is compared, sets that are linked hang together."""
+@pytest.mark.parametrize("kinds", [[3, 10, 30, 45, 80], [3, 10], [80]])
+def test_candidates_hold_every_link(monkeypatch, few, crowd, kinds):
+    """Whatever way a group is compared, sets that are linked hang together; also where all are small or all large."""
     monkeypatch.setattr(jaccard_join, "FEW", few)
     monkeypatch.setattr(jaccard_join, "CROWD", crowd)
     rng = np.random.default_rng(18)
     sets = []
     for _ in range(12):
-        one = rng.integers(0, 1 << 62, rng.choice([3, 10, 30, 45, 80])).astype(np.uint64)
+        one = rng.integers(0, 1 << 62, rng.choice(kinds)).astype(np.uint64)
         for _ in range(8):
             keep = rng.random(len(one)) < 0.95
             sets.append(np.unique(np.concatenate([one[keep], rng.integers(0, 1 << 62, (~keep).sum()).astype(np.uint64)])))
@@ -555,6 +557,28 @@ def test_candidates_hold_every_link(monkeypatch, few, crowd):
                 assert label.get(i, i) == label.get(j, j)
 
 
+def test_more_variants_than_a_crowd(spark):
+    """Templates with more variants than are compared pair by pair: documents all linked, lines of a small vocabulary mostly not."""
+    n = jaccard_join.CROWD + 104
+    words = " ".join(f"w{i}" for i in range(59))
+    texts = [f"{words} last{i}" for i in range(n)]
+    assert {r.component_id for r in jaccard_join.near_duplicates(docs(spark, texts)).collect()} == {0}
+    assert jaccard_join.one_of_each(docs(spark, texts)).count() == 1
+    rng = random.Random(23)
+    lines = [" ".join(f"v{x}" for x in rng.sample(range(40), 12)) for _ in range(4 * n)]
+    lines += [" ".join(x.split()[:-1] + ["v40"]) for x in lines[:50]]
+    by_word: dict = {}
+    want = []
+    for i, x in enumerate(lines):
+        s = frozenset(x.split())
+        near = set().union(*(by_word.get(s - {w}, set()) for w in s))  # 12 words each: linked if 11 are common
+        want.append(bool(near))
+        for w in s:
+            by_word.setdefault(s - {w}, set()).add(i)
+    got = {r.doc_id: r.n_removed for r in line_dedup.line_dedup(docs(spark, lines)).collect()}
+    assert [got[i] for i in range(len(lines))] == [int(x) for x in want]
+
+
 def test_short_unlinked_sets_stay_apart(spark):
     """Short texts without a common shingle make no candidates, however many there are."""
     rng = random.Random(19)
