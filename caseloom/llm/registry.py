@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from caseloom.llm import decontamination, exact_dedup, jaccard_join, line_dedup, mixing, pii, quality, substring_dedup, token_store, toxicity, vector_codes
+from caseloom.llm import decontamination, exact_dedup, jaccard_join, line_dedup, mixing, pii, quality, spelling, substring_dedup, token_store, toxicity, vector_codes
 from caseloom.llm.frames import shared_folder  # noqa: F401
 
 
@@ -62,7 +62,11 @@ def op11_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return vector_codes.compressed(table(spark, sf_dir, "embeddings"))
 
 
-QUERIES = {"op1_substring_dedup": op1_substring_dedup, "op2_toxicity": op2_toxicity, "op3_line_dedup": op3_line_dedup, "op4_mixing": op4_mixing, "op5_ngram_jaccard": op5_ngram_jaccard, "op6_exact_dedup": op6_exact_dedup, "op7_decontamination": op7_decontamination, "op8_pii": op8_pii, "op9_quality": op9_quality, "op10_token_store": op10_token_store, "op11_vector_codes": op11_vector_codes}
+def op12_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling.spelling_variants(table(spark, sf_dir, "documents"), changed=spelling.slip)
+
+
+QUERIES = {"op1_substring_dedup": op1_substring_dedup, "op2_toxicity": op2_toxicity, "op3_line_dedup": op3_line_dedup, "op4_mixing": op4_mixing, "op5_ngram_jaccard": op5_ngram_jaccard, "op6_exact_dedup": op6_exact_dedup, "op7_decontamination": op7_decontamination, "op8_pii": op8_pii, "op9_quality": op9_quality, "op10_token_store": op10_token_store, "op11_vector_codes": op11_vector_codes, "op12_spelling_variants": op12_spelling_variants}
 
 OP1_SQL = """
 WITH w AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+') AS words FROM documents),
@@ -76,4 +80,4 @@ SELECT w.doc_id, len(words) AS n_words, len(coalesce(gone, [])) AS n_removed,
 FROM w LEFT JOIN marks USING (doc_id)
 """
 
-ORACLES = {"op1_substring_dedup": OP1_SQL, "op3_line_dedup": line_dedup.SQL, "op6_exact_dedup": exact_dedup.SQL, "op11_vector_codes": vector_codes.SQL}
+ORACLES = {"op1_substring_dedup": OP1_SQL, "op3_line_dedup": line_dedup.SQL, "op6_exact_dedup": exact_dedup.SQL, "op11_vector_codes": vector_codes.SQL, "op12_spelling_variants": spelling.SQL}
