@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from caseloom.llm import decontamination, exact_dedup, jaccard_join, line_dedup, mixing, pii, quality, spelling, substring_dedup, token_store, toxicity, vector_codes
+from caseloom.llm import decontamination, exact_dedup, jaccard_join, line_dedup, mixing, neighbours, pii, quality, spelling, substring_dedup, token_store, toxicity, vector_codes
 from caseloom.llm.frames import shared_folder  # noqa: F401
 
 
@@ -66,7 +66,11 @@ def op12_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spelling.spelling_variants(table(spark, sf_dir, "documents"), changed=spelling.slip)
 
 
-QUERIES = {"op1_substring_dedup": op1_substring_dedup, "op2_toxicity": op2_toxicity, "op3_line_dedup": op3_line_dedup, "op4_mixing": op4_mixing, "op5_ngram_jaccard": op5_ngram_jaccard, "op6_exact_dedup": op6_exact_dedup, "op7_decontamination": op7_decontamination, "op8_pii": op8_pii, "op9_quality": op9_quality, "op10_token_store": op10_token_store, "op11_vector_codes": op11_vector_codes, "op12_spelling_variants": op12_spelling_variants}
+def op13_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return neighbours.nearest_rows(table(spark, sf_dir, "embeddings"))
+
+
+QUERIES = {"op1_substring_dedup": op1_substring_dedup, "op2_toxicity": op2_toxicity, "op3_line_dedup": op3_line_dedup, "op4_mixing": op4_mixing, "op5_ngram_jaccard": op5_ngram_jaccard, "op6_exact_dedup": op6_exact_dedup, "op7_decontamination": op7_decontamination, "op8_pii": op8_pii, "op9_quality": op9_quality, "op10_token_store": op10_token_store, "op11_vector_codes": op11_vector_codes, "op12_spelling_variants": op12_spelling_variants, "op13_nearest_neighbours": op13_nearest_neighbours}
 
 OP1_SQL = """
 WITH w AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+') AS words FROM documents),
