@@ -3,8 +3,8 @@
 A document becomes a hashed term vector: words, and for each word its shape
 (first and last byte class, capitals, length, whether it repeats an earlier
 word).  Weighted by log term frequency and inverse document frequency, the
-vectors of at most ``FIT_ROWS`` labelled documents of each class give a
-truncated singular value decomposition.  The labelled latent vectors (their
+vectors of at most ``FIT_ROWS`` labelled documents (and ``FIT_BYTES`` of their
+texts, see toxicity) of each class give a truncated singular value decomposition.  The labelled latent vectors (their
 number is bounded, so a broadcast is) meet every document in exact blocked
 cosine products; the ``NEIGHBOURS`` nearest vote with their similarity, each
 class weighted back to its share of the labels.
@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from caseloom.llm import kernels as K
 from caseloom.llm.frames import only
-from caseloom.llm.toxicity import held_out, labelled_sample
+from caseloom.llm.toxicity import FIT_BYTES, held_out, labelled_sample
 
 WORDS, SHAPES = 1024, 512
 RANK, NEIGHBOURS, FIT_ROWS, BLOCK = 48, 20, 1500, 256
@@ -113,9 +113,9 @@ def scorer(model: dict):
     return score
 
 
-def quality(docs: DataFrame, labels: DataFrame, text_col: str = "text", id_col: str = "doc_id", parts: int = 5, part: int = 0, rows: int = FIT_ROWS, threshold: float = THRESHOLD) -> DataFrame:
+def quality(docs: DataFrame, labels: DataFrame, text_col: str = "text", id_col: str = "doc_id", parts: int = 5, part: int = 0, rows: int = FIT_ROWS, threshold: float = THRESHOLD, fit_bytes: int = FIT_BYTES) -> DataFrame:
     """doc_id, held_out, score, predicted of every document."""
     base = only(docs, doc_id=id_col, text=text_col).select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
-    model = fit(labelled_sample(base, labels, "quality", parts, part, rows))
+    model = fit(labelled_sample(base, labels, "quality", parts, part, rows, fit_bytes))
     scored = base.mapInArrow(scorer(model), "doc_id long, score double")
     return scored.select("doc_id", held_out("doc_id", parts, part).alias("held_out"), "score", (F.col("score") >= threshold).cast("int").alias("predicted"))

@@ -36,13 +36,17 @@ from caseloom.llm.frames import checkpoint, only
 END_ID = 1
 #: Chunk borders: a window of ids, a mean length (a power of two) and hard limits.
 WINDOW, MEAN_IDS, LEAST_IDS, MOST_IDS = 16, 2048, 256, 16384
-#: Slots of a worker's encoding cache, and the words kept in it; beyond them the cache starts anew.  Some 70 MB in all.
-CACHE_SLOTS = 1 << 21
+#: Slots of a worker's encoding cache (22 bytes each, 46 MB), the words kept in it, and the bytes of their ids and of the
+#: dictionary; beyond them the cache starts anew.
+CACHE_SLOTS, CACHE_BYTES = 1 << 21, 64 << 20
 CACHE_WORDS = CACHE_SLOTS * 3 // 4
 #: Words that go to the library in one text, with a special token between them.
 JOINED = 200
-#: Words up to this many bytes are found by their own bytes in arrays, longer ones in a dictionary.
-ARRAY_WORD = 16
+#: Words up to this many bytes are found by their own bytes in arrays, longer ones in a dictionary (what an entry takes
+#: there besides its bytes), and words of unspaced text, longer still, are encoded wherever they come.
+ARRAY_WORD, DICTIONARY_WORD, ENTRY_BYTES = 16, 64, 240
+#: Bytes of text that are encoded at a time.
+SLICE_BYTES = 8 << 20
 
 
 class WordEncoder:
@@ -51,8 +55,9 @@ class WordEncoder:
     The vocabulary's normaliser and splitter never look across white space, so a
     text's ids are the ids of its white-space separated words in turn.  Words
     are found in an open-addressed table of arrays that holds their very bytes
-    (``ARRAY_WORD`` of them; longer words are keys of a dictionary), a slice of
-    a batch at a time; the library sees only those that are not there yet.
+    (``ARRAY_WORD`` of them; longer words are keys of a dictionary, very long
+    ones are not kept), a slice of a batch at a time; the library sees only
+    those that are not there yet.
     """
 
     def __init__(self, path: str):
@@ -70,6 +75,11 @@ class WordEncoder:
         self.size, self.first, self.length = np.zeros(0, np.uint8), np.zeros(0, np.int32), np.zeros(0, np.uint8)
         self.pool, self.used, self.words = np.zeros(0, np.uint32), 0, 0
         self.long: dict[bytes, tuple[int, int]] = {}
+        self.long_bytes = 0
+
+    def held(self) -> int:
+        """Bytes of the ids and of the dictionary."""
+        return self.long_bytes + 4 * self.used
 
     def _open(self) -> None:
         slots = CACHE_SLOTS
@@ -155,7 +165,7 @@ class WordEncoder:
 
     def _slice(self, data: np.ndarray, start: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(ids of the words in turn, number of ids of each word)."""
-        if self.words > CACHE_WORDS:
+        if self.words > CACHE_WORDS or self.held() > CACHE_BYTES:
             self.clear()
         if not len(self.low):
             self._open()
@@ -164,23 +174,41 @@ class WordEncoder:
         short = np.flatnonzero(n <= ARRAY_WORD)
         first, length = np.zeros(len(n), np.int64), np.zeros(len(n), np.int64)
         first[short], length[short] = self._short(view, start[short], end[short], low[short], high[short], n[short])
-        far = np.flatnonzero(n > ARRAY_WORD).tolist()  # at most as many again as the arrays may hold
-        if far:
-            words = [bytes(view[start[i] : end[i]]) for i in far]
-            fresh = [w for w in dict.fromkeys(words) if w not in self.long]
-            if fresh:
-                self.long.update(zip(fresh, zip(*(x.tolist() for x in self._library([w.decode("utf-8", "replace") for w in fresh])), strict=True), strict=True))
-            first[far], length[far] = zip(*(self.long[w] for w in words), strict=True)
+        for i, found in self._long(view, start, end, np.flatnonzero((n > ARRAY_WORD) & (n <= DICTIONARY_WORD)).tolist()):
+            first[i], length[i] = found
+        used, words = self.used, self.words
+        for i, found in self._alone(view, start, end, np.flatnonzero(n > DICTIONARY_WORD).tolist()):
+            first[i], length[i] = found
         ends = np.cumsum(length)
         total = int(ends[-1]) if len(ends) else 0
-        return self.pool[np.repeat(first - (ends - length), length) + np.arange(total)], length
+        ids = self.pool[np.repeat(first - (ends - length), length) + np.arange(total)]
+        self.used, self.words = used, words  # what is not kept leaves the pool
+        return ids, length
+
+    def _long(self, view: memoryview, start: np.ndarray, end: np.ndarray, far: list[int]) -> Iterator[tuple[int, tuple[int, int]]]:
+        """Of words in the dictionary: (word, (where its ids begin, their number))."""
+        words = [bytes(view[start[i] : end[i]]) for i in far]
+        fresh = [w for w in dict.fromkeys(words) if w not in self.long]
+        if fresh:
+            self.long.update(zip(fresh, self._told(fresh), strict=True))
+            self.long_bytes += sum(map(len, fresh)) + ENTRY_BYTES * len(fresh)
+        return zip(far, (self.long[w] for w in words), strict=True)
+
+    def _alone(self, view: memoryview, start: np.ndarray, end: np.ndarray, far: list[int]) -> Iterator[tuple[int, tuple[int, int]]]:
+        """Of words that are not kept, the same; equal ones of the slice once."""
+        words = [bytes(view[start[i] : end[i]]) for i in far]
+        fresh = list(dict.fromkeys(words))
+        return zip(far, map(dict(zip(fresh, self._told(fresh), strict=True)).__getitem__, words), strict=True)
+
+    def _told(self, words: list[bytes]) -> Iterator[tuple[int, int]]:
+        return zip(*(x.tolist() for x in self._library([w.decode("utf-8", "replace") for w in words])), strict=True) if words else iter(())
 
     def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """(ids of all texts in turn, where each text's ids begin, with the end)."""
         data, offsets = K.text_buffers(texts)
         start, end, counts = K.word_spans(data, offsets)
-        step = max(1, CACHE_WORDS // 2)
-        done = [self._slice(data, start[at : at + step], end[at : at + step]) for at in range(0, len(start), step)]
+        cuts = np.flatnonzero(np.diff(end // SLICE_BYTES + np.arange(len(end)) // max(1, CACHE_WORDS // 2), prepend=-1)).tolist()
+        done = [self._slice(data, start[a:b], end[a:b]) for a, b in zip(cuts, [*cuts[1:], len(start)], strict=True)]
         if not done:
             return np.zeros(0, np.uint32), np.zeros(len(counts) + 1, np.int64)
         ends = np.cumsum(np.concatenate([d[1] for d in done]))

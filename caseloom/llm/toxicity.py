@@ -9,7 +9,9 @@ prove have a weight: with one for every term, descent fits the few toxic
 documents by chance words and the words that tell lose theirs.
 
 Fitting reads at most ``FIT_ROWS`` labelled documents of each class, the first
-ones in the order of a hash of their ids; scoring covers every document.
+ones in the order of a hash of their ids, up to ``FIT_BYTES`` of text in all
+(texts above a sixteenth of that come last, and a class with labels gives one
+text at least); scoring covers every document.
 
 Defined cases: a null or empty text has no sentence and the score 0; null ids
 are scored; labels that are null are not learnt from, of several labels of one
@@ -23,7 +25,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from caseloom.llm import kernels as K
 from caseloom.llm.frames import only, without
@@ -32,8 +34,8 @@ BITS = 18
 #: Besides itself, a word has the features of its beginnings of these lengths in bytes.
 HEADS = (4, 5)
 FIT_ROWS = 1000
-#: Longer texts are not in the sample that the driver fits on, so it has FIT_ROWS * classes * FIT_TEXT_BYTES at most.
-FIT_TEXT_BYTES = 1 << 17
+#: Bytes of the texts of one class that the driver fits on (or one text).
+FIT_BYTES = 16 << 20
 ROUNDS, RATE, SHRINK, BIAS = 60, 0.1, 1e-4, -6.0
 THRESHOLD = 0.3
 
@@ -49,19 +51,23 @@ def held_out(id_col: str | Column, parts: int, part: int) -> Column:
     return F.coalesce(F.pmod(F.crc32(c.cast("string")), F.lit(parts)) == part, F.lit(False))
 
 
-def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, parts: int, part: int, rows: int) -> list[tuple[int, str, int, float]]:
-    """At most ``rows`` training documents of each class, of at most ``FIT_TEXT_BYTES``: (id, text, label, weight of its class).
+def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, parts: int, part: int, rows: int, size: int = FIT_BYTES) -> list[tuple[int, str, int, float]]:
+    """At most ``rows`` training documents of each class and ``size`` bytes of their texts: (id, text, label, weight of its class).
 
     The weight is how many training labels of the class each sampled one stands for.
     """
     known = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col(label).cast("int").alias("label")).filter("doc_id is not null and label is not null").groupBy("doc_id").agg(F.max("label").alias("label")).filter(~held_out("doc_id", parts, part))
     counts = {r["label"]: r["n"] for r in known.groupBy("label").agg(F.count(F.lit(1)).alias("n")).filter("label in (0, 1)").collect()}
     picked = None
+    place = F.xxhash64(F.lit(7), "doc_id")
     for value in (0, 1):
-        some = known.filter(F.col("label") == value).orderBy(F.xxhash64(F.lit(7), "doc_id"), "doc_id").limit(rows)
+        some = known.filter(F.col("label") == value).orderBy(place, "doc_id").limit(rows)
         picked = some if picked is None else picked.unionByName(some)
-    met = docs.join(F.broadcast(picked.select(F.col("doc_id").alias("__id"), "label")), F.col("doc_id") == F.col("__id")).filter(F.coalesce(F.octet_length("text"), F.lit(0)) <= FIT_TEXT_BYTES)  # at most 2 * rows ids
-    got = met.groupBy("doc_id").agg(F.first("text").alias("text"), F.first("label").alias("label")).collect()
+    met = docs.join(F.broadcast(picked.select(F.col("doc_id").alias("__id"), "label")), F.col("doc_id") == F.col("__id"))  # at most 2 * rows ids
+    texts = met.groupBy("doc_id").agg(F.first("text").alias("text"), F.first("label").alias("label")).withColumn("bytes", F.coalesce(F.octet_length("text"), F.lit(0)).cast("long"))
+    large = F.col("bytes") > size // 16
+    order = W.partitionBy("label").orderBy(large, F.when(large, F.col("bytes")), place, "doc_id")
+    got = texts.withColumn("total", F.sum("bytes").over(order)).withColumn("at", F.row_number().over(order)).filter((F.col("total") <= size) | (F.col("at") == 1)).collect()
     weight = {v: counts.get(v, 0) / max(1, sum(r["label"] == v for r in got)) for v in (0, 1)}
     return sorted((r["doc_id"], r["text"] or "", r["label"], weight[r["label"]]) for r in got)
 
@@ -183,18 +189,18 @@ def scorer(model: dict, threshold: float = THRESHOLD):
     return score
 
 
-def toxicity(docs: DataFrame, labels: DataFrame, text_col: str = "text", id_col: str = "doc_id", parts: int = 4, part: int = 2, rows: int = FIT_ROWS, threshold: float = THRESHOLD) -> DataFrame:
+def toxicity(docs: DataFrame, labels: DataFrame, text_col: str = "text", id_col: str = "doc_id", parts: int = 4, part: int = 2, rows: int = FIT_ROWS, threshold: float = THRESHOLD, fit_bytes: int = FIT_BYTES) -> DataFrame:
     """doc_id, held_out, score, predicted and the offending sentences of every document."""
     base = only(docs, doc_id=id_col, text=text_col).select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
-    model = fit(labelled_sample(base, labels, "toxic", parts, part, rows))
+    model = fit(labelled_sample(base, labels, "toxic", parts, part, rows, fit_bytes))
     scored = base.mapInArrow(scorer(model, threshold), OUT)
     return scored.select("doc_id", held_out("doc_id", parts, part).alias("held_out"), "score", (F.col("score") >= threshold).cast("int").alias("predicted"), "sentences")
 
 
-def clean_documents(docs: DataFrame, labels: DataFrame, text_col: str = "text", id_col: str = "doc_id", parts: int = 4, part: int = 2, rows: int = FIT_ROWS, threshold: float = THRESHOLD) -> DataFrame:
+def clean_documents(docs: DataFrame, labels: DataFrame, text_col: str = "text", id_col: str = "doc_id", parts: int = 4, part: int = 2, rows: int = FIT_ROWS, threshold: float = THRESHOLD, fit_bytes: int = FIT_BYTES) -> DataFrame:
     """The rows of ``docs``, all columns, that are not predicted toxic, each by its own text."""
     base = only(docs, doc_id=id_col, text=text_col).select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
-    score = scorer(fit(labelled_sample(base, labels, "toxic", parts, part, rows)), threshold)
+    score = scorer(fit(labelled_sample(base, labels, "toxic", parts, part, rows, fit_bytes)), threshold)
 
     def toxic(batches: Iterator[pa.RecordBatch]) -> Iterator[np.ndarray]:
         for out in score(batches):

@@ -598,3 +598,56 @@ def test_blocks_whose_hashes_clash(spark, monkeypatch):
     texts = ["aaaabbbb", "aaaacccc", "aaaabbbb", "", None, "ccccaaaa", "aaaa"]
     got = table(exact_dedup.exact_dedup(docs(spark, texts), block_bytes=4), "doc_id", "keep_id")
     assert got == {0: (2,), 1: (1,), 2: (2,), 3: (4,), 4: (4,), 5: (5,), 6: (6,)}
+
+
+def test_words_that_are_not_kept():
+    """Unspaced text has long words: they are encoded as the library does it, and the cache stays small."""
+    from public_tokenizers import path
+    from tokenizers import Tokenizer
+
+    rng = random.Random(29)
+    plain = Tokenizer.from_file(path("word_bpe_49k.json"))
+    encoder = token_store.WordEncoder(path("word_bpe_49k.json"))
+    han = lambda n: "".join(chr(rng.randrange(0x4E00, 0x9FA5)) for _ in range(n))
+    texts = [" ".join(rng.choice([han(60), han(15), "plain", "sevenandtwentyletterslong"]) for _ in range(40)) for _ in range(20)]
+    texts += [texts[0], han(60) + " " + "a"]
+    ids, bounds = encoder.encode(pa.array(texts))
+    assert [ids[i:j].tolist() for i, j in zip(bounds[:-1], bounds[1:])] == [plain.encode(t, add_special_tokens=False).ids for t in texts]
+    assert all(len(w) <= token_store.DICTIONARY_WORD for w in encoder.long)
+    before = encoder.held()
+    for _ in range(3):
+        encoder.encode(pa.array([" ".join(han(60) for _ in range(500))]))
+    assert encoder.held() == before
+
+
+def test_slices_and_small_caches(monkeypatch):
+    from public_tokenizers import path
+    from tokenizers import Tokenizer
+
+    monkeypatch.setattr(token_store, "SLICE_BYTES", 64)
+    monkeypatch.setattr(token_store, "CACHE_BYTES", 400)
+    plain = Tokenizer.from_file(path("word_bpe_49k.json"))
+    encoder = token_store.WordEncoder(path("word_bpe_49k.json"))
+    texts = ["one two three " * 30 + "seventeenletterwords", None, "x" * 300, "one two"] * 3
+    ids, bounds = encoder.encode(pa.array(texts))
+    assert [ids[i:j].tolist() for i, j in zip(bounds[:-1], bounds[1:])] == [plain.encode(t or "", add_special_tokens=False).ids for t in texts]
+
+
+@pytest.mark.parametrize("size", [toxicity.FIT_BYTES, 1 << 20, 1])
+def test_long_labelled_texts_are_learnt_from(spark, size):
+    """Byte bounds leave documents of both classes, whatever the texts' length; ordinary bounds find the toxic ones."""
+    rng = random.Random(31)
+    text = lambda bad: " ".join(f"w{rng.randrange(3000)}" + (". vile scum. " if bad and i % 400 == 7 else ". " if i % 20 == 0 else "") for i in range(8000))
+    texts = [text(i % 3 == 0) for i in range(60)]
+    frame = docs(spark, texts)
+    labels = spark.createDataFrame([(i, int(i % 3 == 0), 1) for i in range(60)], "doc_id long, toxic int, quality int")
+    base = frame.select("doc_id", "text")
+    sample = toxicity.labelled_sample(base, labels, "toxic", 4, 2, 1000, size)
+    assert {r[2] for r in sample} == {0, 1} and all(r[1] == texts[r[0]] for r in sample)
+    for value in (0, 1):
+        mine = [len(r[1]) for r in sample if r[2] == value]
+        assert sum(mine) <= size or len(mine) == 1
+        assert size < toxicity.FIT_BYTES or len(mine) == sum((zlib.crc32(str(i).encode()) % 4 != 2) and int(i % 3 == 0) == value for i in range(60))
+    if size == toxicity.FIT_BYTES:
+        got = {r.doc_id: r.predicted for r in toxicity.toxicity(frame, labels).collect()}
+        assert got == {i: int(i % 3 == 0) for i in range(60)}
