@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 
 from pyspark.sql import DataFrame
@@ -18,7 +19,7 @@ def checkpoint(df: DataFrame, parts: int | None = None) -> DataFrame:
     context = df.sparkSession.sparkContext
     if context._jsc.sc().getCheckpointDir().isEmpty():
         named = context.getConf().get("spark.checkpoint.dir")
-        if not named and not context.master.startswith("local"):
+        if not named and not re.fullmatch(r"local(\[[^\]]*\])?", context.master):
             raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         context.setCheckpointDir(named or tempfile.mkdtemp(prefix="caseloom-checkpoint-"))
     return (df.coalesce(parts) if parts else df).checkpoint(eager=True)
