@@ -3,33 +3,19 @@
 from __future__ import annotations
 
 import posixpath
-import tempfile
 import uuid
 from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
+
+from caseloom.operators.checkpoints import checkpoint
 
 #: Of the block exchange: bytes of input that a row of it stands for, and the least block.
 ROW_BYTES, LEAST_BLOCK = 1 << 10, 4 << 20
 
 
-def checkpoint(df: DataFrame, parts: int | None = None) -> DataFrame:
-    """Cut the lineage through files that every executor can read, ``parts`` of them at most.
-
-    The folder is the one that the session names in ``spark.checkpoint.dir``;
-    only a session without that setting (local tests) gets a folder of its own.
-    """
-    context = df.sparkSession.sparkContext
-    if context._jsc.sc().getCheckpointDir().isEmpty():
-        named = context.getConf().get("spark.checkpoint.dir")
-        if not named and not context.master.startswith("local"):
-            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-        context.setCheckpointDir(named or tempfile.mkdtemp(prefix="caseloom-checkpoint-"))
-    return (df.coalesce(parts) if parts else df).checkpoint(eager=True)
-
-
 def shared_folder(spark: SparkSession, name: str) -> str:
     """A fresh folder beside the checkpoints, which all executors share."""
     checkpoint(spark.range(0))  # makes sure that there is one
@@ -88,6 +74,11 @@ def blocks_for(df: DataFrame, block_bytes: int | None = None, text_col: str = "t
     return int(max(2 * shuffle_partitions(df.sparkSession), -(-size // block_bytes)))
 
 
+def spread(id_col: str, text_col: str, blocks: int) -> Column:
+    """The block of a row by its id, or by its text if it has none, so that rows without id do not all share one."""
+    return F.pmod(F.xxhash64(id_col, F.when(F.col(id_col).isNull(), F.xxhash64(text_col))), F.lit(blocks)).cast("int")
+
+
 def broadcast_if_few(rows: DataFrame, most: int = 100_000) -> DataFrame:
     """The rows, written, and marked for broadcast if their count is at most ``most``; else they are joined like any others."""
     rows = checkpoint(rows, cores(rows))

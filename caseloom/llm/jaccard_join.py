@@ -43,7 +43,8 @@ classes by two of them and the size.
 Defined cases: a null, empty or blank text has an empty set and links with
 nothing; a text of fewer words than a shingle is one shingle; repeated rows are
 members of one class; null ids take part in no class and are their own
-component (null); no rows give no rows; other columns are not read.
+component (null); texts that share an id are nodes of one name, so what one of
+them links with, all do; no rows give no rows; other columns are not read.
 """
 
 from __future__ import annotations
@@ -56,7 +57,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
 from caseloom.llm import kernels as K
-from caseloom.llm.frames import blocks_for, broadcast_if_few, checkpoint, cores, numbered, only, shuffle_partitions
+from caseloom.llm.frames import blocks_for, broadcast_if_few, checkpoint, cores, numbered, only, shuffle_partitions, spread
 from caseloom.operators.graph import connected_components
 
 SHINGLE, NUMERATOR, DENOMINATOR = 5, 80, 100
@@ -489,18 +490,18 @@ def near_duplicates(docs: DataFrame, text_col: str = "text", id_col: str = "doc_
     """doc_id, n_shingles, component_id of every row."""
     base = only(docs, doc_id=id_col, text=text_col).select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
     n = blocks_for(base, block_bytes)
-    block = F.pmod(F.xxhash64("doc_id"), F.lit(n)).cast("int").alias("block")
+    block = spread("doc_id", "text", n).alias("block")
     keys = checkpoint(base.mapInArrow(_keys, "doc_id long, n long, a long, b long"))
     classes = keys.filter("n > 0 and doc_id is not null").groupBy("n", "a", "b").agg(F.min("doc_id").alias("rep"))
-    chosen = classes.select(F.col("rep").alias("doc_id")).select(block, F.lit(-1).alias("bucket"), F.expr("unhex(lpad(hex(doc_id), 16, '0'))").alias("data"), F.lit(None).cast("binary").alias("extra"))
+    chosen = classes.select(F.col("rep").alias("doc_id"), F.lit(None).cast("string").alias("text")).select(block, F.lit(-1).alias("bucket"), F.expr("unhex(lpad(hex(doc_id), 16, '0'))").alias("data"), F.lit(None).cast("binary").alias("extra"))
     dealt = base.select(block, "doc_id", "text").groupBy("block")
     sent = dealt.cogroup(chosen.groupBy("block")).applyInArrow(_sender(n), ROWS)
     counts = sent.groupBy("bucket").applyInArrow(_count, ROWS)
     proposed = checkpoint(dealt.cogroup(counts.unionByName(chosen).groupBy("block")).applyInArrow(_proposer(n), ROWS))
     texts = proposed.filter("bucket = -1").select(F.expr("cast(conv(hex(data), 16, -10) as long)").alias("doc_id"), F.col("extra").cast("string").alias("text"))
-    spread = max(4, shuffle_partitions(docs.sparkSession) // 4)
-    loose = proposed.filter("bucket >= 0").groupBy("bucket").applyInArrow(_looser(spread), ROWS).groupBy("bucket").applyInArrow(_forest, "src long, dst long")
-    links = connected_components(_links(connected_components(loose), texts, 32 * spread))
+    ranges = max(4, shuffle_partitions(docs.sparkSession) // 4)
+    loose = proposed.filter("bucket >= 0").groupBy("bucket").applyInArrow(_looser(ranges), ROWS).groupBy("bucket").applyInArrow(_forest, "src long, dst long")
+    links = connected_components(_links(connected_components(loose), texts, 32 * ranges))
     named = classes.join(links, classes["rep"] == links["node"], "left").select(F.col("n").alias("cn"), F.col("a").alias("ca"), F.col("b").alias("cb"), F.coalesce("component", "rep").alias("component"))
     met = keys.join(named, (F.col("n") == F.col("cn")) & (F.col("a") == F.col("ca")) & (F.col("b") == F.col("cb")), "left")
     return met.select("doc_id", F.col("n").alias("n_shingles"), F.when((F.col("n") > 0) & F.col("doc_id").isNotNull(), F.coalesce("component", "doc_id")).otherwise(F.col("doc_id")).alias("component_id"))

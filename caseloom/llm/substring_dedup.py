@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from caseloom.llm import kernels as K
-from caseloom.llm.frames import blocks_for, only
+from caseloom.llm.frames import blocks_for, only, spread
 
 WINDOW = 35
 
@@ -119,7 +119,7 @@ def remove_repeated_windows(docs: DataFrame, text_col: str = "text", id_col: str
     """doc_id, n_words, n_removed, spans (of word indices, end exclusive) and kept_text of every row."""
     base = only(docs, doc_id=id_col, text=text_col).select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
     n = blocks_for(base, block_bytes)
-    dealt = base.select(F.pmod(F.xxhash64("doc_id"), F.lit(n)).cast("int").alias("block"), "doc_id", "text")
+    dealt = base.select(spread("doc_id", "text", n).alias("block"), "doc_id", "text")
     sent = dealt.groupBy("block").applyInArrow(_sender(window, n), "block int, bucket int, data binary, flags binary")
     marks = sent.groupBy("bucket").applyInArrow(_count, "block int, bucket int, data binary, flags binary")
     return dealt.groupBy("block").cogroup(marks.groupBy("block")).applyInArrow(_cleaner(window), "doc_id long, n_words long, n_removed long, spans array<struct<start: int, end: int>>, kept_text string")
