@@ -7,7 +7,7 @@ import unicodedata
 from collections.abc import Callable
 from functools import cache
 
-from pyspark.sql import Column, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from caseloom.functions import lexicon as L
 
@@ -28,6 +28,16 @@ def bound(value: Column, use: Callable[[Column], Column]) -> Column:
     return F.element_at(F.transform(F.array(value), use), 1)
 
 
+def computed(rows: DataFrame, **named: Column) -> DataFrame:
+    """Adds columns that are worked out once for each row.
+
+    What a generator makes is neither merged into its uses nor pushed below
+    filters, as the columns of a projection are, each time with all that they
+    are made of.
+    """
+    return rows.select("*", F.inline(F.array(F.struct(*[c.alias(name) for name, c in named.items()]))))
+
+
 #: Characters that fold to several, where texts have them: ligatures, fractions, signs.
 WIDE = "ﬀﬁﬂﬃﬄﬅﬆ½¼¾⅓⅔⅛№™℠…ĲĳĿŀŉǄǅǆǇǈǉǊǋǌǱǲǳ"
 
@@ -58,9 +68,8 @@ def fold(c: ColumnLike) -> Column:
     rare = "[" + "".join(re.escape(a) for a, _ in many) + marks + "]"
 
     def plain(t: Column) -> Column:
-        wide = t
-        for a, b in many:
-            wide = F.replace(wide, F.lit(a), F.lit(b))
+        pairs = F.split(F.lit(" ".join(a + b.replace(" ", "_") for a, b in many)), " ")
+        wide = F.aggregate(pairs, t, lambda have, p: F.replace(have, F.left(p, F.lit(1)), F.replace(F.substring(p, 2, 9), F.lit("_"), F.lit(" "))))
         return F.when(t.rlike(rare), F.regexp_replace(wide, marks, "")).otherwise(t)
 
     # A text of as many bytes as characters is ASCII and only wants lower case.

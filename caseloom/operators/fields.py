@@ -5,11 +5,13 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, functions as F
 
 from caseloom.functions import lexicon as L
-from caseloom.functions.text import bound, clean, cut_at_sentence, fold, norm_ws, text
+from caseloom.functions.text import bound, clean, computed, cut_at_sentence, fold, norm_ws, text
 from caseloom.operators.segmentation import is_badge, is_garbage
 
 _NEXT = "|".join(L.LABELS)
 _FLAGS = "(?iumsd)"
+#: The fields of a card, in order.
+FIELDS = ("codigo", "tipo", "ingreso_como", "caso", "ubicacion", "actores_primarios", "actores_secundarios", "actores_terciarios", "actores", "hechos_del_mes")
 
 
 def _field(label: str, sign: str = r"\s*[:.]?\s*") -> str:
@@ -59,10 +61,11 @@ def _fields(t: Column, events: Column) -> Column:
 
 def accepted_cards(cards: DataFrame) -> DataFrame:
     """Parsed cards (doc, card, page, estado, departamento, left, right) that hold something."""
-    c = cards.withColumn("body", F.array_join("left", "\n")).filter(~is_badge(F.col("body")) & (F.length("body") >= 12))
-    c = c.withColumn("f", parse_card(F.col("body"), F.array_join("right", " ")))
+    c = computed(cards, body=F.array_join("left", "\n")).filter((F.length("body") >= 12) & ~is_badge(F.col("body")))
+    c = computed(c, f=parse_card(F.col("body"), F.array_join("right", " ")))
     full = (F.col("f.caso") != "") | (F.col("f.tipo") != "") | (F.col("f.codigo") != "") | (F.length("body") > 80)
     c = c.filter(full & ~fold("f.caso").startswith(L.INSTITUTION_START))
-    c = c.withColumn("f", F.col("f").withField("caso", F.regexp_replace("f.caso", r"^\d+\.\s*", "")))
-    c = c.select("doc", "card", "page", "estado", "departamento", "f.*", F.left(norm_ws("body"), F.lit(L.RAW_LIMIT)).alias("texto_crudo"))
-    return c.filter(~is_garbage({k: F.col(k) for k in ("caso", "tipo", "codigo", "ubicacion")}))
+    c = computed(c, told=F.regexp_replace("f.caso", r"^\d+\.\s*", ""))
+    c = c.filter(~is_garbage({"caso": F.col("told")} | {k: F.col(f"f.{k}") for k in ("tipo", "codigo", "ubicacion")}))
+    rest = [F.col(f"f.{k}") for k in FIELDS[FIELDS.index("caso") + 1 :]]
+    return c.select("doc", "card", "page", "estado", "departamento", *[F.col(f"f.{k}") for k in FIELDS[: FIELDS.index("caso")]], F.col("told").alias("caso"), *rest, F.left(norm_ws("body"), F.lit(L.RAW_LIMIT)).alias("texto_crudo"))

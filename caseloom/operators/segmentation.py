@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from caseloom.functions import lexicon as L
-from caseloom.functions.text import bound, clean, department, fold, leading_department, norm_ws, squeeze, text
+from caseloom.functions.text import bound, clean, computed, department, fold, leading_department, norm_ws, squeeze, text
 
 ICASE = "(?iu)"
 
@@ -56,7 +56,12 @@ def _opens_latent(t: Column) -> Column:
 
 def block_status(c: Column) -> Column:
     """Status that a heading block sets, else null."""
-    return bound(F.btrim(squeeze(fold(c)), F.lit(" .:")), _block_status)
+    return status_of(fold(c))
+
+
+def status_of(folded: Column) -> Column:
+    """``block_status`` of a folded text."""
+    return bound(F.btrim(squeeze(folded), F.lit(" .:")), _block_status)
 
 
 def _block_status(t: Column) -> Column:
@@ -141,9 +146,7 @@ def soft_start(c: Column) -> Column:
 def is_garbage(card: dict[str, Column]) -> Column:
     """Layout remains that are no card."""
     case = F.trim(text(card["caso"]))
-    starts = F.lit(False)
-    for s in L.GARBAGE_STARTS:
-        starts = starts | fold(case).startswith(s)
+    starts = fold(case).rlike(f"^{_any(L.GARBAGE_STARTS)}")
     no = lambda k: text(card[k]) == ""
     few = (case != "") & (F.size(F.split(case, r"\s+")) < 4)
     return starts | ((case == "") & no("tipo") & no("codigo")) | (few & no("tipo") & no("ubicacion"))
@@ -152,9 +155,8 @@ def is_garbage(card: dict[str, Column]) -> Column:
 def layout_blocks(pages: DataFrame, split: float = 300.0, header: float = 55.0, footer: float = 50.0) -> DataFrame:
     """Text blocks of pages (doc, page, height, blocks): doc, page, y, x0, col, text, without headers, footers and page numbers."""
     b = pages.select("doc", "page", "height", F.explode("blocks").alias("b")).filter((F.col("b.type") == 0) & (F.col("b.y1") >= header) & (F.col("b.y0") <= F.col("height") - footer))
-    t = norm_ws(F.array_join("b.lines", "\n"))
-    b = b.select("doc", "page", F.col("b.y0").alias("y"), F.col("b.x0").alias("x0"), F.when((F.col("b.x0") + F.col("b.x1")) / 2 < split, "L").otherwise("R").alias("col"), t.alias("text"))
-    return b.filter((F.col("text") != "") & ~is_page_header(F.col("text")) & ~F.col("text").rlike(r"^\d{1,3}$"))
+    b = computed(b.select("doc", "page", F.col("b.y0").alias("y"), F.col("b.x0").alias("x0"), F.when((F.col("b.x0") + F.col("b.x1")) / 2 < split, "L").otherwise("R").alias("col"), "b.lines"), text=norm_ws(F.array_join("lines", "\n"))).drop("lines")
+    return b.filter((F.col("text") != "") & ~F.col("text").rlike(r"^\d{1,3}$") & ~is_page_header(F.col("text")))
 
 
 def latched_range(rows: DataFrame, by: list[str], order: str, start: Column, stop: Column) -> DataFrame:
@@ -207,19 +209,21 @@ def cards_from_blocks(blocks: DataFrame) -> DataFrame:
     window expressions over one document.
     """
     t = F.col("text")
-    b = blocks.withColumn("status", F.when(F.length(t) < 220, block_status(t))).withColumn("dept", F.when(F.length(t) < 48, department(t)))
-    many = fold(t).contains("mas de un departamento")
+    words = computed(blocks, folded=fold(t))
+    b = computed(words, status=F.when(F.length(t) < 220, status_of(F.col("folded"))), dept=F.when(F.length(t) < 48, department(t)))
+    many = F.col("folded").contains("mas de un departamento")
     b = b.withColumn("sets", F.when(F.col("status").isNotNull() & many, "Multidepartamental").when(F.col("status").isNull(), F.col("dept")))
-    skipped = fold(t).startswith("observacion") | fold(t).startswith("cuadro n")
+    skipped = F.col("folded").startswith("observacion") | F.col("folded").startswith("cuadro n")
     b = b.withColumn("heading", F.col("status").isNotNull() | F.col("dept").isNotNull() | skipped)
     b = b.withColumn("sets", F.when(~(skipped & F.col("status").isNull()), F.col("sets")))
     order = ["page", "y", "col", "x0"]
     b = carry(carry(b, ["doc"], order, F.col("status"), "estado", "Activo"), ["doc"], order, F.col("sets"), "departamento", "")
     pieces = b.filter(~F.col("heading")).select("doc", *order, "estado", "departamento", F.posexplode(F.when(F.col("col") == "L", F.split(t, ICASE + r"(?=\btipo\s*[:.])")).otherwise(F.array(t))).alias("piece", "text"))
-    pieces = pieces.withColumn("text", norm_ws("text")).filter("text != ''")
+    pieces = computed(pieces.withColumnRenamed("text", "raw"), text=norm_ws("raw")).filter("text != ''")
     left, seq = F.col("col") == "L", [*order, "piece"]
     first_line = F.regexp_extract("text", r"^([^\n]*)", 1)
-    pieces = pieces.withColumn("kind", left & starts_with_kind(F.col("text"))).withColumn("hard", left & ~F.col("kind") & hard_start(F.col("text"))).withColumn("soft", left & (soft_start(F.col("text")) | hard_start(first_line)))
+    pieces = computed(pieces, kind=left & starts_with_kind(F.col("text")), starts=left & hard_start(F.col("text")), soft=left & (soft_start(F.col("text")) | hard_start(first_line)))
+    pieces = pieces.withColumn("hard", ~F.col("kind") & F.col("starts"))
     before = W.partitionBy("doc").orderBy(*seq).rowsBetween(W.unboundedPreceding, -1)
     none_yet = ~F.coalesce(F.max((F.col("kind") | F.col("hard") | F.col("soft")).cast("int")).over(before) == 1, F.lit(False))
     pieces = pieces.withColumn("event", F.when(F.col("kind"), "T").when(F.col("hard") | (F.col("soft") & none_yet), "S"))
@@ -240,15 +244,15 @@ def cards_from_lines(lines: DataFrame) -> DataFrame:
     """
     x = lines.withColumn("text", F.trim(text("text"))).filter("text != ''").filter(~F.col("text").rlike(r"^\d{1,3}$"))
     t = F.col("text")
-    x = x.withColumn("status", F.when(F.length(t) < 80, block_status(t)))
-    x = x.filter(F.col("status").isNotNull() | ~is_running_title(t)).withColumn("dept", F.when(F.col("status").isNull() & (F.length(t) < 48), department(t)))
+    x = computed(x, status=F.when(F.length(t) < 80, block_status(t)), title=is_running_title(t))
+    x = computed(x.filter(F.col("status").isNotNull() | ~F.col("title")), dept=F.when(F.col("status").isNull() & (F.length(t) < 48), department(t)))
     x = carry(carry(x, ["doc"], ["pos"], F.col("status"), "estado", "Activo"), ["doc"], ["pos"], F.col("dept"), "departamento", "")
     closing = F.col("status").isNotNull() | F.col("dept").isNotNull()
     new = closing | t.rlike(r"^\d{1,3}\.$") | hard_start(t, numbered=True)
     x = islands(x.withColumn("closing", closing), ["doc"], ["pos"], new, "card").filter("not closing")
     body = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("pos", "text"))), lambda r: r["text"]), "\n")
     cards = x.groupBy("doc", "card").agg(F.min_by("estado", "pos").alias("estado"), F.min_by("departamento", "pos").alias("departamento"), body.alias("body"))
-    return cards.filter((F.length("body") >= 40) & ~is_running_title(F.col("body")) & ~fold("body").startswith("anexo"))
+    return computed(cards, away=is_running_title(F.col("body")) | fold("body").startswith("anexo")).filter((F.length("body") >= 40) & ~F.col("away")).drop("away")
 
 
 def latent_rows(texts: DataFrame) -> DataFrame:
@@ -268,12 +272,10 @@ def latent_rows(texts: DataFrame) -> DataFrame:
     months = "|".join(sorted((m for m in L.MONTHS if len(m) > 3), key=len, reverse=True))
     short = "|".join(m for m in L.MONTHS if len(m) == 3)
     dated = ICASE + rf"^(?:(?:{short})[a-z]*[-\s/]*\d{{2,4}}\b|\d{{1,2}}[/-]\d{{2,4}}\b|(?:{months})\s+\d{{4}}\b)[ \-–—]*"
-    rows = rows.withColumn("d", leading_department(F.regexp_replace("row", dated, ""))).withColumn("k", split_type(F.col("d.rest")))
+    rows = computed(rows, d=leading_department(F.regexp_replace("row", dated, "")))
+    rows = computed(rows, k=split_type(F.col("d.rest")))
     out = rows.select("doc", "n", F.col("d.department").alias("departamento"), F.left(F.col("k.caso"), F.lit(L.CASE_LIMIT)).alias("caso"), F.col("k.tipo").alias("tipo"), F.left(norm_ws("row"), F.lit(L.RAW_LIMIT)).alias("texto_crudo"))
-    junk = F.lit(False)
-    for s in L.TABLE_STARTS:
-        junk = junk | fold("caso").startswith(s)
-    return out.filter(~junk & ~((F.length("caso") < 3) & (F.col("tipo") == "")))
+    return out.filter(~fold("caso").rlike(f"^{_any(L.TABLE_STARTS)}") & ~((F.length("caso") < 3) & (F.col("tipo") == "")))
 
 
 def split_type(c: Column) -> Column:

@@ -5,8 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, functions as F
 
 from caseloom.functions import lexicon as L
-from caseloom.functions.text import case_key, complete_department, topic_flags
+from caseloom.functions.text import case_key, complete_department, computed, topic_flags
 from caseloom.operators import fields, segmentation as S
+from caseloom.operators.checkpoints import checkpoint
 from caseloom.operators.rollups import keep_best, unique_cases
 
 
@@ -28,23 +29,24 @@ def inventory(files: DataFrame) -> DataFrame:
 
 
 def cards(pages: DataFrame) -> DataFrame:
-    """Panel rows of pages (doc, page, height, text, blocks, formato), with flags and departments."""
-    inside = detail_pages(pages)
-    mode = reads_columns(pages)
-    by_column = inside.join(mode.filter("columns"), "doc").drop("columns")
-    by_line = inside.join(mode.filter("not columns"), "doc").select("doc", "page", F.posexplode(F.split("text", "\n")).alias("n", "text"))
-    column_cards = fields.accepted_cards(S.cards_from_blocks(S.layout_blocks(by_column)))
+    """Panel rows of pages (doc, page, height, text, blocks, formato), with flags and departments.
+
+    Two steps are written, because several others read them: the detail pages,
+    and the cards before those of the latent tables come to them.
+    """
+    inside = checkpoint(detail_pages(pages).join(reads_columns(pages), "doc"))
+    by_line = inside.filter("not columns").select("doc", "page", F.posexplode(F.split("text", "\n")).alias("n", "text"))
     lines = by_line.select("doc", (F.col("page").cast("long") * 1_000_000 + F.col("n")).alias("pos"), "text")
     flow = S.cards_from_lines(lines).select("doc", "card", F.lit(0).alias("page"), "estado", "departamento", F.array("body").alias("left"), F.array().cast("array<string>").alias("right"))
-    found = column_cards.unionByName(fields.accepted_cards(flow))
+    found = checkpoint(fields.accepted_cards(S.cards_from_blocks(S.layout_blocks(inside.filter("columns"))).unionByName(flow)))
     spans = S.latent_spans(inside).filter("latent_text is not null")
     texts = spans.groupBy("doc").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("page", "latent_text"))), lambda x: x["latent_text"]), "\n").alias("text"))
     extra = S.new_latent(S.latent_rows(texts), found).withColumn("estado", F.lit("Latente"))
     out = found.unionByName(extra, allowMissingColumns=True)
     names = ("codigo", "caso", "ubicacion", "actores_primarios", "actores_secundarios", "actores", "texto_crudo")
     social, mining = topic_flags("tipo", *names)
-    out = out.withColumn("es_socioambiental", social).withColumn("menciona_mineria", mining)
-    return out.withColumn("departamento", complete_department("departamento", "ubicacion", "caso")).withColumn("caso_estandarizado", case_key("caso"))
+    known = out.withColumnRenamed("departamento", "encabezado")
+    return computed(known, departamento=complete_department("encabezado", "ubicacion", "caso"), es_socioambiental=social, menciona_mineria=mining, caso_estandarizado=case_key("caso")).drop("encabezado")
 
 
 def failures(pages: DataFrame, panel: DataFrame) -> DataFrame:
