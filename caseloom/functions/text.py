@@ -150,7 +150,12 @@ def departments() -> dict[str, str]:
 
 
 def _lookup(table: dict[str, str], key: Column) -> Column:
-    return F.create_map(*[F.lit(x) for pair in table.items() for x in pair])[key]
+    return F.expr("map(" + ", ".join(_quoted(x) for pair in table.items() for x in pair) + ")")[key]
+
+
+def _quoted(value: str) -> str:
+    """A SQL literal: one call to the session, however many of them there are."""
+    return "'" + value.replace("\\", "\\\\").replace("'", "\\'") + "'"
 
 
 def department(c: ColumnLike) -> Column:
@@ -182,12 +187,10 @@ def contained_name(c: ColumnLike, names: dict[str, str]) -> Column:
 
     ``names`` maps folded names to values; equal lengths go by the given order.
     """
-    t = c if isinstance(c, Column) else F.col(c)
-    out = None
-    for name in sorted(names, key=len, reverse=True):
-        hit = t.rlike(rf"\b{re.escape(name)}\b")
-        out = F.when(hit, F.lit(names[name])) if out is None else out.when(hit, F.lit(names[name]))
-    return out
+    t = _col(c)
+    ordered = F.expr("array(" + ", ".join(_quoted(n) for n in sorted(names, key=len, reverse=True)) + ")")
+    whole = F.filter(F.filter(ordered, lambda n: t.contains(n)), lambda n: F.rlike(t, F.concat(F.lit(r"\b\Q"), n, F.lit(r"\E\b"))))
+    return _lookup(names, F.try_element_at(whole, F.lit(1)))
 
 
 def complete_department(department_col: ColumnLike, *texts: ColumnLike) -> Column:
