@@ -1,113 +1,83 @@
-"""Linking panel rows into cases: by key, by fuzzy text, by vectors; bridges between blocks; guards."""
+"""Linking panel rows into cases: by key and by vectors; bridges between blocks; guards."""
 
 from __future__ import annotations
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window as W, functions as F, types as T
+from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from caseloom.functions.text import text
 from caseloom.operators.checkpoints import checkpoint
 from caseloom.operators.graph import connected_components
+from caseloom.operators.similarity import cosine_pairs
 
 
-def common_length(a: str, b: str) -> int:
-    """Length of the longest common subsequence, bit-parallel: one integer operation chain for each character of b."""
-    place: dict[str, int] = {}
-    for i, c in enumerate(a):
-        place[c] = place.get(c, 0) | 1 << i
-    full = state = (1 << len(a)) - 1
-    for c in b:
-        hit = state & place.get(c, 0)
-        state = ((state + hit) | (state - hit)) & full
-    return len(a) - state.bit_count()
+def merge_tree(vectors: np.ndarray, threshold: float) -> list[tuple[int, int, float]]:
+    """(i, j, distance) of the merges of unit vectors by mean cosine distance, in order, while it is strictly below 1 - threshold.
 
-
-def sorted_ratio(a: str, b: str) -> float:
-    """Similarity 0 to 100 of two texts whose words are put in order first: 200 * common / total length."""
-    a, b = " ".join(sorted(a.split())), " ".join(sorted(b.split()))
-    return 200 * common_length(a, b) / (len(a) + len(b)) if a or b else 100.0
-
-
-def fuzzy_leaders(rows: DataFrame, block: str, key: str, order: str, threshold: float = 88.0) -> DataFrame:
-    """Adds ``leader``: the order of the first earlier representative of the block with a ratio of the threshold or more.
-
-    Each row joins the first representative that is near enough, or becomes one;
-    blank keys stay alone.  The rule depends on the order of rows, so a block
-    runs in one task; only representatives are kept in memory, and lengths rule
-    out most comparisons.
+    Cluster j goes into i < j.  Each row keeps its nearest other one, which is
+    looked up anew only where it took part in a merge.  Mean distances never fall
+    from merge to merge, so the tree cut at a higher threshold is the tree of
+    that threshold.
     """
-    schema = T.StructType([*rows.schema.fields, T.StructField("leader", T.LongType())])
-
-    def lead(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(order, kind="stable")
-        kept: list[tuple[str, int]] = []
-        out = []
-        for k, pos in zip(pdf[key].fillna(""), pdf[order], strict=True):
-            k = " ".join(sorted(k.split()))
-            found = None
-            if k:
-                for other, leader in kept:
-                    short, long = sorted((len(k), len(other)))
-                    if 200 * short >= threshold * (short + long) and 200 * common_length(k, other) >= threshold * (len(k) + len(other)):
-                        found = leader
-                        break
-                if found is None:
-                    kept.append((k, pos))
-            out.append(pos if found is None else found)
-        return pdf.assign(leader=out)
-
-    return rows.groupBy(block).applyInPandas(lead, schema)
-
-
-def average_linkage(vectors: np.ndarray, threshold: float) -> np.ndarray:
-    """Labels of agglomerative clustering of unit vectors: mean cosine distance, merging strictly below 1 - threshold."""
     n = len(vectors)
     if n < 2:
-        return np.zeros(n, np.int64)
+        return []
     far = 1 - vectors @ vectors.T
     np.fill_diagonal(far, np.inf)
-    size, label, alive = np.ones(n), np.arange(n), np.ones(n, bool)
+    size, near = np.ones(n), far.argmin(1)
+    least = far[np.arange(n), near]
+    merges = []
     while True:
-        flat = int(far.argmin())
-        i, j = divmod(flat, n)
-        if not far[i, j] < 1 - threshold:
-            break
+        i = int(least.argmin())
+        j = int(near[i])
+        if not least[i] < 1 - threshold:
+            return merges
         i, j = min(i, j), max(i, j)
-        merged = (size[i] * far[i] + size[j] * far[j]) / (size[i] + size[j])
-        far[i], far[:, i] = merged, merged
+        merges.append((i, j, float(far[i, j])))
+        joined = (size[i] * far[i] + size[j] * far[j]) / (size[i] + size[j])
+        far[i], far[:, i] = joined, joined
         far[i, i] = np.inf
         far[j], far[:, j] = np.inf, np.inf
         size[i] += size[j]
-        alive[j] = False
-        label[label == j] = i
-    return np.unique(label, return_inverse=True)[1]
-
-
-def cosine(a: str | Column, b: str | Column) -> Column:
-    dot = lambda x, y: F.aggregate(F.zip_with(x, y, lambda p, q: p.cast("double") * q.cast("double")), F.lit(0.0), lambda s, v: s + v)
-    return dot(a, b) / F.sqrt(dot(a, a) * dot(b, b))
+        least[j] = np.inf
+        stale = np.flatnonzero((near == i) | (near == j))
+        stale = np.union1d(stale[np.isfinite(least[stale])], [i])
+        near[stale] = far[stale].argmin(1)
+        least[stale] = far[stale, near[stale]]
+        closer = np.flatnonzero((far[:, i] < least) | ((far[:, i] == least) & (i < near)))
+        closer = closer[np.isfinite(least[closer])]
+        near[closer], least[closer] = i, far[closer, i]
+
+
+def cut(n: int, merges: list[tuple[int, int, float]], threshold: float) -> np.ndarray:
+    """The least member of each row's cluster when the tree is cut at a threshold."""
+    label = np.arange(n)
+    for i, j, far in merges:
+        if far < 1 - threshold:
+            label[label == label[j]] = label[i]
+    least = np.full(n, n)
+    np.minimum.at(least, label, np.arange(n))
+    return least[label]
 
 
-def cosine_pairs(rows: DataFrame, block: str, key: str, vector: str, threshold: float) -> DataFrame:
-    """(a, b, similarity) of pairs a < b within a block that reach the threshold."""
-    left, right = (rows.select(F.col(block).alias("block"), F.col(key).alias(k), F.col(vector).alias(f"v{k}")) for k in ("a", "b"))
-    met = left.join(right, "block").filter("a < b").withColumn("similarity", cosine("va", "vb"))
-    return met.filter(F.col("similarity") >= threshold).select("a", "b", "similarity")
+def average_linkage(vectors: np.ndarray, threshold: float) -> np.ndarray:
+    """Labels of agglomerative clustering of unit vectors: mean cosine distance, merging strictly below 1 - threshold."""
+    return np.unique(cut(len(vectors), merge_tree(vectors, threshold), threshold), return_inverse=True)[1]
 
 
-def vector_clusters(rows: DataFrame, block: str, key: str, vector: str, threshold: float = 0.9, split: bool = True) -> DataFrame:
-    """(block, key, cluster): average linkage within each block; a cluster is named by its least key.
+def cluster_sweep(rows: DataFrame, block: str | None, key: str, vector: str, thresholds: list[float], split: bool = True) -> DataFrame:
+    """(threshold, block, key, cluster): average linkage within each block at each threshold; a cluster is named by its least key.
 
-    A group's mean similarity cannot reach the threshold unless some pair does,
-    so clusters never cross a component of pairs at the threshold.  With
+    A group's mean similarity cannot reach a threshold unless some pair does, so
+    clusters never cross a component of pairs at the lowest threshold.  With
     ``split`` blocks are cut into those components first, and only a component
-    has to fit a task.
+    has to fit a task.  It makes one merge tree, which is cut at each threshold.
     """
-    work = rows.select(F.col(block).alias("block"), F.col(key).alias("key"), F.col(vector).alias("vector"))
-    group = ["block"]
+    work = rows.select((F.col(block) if block else F.lit("")).alias("block"), F.col(key).alias("key"), F.col(vector).alias("vector"))
+    group, lowest = ["block"], min(thresholds)
     if split:
-        parts = connected_components(cosine_pairs(work, "block", "key", "vector", threshold), "a", "b")
+        parts = connected_components(cosine_pairs(work, "block" if block else None, "key", "vector", lowest), "a", "b")
         work = work.join(parts.select(F.col("node").alias("key"), F.col("component")), "key", "left").withColumn("component", F.coalesce("component", "key"))
         group = ["block", "component"]
     kinds = dict(work.dtypes)
@@ -116,11 +86,22 @@ def vector_clusters(rows: DataFrame, block: str, key: str, vector: str, threshol
         pdf = pdf.sort_values("key")
         v = np.stack(pdf["vector"].to_numpy()).astype(np.float64)
         v /= np.maximum(np.linalg.norm(v, axis=1, keepdims=True), 1e-12)
-        label = average_linkage(v, threshold)
-        least = pdf.groupby(label)["key"].transform("min")
-        return pd.DataFrame({"block": pdf["block"], "key": pdf["key"], "cluster": least})
+        merges = merge_tree(v, lowest)
+        keys = pdf["key"].to_numpy()
+        return pd.concat([pd.DataFrame({"threshold": t, "block": pdf["block"], "key": keys, "cluster": keys[cut(len(v), merges, t)]}) for t in thresholds])
+
+    return work.groupBy(*group).applyInPandas(cluster, f"threshold double, block {kinds['block']}, key {kinds['key']}, cluster {kinds['key']}")
 
-    return work.groupBy(*group).applyInPandas(cluster, f"block {kinds['block']}, key {kinds['key']}, cluster {kinds['key']}")
+
+def vector_clusters(rows: DataFrame, block: str | None, key: str, vector: str, threshold: float = 0.9, split: bool = True) -> DataFrame:
+    """(block, key, cluster): average linkage within each block (without one: over all rows) at one threshold."""
+    return cluster_sweep(rows, block, key, vector, [threshold], split).drop("threshold")
+
+
+def sweep_report(clusters: DataFrame, old: str | None = None) -> DataFrame:
+    """For each threshold: ids, single ones, largest, and the ids that join several old ones (else several keys)."""
+    sizes = clusters.groupBy("threshold", "cluster").agg(F.count(F.lit(1)).alias("n"), F.count_distinct(old or "key").alias("olds"))
+    return sizes.groupBy("threshold").agg(F.count(F.lit(1)).alias("n_ids"), F.count_if(F.col("n") == 1).alias("n_single"), F.max("n").alias("largest"), F.count_if(F.col("olds") > 1).alias("n_merges"))
 
 
 def representatives(rows: DataFrame, by: list[str], body: str, order: str) -> DataFrame:
@@ -166,8 +147,8 @@ def link(rows: DataFrame, threshold: float = 0.9, block: str = "departamento", k
     local = checkpoint(reps.join(inside, order))
     same = merge_by_key(local, "local", key).select(F.col("id").alias("local"), F.col("component").alias("merged"))
     local = checkpoint(local.join(same, "local"))
-    heads = representatives(local, ["merged"], body, order).join(local.select(F.col(order).alias("__o"), vector), F.col(order) == F.col("__o")).drop("__o").withColumn("__one", F.lit(1))
-    bridge = vector_clusters(heads, "__one", "merged", vector, threshold).select(F.col("key").alias("merged"), F.col("cluster").alias("bridged"))
+    heads = representatives(local, ["merged"], body, order).join(local.select(F.col(order).alias("__o"), vector), F.col(order) == F.col("__o")).drop("__o")
+    bridge = vector_clusters(heads, None, "merged", vector, threshold).select(F.col("key").alias("merged"), F.col("cluster").alias("bridged"))
     local = checkpoint(local.join(bridge, "merged"))
     root = "bridged"
     if guard and forbidden(local, "bridged", body, *guard).first()[0]:
@@ -175,33 +156,3 @@ def link(rows: DataFrame, threshold: float = 0.9, block: str = "departamento", k
     names = local.select(F.col(block).alias("__b"), F.col(key).alias("__k"), F.col(root).alias("__root"))
     met = rows.join(names, (F.col(block) == F.col("__b")) & (F.col(key) == F.col("__k")), "left").withColumn("__root", F.coalesce("__root", F.col(order)))
     return dense_ids(met, "__root").drop("__b", "__k", "__root")
-
-
-def greedy_matches(left: DataFrame, right: DataFrame, score: str = "score", accept: float = 70.0) -> DataFrame:
-    """One-to-one matches of scored pairs (l, r, score): left rows in order, each the best right one not yet taken.
-
-    The choice is sequential, so it runs in one task; only pairs at or above the
-    acceptance get there, each left row's best ones first.
-    """
-
-    def pick(pdf: pd.DataFrame) -> pd.DataFrame:
-        taken, out = set(), []
-        for l, pairs in pdf.sort_values(["l", "score", "r"], ascending=[True, False, True]).groupby("l", sort=True):
-            for r, s in zip(pairs["r"], pairs["score"], strict=True):
-                if r not in taken:
-                    taken.add(r)
-                    out.append((l, r, s))
-                    break
-        return pd.DataFrame(out, columns=["l", "r", "score"])
-
-    pairs = left if right is None else left.join(right)
-    return pairs.filter(F.col(score) >= accept).withColumn("__one", F.lit(1)).groupBy("__one").applyInPandas(lambda pdf: pick(pdf), "l long, r long, score double")
-
-
-def ratio(a: str | Column, b: str | Column) -> Column:
-    """``sorted_ratio`` of two text columns, in Arrow batches."""
-
-    def each(x: pd.Series, y: pd.Series) -> pd.Series:
-        return pd.Series([sorted_ratio(p or "", q or "") for p, q in zip(x, y, strict=True)], dtype="float64")
-
-    return F.pandas_udf(each, "double")(a, b)

@@ -12,7 +12,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, Window as W, functions as F
 
 from caseloom.functions import lexicon as L, reports, text as T
-from caseloom.operators import fields, graph, identity, joins, rollups, segmentation as S
+from caseloom.operators import fields, identity, joins, rollups, segmentation as S
 from caseloom.sources import readers, sinks
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -411,47 +411,4 @@ def dense_ids(spark, sf_dir):
     return identity.dense_ids(roots, "root").select("root", "caso_id")
 
 
-@query("cosine_pairs", "SELECT a.vec_id AS a, b.vec_id AS b FROM embeddings a JOIN embeddings b ON a.label = b.label AND a.vec_id < b.vec_id WHERE list_cosine_similarity(CAST(a.embedding AS DOUBLE[]), CAST(b.embedding AS DOUBLE[])) >= 0.3")
-def cosine_pairs(spark, sf_dir):
-    return identity.cosine_pairs(read(spark, sf_dir, "embeddings"), "label", "vec_id", "embedding", 0.3).select("a", "b")
-
-
-@query("embedding_clusters")
-def embedding_clusters(spark, sf_dir):
-    return identity.vector_clusters(read(spark, sf_dir, "embeddings"), "label", "vec_id", "embedding", 0.3)
-
-
-@query("fuzzy_leader")
-def fuzzy_leader(spark, sf_dir):
-    p = read(spark, sf_dir, "part").select("p_partkey", "p_brand", T.case_key("p_name").alias("clave"))
-    return identity.fuzzy_leaders(p, "p_brand", "clave", "p_partkey").select("p_partkey", "leader")
-
-
-@query("link_cases")
-def link_cases(spark, sf_dir):
-    e = read(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("pos"), F.col("label").cast("string").alias("departamento"), F.col("vec_id").cast("string").alias("clave"), F.col("vec_id").cast("string").alias("texto_crudo"), "embedding")
-    return identity.link(e, 0.3).select("pos", "caso_id")
-
-
-@query("threshold_sweep", "WITH s AS (SELECT unnest([0.3, 0.4, 0.5]) AS umbral), p AS (SELECT umbral, a.vec_id AS a, b.vec_id AS b FROM s, embeddings a JOIN embeddings b ON a.label = b.label AND a.vec_id < b.vec_id WHERE list_cosine_similarity(CAST(a.embedding AS DOUBLE[]), CAST(b.embedding AS DOUBLE[])) >= umbral) SELECT CAST(umbral AS DOUBLE) AS umbral, count(*) AS n_pairs FROM p GROUP BY 1")
-def threshold_sweep(spark, sf_dir):
-    pairs = identity.cosine_pairs(read(spark, sf_dir, "embeddings"), "label", "vec_id", "embedding", 0.3)
-    steps = F.explode(F.array(*[F.lit(x) for x in (0.3, 0.4, 0.5)]))
-    return pairs.withColumn("umbral", steps).filter("similarity >= umbral").groupBy("umbral").agg(F.count(F.lit(1)).alias("n_pairs"))
-
-
-@query("greedy_match")
-def greedy_match(spark, sf_dir):
-    left = read(spark, sf_dir, "benchmark").select(F.col("item_id").alias("l"), F.explode(F.array_distinct(F.split(T.fold("text"), r"\W+"))).alias("w")).filter("length(w) > 6")
-    right = read(spark, sf_dir, "documents").select(F.col("doc_id").alias("r"), F.explode(F.array_distinct(F.split(T.fold("text"), r"\W+"))).alias("w")).filter("length(w) > 6")
-    size = left.groupBy("l").agg(F.count(F.lit(1)).alias("n"))
-    scored = left.join(right, "w").groupBy("l", "r").agg(F.count(F.lit(1)).alias("k")).join(size, "l").select("l", "r", (100.0 * F.col("k") / F.col("n")).alias("score"))
-    return identity.greedy_matches(scored, None)
-
-
-@query("components_of_pairs", "WITH RECURSIVE e AS (SELECT a.vec_id AS s, b.vec_id AS t FROM embeddings a JOIN embeddings b ON a.label = b.label AND a.vec_id <> b.vec_id WHERE list_cosine_similarity(CAST(a.embedding AS DOUBLE[]), CAST(b.embedding AS DOUBLE[])) >= 0.3), r AS (SELECT DISTINCT s AS node, s AS label FROM e UNION SELECT e.t, r.label FROM r JOIN e ON r.node = e.s AND r.label < e.t) SELECT node, min(label) AS component FROM r GROUP BY 1")
-def components_of_pairs(spark, sf_dir):
-    return graph.connected_components(identity.cosine_pairs(read(spark, sf_dir, "embeddings"), "label", "vec_id", "embedding", 0.3), "a", "b")
-
-
-from caseloom.plans import panel_catalog  # noqa: E402,F401  adds the queries of the panel plan
+from caseloom.plans import identity_catalog, panel_catalog  # noqa: E402,F401  add the queries of identity and of the panel plan

@@ -4,7 +4,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from caseloom.operators import graph, identity, joins, rollups
+from caseloom.operators import graph, identity, joins, matching, rollups, similarity
 from caseloom.sources import readers, sinks
 from caseloom.streaming import incremental
 
@@ -28,11 +28,11 @@ def test_components_against_union_find(spark):
 
 
 def test_ratio_and_leaders(spark):
-    assert identity.sorted_ratio("b a", "a b") == 100 and identity.sorted_ratio("", "") == 100 and identity.sorted_ratio("a", "") == 0
+    assert similarity.sorted_ratio("b a", "a b") == 100 and similarity.sorted_ratio("", "") == 100 and similarity.sorted_ratio("a", "") == 0
     rows = [(1, "x", "mina la caida"), (2, "x", "la caida mina"), (3, "x", "otra cosa"), (4, "y", "mina la caida"), (5, "x", ""), (6, "x", "")]
     df = spark.createDataFrame(rows, "pos long, dept string, clave string")
     for order in (df, df.orderBy(F.desc("pos"))):
-        assert {r.pos: r.leader for r in identity.fuzzy_leaders(order, "dept", "clave", "pos").collect()} == {1: 1, 2: 1, 3: 3, 4: 4, 5: 5, 6: 6}
+        assert {r.pos: r.leader for r in matching.fuzzy_leaders(order, "dept", "clave", "pos").collect()} == {1: 1, 2: 1, 3: 3, 4: 4, 5: 5, 6: 6}
 
 
 def test_average_linkage_differs_from_single():
@@ -79,7 +79,7 @@ def test_quotas_and_samples(spark):
 
 def test_greedy(spark):
     pairs = spark.createDataFrame([(1, 1, 90.0), (1, 2, 95.0), (2, 2, 99.0), (2, 3, 50.0), (3, 1, 80.0)], "l long, r long, score double")
-    assert sorted(identity.greedy_matches(pairs, None).collect()) == [(1, 2, 95.0), (3, 1, 80.0)]
+    assert sorted(matching.greedy_matches(pairs).collect()) == [(1, 2, 95.0), (3, 1, 80.0)]
 
 
 def test_files(spark, tmp_path):
