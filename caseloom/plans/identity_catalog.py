@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, functions as F
 
 from caseloom.functions import text as T
-from caseloom.operators import graph, identity, matching, similarity
-from caseloom.plans.catalog import FOLD, KEY_SQL, query, read
+from caseloom.operators import graph, identity, matching, mined, similarity
+from caseloom.plans.catalog import FOLD, KEY_SQL, NAMES, query, read
 
 SWEEP = (0.15, 0.2, 0.25, 0.3)
 COSINE = "list_cosine_similarity(CAST(a.embedding AS DOUBLE[]), CAST(b.embedding AS DOUBLE[]))"
@@ -203,3 +203,35 @@ def match_report(spark, sf_dir):
     left, right = curated(spark, sf_dir), local(spark, sf_dir)
     out = matching.match_report(matching.compared_matches(_matches(spark, sf_dir), left, right), left, right)
     return out.select("n_left", "n_right", "n_matched", *[F.round(c, 6).alias(c) for c in ("dept_ok", "tipo_ok", "mina_ok", "compania_ok", "fecha_ok", "score_mean", "recall", "precision", "agreement", "overall")])
+
+
+def _hit_sql(aliases) -> str:
+    return f"regexp_matches({FOLD.format('text')}, '\\b(?:{'|'.join(aliases)})\\b')"
+
+
+def _list_sql(c: str) -> str:
+    return f"CASE WHEN len({c}) > 0 THEN '[' || chr(39) || array_to_string({c}, chr(39) || ', ' || chr(39)) || chr(39) || ']' ELSE '' END"
+
+
+_MARKS = [f"m{i}" for i in range(len(NAMES))]
+MINED = f"""WITH r AS (SELECT *, lang || '/' || coalesce(source, '') AS caso_id, {", ".join(f"{_hit_sql(entry[2])} AS m{i}" for i, entry in enumerate(NAMES))}, upper(left({FOLD.format("source")}, 40)) AS tipo, trim(coalesce(lang, '')) AS dept, trim(coalesce(text, '')) AS t,
+  strftime(last_day(make_date((2000 + doc_id % 20)::INTEGER, (doc_id % 12 + 1)::INTEGER, 1)), '%Y-%m-%d') AS fin FROM documents),
+k AS (SELECT * FROM r WHERE {" OR ".join(_MARKS)}),
+tipos AS (SELECT caso_id, tipo, count(*) AS n, min(doc_id) AS f FROM k WHERE tipo <> '' GROUP BY ALL),
+modes AS (SELECT caso_id, arg_max(tipo, n * 1000000000 - f) AS tipo FROM tipos GROUP BY 1),
+c AS (SELECT caso_id, {", ".join(f"bool_or({m}) AS {m}" for m in _MARKS)}, count(*) AS n_filas_panel, count(DISTINCT (doc_id % 20) * 12 + doc_id % 12) AS n_meses, min(fin) AS primera_fecha, max(fin) AS ultima_fecha,
+      arg_max(t, length(t) * 1000000000 - doc_id) FILTER (t <> '' AND lower(t) <> 'nan') AS caso, max(dept) AS dept, min(doc_id)::DOUBLE AS nmin, max(doc_id)::DOUBLE AS nmax,
+      bool_or(regexp_matches({FOLD.format("text")}, '\\b(?:mineria ilegal|minero ilegal|mineros ilegales|extraccion ilegal|ilegal)\\b')) AS ilegal FROM k GROUP BY caso_id),
+g AS (SELECT *, list_filter([{", ".join(f"CASE WHEN m{i} THEN '{entry[0]}' END" for i, entry in enumerate(NAMES))}], lambda x: x IS NOT NULL) AS minas,
+      list_filter([{", ".join(f"CASE WHEN m{i} THEN '{entry[1]}' END" for i, entry in enumerate(NAMES))}], lambda x: x IS NOT NULL) AS duenos FROM c LEFT JOIN modes USING (caso_id))
+SELECT caso_id, {_list_sql("minas")} AS minas, {_list_sql("list_filter(duenos, lambda x, i: list_position(duenos, x) = i)")} AS companias, coalesce(tipo, '') AS tipo, upper(dept) AS departamento, sha256(coalesce(caso, '')) AS caso, n_meses, n_filas_panel, primera_fecha, ultima_fecha, nmin AS numero_reporte_min, nmax AS numero_reporte_max,
+       CASE WHEN ilegal THEN 'Sí' ELSE 'No' END AS es_ilegal, CAST(coalesce(caso, '') <> '' AND tipo IS NOT NULL AS INTEGER) AS completo FROM g"""
+
+
+@query("mined_cases", MINED)
+def mined_cases(spark, sf_dir):
+    """Documents as panel rows: a language's source is a case, the source its type, the number gives the month."""
+    d = read(spark, sf_dir, "documents")
+    rows = d.select(F.concat(F.col("lang"), F.lit("/"), F.coalesce("source", F.lit(""))).alias("caso_id"), F.col("doc_id").alias("pos"), F.col("text").alias("caso"), F.col("source").alias("tipo"), F.col("lang").alias("departamento"), (2000 + F.col("doc_id") % 20).cast("int").alias("anio"), (F.col("doc_id") % 12 + 1).cast("int").alias("mes"), F.col("doc_id").alias("numero_reporte"))
+    out = mined.mined_cases(rows, NAMES, None)
+    return out.select("caso_id", "minas", "companias", "tipo", "departamento", F.sha2("caso", 256).alias("caso"), "n_meses", "n_filas_panel", "primera_fecha", "ultima_fecha", "numero_reporte_min", "numero_reporte_max", "es_ilegal", "completo")
