@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from caseloom.functions.text import text
 from caseloom.operators.checkpoints import checkpoint
+from caseloom.operators.graph import connected_components
 
 
 def enrich(rows: DataFrame, extra: DataFrame, key: str) -> DataFrame:
@@ -36,34 +38,63 @@ def calendar_coverage(grid: DataFrame, reports: DataFrame) -> DataFrame:
     return met.select("anio", "mes", old.alias("old"), new.alias("new"), F.coalesce("numeros", F.lit("")).alias("numeros"), state.alias("estado"))
 
 
-def uncovered(candidates: DataFrame, base: DataFrame, keys: list[str], order: str) -> DataFrame:
+#: Candidates of one component that a task walks through; larger components go by rounds.
+LOCAL_ROWS = 1 << 18
+
+
+def uncovered(candidates: DataFrame, base: DataFrame, keys: list[str], order: str, local_rows: int = LOCAL_ROWS) -> DataFrame:
     """Candidates that share no key with the base, nor with a candidate kept before them.
 
     A candidate goes only if a kept one took one of its keys, so the outcome of a
-    row depends on the rows before it.  Each round keeps the rows that come
-    first for all their keys among those left, and drops what shares a key with
-    them; rows whose keys are all blank stay.  ``order`` tells rows apart.
+    row depends on the rows before it that hang together with it by keys.  Such
+    components are walked through in order, each in one task; those of more than
+    ``local_rows`` rows go by rounds that each keep the rows which come first for
+    all their keys.  Rows whose keys are all blank stay.  ``order`` is a whole
+    number that tells rows apart.
     """
     filled = lambda k: text(k) != ""
     left = candidates
     for k in keys:
         left = left.join(base.filter(filled(k)).select(k).distinct(), k, "left_anti")
-    left, kept = checkpoint(left.select(*candidates.columns)), None
-    while not left.isEmpty():
-        ranked = left
-        for i, k in enumerate(keys):
-            first = left.filter(filled(k)).groupBy(F.col(k).alias(f"__k{i}")).agg(F.min(order).alias(f"__first{i}"))
-            ranked = ranked.join(first, F.col(k) == F.col(f"__k{i}"), "left")
+    left = checkpoint(left.select(F.col(order).cast("long").alias("__row"), *[text(k).alias(f"__k{i}") for i, k in enumerate(keys)]))
+    names = [f"__k{i}" for i in range(len(keys))]
+    edges = None
+    for n in names:
+        some = left.filter(F.col(n) != "")
+        first = some.groupBy(n).agg(F.min("__row").alias("dst"))
+        mine = some.join(first, n).select(F.col("__row").alias("src"), "dst")
+        edges = mine if edges is None else edges.unionByName(mine)
+    placed = left.join(connected_components(edges).withColumnRenamed("node", "__row"), "__row", "left").withColumn("component", F.coalesce("component", "__row"))
+    sizes = placed.groupBy("component").agg(F.count(F.lit(1)).alias("__n"))
+    placed = checkpoint(placed.join(sizes, "component"))
+
+    def walk(pdf: pd.DataFrame) -> pd.DataFrame:
+        taken: set[tuple[str, str]] = set()
+        kept = []
+        for row in pdf.sort_values("__row").itertuples(index=False, name=None):
+            own = {(n, v) for n, v in zip(("row", *names), row, strict=True) if n != "row" and v}
+            if not own & taken:
+                taken |= own
+                kept.append(row[0])
+        return pd.DataFrame({"__row": kept})
+
+    kept = placed.filter(F.col("__n") <= local_rows).select("component", "__row", *names).groupBy("component").applyInPandas(lambda pdf: walk(pdf[["__row", *names]]), "__row long")
+    large = checkpoint(placed.filter(F.col("__n") > local_rows).select("__row", *names))
+    while not large.isEmpty():
+        ranked = large
+        for n in names:
+            first = large.filter(F.col(n) != "").groupBy(F.col(n).alias("__k")).agg(F.min("__row").alias(f"__first{n}"))
+            ranked = ranked.join(first, F.col(n) == F.col("__k"), "left").drop("__k")
         leads = F.lit(True)
-        for i, k in enumerate(keys):
-            leads = leads & (~filled(k) | (F.col(order) == F.col(f"__first{i}")))
-        won = checkpoint(ranked.filter(leads).select(*candidates.columns))
-        kept = won if kept is None else kept.unionByName(won)
-        left = left.join(won.select(order), order, "left_anti")
-        for k in keys:
-            left = left.join(won.filter(filled(k)).select(k).distinct(), k, "left_anti")
-        left = checkpoint(left.select(*candidates.columns))
-    return candidates.filter("false") if kept is None else kept
+        for n in names:
+            leads = leads & ((F.col(n) == "") | (F.col("__row") == F.col(f"__first{n}")))
+        won = checkpoint(ranked.filter(leads).select("__row", *names))
+        kept = kept.unionByName(won.select("__row"))
+        large = large.join(won.select("__row"), "__row", "left_anti")
+        for n in names:
+            large = large.join(won.filter(F.col(n) != "").select(n).distinct(), n, "left_anti")
+        large = checkpoint(large.select("__row", *names))
+    return candidates.join(kept, F.col(order).cast("long") == F.col("__row"), "left_semi")
 
 
 def by_priority(rows: DataFrame, key: str, url: str, priority: Column, order: str) -> DataFrame:

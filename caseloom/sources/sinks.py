@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from caseloom.functions.lexicon import CELL_LIMIT
 from caseloom.functions.text import strip_controls, text
 from caseloom.operators.rollups import upper_median
-from caseloom.sources.readers import exists
+from caseloom.sources import versions
 
 
 def columns(rows: DataFrame, names: tuple[str, ...]) -> DataFrame:
@@ -42,20 +42,23 @@ def sheet(rows: DataFrame) -> DataFrame:
     return rows.select(*[strip_controls(c, CELL_LIMIT).alias(c) if t == "string" else F.col(c) for c, t in rows.dtypes])
 
 
-def upsert(spark: SparkSession, path: str, rows: DataFrame, key: str, stamp: str) -> None:
-    """Write rows into a keyed table: the newest of each key stays.  A new version is written beside the old one and then takes its place."""
-    every = spark.read.parquet(path).unionByName(rows) if exists(spark, path) else rows
+def upsert(spark: SparkSession, path: str, rows: DataFrame, key: str, stamp: str) -> int:
+    """Merge rows into a keyed table: the newest of each key stays.  The next version takes the table's place in one step."""
+    have = versions.versions(spark, path)
+    old = versions.read_table(spark, path)
+    every = old.unionByName(rows) if old is not None else rows
     newest = every.groupBy(key).agg(F.max_by(F.struct(*every.columns), stamp).alias("r")).select("r.*")
-    newest.write.mode("overwrite").parquet(f"{path}.next")
-    jvm = spark._jvm.org.apache.hadoop.fs
-    old, new = jvm.Path(path), jvm.Path(f"{path}.next")
-    fs = old.getFileSystem(spark._jsc.hadoopConfiguration())
-    fs.delete(old, True)
-    fs.rename(new, old)
+    return versions.write_table(spark, path, newest, have[-1] if have else 0)
 
 
 def append_absent(spark: SparkSession, path: str, rows: DataFrame, key: str) -> None:
-    """Append the rows whose key is not there yet."""
-    if exists(spark, path):
-        rows = rows.join(spark.read.parquet(path).select(key).distinct(), key, "left_anti")
-    rows.filter(text(key) != "").write.mode("append").parquet(path)
+    """Add the rows whose key is not there yet: to a keyed table as its next version, else to the plain folder."""
+    have = versions.versions(spark, path)
+    old = versions.read_table(spark, path)
+    if old is not None:
+        rows = rows.join(old.select(key).distinct(), key, "left_anti").select(*rows.columns)
+    rows = rows.filter(text(key) != "")
+    if have:
+        versions.write_table(spark, path, old.unionByName(rows), have[-1])
+    else:
+        rows.write.mode("append").parquet(path)

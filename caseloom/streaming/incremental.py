@@ -29,12 +29,13 @@ def cached(stream: DataFrame, path: str, checkpoints: str, work: Callable[[DataF
     by key, so a batch that runs twice leaves the same table.
     """
     from caseloom.operators.joins import pending
-    from caseloom.sources.readers import exists
+    from caseloom.sources.versions import read_table
 
     def merge(batch: DataFrame, _: int) -> None:
         rows = batch.withColumn("hash", content_key(*parts)).dropDuplicates(["hash"])
         spark = batch.sparkSession
-        fresh = pending(rows, spark.read.parquet(path), "hash") if exists(spark, path) else rows
+        there = read_table(spark, path)
+        fresh = rows if there is None else pending(rows, there, "hash")
         upsert(spark, path, work(fresh), "hash", "ts")
 
     writer = stream.writeStream.foreachBatch(merge).option("checkpointLocation", checkpoints)

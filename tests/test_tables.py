@@ -5,7 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from caseloom.operators import graph, identity, joins, matching, rollups, similarity
-from caseloom.sources import readers, sinks
+from caseloom.sources import readers, sinks, versions
 from caseloom.streaming import incremental
 
 
@@ -91,9 +91,12 @@ def test_files(spark, tmp_path):
     rows = lambda *r: spark.createDataFrame(r, "k string, v int, ts int")
     sinks.upsert(spark, path, rows(("a", 1, 1), ("b", 1, 1)), "k", "ts")
     sinks.upsert(spark, path, rows(("a", 2, 2)), "k", "ts")
-    assert sorted(spark.read.parquet(path).collect()) == [("a", 2, 2), ("b", 1, 1)]
+    assert sorted(versions.read_table(spark, path).collect()) == [("a", 2, 2), ("b", 1, 1)]
     sinks.append_absent(spark, path, rows(("a", 5, 5), ("c", 1, 1)), "k")
-    assert sorted(r.k for r in spark.read.parquet(path).collect()) == ["a", "b", "c"]
+    assert sorted(r.k for r in versions.read_table(spark, path).collect()) == ["a", "b", "c"]
+    sinks.append_absent(spark, f"{path}-plain", rows(("a", 5, 5)), "k")
+    sinks.append_absent(spark, f"{path}-plain", rows(("a", 6, 6), ("", 1, 1), ("c", 1, 1)), "k")
+    assert sorted(spark.read.parquet(f"{path}-plain").collect()) == [("a", 5, 5), ("c", 1, 1)]
     sinks.write_panel(rows(("a", 1, 1)), str(tmp_path / "out"), ("k", "other"))
     assert spark.read.parquet(str(tmp_path / "out/panel_caso_mes.parquet")).columns == ["k", "other"]
 
@@ -122,7 +125,7 @@ def test_cached_stream(spark, tmp_path):
         spark.createDataFrame([(q,)], "q string").write.mode("append").parquet(source)
         stream = spark.readStream.schema("q string").parquet(source)
         incremental.cached(stream, out, str(tmp_path / "cp"), work, ["q"]).awaitTermination(60)
-    assert sorted(r.answer for r in spark.read.parquet(out).collect()) == ["A", "B"]
+    assert sorted(r.answer for r in versions.read_table(spark, out).collect()) == ["A", "B"]
 
 
 @pytest.mark.parametrize("fields,want", [(["q"], [("q", 2, 1, 50.0)])])
@@ -131,7 +134,8 @@ def test_precision_ignores_what_is_no_number(spark, fields, want):
     assert [tuple(r) for r in rollups.precision(df, fields).collect()] == want
 
 
-def test_uncovered_files_follow_the_order(spark):
+@pytest.mark.parametrize("local", [joins.LOCAL_ROWS, 3])
+def test_uncovered_files_follow_the_order(spark, local):
     """A row goes only if a row that is kept took one of its keys; against the plain loop."""
     rng = np.random.default_rng(3)
     rows = [(0, "c1", "n1"), (1, "c2", "n1"), (2, "c2", "n2"), (3, "", ""), (4, "", "")]
@@ -143,7 +147,7 @@ def test_uncovered_files_follow_the_order(spark):
             want.append(i)
             taken |= {k for k in keys if k}
     df = spark.createDataFrame(rows, "pos long, clave string, numero string").repartition(3)
-    got = joins.uncovered(df, spark.createDataFrame(list(base), "clave string, numero string"), ["clave", "numero"], "pos")
+    got = joins.uncovered(df, spark.createDataFrame(list(base), "clave string, numero string"), ["clave", "numero"], "pos", local)
     assert sorted(r.pos for r in got.collect()) == want and 2 in want and {3, 4} <= set(want)
     assert joins.uncovered(df.filter("false"), df, ["clave", "numero"], "pos").count() == 0
 
@@ -154,3 +158,28 @@ def test_hubs_of_a_graph(spark, monkeypatch):
     edges = [(i, 5000) for i in range(300)] + [(i, 6000) for i in range(290, 600)] + [(i, i + 1) for i in range(7000, 7040)]
     got = dict(graph.connected_components(spark.createDataFrame(edges, "src long, dst long")).collect())
     assert got == {n: 0 if n < 7000 else 7000 for e in edges for n in e}
+
+
+def test_a_write_that_stops_loses_nothing(spark, tmp_path, monkeypatch):
+    """Whatever step fails, readers find the last whole version, and the next write goes on from it."""
+    path = str(tmp_path / "t")
+    rows = lambda *r: spark.createDataFrame(r, "k string, v int, ts int")
+    seen = lambda: sorted(tuple(r) for r in versions.read_table(spark, path).collect())
+    assert versions.read_table(spark, path) is None
+    sinks.upsert(spark, path, rows(("a", 1, 1)), "k", "ts")
+    for step in ("_mark", "_forget"):
+        with monkeypatch.context() as m:
+            m.setattr(versions, step, lambda *a: (_ for _ in ()).throw(OSError("lost")))
+            with pytest.raises(OSError):
+                sinks.upsert(spark, path, rows(("a", 2, 2)), "k", "ts")
+        assert seen() == ([("a", 1, 1)] if step == "_mark" else [("a", 2, 2)])
+    reader = versions.read_table(spark, path)
+    sinks.upsert(spark, path, rows(("b", 3, 3)), "k", "ts")
+    assert seen() == [("a", 2, 2), ("b", 3, 3)] and sorted(tuple(r) for r in reader.collect()) == [("a", 2, 2)]
+    for i in range(3):
+        sinks.upsert(spark, path, rows(("b", i, 10 + i)), "k", "ts")
+    have = versions.versions(spark, path)
+    assert len(have) == versions.KEPT and seen() == [("a", 2, 2), ("b", 2, 12)]
+    with pytest.raises(versions.Conflict):
+        versions.write_table(spark, path, rows(("z", 1, 1)), have[-2])
+    assert seen() == [("a", 2, 2), ("b", 2, 12)] and versions.read_table(spark, path, have[-2]).count() == 2
