@@ -97,6 +97,7 @@ FLOW_LAYOUTS = ("lista_narrativa_2004", "reporte_n_tabla_regiones", "unidad_repo
 COLUMN_LAYOUTS = ("unidad_sumilla", "adjuntia_portada_estadistica", "infografia_ciclo_2024")
 
 # Titles of monthly reports, and of other publications.
+NUMBER_MARK = r"(?iu)n[°ºo.\s-]*\s*(\d{1,3})\b"
 TITLE_YES = r"reporte\s+(mensual\s+de\s+)?conflictos\s+sociales"
 TITLE_NO = r"crisis\s+pol[ií]tica|igualdad\s+y\s+no\s+violencia|personas\s+defensoras|mapas?\s+de\s+la\s+corrupci|espacios\s+anticorrupci|derecho\s+a\s+la\s+salud"
 

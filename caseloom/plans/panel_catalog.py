@@ -14,6 +14,7 @@ from caseloom.functions import lexicon as L, reports, text as T
 from caseloom.operators import segmentation as S
 from caseloom.plans import panel
 from caseloom.plans.catalog import query, read
+from caseloom.sources import paged
 
 KINDS, PLACES = ("Socioambiental", "Laboral", "Comunal"), ("AREQUIPA", "PUNO", "MADRE DE DIOS")
 NAMES = ("Arequipa", "Puno", "Madre de Dios")
@@ -220,3 +221,43 @@ def card_signs(spark, sf_dir):
     header = S.is_page_header(t) | S.is_running_title(t)
     bare = {"caso": F.when((F.col("turn") % 8).isin(1, 7), "dos palabras").otherwise("un caso de cuatro palabras"), "tipo": F.lit(""), "codigo": F.lit(""), "ubicacion": F.lit(None)}
     return c.select("conv_id", "turn", S.is_badge(t).alias("badge"), S.is_running_title(t).alias("title"), S.hard_start(t).alias("hard"), S.soft_start(t).alias("soft"), header.alias("header"), S.is_garbage(bare).alias("garbage"))
+
+
+SHEETS = "sheets AS (SELECT *, CAST(16 - floor(sqrt(page_id)) AS INTEGER) AS sheet, trim(regexp_replace(replace(regexp_extract(html, '(?s)<title>(.*?)</title>', 1), '&amp;', '&'), '\\s+', ' ', 'g')) AS titulo, url || '.pdf' AS u FROM pages)"
+
+
+def _titled(spark, sf_dir) -> DataFrame:
+    title = F.regexp_extract("html", r"(?s)<title>(.*?)</title>", 1)
+    return read(spark, sf_dir, "pages").select("page_id", title.alias("title"), F.concat("url", F.lit(".pdf")).alias("url"), (16 - F.floor(F.sqrt("page_id"))).cast("int").alias("sheet"))
+
+
+def _wanted(title: Column, url: Column) -> Column:
+    return F.length(title) % 3 > 0
+
+
+@query("search_pages", f"""WITH {SHEETS}, sizes AS (SELECT sheet, count(*) AS n FROM sheets WHERE sheet > 0 GROUP BY 1), stop AS (SELECT coalesce(min(sheet) FILTER (n < 25), max(sheet)) AS last FROM sizes),
+taken AS (SELECT *, row_number() OVER (PARTITION BY u ORDER BY sheet, page_id) AS r FROM sheets WHERE sheet > 0 AND length(titulo) % 3 > 0)
+SELECT sheet AS pagina, titulo, u AS url, printf('%03d', (page_id % 1000)::INTEGER) AS fecha_publicacion FROM taken, stop WHERE r = 1 AND sheet <= last""")
+def search_pages(spark, sf_dir):
+    """Answers of a search, each sheet smaller than the one before from the second on: a sheet that is not full is the last."""
+    item = F.struct(F.col("title").alias("name_with_parent"), F.col("url").alias("action_url"), F.format_string("%03d", F.col("page_id") % 1000).alias("publication"))
+    results = F.transform(F.array_sort(F.collect_list(F.struct("page_id", item.alias("item")))), lambda x: x["item"])
+    answers = _titled(spark, sf_dir).filter("sheet > 0").groupBy("sheet").agg(results.alias("r")).select(F.lit("web").alias("fuente"), "sheet", F.to_json(F.struct(F.struct(F.struct(F.col("r").alias("results")).alias("attributes")).alias("data"))).alias("json"))
+    return paged.search_pages(answers, accept=_wanted).select("pagina", "titulo", "url", "fecha_publicacion")
+
+
+@query("listing_pages", f"""WITH {SHEETS}, n AS (SELECT *, (page_id // 10 + 1)::INTEGER AS pagina FROM sheets),
+entries AS (SELECT *, false AS sweep FROM n WHERE page_id % 4 <> 3 AND length(titulo) % 3 > 0 UNION ALL SELECT *, true FROM n),
+taken AS (SELECT *, row_number() OVER (PARTITION BY u ORDER BY pagina, sweep, page_id) AS r FROM entries)
+SELECT pagina, CASE WHEN sweep THEN regexp_extract(u, '([^/]*)$', 1) ELSE titulo END AS titulo, u AS url, CASE WHEN sweep THEN '' ELSE 'día ' || page_id END AS fecha_publicacion FROM taken WHERE r = 1 AND pagina < 20""")
+def listing_pages(spark, sf_dir):
+    """Listing pages of ten reports each; every fourth is a bare link, the sweep also finds what the cards' titles kept out, and the twentieth page is not found."""
+    t = _titled(spark, sf_dir).withColumn("pagina", (F.floor(F.col("page_id") / 10) + 1).cast("int"))
+    link = F.replace(F.col("url"), F.lit("&"), F.lit("&amp;"))
+    card = F.concat(F.lit('<div class="card mb-3 col-12"><div><a href="'), link, F.lit('" target="_blank"> <h4 class="t">'), F.col("title"), F.lit('</h4></a><h6 class="card-subtitle x"> <strong>día '), F.col("page_id").cast("string"), F.lit("</strong></h6></div> </div>\n"))
+    bare = F.concat(F.lit('<p><a href="'), link, F.lit('">Descargar</a></p>\n'))
+    body = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("page_id", F.when(F.col("page_id") % 4 == 3, bare).otherwise(card).alias("h")))), lambda x: x["h"]), "")
+    more = F.when(F.col("pagina") == 1, '<a href="https://h.org/reportes/page/2/">2</a> <a href="https://h.org/reportes/page/9000/">»</a>').otherwise("")
+    pages = t.groupBy("pagina").agg(body.alias("html")).select(F.lit("web").alias("fuente"), F.col("pagina").alias("page"), F.when(F.col("pagina") == 20, 404).otherwise(200).alias("status"), F.concat(more, "html").alias("html"))
+    sweep = lambda title, url: F.when(title == "", True).otherwise(_wanted(title, url))
+    return paged.listing_pages(pages, accept=sweep).select("pagina", "titulo", "url", "fecha_publicacion")
