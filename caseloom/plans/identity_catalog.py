@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, functions as F
 
 from caseloom.functions import text as T
-from caseloom.operators import graph, identity, matching, mined, similarity
+from caseloom.functions.reports import content_key
+from caseloom.operators import calls, graph, identity, matching, mined, phrases, similarity
 from caseloom.plans.catalog import FOLD, KEY_SQL, NAMES, query, read
 
 SWEEP = (0.15, 0.2, 0.25, 0.3)
@@ -235,3 +236,29 @@ def mined_cases(spark, sf_dir):
     rows = d.select(F.concat(F.col("lang"), F.lit("/"), F.coalesce("source", F.lit(""))).alias("caso_id"), F.col("doc_id").alias("pos"), F.col("text").alias("caso"), F.col("source").alias("tipo"), F.col("lang").alias("departamento"), (2000 + F.col("doc_id") % 20).cast("int").alias("anio"), (F.col("doc_id") % 12 + 1).cast("int").alias("mes"), F.col("doc_id").alias("numero_reporte"))
     out = mined.mined_cases(rows, NAMES, None)
     return out.select("caso_id", "minas", "companias", "tipo", "departamento", F.sha2("caso", 256).alias("caso"), "n_meses", "n_filas_panel", "primera_fecha", "ultima_fecha", "numero_reporte_min", "numero_reporte_max", "es_ilegal", "completo")
+
+
+TOKENS = "string_split_regex({0}, '[^a-z0-9_]+')"
+
+
+@query("phrase_hits", f"""WITH names AS (SELECT DISTINCT unnest({TOKENS.format(FOLD.format('text'))}) AS name FROM benchmark),
+words AS (SELECT DISTINCT doc_id, unnest({TOKENS.format(FOLD.format('text'))}) AS name FROM documents) SELECT doc_id, name FROM words JOIN names USING (name) WHERE length(name) > 6""")
+def phrase_hits(spark, sf_dir):
+    """The longer words of the benchmark in all documents."""
+    names = read(spark, sf_dir, "benchmark").select(F.explode(F.split(T.fold("text"), "[^a-z0-9_]+")).alias("name")).filter("length(name) > 6").distinct()
+    return phrases.phrase_hits(read(spark, sf_dir, "documents"), "doc_id", "text", names).select("doc_id", "name")
+
+
+@query("cached_answers", "SELECT p_partkey, CASE WHEN p_type = 'ECONOMY' THEN 'ya: ' || p_name WHEN p_size = 13 THEN NULL ELSE reverse(p_name || ' ' || p_size) END AS answer, CASE WHEN p_type <> 'ECONOMY' AND p_size = 13 THEN 'unlucky' END AS error, p_type = 'ECONOMY' AS cached FROM part")
+def cached_answers(spark, sf_dir):
+    """A stand-in for a service turns texts round and refuses one size; a cache answers one type."""
+
+    def call(request: str) -> str:
+        if request.endswith(" 13"):
+            raise calls.GiveUp("unlucky")
+        return request[::-1]
+
+    rows = read(spark, sf_dir, "part").withColumn("request", F.concat_ws(" ", "p_name", F.col("p_size").cast("string")))
+    known = rows.filter("p_type = 'ECONOMY'").select(content_key("p_type", "request").alias("hash"), F.concat(F.lit("ya: "), "p_name").alias("answer"))
+    out, _ = calls.enriched(rows, "request", known, call, ["p_type", "request"])
+    return out.select("p_partkey", "answer", "error", "cached")
