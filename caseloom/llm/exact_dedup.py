@@ -21,21 +21,23 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
-from caseloom.llm.frames import checkpoint, only
+from caseloom.llm.frames import checkpoint, join_evenly, only
 
 BLOCK_BYTES = 4096
 #: Names are bucket * 2**RANK_BITS + rank: sorting is local to one of BUCKETS ranges of the hash.
 BUCKETS, RANK_BITS = 1 << 22, 40
+#: A block, pair or text that more rows than this have gets its name from a broadcast: at most rows / HOT of them.
+HOT = 1 << 17
 
 
 def _names(distinct: DataFrame, keys: list[str]) -> DataFrame:
-    """Integer names of distinct keys: the rank in the order of (bucket of the hash, hash, keys)."""
+    """Integer names of distinct keys (and how often they come): the rank in the order of (bucket of the hash, hash, keys)."""
     bucket = F.pmod(F.xxhash64(*keys), F.lit(BUCKETS))
     rank = F.row_number().over(W.partitionBy("bucket").orderBy(*keys))
-    return distinct.withColumn("bucket", bucket).select(*keys, (F.shiftleft("bucket", RANK_BITS) + rank).alias("name"))
+    return distinct.withColumn("bucket", bucket).select(*keys, (F.shiftleft("bucket", RANK_BITS) + rank).alias("name"), "times")
 
 
-def name_documents(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id", block_bytes: int = BLOCK_BYTES) -> DataFrame:
+def name_documents(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id", block_bytes: int = BLOCK_BYTES, hot: int = HOT) -> DataFrame:
     """One row a document: row, doc_id, text_sha256, n_blocks, name (the collision-free identity)."""
     raw = only(docs, doc_id=id_col, text=text_col).select(F.col("doc_id").cast("long"), F.coalesce(F.col("text").cast("string"), F.lit("")).cast("binary").alias("raw"))
     # F.transform with an outer array of one keeps the bytes bound: without it each block would copy the whole text
@@ -43,10 +45,10 @@ def name_documents(docs: DataFrame, text_col: str = "text", id_col: str = "doc_i
     hashes = F.element_at(F.transform(F.array("raw"), lambda r: F.transform(_blocks_of(r, block_bytes), lambda b: F.xxhash64(b))), 1)
     contents = raw.select(F.explode(blocks).alias("block")).select(F.xxhash64("block").alias("h"), "block")
     # Sorted reduction to distinct contents: least and greatest differ only where one hash has several contents.
-    by_hash = checkpoint(contents.groupBy("h").agg(F.min("block").alias("low"), F.max("block").alias("high")).select("h", F.when(F.col("low") != F.col("high"), True).otherwise(False).alias("clash")))
+    by_hash = checkpoint(contents.groupBy("h").agg(F.min("block").alias("low"), F.max("block").alias("high"), F.count(F.lit(1)).alias("times")).select("h", "times", F.when(F.col("low") != F.col("high"), True).otherwise(False).alias("clash")))
     if by_hash.filter("clash").isEmpty():
         rows = raw.select(F.monotonically_increasing_id().alias("row"), "doc_id", F.sha2("raw", 256).alias("text_sha256"), hashes.alias("names"))
-        named = _names(by_hash.select("h"), ["h"])
+        named = _names(by_hash.select("h", "times"), ["h"])
     else:  # contents decide: (hash, content) pairs are named themselves
         torn = by_hash.filter("clash").select(F.col("h").alias("torn"))
         pairs = contents.join(torn, F.col("h") == F.col("torn"), "left").select("h", F.when(F.col("torn").isNotNull(), F.col("block")).alias("block")).distinct()
@@ -56,13 +58,13 @@ def name_documents(docs: DataFrame, text_col: str = "text", id_col: str = "doc_i
         spread = spread.withColumn("h", F.when(F.col("block").isNotNull(), F.xxhash64("block")))
         mine = ranked.select(F.col("h").alias("rh"), F.col("block").alias("rb"), "k")
         met = spread.join(mine, (F.col("h") == F.col("rh")) & (F.col("rb").isNull() | (F.col("rb") == F.col("block"))), "left")
-        names = _names(ranked.select("h", "k"), ["h", "k"])
+        names = _names(ranked.select("h", "k", F.lit(1).alias("times")), ["h", "k"]).drop("times")
         met = met.join(names, ["h", "k"], "left")
         rows = met.groupBy("row").agg(F.first("doc_id").alias("doc_id"), F.first("text_sha256").alias("text_sha256"), F.transform(F.array_sort(F.collect_list(F.when(F.col("pos").isNotNull(), F.struct("pos", "name")))), lambda x: x["name"]).alias("names"))
         named = None
     # Rows are named by their place in the scan, which reruns of a task repeat.
-    state = rows if named is None else _renamed(rows, named)
-    return _halved(checkpoint(state.withColumn("n_blocks", F.size("names"))))
+    state = rows if named is None else _renamed(rows, named, hot)
+    return _halved(checkpoint(state.withColumn("n_blocks", F.size("names"))), hot)
 
 
 def _blocks_of(raw: Column, size: int) -> Column:
@@ -71,14 +73,14 @@ def _blocks_of(raw: Column, size: int) -> Column:
     return F.filter(cut, lambda b: F.length(b) > 0)
 
 
-def _renamed(rows: DataFrame, named: DataFrame) -> DataFrame:
+def _renamed(rows: DataFrame, named: DataFrame, hot: int) -> DataFrame:
     """Replace the hashes in ``names`` by the integer names of ``named`` (h, name)."""
     spread = rows.select("row", "doc_id", "text_sha256", F.posexplode_outer("names").alias("pos", "h"))
-    met = spread.join(named, "h", "left")
+    met = join_evenly(spread.withColumn("salt", F.xxhash64("row", "pos")), named, ["h"], "name", "times", "salt", hot)
     return met.groupBy("row").agg(F.first("doc_id").alias("doc_id"), F.first("text_sha256").alias("text_sha256"), F.transform(F.array_sort(F.collect_list(F.when(F.col("pos").isNotNull(), F.struct("pos", "name")))), lambda x: x["name"]).alias("names"))
 
 
-def _halved(state: DataFrame) -> DataFrame:
+def _halved(state: DataFrame, hot: int) -> DataFrame:
     """Name adjacent pairs until one name is left; documents leave the loop as soon as they have it."""
     done = state.filter("n_blocks <= 1").select("row", "doc_id", "text_sha256", "n_blocks", F.coalesce(F.try_element_at("names", F.lit(1)), F.lit(0)).alias("name"))
     parts, state = [done], state.filter("n_blocks > 1")
@@ -86,8 +88,8 @@ def _halved(state: DataFrame) -> DataFrame:
     while longest > 1:
         half = F.transform(F.sequence(F.lit(0), ((F.size("names") + 1) / 2).cast("int") - 1), lambda i: F.struct(F.element_at("names", i * 2 + 1).alias("a"), F.coalesce(F.try_element_at("names", i * 2 + 2), F.lit(-1)).alias("b")))
         spread = state.select("row", "doc_id", "text_sha256", "n_blocks", F.posexplode(half).alias("pos", "ab")).select("row", "doc_id", "text_sha256", "n_blocks", "pos", "ab.a", "ab.b")
-        names = checkpoint(_names(spread.select("a", "b").distinct(), ["a", "b"]))
-        met = spread.join(names, ["a", "b"])
+        names = checkpoint(_names(spread.groupBy("a", "b").agg(F.count(F.lit(1)).alias("times")), ["a", "b"]))
+        met = join_evenly(spread.withColumn("salt", F.xxhash64("row", "pos")), names, ["a", "b"], "name", "times", "salt", hot)
         state = met.groupBy("row").agg(*[F.first(c).alias(c) for c in ("doc_id", "text_sha256", "n_blocks")], F.transform(F.array_sort(F.collect_list(F.struct("pos", "name"))), lambda x: x["name"]).alias("names"))
         state = checkpoint(state)
         parts.append(state.filter(F.size("names") == 1).select("row", "doc_id", "text_sha256", "n_blocks", F.element_at("names", 1).alias("name")))
@@ -99,13 +101,13 @@ def _halved(state: DataFrame) -> DataFrame:
     return out
 
 
-def exact_dedup(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id", block_bytes: int = BLOCK_BYTES) -> DataFrame:
+def exact_dedup(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id", block_bytes: int = BLOCK_BYTES, hot: int = HOT) -> DataFrame:
     """doc_id, keep_id, group_size, kept, text_sha256 of every row; of equal texts the greatest id stays."""
-    named = name_documents(docs, text_col, id_col, block_bytes)
+    named = name_documents(docs, text_col, id_col, block_bytes, hot)
     identity = ["n_blocks", "name"]
-    groups = named.groupBy(*identity).agg(F.max("doc_id").alias("keep_id"), F.count(F.lit(1)).alias("group_size"), F.max(F.struct("doc_id", "row")).alias("best"))
-    met = named.join(groups, identity)
-    return met.select("doc_id", "keep_id", "group_size", (F.col("row") == F.col("best.row")).alias("kept"), "text_sha256")
+    groups = named.groupBy(*identity).agg(F.struct(F.max("doc_id").alias("keep_id"), F.count(F.lit(1)).alias("group_size"), F.max(F.struct("doc_id", "row")).alias("best")).alias("of"), F.count(F.lit(1)).alias("times"))
+    met = join_evenly(named, checkpoint(groups), identity, "of", "times", "row", hot)
+    return met.select("doc_id", "of.keep_id", "of.group_size", (F.col("row") == F.col("of.best.row")).alias("kept"), "text_sha256")
 
 
 SQL = """

@@ -85,6 +85,26 @@ def broadcast_if_few(rows: DataFrame, most: int = 100_000) -> DataFrame:
     return F.broadcast(rows) if rows.count() <= most else rows
 
 
+def join_evenly(rows: DataFrame, table: DataFrame, keys: list[str], value: str, times: str, salt: str, hot: int) -> DataFrame:
+    """``rows`` with the ``value`` that ``table`` (keys, value, times) has for their keys, null where it has none.
+
+    Keys that more than ``hot`` rows have (``times``) come from a broadcast: there
+    are at most as many as rows divided by ``hot``.  Their rows, and those with a
+    null key, then go through the join of the others under a number of their own
+    (``salt``), which spreads them and meets nothing.
+    """
+    few = F.broadcast(table.filter(F.col(times) > hot).select(*[F.col(k).alias(f"__hot_{k}") for k in keys], F.col(value).alias("__hot_value")))
+    met = rows.join(few, [F.col(k) == F.col(f"__hot_{k}") for k in keys], "left").drop(*[f"__hot_{k}" for k in keys])
+    known = F.col("__hot_value").isNotNull()
+    for k in keys:
+        known = known | F.col(k).isNull()
+    met = met.withColumn("__known", known).withColumn("__at", F.when(known, F.xxhash64(salt)).otherwise(F.xxhash64(*keys)))
+    cold = table.filter(F.col(times) <= hot).select(*[F.col(k).alias(f"__cold_{k}") for k in keys], F.col(value).alias("__cold_value"), F.lit(False).alias("__cold_known"), F.xxhash64(*keys).alias("__cold_at"))
+    same = [F.col("__at") == F.col("__cold_at"), F.col("__known") == F.col("__cold_known"), *[F.col(k) == F.col(f"__cold_{k}") for k in keys]]
+    out = met.join(cold, same, "left")
+    return out.withColumn(value, F.coalesce("__hot_value", "__cold_value")).select(*rows.columns, value)
+
+
 def only(df: DataFrame, **columns: str) -> DataFrame:
     """Just the named columns under new names; other columns, whatever they are called, are not carried."""
     return df.select(*[F.col(f"`{old}`").alias(new) for new, old in columns.items()])

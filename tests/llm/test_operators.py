@@ -155,13 +155,13 @@ def test_tiles_give_all_links():
                 assert root[i] == root[j]
 
 
-@pytest.mark.parametrize("size", [4, 4096])
-def test_exact_dedup(spark, size):
+@pytest.mark.parametrize("size,hot", [(4, exact_dedup.HOT), (4096, exact_dedup.HOT), (4, 2), (4096, 0)])
+def test_exact_dedup(spark, size, hot):
     texts = corpus(3, 25)
     groups = {}
     for i, t in enumerate(texts):
         groups.setdefault(t or "", []).append(i)
-    got = table(exact_dedup.exact_dedup(docs(spark, texts), block_bytes=size), "doc_id", "keep_id", "group_size", "kept", "text_sha256")
+    got = table(exact_dedup.exact_dedup(docs(spark, texts), block_bytes=size, hot=hot), "doc_id", "keep_id", "group_size", "kept", "text_sha256")
     assert got == {i: (max(groups[t or ""]), len(groups[t or ""]), i == max(groups[t or ""]), hashlib.sha256((t or "").encode()).hexdigest()) for i, t in enumerate(texts)}
 
 
@@ -651,3 +651,21 @@ def test_long_labelled_texts_are_learnt_from(spark, size):
     if size == toxicity.FIT_BYTES:
         got = {r.doc_id: r.predicted for r in toxicity.toxicity(frame, labels).collect()}
         assert got == {i: int(i % 3 == 0) for i in range(60)}
+
+
+def test_copies_of_one_text_are_spread(spark):
+    """However many rows share a text, or have none, the tasks of the join that names them get even shares."""
+    n = 4000
+    rows = spark.range(2 * n).select(F.col("id").alias("row"), F.when(F.col("id") < n, F.lit(7)).when(F.col("id") < 3 * n // 2, F.col("id")).alias("h"))
+    table = rows.filter("h is not null").groupBy("h").agg(F.count(F.lit(1)).alias("times")).withColumn("name", F.col("h") + 1)
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        met = frames.join_evenly(rows, table, ["h"], "name", "times", "row", 100)
+        got = met.withColumn("task", F.spark_partition_id()).collect()
+    finally:
+        spark.conf.unset("spark.sql.adaptive.enabled")
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    assert len(got) == 2 * n and all(r.name == (None if r.h is None else r.h + 1) for r in got)
+    shares = np.bincount([r.task for r in got], minlength=4)
+    assert shares.max() < 1.2 * 2 * n / 4
