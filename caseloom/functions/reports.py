@@ -205,7 +205,7 @@ def record(c: ColumnLike) -> Column:
 def prompt(department: ColumnLike, kind: ColumnLike, place: ColumnLike, actors: ColumnLike, months: ColumnLike, body: ColumnLike) -> Column:
     told = lambda c, missing="(sin dato)": F.coalesce(F.nullif(text(c), F.lit("")), F.lit(missing))
     lines = [("Departamento: ", told(department)), ("Tipo en la ficha: ", told(kind)), ("Ubicación: ", told(place)), ("Actores: ", told(actors)), ("Meses cubiertos: ", told(months, "?"))]
-    return F.concat_ws("\n", *[F.concat(F.lit(a), b) for a, b in lines], F.lit(""), F.lit("Texto de la ficha (columna de descripción y hechos del mes):"), F.trim(text(body)))
+    return F.concat_ws("\n", *[F.concat(F.lit(a), b) for a, b in lines], F.lit(""), F.lit("Texto de la ficha (columna de descripción y hechos del mes):"), F.regexp_replace(text(body), r"(?U)^\s+|\s+$", ""))
 
 
 def content_key(*parts: ColumnLike) -> Column:

@@ -133,7 +133,7 @@ def control_strip(spark, sf_dir):
     return read(spark, sf_dir, "documents").select("doc_id", F.sha2(T.strip_controls(F.concat("text", F.when(F.col("doc_id") % 2 == 0, "\r\n\a").otherwise(""))), 256).alias("cell"))
 
 
-@query("prompt_build", "SELECT doc_id, sha256(concat_ws(chr(10), 'Departamento: (sin dato)', 'Tipo en la ficha: ' || CASE WHEN coalesce(lang, '') = '' THEN '(sin dato)' ELSE lang END, 'Ubicación: ' || CASE WHEN coalesce(source, '') = '' THEN '(sin dato)' ELSE source END, 'Actores: (sin dato)', 'Meses cubiertos: ' || n_chars, '', 'Texto de la ficha (columna de descripción y hechos del mes):', trim(text))) AS prompt FROM documents")
+@query("prompt_build", "SELECT doc_id, sha256(concat_ws(chr(10), 'Departamento: (sin dato)', 'Tipo en la ficha: ' || CASE WHEN coalesce(lang, '') = '' THEN '(sin dato)' ELSE lang END, 'Ubicación: ' || CASE WHEN coalesce(source, '') = '' THEN '(sin dato)' ELSE source END, 'Actores: (sin dato)', 'Meses cubiertos: ' || n_chars, '', 'Texto de la ficha (columna de descripción y hechos del mes):', trim(text, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)))) AS prompt FROM documents")
 def prompt_build(spark, sf_dir):
     p = reports.prompt(F.lit(""), "lang", "source", F.lit(None), "n_chars", "text")
     return read(spark, sf_dir, "documents").select("doc_id", F.sha2(p, 256).alias("prompt"))
@@ -251,10 +251,10 @@ def calendar_gaps(spark, sf_dir):
     return joins.calendar_coverage(rollups.month_grid(spark, "1994-06-01", "2001-12-01"), o).drop("numeros")
 
 
-@query("missing_numbers", "SELECT CAST(i AS INTEGER) AS doc_id FROM (SELECT unnest(range(least(0, min(doc_id)), greatest(1500, max(doc_id)) + 1)) AS i FROM labels) WHERE i NOT IN (SELECT doc_id FROM labels)")
+@query("missing_numbers", "SELECT CAST(i AS INTEGER) AS doc_id FROM (SELECT unnest(range(min(doc_id), max(doc_id) + 1)) AS i FROM labels) WHERE i NOT IN (SELECT doc_id FROM labels)")
 def missing_numbers(spark, sf_dir):
     labels = read(spark, sf_dir, "labels")
-    low, high = labels.agg(F.least(F.lit(0), F.min("doc_id")), F.greatest(F.lit(1500), F.max("doc_id"))).first()  # 0..1500 at least, as in the SQL
+    low, high = labels.agg(F.min("doc_id"), F.max("doc_id")).first()
     return rollups.missing_numbers(labels, "doc_id", low, high)
 
 

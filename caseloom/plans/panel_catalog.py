@@ -11,9 +11,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, functions as F
 
 from caseloom.functions import lexicon as L, reports, text as T
-from caseloom.operators import segmentation as S
+from caseloom.operators import reporting, segmentation as S
 from caseloom.plans import panel
-from caseloom.plans.catalog import query, read
+from caseloom.plans.catalog import QUERIES, query, read
 from caseloom.sources import paged
 
 KINDS, PLACES = ("Socioambiental", "Laboral", "Comunal"), ("AREQUIPA", "PUNO", "MADRE DE DIOS")
@@ -261,3 +261,36 @@ def listing_pages(spark, sf_dir):
     pages = t.groupBy("pagina").agg(body.alias("html")).select(F.lit("web").alias("fuente"), F.col("pagina").alias("page"), F.when(F.col("pagina") == 20, 404).otherwise(200).alias("status"), F.concat(more, "html").alias("html"))
     sweep = lambda title, url: F.when(title == "", True).otherwise(_wanted(title, url))
     return paged.listing_pages(pages, accept=sweep).select("pagina", "titulo", "url", "fecha_publicacion")
+
+
+@query("gaps_by_year", f"""WITH g AS (SELECT CAST(d AS DATE) AS d FROM range(DATE '1994-06-01', DATE '2002-01-01', INTERVAL 1 MONTH) t(d)), r AS (SELECT DISTINCT year(o_orderdate) AS y, month(o_orderdate) AS m FROM orders WHERE (o_orderstatus = 'O' AND month(o_orderdate) % 2 = 0) OR (o_orderstatus <> 'O' AND year(o_orderdate) % 2 = 0))
+SELECT year(d) AS anio, string_agg({sql_list(MONTHS)}[month(d)], ', ' ORDER BY d) AS meses FROM g LEFT JOIN r ON y = year(d) AND m = month(d) WHERE y IS NULL GROUP BY 1""")
+def gaps_by_year(spark, sf_dir):
+    return reporting.gaps_by_year(QUERIES["calendar_gaps"](spark, sf_dir))
+
+
+_LONG = "arg_max(trim({0}), length(trim({0})) * 1000000000 - n) FILTER (trim(coalesce({0}, '')) <> '')"
+_ASK = "CASE WHEN coalesce({0}, '') = '' THEN '(sin dato)' ELSE {0} END"
+
+
+@query("model_inputs", f"""WITH t AS (SELECT *, conv_id * 1000 + turn AS n, CASE WHEN turn % 4 < 3 THEN turn END AS anio, turn % 3 AS mes FROM conversations),
+e AS (SELECT conv_id, list(trim(text) ORDER BY n) AS v FROM t WHERE trim(coalesce(text, '')) <> '' GROUP BY 1),
+s AS (SELECT conv_id, array_to_string(list_filter([v[1], v[len(v) // 2 + 1], v[len(v)]], lambda x, i: list_position([v[1], v[len(v) // 2 + 1], v[len(v)]], x) = i), chr(10) || '---' || chr(10)) AS hechos FROM e),
+c AS (SELECT conv_id, count(DISTINCT (coalesce(anio::VARCHAR, ''), mes)) AS n_meses, coalesce({_LONG.format('role')}, '') AS tipo, coalesce({_LONG.format('text')}, '') AS caso FROM t GROUP BY 1),
+q AS (SELECT conv_id, tipo, n_meses, left(concat_ws(chr(10) || chr(10), nullif(caso, ''), nullif(coalesce(hechos, ''), '')), 4000) AS cuerpo FROM c LEFT JOIN s USING (conv_id)),
+r AS (SELECT *, concat_ws(chr(10), 'Departamento: (sin dato)', 'Tipo en la ficha: ' || {_ASK.format('tipo')}, 'Ubicación: (sin dato)', 'Actores: (sin dato)', 'Meses cubiertos: ' || n_meses, '', 'Texto de la ficha (columna de descripción y hechos del mes):', trim(cuerpo, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13))) AS request FROM q)
+SELECT conv_id AS caso_id, tipo, n_meses, sha256('m|v1|' || request) AS hash FROM r""")
+def model_inputs(spark, sf_dir):
+    """Conversations as cases: their turns are the rows of the panel and its events."""
+    c = read(spark, sf_dir, "conversations")
+    rows = c.select(F.col("conv_id").alias("caso_id"), (F.col("conv_id") * 1000 + F.col("turn")).alias("pos"), F.col("text").alias("caso"), F.col("text").alias("hechos_del_mes"), F.col("role").alias("tipo"), F.when(F.col("turn") % 4 < 3, F.col("turn")).alias("anio"), (F.col("turn") % 3).alias("mes"))
+    return reporting.model_inputs(rows, "m", "v1", 4000).select("caso_id", "tipo", "n_meses", "hash")
+
+
+@query("run_summary", """WITH p AS (SELECT count(*) AS filas, count(*) FILTER (coalesce(text, '') <> '') AS con_caso, count(DISTINCT source) AS casos, count(*) FILTER (doc_id % 2 = 1) AS socio, count(*) FILTER (doc_id % 3 = 1) AS minas FROM documents), i AS (SELECT count(*) AS n FROM pages), f AS (SELECT count(*) AS n FROM pages WHERE page_id % 9 = 0),
+l AS (SELECT 0 AS orden, 'pdf_procesados' AS clave, i.n AS valor FROM i UNION ALL SELECT 1, 'filas', filas FROM p UNION ALL SELECT 2, 'con_caso', con_caso FROM p UNION ALL SELECT 3, 'casos_unicos', casos FROM p UNION ALL SELECT 4, 'socioambientales', socio FROM p UNION ALL SELECT 5, 'mencionan_mineria', minas FROM p UNION ALL SELECT 6, 'pdf_sin_fichas', f.n FROM f)
+SELECT * FROM l UNION ALL SELECT 6 + row_number() OVER (ORDER BY count(*) DESC, lang), 'formato: ' || coalesce(lang, ''), count(*) FROM documents GROUP BY lang""")
+def run_summary(spark, sf_dir):
+    d = read(spark, sf_dir, "documents").select(F.col("text").alias("caso"), F.col("source").alias("caso_id"), F.col("lang").alias("formato"), (F.col("doc_id") % 2 == 1).cast("int").alias("es_socioambiental"), (F.col("doc_id") % 3 == 1).cast("int").alias("menciona_mineria"))
+    pages = read(spark, sf_dir, "pages")
+    return reporting.run_summary(d, pages, pages.filter("page_id % 9 = 0")).withColumn("orden", F.col("orden").cast("long"))
