@@ -379,8 +379,9 @@ def test_empty_tables(spark):
 def test_queries_against_sql(spark):
     con = duckdb.connect()
     con.sql(f"CREATE VIEW documents AS SELECT * FROM '{SF}/documents.parquet'")
-    for name, sql in registry.ORACLES.items():
-        got, want = registry.QUERIES[name](spark, SF).toPandas(), con.sql(sql).df()
+    elsewhere = {"op11_vector_codes", "op12_spelling_variants"}  # test_vectors, test_spelling
+    for name in sorted(set(registry.ORACLES) - elsewhere):
+        got, want = registry.QUERIES[name](spark, SF).toPandas(), con.sql(registry.ORACLES[name]).df()
         columns = sorted(want.columns)
         assert sorted(got.columns) == columns
         assert sorted(map(tuple, got[columns].astype(str).values)) == sorted(map(tuple, want[columns].astype(str).values)), name
