@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from caseloom.functions import lexicon as L
-from caseloom.functions.text import any_word, case_key, computed, extract_summary, fold, list_text, month_end, squeeze, standard_type, text
+from caseloom.functions.text import any_word, ascii_bounds, case_key, computed, extract_summary, fold, list_text, month_end, squeeze, standard_type, text
 
 #: Names that one number of bits can hold.
 WORD = 60
@@ -53,7 +53,7 @@ def mined_cases(panel: DataFrame, catalogue=L.MINES, partner: tuple[str, tuple[s
     raw = panel.select(F.col(key), F.col(order).cast("long").alias("orden"), *texts, *[F.col(c) if c in panel.columns else F.lit(None).cast("int").alias(c) for c in ("anio", "mes", "numero_reporte")], *[(have(c) == "1").alias(c) for c in ("es_socioambiental", "menciona_mineria")], F.trim(have("departamento")).alias("departamento"), have("tipo").alias("tipo"), F.concat_ws(" ", *[have(c) for c in blob]).alias("told"))
     raw = computed(raw, blob=fold("told"))
     words = [f"bits{i}" for i in range(len(_bits(F.lit(""), catalogue)))]
-    rows = computed(raw, **dict(zip(words, _bits(F.col("blob"), catalogue), strict=True)), tipo_estandar=standard_type("tipo"), fin=month_end("anio", "mes"), ilegal=F.col("blob").rlike(L.ILLEGAL), informal=F.col("blob").rlike(L.INFORMAL), socio=F.col("blob").contains(fold(F.lit(partner[0]))) if partner else F.lit(False))
+    rows = computed(raw, **dict(zip(words, _bits(F.col("blob"), catalogue), strict=True)), tipo_estandar=standard_type("tipo"), fin=month_end("anio", "mes"), ilegal=F.col("blob").rlike(ascii_bounds(L.ILLEGAL)), informal=F.col("blob").rlike(ascii_bounds(L.INFORMAL)), socio=F.col("blob").contains(fold(F.lit(partner[0]))) if partner else F.lit(False))
     rows = rows.filter(" or ".join(f"{w} <> 0" for w in words))
     date = F.nullif(F.col("fin"), F.lit(""))
     number = F.col("numero_reporte").cast("string").try_cast("double")
