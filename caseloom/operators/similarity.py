@@ -143,6 +143,40 @@ def common_length(a: str, b: str) -> int:
     return len(a) - state.bit_count()
 
 
+def common_lengths(a: list[str], b: list[str], wanted: np.ndarray) -> np.ndarray:
+    """``common_length`` of all pairs of two lists; texts of up to 64 letters at once, of two longer ones only the wanted pairs."""
+    out = np.zeros((len(a), len(b)), np.int64)
+    wide, broad = (np.array([len(t) > 64 for t in texts], bool) for texts in (a, b))
+    narrow, slim = np.flatnonzero(~wide), np.flatnonzero(~broad)
+    if len(narrow):
+        out[narrow] = _lengths([a[i] for i in narrow], b)
+    if wide.any() and len(slim):
+        out[np.ix_(wide, slim)] = _lengths([b[j] for j in slim], [a[i] for i in np.flatnonzero(wide)]).T
+    for i, j in zip(*np.nonzero(wanted & wide[:, None] & broad), strict=True):
+        out[i, j] = common_length(a[i], b[j])
+    return out
+
+
+def _lengths(a: list[str], b: list[str]) -> np.ndarray:
+    """Texts a have up to 64 letters: a machine word holds the state of a pair."""
+    place = {c: i for i, c in enumerate(sorted(set("".join(b))))}
+    masks = np.zeros((len(place) + 1, len(a)), np.uint64)
+    for i, t in enumerate(a):
+        for at, c in enumerate(t):
+            if c in place:
+                masks[place[c], i] |= np.uint64(1 << at)
+    codes = np.full((len(b), max(map(len, b), default=0)), len(place))
+    for j, t in enumerate(b):
+        codes[j, : len(t)] = [place[c] for c in t]
+    sizes = np.array([len(t) for t in a], np.int64)
+    full = np.array([(1 << n) - 1 for n in sizes.tolist()], np.uint64)
+    state = np.repeat(full[None], len(b), 0)
+    for at in range(codes.shape[1]):
+        hit = state & masks[codes[:, at]]
+        state = (state + hit) | (state - hit)
+    return (sizes - np.bitwise_count(state & full).astype(np.int64)).T
+
+
 def sorted_ratio(a: str, b: str) -> float:
     """Similarity 0 to 100 of two texts whose words are put in order first: 200 * common / total length."""
     a, b = " ".join(sorted(a.split())), " ".join(sorted(b.split()))

@@ -186,7 +186,7 @@ pairs AS MATERIALIZED (SELECT * FROM (SELECT l, r, 0.62::DOUBLE * t + (0.20::DOU
 
 
 def _matches(spark, sf_dir) -> DataFrame:
-    return matching.greedy_matches(matching.scored_pairs(curated(spark, sf_dir), local(spark, sf_dir)))
+    return matching.matches(curated(spark, sf_dir), local(spark, sf_dir))
 
 
 @query("scored_match", f"WITH RECURSIVE {SIDES} SELECT l, r, round(score, 6) AS score FROM taken WHERE r IS NOT NULL")

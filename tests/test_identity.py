@@ -162,6 +162,30 @@ def test_scored_matches_equal_the_search(spark):
         matching.scored_pairs(spark.createDataFrame(left, schema), spark.createDataFrame(right, schema), accept=60)
 
 
+def test_matches_by_kinds_equal_those_by_pairs(spark):
+    """Copies, blanks, several mines, long texts and tiles of few kinds give the pairs' matches."""
+    rng = random.Random(8)
+    words = [*(" ".join(t.split()) for t in texts(9, 14)), "", " ", "".join(rng.choice("abc") for _ in range(70)), "".join(rng.choice("abc") for _ in range(80))]
+    make = lambda n: [(i, rng.choice(words) if rng.random() < 0.95 else None, rng.choice(["AN", "PU", "", None]), rng.choice([[], ["m1"], ["m1", "m2"], ["m2", "m3", "m4"], ["m4", None], [None]])) for i in rng.sample(range(1000), n)]
+    schema = "id long, clave string, dept string, minas array<string>"
+    left, right = (spark.createDataFrame(make(n), schema).repartition(3) for n in (150, 170))
+    want = sorted(tuple(r) for r in matching.greedy_matches(matching.scored_pairs(left, right)).collect())
+    assert sorted(tuple(r) for r in matching.matches(left, right).collect()) == want and len(want) > 60
+    few = matching.SIDE
+    try:
+        matching.SIDE = 3
+        assert sorted(tuple(r) for r in matching.matches(left, right).collect()) == want
+    finally:
+        matching.SIDE = few
+
+
+def test_many_copies_are_matched_by_their_kinds(spark):
+    """3,000 rows of one kind a side: nine million pairs of rows, but one of kinds."""
+    rows = spark.range(3000).selectExpr("id", "'rio oro' AS clave", "'AN' AS dept", "array('m') AS minas")
+    assert matching._keyed(matching._kinds(rows)[1]).count() == 2
+    assert sorted(tuple(r) for r in matching.matches(rows, rows).collect()) == [(i, i, 100.0) for i in range(3000)]
+
+
 def test_report_of_no_match(spark):
     side = spark.createDataFrame([(1, "A", "t", ["m"], ["c"], "2010-01-31")], "id long, dept string, tipo string, minas array<string>, companias array<string>, fecha string")
     none = spark.createDataFrame([], "l long, r long, score double")
