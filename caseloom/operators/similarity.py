@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame, Window as W, functions as F
 from caseloom.operators.checkpoints import checkpoint
 
 #: Vectors of a tile's side, pivots that deal vectors to cells, and rows that the pivots are picked from.
-TILE, PIVOTS, SAMPLE = 2048, 32, 2048
+TILE, PIVOTS, SAMPLE = 4096, 32, 2048
 #: Slack of the angles and of the first, blocked products.
 SLACK = 1e-9
 
@@ -97,6 +97,47 @@ def _compared(threshold: float):
     return compare
 
 
+def forest(good: np.ndarray) -> np.ndarray:
+    """The links of a spanning forest of a graph between rows and columns."""
+    tree = np.zeros_like(good)
+    free, open_ = good.any(1), np.ones(good.shape[1], bool)
+    for start in np.flatnonzero(free).tolist():
+        front = np.array([start]) if free[start] else np.array([], int)
+        free[start] = False
+        while len(front):
+            hit = good[front] & open_
+            columns = np.flatnonzero(hit.any(0))
+            tree[front[hit[:, columns].argmax(0)], columns] = True
+            open_[columns] = False
+            rest = np.flatnonzero(free)
+            back = good[np.ix_(rest, columns)]
+            met = back.any(1)
+            front = rest[met]
+            tree[front, columns[back[met].argmax(1)] if len(front) else []] = True
+            free[front] = False
+    return tree
+
+
+def _linked(threshold: float):
+    def link(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
+        """Forests of the pairs of one tile that may reach the threshold, one for 512 rows."""
+        row = table.slice(0, 1).to_pylist()[0]
+        a, b = (np.frombuffer(row[k], np.int64) for k in ("keys", "other_keys"))
+        u, v = (np.frombuffer(row[k], float).reshape(-1, row["width"]) for k in ("units", "other_units"))
+        out = []
+        for at in range(0, len(a), 512):
+            i, j = np.nonzero(forest((u[at : at + 512] @ v.T >= threshold - SLACK) & (a[at : at + 512, None] != b)))
+            out.append((a[i + at], b[j]))
+        return pa.table([pa.array(np.concatenate(c)) for c in zip(*out, strict=True)], names=["a", "b"])
+
+    return link
+
+
+def cosine_links(rows: DataFrame, block: str | None, key: str, vector: str, threshold: float, tile: int = TILE) -> DataFrame:
+    """(a, b): pairs that hang together the same rows as ``cosine_pairs`` do, a forest a tile in place of all pairs."""
+    return _tiles(rows, block, key, vector, threshold, tile).applyInArrow(_linked(threshold), "a long, b long")
+
+
 def cosine_pairs(rows: DataFrame, block: str | None, key: str, vector: str, threshold: float, tile: int = TILE) -> DataFrame:
     """(a, b, similarity) of all pairs a < b within a block whose cosine reaches the threshold; without a block, of all rows.
 
@@ -108,6 +149,11 @@ def cosine_pairs(rows: DataFrame, block: str | None, key: str, vector: str, thre
     zero, or hold null or non-finite components, are in no pair; vectors of
     another length are not compared.
     """
+    return _tiles(rows, block, key, vector, threshold, tile).applyInArrow(_compared(threshold), "a long, b long, similarity double")
+
+
+def _tiles(rows: DataFrame, block: str | None, key: str, vector: str, threshold: float, tile: int):
+    """Two cells that may hold a pair, by cell and other: keys and unit vectors of both."""
     base = rows.select((F.col(block).cast("string") if block else F.lit("")).alias("block"), F.col(key).cast("long").alias("key"), F.col(vector).cast("array<double>").alias("vector")).filter("block is not null and key is not null")
     units = checkpoint(base.mapInArrow(_units, "block string, key long, width int, unit binary"))
     counts = {r["width"]: r["n"] for r in units.groupBy("width").agg(F.count(F.lit(1)).alias("n")).collect()}  # one row a vector length
@@ -128,7 +174,7 @@ def cosine_pairs(rows: DataFrame, block: str | None, key: str, vector: str, thre
     tiles = heads.join(apart, ["width", "pivot"]).join(others, ["block", "width", "other_pivot"]).filter((F.col("cell") <= F.col("other")) & (F.col("apart") - F.col("radius") - F.col("other_radius") <= math.acos(max(-1.0, min(1.0, threshold))) + 1e-6)).select("cell", "other")
     right = cells.select(F.col("cell").alias("other"), F.col("keys").alias("other_keys"), F.col("units").alias("other_units"))
     met = tiles.join(cells.select("cell", "width", "keys", "units"), "cell").join(right, "other")
-    return met.groupBy("cell", "other").applyInArrow(_compared(threshold), "a long, b long, similarity double")
+    return met.groupBy("cell", "other")
 
 
 def common_length(a: str, b: str) -> int:

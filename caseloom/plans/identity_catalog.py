@@ -39,8 +39,8 @@ def cosine_pairs(spark, sf_dir):
 
 @query("cosine_pairs_all", f"SELECT a.vec_id AS a, b.vec_id AS b, round({COSINE}, 9) AS similarity FROM embeddings a JOIN embeddings b ON a.vec_id < b.vec_id WHERE {COSINE} >= 0.3")
 def cosine_pairs_all(spark, sf_dir):
-    """Over all rows, in tiles of 128, so that several cells meet."""
-    return similarity.cosine_pairs(embeddings(spark, sf_dir), None, "vec_id", "embedding", 0.3, tile=128).withColumn("similarity", F.round("similarity", 9))
+    """Over all rows."""
+    return similarity.cosine_pairs(embeddings(spark, sf_dir), None, "vec_id", "embedding", 0.3).withColumn("similarity", F.round("similarity", 9))
 
 
 @query("components_of_pairs", f"WITH RECURSIVE e AS (SELECT a.vec_id AS s, b.vec_id AS t FROM embeddings a JOIN embeddings b ON a.label = b.label AND a.vec_id <> b.vec_id WHERE {COSINE} >= 0.3), r AS (SELECT DISTINCT s AS node, s AS label FROM e UNION SELECT e.t, r.label FROM r JOIN e ON r.node = e.s AND r.label < e.t) SELECT node, min(label) AS component FROM r GROUP BY 1")
