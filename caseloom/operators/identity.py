@@ -9,45 +9,57 @@ from pyspark.sql import Column, DataFrame, Window as W, functions as F
 from caseloom.functions.text import text
 from caseloom.operators.checkpoints import checkpoint
 from caseloom.operators.graph import connected_components
-from caseloom.operators.similarity import cosine_pairs
+from caseloom.operators.similarity import cosine_links
+
+
+#: Similarities that are looked at in one product.
+CELLS = 1 << 22
 
 
 def merge_tree(vectors: np.ndarray, threshold: float) -> list[tuple[int, int, float]]:
     """(i, j, distance) of the merges of unit vectors by mean cosine distance, in order, while it is strictly below 1 - threshold.
 
-    Cluster j goes into i < j.  Each row keeps its nearest other one, which is
-    looked up anew only where it took part in a merge.  Mean distances never fall
-    from merge to merge, so the tree cut at a higher threshold is the tree of
-    that threshold.
+    Cluster j goes into i < j.  The mean similarity of two clusters is the product
+    of their mean vectors, so memory grows with the vectors, not with their pairs.
+    Each round merges all clusters that are nearest to each other: a union is
+    never nearer to a third one than its parts were, so the order of such merges
+    does not matter, only clusters that lost their nearest one look for it anew,
+    and those with none within the threshold are done.  Mean distances never fall
+    from a cluster's parts to it, so the tree cut at a higher threshold is the
+    tree of that threshold.
     """
     n = len(vectors)
-    if n < 2:
-        return []
-    far = 1 - vectors @ vectors.T
-    np.fill_diagonal(far, np.inf)
-    size, near = np.ones(n), far.argmin(1)
-    least = far[np.arange(n), near]
-    merges = []
-    while True:
-        i = int(least.argmin())
-        j = int(near[i])
-        if not least[i] < 1 - threshold:
-            return merges
-        i, j = min(i, j), max(i, j)
-        merges.append((i, j, float(far[i, j])))
-        joined = (size[i] * far[i] + size[j] * far[j]) / (size[i] + size[j])
-        far[i], far[:, i] = joined, joined
-        far[i, i] = np.inf
-        far[j], far[:, j] = np.inf, np.inf
+    means, size, near, least = np.array(vectors, float), np.ones(n), np.full(n, -1), np.full(n, np.inf)
+    alive, stale, merges = np.arange(n), np.arange(n), []
+    while len(alive) > 1:
+        there = means[alive]
+        for at in range(0, len(stale), max(1, CELLS // len(alive))):
+            some = stale[at : at + max(1, CELLS // len(alive))]
+            # Rounded: ties go to the first cluster, from both sides alike.
+            like = np.round(means[some] @ there.T, 12)
+            like[np.arange(len(some)), np.searchsorted(alive, some)] = -np.inf
+            near[some] = alive[like.argmax(1)]
+        least[stale] = 1 - (means[stale] * means[near[stale]]).sum(1)
+        alive = alive[least[alive] < 1 - threshold]
+        if not len(alive):
+            break
+        i = alive[(near[near[alive]] == alive) & (alive < near[alive])]
+        if not len(i):
+            first = alive[least[alive].argmin()]
+            i = np.array([min(first, near[first])])
+            near[i] = max(first, near[first])
+            least[i] = least[first]
+        j = near[i]
+        merges += zip(i.tolist(), j.tolist(), least[i].tolist(), strict=True)
+        weight = (size[j] / (size[i] + size[j]))[:, None]
+        means[i] += weight * (means[j] - means[i])
         size[i] += size[j]
-        least[j] = np.inf
-        stale = np.flatnonzero((near == i) | (near == j))
-        stale = np.union1d(stale[np.isfinite(least[stale])], [i])
-        near[stale] = far[stale].argmin(1)
-        least[stale] = far[stale, near[stale]]
-        closer = np.flatnonzero((far[:, i] < least) | ((far[:, i] == least) & (i < near)))
-        closer = closer[np.isfinite(least[closer])]
-        near[closer], least[closer] = i, far[closer, i]
+        gone, changed = np.zeros(n, bool), np.zeros(n, bool)
+        gone[j] = changed[i] = changed[j] = True
+        alive = np.union1d(alive, i)
+        alive = alive[~gone[alive]]
+        stale = alive[changed[alive] | changed[near[alive]]]
+    return sorted(merges, key=lambda m: m[2])
 
 
 def cut(n: int, merges: list[tuple[int, int, float]], threshold: float) -> np.ndarray:
@@ -55,10 +67,10 @@ def cut(n: int, merges: list[tuple[int, int, float]], threshold: float) -> np.nd
     label = np.arange(n)
     for i, j, far in merges:
         if far < 1 - threshold:
-            label[label == label[j]] = label[i]
-    least = np.full(n, n)
-    np.minimum.at(least, label, np.arange(n))
-    return least[label]
+            label[j] = i
+    while (label[label] != label).any():
+        label = label[label]
+    return label
 
 
 def average_linkage(vectors: np.ndarray, threshold: float) -> np.ndarray:
@@ -77,7 +89,7 @@ def cluster_sweep(rows: DataFrame, block: str | None, key: str, vector: str, thr
     work = rows.select((F.col(block) if block else F.lit("")).alias("block"), F.col(key).alias("key"), F.col(vector).alias("vector"))
     group, lowest = ["block"], min(thresholds)
     if split:
-        parts = connected_components(cosine_pairs(work, "block" if block else None, "key", "vector", lowest), "a", "b")
+        parts = connected_components(cosine_links(work, "block" if block else None, "key", "vector", lowest), "a", "b")
         work = work.join(parts.select(F.col("node").alias("key"), F.col("component")), "key", "left").withColumn("component", F.coalesce("component", "key"))
         group = ["block", "component"]
     kinds = dict(work.dtypes)

@@ -6,7 +6,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from caseloom.operators import identity, matching, similarity
+from caseloom.operators import graph, identity, matching, similarity
 
 
 @pytest.mark.parametrize("tile", [8, 2048])
@@ -216,6 +216,50 @@ def test_one_tree_gives_the_clusters_of_every_threshold():
             assert dict(enumerate(identity.cut(30, merges, t).tolist())) == plain_linkage(v, t)
 
 
+def test_tree_of_copies_and_ties():
+    """Copies, mirrored and equally far vectors; more rounds than one."""
+    rng = np.random.default_rng(3)
+    v = rng.normal(size=(12, 3))
+    v = np.concatenate([v, v[:6], v[:3], np.eye(3), -np.eye(3)])
+    v /= np.linalg.norm(v, axis=1, keepdims=True)
+    merges = identity.merge_tree(v, 0.05)
+    for t in (0.05, 0.5, 0.9):
+        assert dict(enumerate(identity.cut(len(v), merges, t).tolist())) == plain_linkage(v, t)
+
+
+def test_tree_needs_no_matrix():
+    """Memory grows with the vectors: 6,000 of them would need a matrix of 288 MB."""
+    import tracemalloc
+
+    v = np.random.default_rng(4).normal(size=(6000, 8))
+    v /= np.linalg.norm(v, axis=1, keepdims=True)
+    tracemalloc.start()
+    merges = identity.merge_tree(v, 0.5)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert len(merges) > 5000 and peak < 150e6
+
+
+def test_links_hang_together_as_the_pairs(spark):
+    """A forest a tile, far fewer rows than pairs, the same components."""
+    rng = np.random.default_rng(5)
+    v = np.concatenate([rng.normal(size=(1, 6)) + 0.2 * rng.normal(size=(60, 6)) for _ in range(4)])
+    df = spark.createDataFrame([(i, x.tolist()) for i, x in enumerate(v)], "id long, v array<double>")
+    parts = lambda pairs: {(r.node, r.component) for r in graph.connected_components(pairs, "a", "b").collect()}
+    for tile in (50, 4096):
+        pairs, links = similarity.cosine_pairs(df, None, "id", "v", 0.8, tile), similarity.cosine_links(df, None, "id", "v", 0.8, tile)
+        assert parts(links) == parts(pairs) and links.count() < pairs.count() / 4
+
+
+def test_all_pairs_take_few_tiles(spark):
+    """The query's tiles hold thousands of rows: those of 128 were sent across by the hundred thousand."""
+    import inspect
+
+    from caseloom.plans import identity_catalog
+
+    assert "tile" not in inspect.getsource(identity_catalog.cosine_pairs_all) and similarity.TILE >= 2048
+
+
 def test_sweep(spark):
     v = np.random.default_rng(9).normal(size=(60, 3))
     rows = [(i, "ab"[i % 2], x.tolist(), i % 4) for i, x in enumerate(v / np.linalg.norm(v, axis=1, keepdims=True))]
