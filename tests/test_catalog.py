@@ -48,3 +48,10 @@ def test_missing_numbers_reach_the_greatest_label(spark):
     have = {r.doc_id for r in spark.read.parquet(f"{folder}/labels.parquet").select("doc_id").collect()}
     got = [r.doc_id for r in catalog.QUERIES["missing_numbers"](spark, folder).collect()]
     assert max(have) > 1500 and sorted(got) == [i for i in range(min(have), max(have) + 1) if i not in have]
+
+
+def test_missing_numbers_start_at_zero_and_reach_1500(spark):
+    """Also where the labels do not: the SQL's whole range."""
+    have = {r.doc_id for r in spark.read.parquet(f"{SF}/labels.parquet").select("doc_id").collect()}
+    got = [r.doc_id for r in catalog.QUERIES["missing_numbers"](spark, SF).collect()]
+    assert max(have) < 1500 and sorted(got) == [i for i in range(1501) if i not in have]
