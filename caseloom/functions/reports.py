@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, functions as F
 
 from caseloom.functions import lexicon as L
-from caseloom.functions.text import ColumnLike, _lookup, fold, text
+from caseloom.functions.text import ColumnLike, _lookup, bound, fold, text
 
 _MONTH = "|".join(sorted(L.MONTHS, key=len, reverse=True))
 MONTH_YEAR = rf"\b({_MONTH})\b[\s_.\-]*(?:de(?:l)?[\s_.\-]*)?(20\d{{2}})\b"
@@ -19,16 +19,20 @@ NUMBER_PATTERNS = (
 
 
 def _plain(c: ColumnLike) -> Column:
-    return F.translate(fold(F.translate(text(c), "º°", "oo")), "º°", "oo")
+    return _ordinals(fold(_ordinals(text(c))))
+
+
+def _ordinals(t: Column) -> Column:
+    return F.replace(F.replace(t, F.lit("º"), F.lit("o")), F.lit("°"), F.lit("o"))
 
 
 def _first(*found: Column) -> Column:
-    return F.coalesce(*[F.nullif(f, F.lit("")) for f in found])
+    """The first that is not empty; each is worked out once, and only if none before it is there."""
+    return F.coalesce(*[bound(f, lambda x: F.when(x != "", x)) for f in found])
 
 
 def _number(c: Column) -> Column:
-    n = c.try_cast("int")
-    return F.when(n.between(*L.REPORT_NUMBERS), n)
+    return bound(c.try_cast("int"), lambda n: F.when(n.between(*L.REPORT_NUMBERS), n))
 
 
 def month_number(c: Column) -> Column:
@@ -42,18 +46,26 @@ def from_text(c: ColumnLike) -> Column:
     characters behind it, else in the closing day, else in the first mention
     with 'conflicto' or 'reporte' nearby, else in the first mention.
     """
-    t = _plain(c)
+    return bound(_plain(c), _from_text)
+
+
+def _from_text(t: Column) -> Column:
+    """Each step is bound: what follows names it several times."""
     head = F.left(t, F.lit(2500))
     label = _first(F.regexp_extract(head, NUMBER_PATTERNS[0], 0), F.regexp_extract(F.left(head, F.lit(1500)), NUMBER_PATTERNS[1], 0), F.regexp_extract(head, NUMBER_PATTERNS[2], 0), F.regexp_extract(head, NUMBER_PATTERNS[3], 0))
-    number = _number(F.regexp_extract(label, r"(\d{1,3})$", 1))
-    after = F.substring(t, F.instr(t, label) + F.length(label), F.lit(500))
-    near = F.regexp_extract(after, MONTH_YEAR, 0)
-    closing = F.regexp_extract(F.left(t, F.lit(4000)), CLOSING_DAY, 0)
-    told = F.regexp_extract(head, rf"(?:conflicto|reporte)[\s\S]{{0,80}}?({MONTH_YEAR})", 1)
-    chosen = _first(near, closing, told, F.regexp_extract(head, MONTH_YEAR, 0))
-    month = month_number(F.regexp_extract(chosen, rf"\b({_MONTH})\b", 1))
-    year = F.nullif(F.regexp_extract(chosen, r"(20\d{2})", 1), F.lit("")).cast("int")
-    return F.struct(number.alias("number"), month.alias("month"), year.alias("year"))
+
+    def behind(label: Column) -> Column:
+        near = F.regexp_extract(F.substring(t, F.instr(t, label) + F.length(label), F.lit(500)), MONTH_YEAR, 0)
+        closing = F.regexp_extract(F.left(t, F.lit(4000)), CLOSING_DAY, 0)
+        told = F.regexp_extract(head, rf"(?:conflicto|reporte)[\s\S]{{0,80}}?({MONTH_YEAR})", 1)
+        return bound(_first(near, closing, told, F.regexp_extract(head, MONTH_YEAR, 0)), lambda chosen: parts(label, chosen))
+
+    def parts(label: Column, chosen: Column) -> Column:
+        month = month_number(F.regexp_extract(chosen, rf"\b({_MONTH})\b", 1))
+        year = _first(F.regexp_extract(chosen, r"(20\d{2})", 1)).cast("int")
+        return F.struct(_number(F.regexp_extract(label, r"(\d{1,3})$", 1)).alias("number"), month.alias("month"), year.alias("year"))
+
+    return bound(label, behind)
 
 
 def stem(c: ColumnLike) -> Column:
@@ -62,21 +74,35 @@ def stem(c: ColumnLike) -> Column:
 
 def from_name(c: ColumnLike) -> Column:
     """struct(number, month, year) of a file name: the last month with a year, else one with two digits."""
-    t = _plain(stem(c))
+    return bound(_plain(stem(c)), _from_name)
+
+
+def _from_name(t: Column) -> Column:
     found = _first(F.regexp_extract(t, r"n[o.\s_-]*\s*(\d{1,3})\b", 1), F.regexp_extract(t, r"conflictos(?:[_\s-]*sociales)?[_\s-]*(\d{1,3})\b", 1))
-    hits = F.regexp_extract_all(t, F.lit(MONTH_YEAR), F.lit(0))
-    last = F.try_element_at(hits, F.lit(-1))
+    last = F.try_element_at(F.regexp_extract_all(t, F.lit(MONTH_YEAR), F.lit(0)), F.lit(-1))
     short = r"(ene|feb|mar|abr|may|jun|jul|ago|sep|set|oct|nov|dic)[a-z]*[_\s\-.]*(?:20)?(\d{2})\b"
-    month = F.coalesce(month_number(F.regexp_extract(last, rf"({_MONTH})", 1)), month_number(F.regexp_extract(t, short, 1)))
-    year = F.coalesce(F.regexp_extract(last, r"(20\d{2})", 1).cast("int"), F.concat(F.lit("20"), F.nullif(F.regexp_extract(t, short, 2), F.lit(""))).cast("int"))
-    early = F.when((year <= 2005) & month.isNotNull(), F.nullif(F.regexp_extract(t, r"reporte\s*0*(\d{1,2})\b", 1), F.lit("")).cast("int"))
-    return F.struct(F.coalesce(_number(found), early).alias("number"), month.alias("month"), year.alias("year"))
+
+    def told(last: Column) -> Column:
+        month = F.coalesce(month_number(F.regexp_extract(last, rf"({_MONTH})", 1)), month_number(F.regexp_extract(t, short, 1)))
+        year = F.coalesce(F.regexp_extract(last, r"(20\d{2})", 1).cast("int"), F.concat(F.lit("20"), _first(F.regexp_extract(t, short, 2))).cast("int"))
+        return F.struct(month.alias("month"), year.alias("year"))
+
+    def parts(x: Column) -> Column:
+        early = F.when((x["year"] <= 2005) & x["month"].isNotNull(), _first(F.regexp_extract(t, r"reporte\s*0*(\d{1,2})\b", 1)).cast("int"))
+        return F.struct(F.coalesce(_number(found), early).alias("number"), x["month"].alias("month"), x["year"].alias("year"))
+
+    return bound(bound(last, told), parts)
 
 
 def dated(name: ColumnLike, cover: ColumnLike) -> Column:
     """struct(number, month, year, origin): the cover's values, else the name's; a name that starts with month and year wins."""
-    by_name, by_text = from_name(name), from_text(cover)
-    leads = fold(stem(name)).rlike(rf"^(?:(?:mitad|final)\s|(?:{_MONTH})\s+20\d{{2}}\b)") & by_name["month"].isNotNull() & by_name["year"].isNotNull()
+    starts = fold(stem(name)).rlike(rf"^(?:(?:mitad|final)\s|(?:{_MONTH})\s+20\d{{2}}\b)")
+    return bound(F.struct(from_name(name).alias("name"), from_text(cover).alias("text"), starts.alias("starts")), _dated)
+
+
+def _dated(found: Column) -> Column:
+    by_name, by_text = found["name"], found["text"]
+    leads = found["starts"] & by_name["month"].isNotNull() & by_name["year"].isNotNull()
     pick = lambda k: F.when(leads, F.coalesce(by_name[k], by_text[k])).otherwise(F.coalesce(by_text[k], by_name[k])).alias(k)
     origin = F.when(leads, "nombre").when(by_text["month"].isNotNull() & by_text["year"].isNotNull(), "pdf").when(by_name["month"].isNotNull(), "nombre").otherwise("sin_fecha")
     return F.struct(pick("number"), pick("month"), pick("year"), origin.alias("origin"))
@@ -107,10 +133,20 @@ def number_in_store(c: ColumnLike) -> Column:
     return F.when(~other & ~fold(stem(c)).startswith("malnombrado"), valid)
 
 
-def layout_features(first: ColumnLike, second: ColumnLike, pages: Column, images: Column) -> dict[str, Column]:
+def layout_features(first: ColumnLike | None, second: ColumnLike | None, pages: Column, images: Column, traits: Column | None = None) -> dict[str, Column]:
     """What ``layout`` judges by: size and scan of the first page, and phrases near the start of the first two."""
-    chars = F.length(F.regexp_replace(text(first), r"(?U)\s+", ""))
-    head = F.translate(fold(F.concat(text(first), F.lit("\n"), text(second))), "º°", "oo")
+    traits = layout_traits(first, second) if traits is None else traits
+    chars = traits["chars"]
+    return {"pages": pages, "images": images, "chars": chars, "scanned": (chars < 250) & (images >= 1), "k_report_n": traits["k_report_n"]} | {k: traits[k] for k in L.LAYOUT_PHRASES}
+
+
+def layout_traits(first: ColumnLike, second: ColumnLike) -> Column:
+    """struct of what the words of the first two pages tell; as a column of its own (``computed``) it is worked out once."""
+    return bound(F.struct(text(first).alias("first"), text(second).alias("second")), lambda x: bound(_ordinals(fold(F.concat(x["first"], F.lit("\n"), x["second"]))), lambda head: _traits(x["first"], head)))
+
+
+def _traits(first: Column, head: Column) -> Column:
+    chars = F.length(F.regexp_replace(first, r"(?U)\s+", ""))
 
     def has(key: str) -> Column:
         upto, phrases = L.LAYOUT_PHRASES[key]
@@ -121,7 +157,7 @@ def layout_features(first: ColumnLike, second: ColumnLike, pages: Column, images
         return out
 
     report_n = F.left(head, F.lit(2500)).rlike(r"reporte\s+n[o.\s_-]*\s*\d+")
-    return {"pages": pages, "images": images, "chars": chars, "scanned": (chars < 250) & (images >= 1), "k_report_n": report_n} | {k: has(k) for k in L.LAYOUT_PHRASES}
+    return F.struct(chars.alias("chars"), report_n.alias("k_report_n"), *[has(k).alias(k) for k in L.LAYOUT_PHRASES])
 
 
 def name_key(c: ColumnLike) -> Column:
@@ -191,14 +227,17 @@ def record(c: ColumnLike) -> Column:
     """A model's JSON answer, repaired and normalised: known types and confidences, blanks to the lowest."""
     fixed = F.regexp_replace(text(c), r"\\u(?![0-9a-fA-F]{4})", r"\\\\u")
     raw = F.from_json(F.regexp_extract(fixed, r"(\{[\s\S]*\})", 1), RECORD)
-    get = lambda k: F.trim(text(raw[k]))
-    kind, sure = F.lower(get("tipo_normalizado")), F.lower(get("confianza"))
-    empty = get("resumen") == ""
+    return bound(raw, lambda raw: bound(F.struct(*[F.trim(text(raw[k])).alias(k) for k in (f.split()[0] for f in RECORD.split(", "))]), _record))
+
+
+def _record(told: Column) -> Column:
+    kind, sure = F.lower(told["tipo_normalizado"]), F.lower(told["confianza"])
+    empty = told["resumen"] == ""
     return F.struct(
-        *[get(k).alias(k) for k in L.RECORD_FIELDS[:5]],
+        *[told[k].alias(k) for k in L.RECORD_FIELDS[:5]],
         F.when(kind.isin(*L.RECORD_TYPES), kind).otherwise("otros").alias("tipo_normalizado"),
         F.when(~empty & sure.isin(*L.CONFIDENCES), sure).otherwise("baja").alias("confianza"),
-        (empty | F.lower(get("texto_ilegible")).isin(*L.YES_WORDS)).alias("texto_ilegible"),
+        (empty | F.lower(told["texto_ilegible"]).isin(*L.YES_WORDS)).alias("texto_ilegible"),
     )
 
 

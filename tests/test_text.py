@@ -88,3 +88,11 @@ def test_whole_words_end_at_letters_that_are_not_ascii(spark):
     df = spark.createDataFrame([(1, "undßgeber"), (2, "rund"), (3, "und"), (4, "und_"), (5, "gebßund")], "i int, t string")
     assert [r.i for r in df.filter(T.any_word("t", ("und",))).orderBy("i").collect()] == [1, 3, 5]
     assert [r.i for r in df.filter(T.contained_name("t", {"und": "Und"}).isNotNull()).orderBy("i").collect()] == [1, 3, 5]
+
+
+def test_covers_and_answers_are_worked_out_once(spark):
+    """Each pattern stands in the plan a few times, not once for each use of what it finds."""
+    df = spark.createDataFrame([("x",)], "s string")
+    plan = lambda c: df.select(c.alias("x"))._jdf.queryExecution().optimizedPlan().toString()
+    assert plan(R.from_text("s")).count("translate(") <= 2
+    assert plan(R.record("s")).count("from_json(") <= 1 and plan(R.dated("s", "s")).count("translate(") <= 6
