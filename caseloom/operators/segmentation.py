@@ -41,8 +41,12 @@ def _starts_detail(t: Column) -> Column:
 
 def stops_detail(c: Column) -> Column:
     """Whether a page after the start ends the detailed part."""
-    head = fold(F.array_join(F.slice(F.split(text(c), "\n"), 1, 12), "\n"))
-    return ~F.left(fold(c), F.lit(1500)).contains("sumilla") & ~text(c).rlike(ICASE + r"tipo\s*:") & head.rlike(_any(L.STOP_HEADINGS))
+    return _stops_detail(text(c), fold(c))
+
+
+def _stops_detail(raw: Column, whole: Column) -> Column:
+    head = fold(F.substring_index(raw, "\n", 12))
+    return ~F.left(whole, F.lit(1500)).contains("sumilla") & ~raw.rlike(ICASE + r"tipo\s*:") & head.rlike(_any(L.STOP_HEADINGS))
 
 
 def opens_latent(c: Column) -> Column:
@@ -54,6 +58,12 @@ def _opens_latent(t: Column) -> Column:
     return t.contains("detalle de los conflictos latentes") | head.rlike(r"n\.?\s*°?\s*ubicacion\s+caso") | head.rlike(r"n\.?\s*°?\s*fecha\s+de\s+inicio\s+departamento\s+denominacion")
 
 
+def page_signs(c: Column) -> Column:
+    """struct(starts, stops, latent, status): the signs of a page, from one folding of its text."""
+    both = F.struct(text(c).alias("raw"), fold(c).alias("whole"), fold(F.left(text(c), F.lit(2200))).alias("head"))
+    return bound(both, lambda x: F.struct(bound(squeeze(x["whole"]), _starts_detail).alias("starts"), _stops_detail(x["raw"], x["whole"]).alias("stops"), _opens_latent(x["whole"]).alias("latent"), _page_status(x).alias("status")))
+
+
 def block_status(c: Column) -> Column:
     """Status that a heading block sets, else null."""
     return status_of(fold(c))

@@ -147,7 +147,7 @@ def json_props(spark, sf_dir):
 @query("record_normalize", "SELECT event_id, CASE WHEN event_type IN ('laboral', 'otros') THEN event_type ELSE 'otros' END AS tipo_normalizado, 'alta' AS confianza, value > 100 AS texto_ilegible FROM events")
 def record_normalize(spark, sf_dir):
     answer = F.to_json(F.struct(F.col("event_type").alias("resumen"), F.col("event_type").alias("tipo_normalizado"), F.lit(" Alta ").alias("confianza"), (F.col("value") > 100).alias("texto_ilegible")))
-    return read(spark, sf_dir, "events").select("event_id", reports.record(answer).alias("r")).select("event_id", "r.tipo_normalizado", "r.confianza", "r.texto_ilegible")
+    return T.computed(read(spark, sf_dir, "events"), r=reports.record(answer)).select("event_id", "r.tipo_normalizado", "r.confianza", "r.texto_ilegible")
 
 
 @query("text_search", "SELECT doc_id FROM documents WHERE regexp_matches(text, '(?i)thth[aeiou]')")
@@ -210,8 +210,7 @@ def card_fields(spark, sf_dir):
 
 @query("page_signs")
 def page_signs(spark, sf_dir):
-    d, t = read(spark, sf_dir, "documents"), F.col("text")
-    return d.select("doc_id", S.starts_detail(t).alias("starts"), S.stops_detail(t).alias("stops"), S.opens_latent(t).alias("latent"), S.page_status(t).alias("status"))
+    return T.computed(read(spark, sf_dir, "documents").select("doc_id", "text"), signs=S.page_signs(F.col("text"))).select("doc_id", "signs.*")
 
 
 @query("html_cards", r"""WITH a AS (SELECT page_id, regexp_extract_all(html, '(?s)<a\s[^>]*href="([^"]*)"', 1) AS hs FROM pages), u AS (SELECT page_id, unnest(range(len(hs))) AS pos, unnest(hs) AS href FROM a) SELECT page_id, href, min(pos) AS pos FROM u WHERE href <> '' GROUP BY 1, 2""")
