@@ -39,6 +39,11 @@ def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def spread(rows: DataFrame, key: str) -> DataFrame:
+    """The rows dealt by a key to four tasks a core: a file is read by a task a row group at most, too few where a row's work is dear."""
+    return rows.repartition(4 * rows.sparkSession.sparkContext.defaultParallelism, key)
+
+
 def orders(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Orders as panel rows: a customer is a case, an order an appearance in a month."""
     o = read(spark, sf_dir, "orders")
