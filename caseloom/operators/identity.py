@@ -26,11 +26,15 @@ def merge_tree(vectors: np.ndarray, threshold: float) -> list[tuple[int, int, fl
     does not matter, only clusters that lost their nearest one look for it anew,
     and those with none within the threshold are done.  Mean distances never fall
     from a cluster's parts to it, so the tree cut at a higher threshold is the
-    tree of that threshold.
+    tree of that threshold.  Copies of a vector, at no distance, are one cluster
+    from the start: by rounds, each would merge one of them.
     """
     n = len(vectors)
-    means, size, near, least = np.array(vectors, float), np.ones(n), np.full(n, -1), np.full(n, np.inf)
-    alive, stale, merges = np.arange(n), np.arange(n), []
+    means, near, least = np.array(vectors, float), np.full(n, -1), np.full(n, np.inf)
+    first = _first_copies(means) if threshold < 1 else np.arange(n)
+    size = np.bincount(first, minlength=n).astype(float)
+    alive, copies = np.flatnonzero(size), np.flatnonzero(first != np.arange(n))
+    stale, merges = alive, [(i, j, 0.0) for i, j in zip(first[copies].tolist(), copies.tolist(), strict=True)]
     while len(alive) > 1:
         there = means[alive]
         for at in range(0, len(stale), max(1, CELLS // len(alive))):
@@ -62,6 +66,17 @@ def merge_tree(vectors: np.ndarray, threshold: float) -> list[tuple[int, int, fl
     return sorted(merges, key=lambda m: m[2])
 
 
+def _first_copies(units: np.ndarray) -> np.ndarray:
+    """The first row with the same vector, for each row; vectors without a direction are no copies."""
+    first = np.arange(len(units))
+    some = np.flatnonzero((units * units).sum(1) > 0.5)
+    if len(some):
+        rows = np.ascontiguousarray(units[some]).view(f"V{units.shape[1] * units.itemsize}").ravel()
+        _, at, of = np.unique(rows, return_index=True, return_inverse=True)
+        first[some] = some[at[of]]
+    return first
+
+
 def cut(n: int, merges: list[tuple[int, int, float]], threshold: float) -> np.ndarray:
     """The least member of each row's cluster when the tree is cut at a threshold."""
     label = np.arange(n)

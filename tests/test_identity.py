@@ -240,6 +240,22 @@ def test_tree_needs_no_matrix():
     assert len(merges) > 5000 and peak < 150e6
 
 
+def test_copies_are_one_cluster_from_the_start(monkeypatch):
+    """Forty copies of a vector took forty rounds over all rows; zero vectors stay apart."""
+    v = np.random.default_rng(6).normal(size=(50, 8))
+    v /= np.linalg.norm(v, axis=1, keepdims=True)
+    many = np.concatenate([np.tile(v, (40, 1)), np.zeros((3, 8))])
+    seen, rounded = [], np.round
+    monkeypatch.setattr(identity.np, "round", lambda x, d: seen.append(x.size) or rounded(x, d))
+    merges = identity.merge_tree(many, 0.3)
+    assert sum(seen) < len(many) ** 2
+    assert [m[2] for m in merges] == sorted(m[2] for m in merges)
+    few = np.concatenate([np.tile(v[:20], (3, 1)), np.zeros((3, 8))])
+    for t in (0.3, 0.6, 0.95):
+        assert dict(enumerate(identity.cut(63, identity.merge_tree(few, 0.3), t).tolist())) == plain_linkage(few, t)
+    assert not identity.merge_tree(v[:1].repeat(5, 0), 1.0)
+
+
 def test_links_hang_together_as_the_pairs(spark):
     """A forest a tile, far fewer rows than pairs, the same components."""
     rng = np.random.default_rng(5)
