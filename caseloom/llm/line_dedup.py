@@ -1,29 +1,28 @@
-"""Line deduplication by an exact set-similarity join.
+"""Line deduplication by an exact set-similarity join, in DataFrame operations only.
 
 A line is the set of its words.  Lines are in the order (document, row, place);
 a line is removed if an earlier line has Jaccard similarity 0.8 or more with it,
 equal sets included (an earlier line counts whether or not it is itself
 removed, so the result does not depend on the order of work).
 
-The texts are read where they lie, four times, and never shuffled:
-
-1. Rarity: words are counted over all lines in ``CELLS`` hash cells.  A byte a
-   cell, the logarithm of its count, goes to every task; (byte, word hash) is one
-   global order of words, rare ones first.
-2. Names: every line's place and the 64-bit name of its set.  A set's first line
-   is the only one that can stay.
-3. Prefix: a set of n words sends its n - ceil(0.8 n) + 1 rarest words, without
-   those counted once, with its size, the word's position and a parity sketch.
-   Two sets with a common word are candidates if sizes (length filter), the words
-   from that position on (positional filter) and the sketches allow 0.8.  Sets
-   with a very frequent word in the prefix send, in its place, the XOR hashes of
-   segments of their words, of which a similar set has one.
-4. Verification: candidates form clusters; the words of their sets meet in tasks
-   of bounded size and are intersected, the earliest first, and a set that is
-   beaten once is not looked at again.  A large cluster is compared with one chunk
-   of it first, and only sets that nothing there beats meet all the others.
-
-Words and sets are identified by 64-bit hashes.
+1. Ranks: words are counted over all lines in ``CELLS`` cells of a hash; a word's rank
+   is the doublings of its cell's count above the mean.  (rank, length, hash) is one
+   global order of words, those of rare cells first, and long ones first among them.
+   The result does not depend on the order, only the number of candidates does.
+2. Lines: of every line its place, the 64-bit name of its set, its size, a parity
+   sketch and a prefix of its words in that order are written.  A set's first line is
+   the only one that can stay.
+3. Prefix join: similar sets have a word in common among the n - ceil(0.8 n) + 1
+   first ones of each.  Two sets that meet are candidates if sizes (length filter),
+   the words from that position on (positional filter) and the sketches allow 0.8.
+   Of a word that very many sets have in their prefix these sets send, in its place,
+   the XOR hashes of segments of their words, of which a similar set has one.
+4. Verification: each set is first compared, word by word, with the earlier candidate
+   of the nearest sketch; only sets that this one does not beat meet all the others.
+   So a crowd of near copies costs a comparison a set.  The words come from another
+   read of the texts, for the lines that a bit table of fixed size lets pass.
+
+Words are identified by 54-bit hashes and their length, sets by 64-bit hashes.
 
 Defined cases: a null, empty or blank text has no line and removes nothing, and
 its row stays with 0 lines; blank lines are kept and match nothing; null ids come
@@ -33,358 +32,196 @@ first staying; no rows give no rows; other columns are not read.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import numpy as np
-import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
-from caseloom.llm import kernels as K
-from caseloom.llm.frames import blocks_for, broadcast_if_few, checkpoint, cores, numbered, only
-from caseloom.llm.jaccard_join import CHUNK, CHUNK_BYTES, DENOMINATOR, NUMERATOR, TOPS, candidates, forest, linked, most_apart, parity, tile
-from caseloom.operators.graph import connected_components
+from caseloom.llm.frames import broadcast_if_few, checkpoint, cores, numbered, only, shuffle_partitions
+from caseloom.llm.jaccard_join import DENOMINATOR, NUMERATOR, TOPS
 
-#: Cells of the rarity table (a byte each) and of the table of wanted sets (a bit each); the latter only spares work.
-CELLS, SLAB, WANTED = 1 << 22, 1 << 16, 1 << 25
-#: 64-bit words of a set's parity sketch.
-SKETCH = 2
-#: Rank from which a prefix word (counted 2**20 times) gives way to segments, so that no word's sets all meet.
-HEAVY = 81
-#: Texts whose prefixes are packed together.
-FLUSH_BYTES = 24 << 20
+#: Sets that may have one word in their prefix before it gives way to segments, so that no word's sets all meet.
+HEAVY = 4096
+#: Bits of the greatest bit table (of wanted lines, of keys); tables only spare work.
+BITS = 1 << 25
+#: Lines for each partition of the keys: a line has some ten keys, and a key not more than HEAVY sets.
+PART_LINES = 1 << 15
+#: A word's number has its rank, its length and its hash, with so many bits of the hash and of the length.
+HASH_BITS, LENGTH_BITS = 54, 6
+#: Cells of the table of ranks (by the hash's last bits), and the greatest rank.
+CELLS, RANKS = 1 << 15, 7
 
-_U = np.uint64
-_PACK = pa.schema([("bucket", pa.int32()), ("data", pa.binary()), ("extra", pa.binary())])
-PACK = "bucket int, data binary, extra binary"
+LINE = ("row", "place")
+#: What a set sends with each of its keys.
+SENT = ("doc_id", "row", "place", "n", "sketch", "other", "key", "at")
 
 
-def line_sets(texts: pa.Array, ranks: np.ndarray | None = None):
-    """Lines with words of a column of texts: (document, place, bounds, words, ranks).
+def _split(rows: DataFrame) -> DataFrame:
+    """row, doc_id, place, line of every line, and one without line of every null text; white space in a line is blanks."""
+    white = "\t\x0b\x0c\r"
+    some = F.col("text").contains(white[0])
+    for c in white[1:]:
+        some |= F.col("text").contains(c)
+    text = F.when(some, F.translate("text", white, " " * len(white))).otherwise(F.col("text"))
+    return rows.select("row", "doc_id", F.posexplode_outer(F.split(text, "\n")).alias("place", "line"))
 
-    ``words`` has the distinct word hashes of each line between its bounds, in
-    ascending order of (rank, hash), or of the hash without ``ranks``.
-    """
-    data, offsets = K.text_buffers(texts)
-    start, end, counts = K.word_spans(data, offsets)
-    breaks = np.concatenate([[0], np.cumsum(data == 10, dtype=np.int64)])
-    owner = np.repeat(np.arange(len(counts)), counts)
-    place = breaks[start] - breaks[offsets[owner]]
-    new = np.ones(len(start), bool)
-    new[1:] = (owner[1:] != owner[:-1]) | (place[1:] != place[:-1])
-    line = np.cumsum(new) - 1
-    words = K.word_hashes(data, start, end)
-    rank = ranks[(words & _U(CELLS - 1)).astype(np.int64)] if ranks is not None else np.zeros(len(words), np.uint8)
-    order = _line_order(line, rank, words)
-    words, line, rank = words[order], line[order], rank[order]
-    keep = np.ones(len(words), bool)
-    keep[1:] = (words[1:] != words[:-1]) | (line[1:] != line[:-1])
-    words, line, rank = words[keep], line[keep], rank[keep]
-    first = np.flatnonzero(new)
-    return owner[first], place[first], np.searchsorted(line, np.arange(len(first) + 1)), words, rank
-
-
-def _line_order(line: np.ndarray, rank: np.ndarray, words: np.ndarray) -> np.ndarray:
-    """The order by (line, rank, word): sorted by one number of 21, 8 and 35 bits, if that tells all words apart."""
-    if len(line) and line[-1] < 1 << 21:
-        number = (line.astype(np.uint64) << _U(43)) | (rank.astype(np.uint64) << _U(35)) | (words >> _U(29))
-        order = np.argsort(number)
-        number, ordered = number[order], words[order]
-        if not ((number[1:] == number[:-1]) & (ordered[1:] != ordered[:-1])).any():
-            return order
-    return np.lexsort((words, rank, line))
-
-
-def set_names(words: np.ndarray, bounds: np.ndarray) -> np.ndarray:
-    """A 64-bit name of each line's set, the same in any order of its words."""
-    sums = np.concatenate([[_U(0)], np.cumsum(K.mix(words ^ _U(0xA0761D6478BD642F)), dtype=np.uint64)])
-    return K.mix((sums[bounds[1:]] - sums[bounds[:-1]]) ^ np.diff(bounds).astype(np.uint64)).view(np.int64)
-
-
-def _packed(rows: list[tuple]) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows) if rows else [[]] * 3, _PACK.types, strict=True)], schema=_PACK)
-
-
-def _cells(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Words by cell, the cells in slabs."""
-    total = np.zeros(CELLS, np.int64)
-    for batch in K.parts(batches, 0):
-        data, offsets = K.text_buffers(batch.column(0))
-        start, end, _ = K.word_spans(data, offsets)
-        cells, times = np.unique((K.word_hashes(data, start, end) & _U(CELLS - 1)).astype(np.int64), return_counts=True)
-        total[cells] += times
-    for slab in range(CELLS // SLAB):
-        part = total[slab * SLAB : (slab + 1) * SLAB]
-        used = np.flatnonzero(part)
-        if len(used):
-            yield _packed([(slab, used.astype("<u2").tobytes(), part[used].astype("<u4" if part.max() < 1 << 32 else "<u8").tobytes())])
-    del total
-    K.give_back()
-
-
-def _slab_ranks(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
-    """A byte for each cell of a slab: 0 for no word, 1 for one, then growing with the logarithm of the count."""
-    total = np.zeros(SLAB, np.int64)
-    for used, times in zip(table.column("data").to_pylist(), table.column("extra").to_pylist(), strict=True):
-        total[np.frombuffer(used, "<u2")] += np.frombuffer(times, "<u4" if len(times) == 2 * len(used) else "<u8").astype(np.int64)
-    rank = np.where(total > 0, np.minimum(1 + np.ceil(4 * np.log2(np.maximum(total, 1))), 255), 0).astype(np.uint8)
-    return pa.table([pa.array([key[0].as_py()], pa.int32()), pa.array([rank.tobytes()], pa.binary()), pa.nulls(1, pa.binary())], schema=_PACK)
-
-
-def rarity(texts: DataFrame) -> np.ndarray:
-    """The table of all words' ranks; its size does not depend on the corpus."""
-    slabs = texts.mapInArrow(_cells, PACK).groupBy("bucket").applyInArrow(_slab_ranks, PACK).select("bucket", "data").collect()  # at most CELLS bytes
-    out = np.zeros(CELLS, np.uint8)
-    for r in slabs:
-        out[r["bucket"] * SLAB : (r["bucket"] + 1) * SLAB] = np.frombuffer(r["data"], np.uint8)
-    return out
-
-
-def _named(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """row, doc_id, text -> row, doc_id, places and set names of the lines that have words."""
-    for batch in K.parts(batches, 2):
-        doc, place, bounds, words, _ = line_sets(batch.column(2))
-        cuts = pa.array(np.searchsorted(doc, np.arange(batch.num_rows + 1)), pa.int32())
-        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.ListArray.from_arrays(cuts, pa.array(place, pa.int32())), pa.ListArray.from_arrays(cuts, pa.array(set_names(words, bounds)))], names=["row", "doc_id", "places", "names"])
-
-
-def _prefixes(ranks: np.ndarray, buckets: int, most: int):
-    def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Prefix words of every distinct set, by hash range, packed with name, size, position and sketch."""
-        waiting: list[tuple] = []
-        seen = np.zeros(0, np.int64)
-        size = 0
-        for batch in K.parts(batches, 0):
-            _, _, bounds, words, rank = line_sets(batch.column(0), ranks)
-            names, n = set_names(words, bounds), np.diff(bounds)
-            _, own = np.unique(names, return_index=True)
-            own = own[~np.isin(names[own], seen)]
-            seen = np.concatenate([seen, names[own]])
-            length = n[own] - -(-NUMERATOR * n[own] // DENOMINATOR) + 1
-            at = np.arange(length.sum()) - np.repeat(np.cumsum(length) - length, length)
-            word = np.repeat(bounds[own], length) + at
-            line = np.repeat(own, length)
-            twice = rank[word] > 1  # a word counted once has no partner
-            at, word, line = at[twice], word[twice], line[twice]
-            sketch = _sketches(words, bounds)
-            heavy = rank[word] >= most
-            keys, lines = _segments(words, bounds, words[word[heavy]], line[heavy])
-            at, word, line = at[~heavy], word[~heavy], line[~heavy]
-            waiting.append((np.append(words[word], keys), np.append(names[line], names[lines]), np.append(n[line], n[lines]).astype(np.int32), np.append(at, np.zeros(len(lines), np.int64)).astype(np.int32), sketch[np.append(line, lines)]))
-            size += batch.column(0).nbytes
-            if size >= FLUSH_BYTES:
-                yield _flushed(waiting, buckets)
-                waiting, seen, size = [], np.zeros(0, np.int64), 0
-        if waiting:
-            yield _flushed(waiting, buckets)
-        del waiting, seen
-        K.give_back()
-
-    return send
-
-
-def _segments(words: np.ndarray, bounds: np.ndarray, heavy: np.ndarray, owner: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(keys, lines) in place of the ``heavy`` prefix words of lines ``owner``: the XOR of each of a line's segments.
+
+def _hash(w: Column) -> Column:
+    return F.shiftrightunsigned(F.xxhash64(w), 64 - HASH_BITS)
+
+
+def _words(line: Column) -> Column:
+    """The distinct words of a line as numbers of length and hash: long words are small numbers."""
+
+    def number(w: Column) -> Column:
+        short = F.bitwise_not(F.octet_length(w).cast("long")).bitwiseAND(F.lit((1 << LENGTH_BITS) - 1).cast("long"))
+        return F.shiftleft(short, HASH_BITS).bitwiseOR(_hash(w))
+
+    return F.array_distinct(F.array_remove(F.transform(F.split(line, " "), number), number(F.lit(""))))
+
+
+def rarity(rows: DataFrame) -> DataFrame:
+    """One row: by cell the rank of its words, in the bits above length and hash; the doublings of their count above the mean cell's."""
+    cells = _split(rows).select(F.explode(F.split("line", " ")).alias("w")).groupBy(_hash(F.col("w")).bitwiseAND(F.lit(CELLS - 1).cast("long")).alias("cell")).agg(F.count(F.lit(1)).alias("times"))
+    cells = checkpoint(cells, 1)  # at most CELLS rows
+    mean = (cells.agg(F.sum("times")).first()[0] or 0) / CELLS
+    ranked = cells.select("cell", F.least(F.lit(RANKS), F.greatest(F.lit(0), F.ceil(F.log2(F.col("times") / F.lit(mean or 1.0))))).cast("long").alias("rank"))
+    ranked = ranked.unionByName(rows.sparkSession.range(CELLS).select(F.col("id").alias("cell"), F.lit(0).cast("long").alias("rank"))).groupBy("cell").agg(F.max("rank").alias("rank"))
+    return checkpoint(ranked.agg(F.transform(F.sort_array(F.collect_list(F.struct("cell", "rank"))), lambda c: F.shiftleft(c["rank"], HASH_BITS + LENGTH_BITS)).alias("ranks")))
+
+
+def _most_apart(total: Column) -> Column:
+    """The greatest symmetric difference of two similar sets whose sizes add up to ``total``."""
+    return F.floor((DENOMINATOR - NUMERATOR) * total / (DENOMINATOR + NUMERATOR)).cast("int")
+
+
+def _bit(value: Column) -> Column:
+    """A long with the bit that the last six bits of ``value`` tell."""
+    return F.call_function("shiftleft", F.lit(1).cast("long"), value.bitwiseAND(F.lit(63).cast("long")).cast("int"))
+
+
+def _sketch(words: Column, half: int) -> Column:
+    """A parity sketch of one half of all words: a bit for each of 64 classes, set if the line has an odd number of them."""
+    mine = F.filter(words, lambda w: w.bitwiseAND(F.lit(64).cast("long")) == F.lit(64 * half).cast("long"))
+    return F.aggregate(mine, F.lit(0).cast("long"), lambda a, w: a.bitwiseXOR(_bit(w)))
+
+
+def described(rows: DataFrame, ranks: DataFrame) -> DataFrame:
+    """row, doc_id, place of every line with its set's size, name, sketch and prefix; lines without words have size 0."""
+    # A column of its own reaches the words: a subquery may not stand in a lambda.
+    lines = _split(rows).select("row", "doc_id", "place", _words(F.col("line")).alias("words"), ranks.scalar().alias("ranks"))
+    ordered = F.sort_array(F.transform("words", lambda w: w.bitwiseOR(F.get("ranks", w.bitwiseAND(F.lit(CELLS - 1).cast("long")).cast("int")))))
+    # Out of a generator the words are worked out once, not for each use.
+    lines = lines.select("row", "doc_id", "place", F.explode(F.array(F.coalesce(ordered, F.array().cast("array<long>")))).alias("words"))
+    n = F.size("words")
+    length = F.floor(n - F.ceil(n * NUMERATOR / DENOMINATOR) + 1).cast("int")
+    return lines.select("row", "doc_id", "place", n.alias("n"), F.xxhash64("words").alias("name"), _sketch(F.col("words"), 0).alias("sketch"), _sketch(F.col("words"), 1).alias("other"), F.slice("words", 1, length).alias("prefix"))
+
+
+def _sent(lines: DataFrame, hot: DataFrame | None, segments: DataFrame | None) -> DataFrame:
+    """The keys of the sets of ``lines``: the words of the prefix, or segments in place of the hot ones."""
+    each = lines.select(*SENT[:-2], F.posexplode("prefix").alias("at", "key")).select(*SENT)
+    if hot is None:
+        return each
+    return each.join(hot, "key", "left_anti").select(*SENT).unionByName(segments.join(lines.select(*LINE), [*LINE], "left_semi").select(*SENT))
+
+
+def _bit_table(hashes: DataFrame):
+    """A test that lets pass the hashes of a column ``hash``, and some others: a bit table, one row, of at most ``BITS`` bits."""
+    bits = min(BITS, max(1 << 10, 1 << (16 * hashes.count()).bit_length()))
+    bit = lambda h: h.bitwiseAND(F.lit(bits - 1).cast("long"))
+    none = hashes.sparkSession.range(bits >> 6).select(F.col("id").alias("cell"), F.lit(0).cast("long").alias("set"))
+    cells = hashes.select(F.shiftright(bit(F.col("hash")), 6).alias("cell"), _bit(F.col("hash")).alias("set")).unionByName(none).groupBy("cell").agg(F.bit_or("set").alias("set"))
+    table = checkpoint(cells.agg(F.transform(F.sort_array(F.collect_list(F.struct("cell", "set"))), lambda c: c["set"]).alias("table")))
+    return lambda h: F.get(table.scalar(), F.shiftright(bit(h), 6).cast("int")).bitwiseAND(_bit(h)) != 0
+
+
+def words_of(rows: DataFrame, lines: DataFrame) -> DataFrame:
+    """row, place, words of the ``lines`` (row, place), from a read of the texts of which only those lines go on."""
+    may = _bit_table(lines.select(F.explode(F.array(F.xxhash64("row"), F.xxhash64(*LINE))).alias("hash")))
+    some = _split(rows.filter(may(F.xxhash64("row")))).filter(may(F.xxhash64(*LINE)))
+    return some.select(*LINE, "line").join(lines.hint("merge"), [*LINE], "left_semi").select(*LINE, _words(F.col("line")).alias("words"))
+
+
+def _hot(lines: DataFrame, heavy: int, count: int) -> DataFrame:
+    """The words that more than ``heavy`` sets have in their prefix.  Words are counted by cells first, then those of full cells by sets."""
+    keys = lines.select("name", F.explode("prefix").alias("key"))
+    cell = F.col("key").bitwiseAND(F.lit((1 << max(10, (count >> 5).bit_length())) - 1).cast("long"))
+    full = broadcast_if_few(keys.groupBy(cell.alias("cell")).count().filter(F.col("count") > heavy).select("cell"))
+    if full.isEmpty():
+        return full.select(F.col("cell").alias("key"))
+    sets = keys.withColumn("cell", cell).join(full, "cell", "left_semi").select("key", "name").distinct()
+    return checkpoint(sets.groupBy("key").count().filter(F.col("count") > heavy).select("key"), cores(lines))
+
+
+def _segments(rows: DataFrame, lines: DataFrame, hot: DataFrame) -> DataFrame:
+    """The keys that sets with hot words in their prefix send in place of those: the XOR of each of a set's segments.
 
     In the size band of the larger set of a similar pair the words fall into one
     segment more than can differ, so the sets agree in one of them.  A segment
-    without words tells little; its key has each heavy word of the line instead.
+    without words tells little; its key has each hot word of the set instead.
     """
-    lines = np.unique(owner)
-    n = np.diff(bounds)[lines]
-    own = np.searchsorted(TOPS, n)
-    next_too = DENOMINATOR * n >= NUMERATOR * (TOPS[own] + 1)
-    line, band = np.concatenate([lines, lines[next_too]]), np.concatenate([own, own[next_too] + 1])
-    if not len(line):
-        return np.zeros(0, np.uint64), np.zeros(0, np.int64)
-    parts = most_apart(2 * TOPS[band]) + 1
-    first = np.cumsum(parts) - parts
-    size = np.diff(bounds)[line]
-    word = words[np.repeat(bounds[line] - (np.cumsum(size) - size), size) + np.arange(size.sum())]
-    place = (((word >> _U(32)) * np.repeat(parts, size).astype(np.uint64)) >> _U(32)).astype(np.int64) + np.repeat(first, size)
-    value, used = np.zeros(parts.sum(), np.uint64), np.zeros(parts.sum(), bool)
-    np.bitwise_xor.at(value, place, K.mix(word))
-    used[place] = True
-    of = np.repeat(np.arange(len(line)), parts)
-    salt = K.mix(((band[of] + 1) << 32 | (np.arange(len(of)) - first[of])).astype(np.uint64))
-    full, bare = np.flatnonzero(used), np.flatnonzero(~used)
-    order = np.argsort(owner, kind="stable")
-    begin, end = np.searchsorted(owner[order], line[of[bare]]), np.searchsorted(owner[order], line[of[bare]], "right")
-    times = end - begin
-    mine = heavy[order[np.repeat(begin - (np.cumsum(times) - times), times) + np.arange(times.sum())]]
-    bare = np.repeat(bare, times)
-    return np.concatenate([K.mix(value[full] ^ salt[full]), K.mix(mine ^ K.mix(salt[bare]))]), np.concatenate([line[of[full]], line[of[bare]]])
-
-
-def _sketches(words: np.ndarray, bounds: np.ndarray) -> np.ndarray:
-    """The parity sketch of each line: SKETCH words of 64 bits."""
-    out = np.zeros((len(bounds) - 1, SKETCH), np.uint64)
-    if len(words):
-        bit = K.mix(words ^ _U(0x8EBC6AF09C88C6E3))
-        for k in range(SKETCH):
-            mine = np.where((bit >> _U(6)) % _U(SKETCH) == _U(k), _U(1) << (bit & _U(63)), _U(0))
-            out[:, k] = np.bitwise_xor.reduceat(mine, bounds[:-1])
-    return out
-
-
-def _planes(values: np.ndarray) -> bytes:
-    return np.ascontiguousarray(values).view(np.uint8).reshape(-1, values.dtype.itemsize).T.tobytes()
-
-
-def _unplanes(blob: bytes, at: int, n: int, kind) -> np.ndarray:
-    width = np.dtype(kind).itemsize
-    return np.ascontiguousarray(np.frombuffer(blob, np.uint8, n * width, at).reshape(width, n).T).view(kind).ravel()
-
-
-def _flushed(waiting: list[tuple], buckets: int) -> pa.RecordBatch:
-    key, name, n, at, sketch = (np.concatenate(c) for c in zip(*waiting, strict=True))
-    order = np.argsort(key, kind="stable")
-    key, name, n, at, sketch = key[order], name[order], n[order], at[order], sketch[order]
-    bounds = K.bucket_bounds(key, buckets).tolist()
-    return _packed([(b, K.pack_sorted(key[x:y]), b"".join((name[x:y].tobytes(), _planes(n[x:y]), _planes(at[x:y]), sketch[x:y].tobytes()))) for b, (x, y) in enumerate(zip(bounds[:-1], bounds[1:], strict=True)) if y > x])
-
-
-_EDGES = pa.schema([("src", pa.int64()), ("dst", pa.int64())])
-
-
-def _pairs(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
-    """Of one range of words: a forest that joins sets which length, position and sketch allow to be similar."""
-    found: list[tuple] = []
-    for data, extra in zip(table.column("data").to_pylist(), table.column("extra").to_pylist(), strict=True):
-        keys = K.unpack_sorted(data)
-        m = len(keys)
-        found.append((keys, np.frombuffer(extra, np.int64, m), _unplanes(extra, 8 * m, m, np.int32), _unplanes(extra, 12 * m, m, np.int32), np.frombuffer(extra, np.uint64, SKETCH * m, 16 * m).reshape(m, SKETCH)))
-    keys, names, n, at, sketch = (np.concatenate(c) for c in zip(*found, strict=True))
-    order = np.lexsort((names, keys))
-    keys, names, n, at, sketch = keys[order], names[order], n[order].astype(np.int64), at[order].astype(np.int64), sketch[order]
-    once = np.ones(len(keys), bool)  # a set that several flushes sent
-    once[1:] = (keys[1:] != keys[:-1]) | (names[1:] != names[:-1])
-    keys, names, n, at, sketch = keys[once], names[once], n[once], at[once], sketch[once]
-    who, root = forest((names[u], names[v]) for u, v in candidates(keys, n, sketch, n - at))
-    return pa.table([pa.array(who), pa.array(root)], schema=_EDGES)
-
-
-def _bits(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    table = np.zeros(WANTED >> 3, np.uint8)
-    for batch in batches:
-        _mark(table, batch.column(0).to_numpy())
-    for slab in range((WANTED >> 3) // SLAB):
-        part = table[slab * SLAB : (slab + 1) * SLAB]
-        if part.any():
-            yield _packed([(slab, part.tobytes(), None)])
-
-
-def _mark(table: np.ndarray, names: np.ndarray) -> None:
-    at = K.mix(names.view(np.uint64)) & _U(WANTED - 1)
-    np.bitwise_or.at(table, (at >> _U(3)).astype(np.int64), np.left_shift(np.uint8(1), (at & _U(7)).astype(np.uint8)))
-
-
-def _either(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
-    out = np.bitwise_or.reduce([np.frombuffer(b, np.uint8) for b in table.column("data").to_pylist()])
-    return pa.table([pa.array([key[0].as_py()], pa.int32()), pa.array([out.tobytes()], pa.binary()), pa.nulls(1, pa.binary())], schema=_PACK)
-
-
-def _wanted(nodes: DataFrame) -> np.ndarray:
-    """A bit table of the nodes, of a size that does not depend on their number."""
-    out = np.zeros(WANTED >> 3, np.uint8)
-    for r in nodes.coalesce(cores(nodes)).mapInArrow(_bits, PACK).groupBy("bucket").applyInArrow(_either, PACK).select("bucket", "data").collect():  # at most WANTED bits
-        out[r["bucket"] * SLAB : (r["bucket"] + 1) * SLAB] = np.frombuffer(r["data"], np.uint8)
-    return out
-
-
-def _words_of(wanted: np.ndarray):
-    def words_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """node, words: the word hashes of sets that may be wanted, ascending."""
-        for batch in K.parts(batches, 0):
-            _, _, bounds, words, _ = line_sets(batch.column(0))
-            names = set_names(words, bounds)
-            at = K.mix(names.view(np.uint64)) & _U(WANTED - 1)
-            some = np.flatnonzero(wanted[(at >> _U(3)).astype(np.int64)] >> (at & _U(7)).astype(np.uint8) & 1)
-            _, own = np.unique(names[some], return_index=True)
-            some = some[own]
-            yield pa.RecordBatch.from_arrays([pa.array(names[some]), pa.array([words[bounds[i] : bounds[i + 1]].tobytes() for i in some.tolist()], pa.binary())], names=["node", "words"])
-
-    return words_of
-
-
-def beaten_in_tile(sets: list[np.ndarray], rank: np.ndarray, side: np.ndarray) -> np.ndarray:
-    """Which sets have an earlier similar one in the tile (on the other side, where both are there)."""
-    order = np.argsort(rank, kind="stable")
-    size = np.array([len(s) for s in sets])
-    sketch = np.array([parity(s, 32) for s in sets])
-    beaten = np.zeros(len(sets), bool)
-    cross = side.min() != side.max()
-    for k, i in enumerate(order.tolist()):
-        later = order[k + 1 :]
-        later = later[~beaten[later]]
-        if cross:
-            later = later[side[later] != side[i]]
-        apart = most_apart(size[i] + size[later])
-        later = later[(np.abs(size[later] - size[i]) <= apart) & (np.bitwise_count(sketch[later] ^ sketch[i]).sum(1) <= apart)]
-        for j in later.tolist():
-            both = len(np.intersect1d(sets[i], sets[j], assume_unique=True))
-            beaten[j] = linked(both, size[i] + size[j] - both)
-    return beaten
-
-
-def _judge(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
-    """A task's clusters or tile: the sets that an earlier similar one beats."""
-    node, cluster, side = (table.column(c).to_numpy() for c in ("node", "cluster", "side"))
-    at = [np.array([-(1 << 63) if v is None else v for v in table.column(c).to_pylist()], np.int64) for c in ("doc_id", "row", "place")]
-    rank = np.empty(len(node), np.int64)
-    rank[np.lexsort((at[2], at[1], at[0]))] = np.arange(len(node))
-    words, out = table.column("words").to_pylist(), []
-    order = np.argsort(cluster, kind="stable")
-    for rows in np.split(order, np.flatnonzero(np.diff(cluster[order])) + 1):
-        lost = beaten_in_tile([np.frombuffer(words[r], np.uint64) for r in rows.tolist()], rank[rows], side[rows])
-        out.append(node[rows[lost]])
-    return pa.table([pa.array(np.concatenate(out), pa.int64())], names=["node"])
-
-
-def _beaten(clusters: DataFrame, firsts: DataFrame, words: DataFrame) -> DataFrame:
-    """node of every set of the clusters (node, component) that an earlier similar set beats; may repeat."""
-    sized = words.select("node", F.octet_length("words").alias("bytes"))
-    placed = checkpoint(clusters.join(firsts, "node").join(sized, "node"), 2 * cores(clusters))
-    chunks = lambda: F.ceil(F.greatest(F.count(F.lit(1)) / CHUNK, F.sum("bytes") / CHUNK_BYTES)).cast("int")
-    large = placed.groupBy("component").agg(chunks().alias("chunks")).filter("chunks > 1")
-    placed = placed.join(broadcast_if_few(large), "component", "left").withColumn("chunks", F.coalesce("chunks", F.lit(1))).withColumn("chunk", F.pmod(F.xxhash64("node"), F.col("chunks")).cast("int"))
-
-    def judged(rows: DataFrame, tiles: Column) -> DataFrame:
-        tiled = rows.select("node", F.col("component").alias("cluster"), "doc_id", "row", "place", F.explode(tiles).alias("t")).select("node", "cluster", "doc_id", "row", "place", "t.*")
-        return tiled.join(words, "node").groupBy("task", "i", "j").applyInArrow(_judge, "node long")
-
-    each = lambda n, f: F.transform(F.sequence(F.lit(0), n - 1), f)
-    c = F.col("component")
-    alone = F.array(tile(F.pmod(F.xxhash64(c), F.lit(32 * cores(clusters))), F.lit(0), F.lit(0), 0))
-    pivots, others = each(F.col("chunks"), lambda k: tile(c, F.lit(1), k + 1, 0)), F.array(tile(c, F.lit(1), F.col("chunk") + 1, 1))
-    lost = checkpoint(judged(placed, F.when(F.col("chunks") == 1, alone).when(F.col("chunk") == 0, pivots).otherwise(others)).distinct(), cores(clusters))
-    crowds = placed.filter("chunks > 1")
-    if crowds.isEmpty():
-        return lost
-    # What no set of the first chunk beats is compared with all the others.
-    rest = checkpoint(crowds.join(lost.withColumn("lost", F.lit(True)), "node", "left").withColumn("left", F.col("lost").isNull()), 2 * cores(clusters))
-    parts = rest.filter("left").groupBy("component").agg(chunks().alias("parts"))
-    rest = rest.join(broadcast_if_few(parts), "component").withColumn("part", F.pmod(F.xxhash64("node"), F.col("parts")).cast("int"))
-    inner = each(F.col("chunks"), lambda k: tile(c, F.col("part") + 1, -1 - k, 0))
-    outer = each(F.col("parts"), lambda o: tile(c, F.least(o, F.col("part")) + 1, F.greatest(o, F.col("part")) + 1, F.when(o < F.col("part"), 1).otherwise(0)))
-    mine = each(F.col("parts"), lambda o: tile(c, o + 1, -1 - F.col("chunk"), 1))
-    return lost.unionByName(judged(rest, F.when(F.col("left"), F.concat(inner, outer)).otherwise(mine)))
+    mine = checkpoint(lines.select(*SENT[:-2], F.explode("prefix").alias("key")).join(hot, "key").groupBy(*SENT[:-2]).agg(F.collect_list("key").alias("hot")))
+    tops = F.lit([int(t) for t in TOPS])
+    own = F.element_at(F.filter(tops, lambda t: t >= F.col("n")), 1)
+    after = F.filter(tops, lambda t: (t > own) & (F.col("n") * DENOMINATOR >= (own + 1) * NUMERATOR))
+    banded = mine.select(*LINE, F.explode(F.concat(F.array(own), F.slice(after, 1, 1))).alias("top")).withColumn("parts", _most_apart(2 * F.col("top")) + 1)
+    met = banded.join(words_of(rows, checkpoint(mine.select(*LINE))), [*LINE]).select(*LINE, "top", "parts", F.explode("words").alias("word"))
+    values = met.groupBy(*LINE, "top", "parts", F.pmod(F.xxhash64("word"), F.col("parts")).cast("int").alias("part")).agg(F.bit_xor(F.xxhash64("word", F.lit(1))).alias("value"))
+    sets = values.groupBy(*LINE, "top", "parts").agg(F.collect_list(F.struct("part", "value")).alias("full")).join(mine, [*LINE])
+    bare = F.array_except(F.sequence(F.lit(0), F.col("parts") - 1), F.col("full.part"))
+    full = F.transform("full", lambda p: F.xxhash64(F.lit("full"), "top", p["part"], p["value"]))
+    empty = F.flatten(F.transform(bare, lambda p: F.transform("hot", lambda h: F.xxhash64(F.lit("bare"), "top", p, h))))
+    return sets.select(*SENT[:-2], F.explode(F.concat(full, empty)).alias("key"), F.lit(0).alias("at")).select(*SENT)
+
+
+def _met(earlier: DataFrame, later: DataFrame) -> DataFrame:
+    """Pairs of sets with a common key that size, position and sketch allow to be similar: both lines and the sketches' distance."""
+    a, b = (side.select(*[F.col(c).alias(f"{x}_{c}") for c in SENT]) for side, x in ((earlier, "a"), (later, "b")))
+    order = [F.struct(*[F.col(f"{x}_{c}") for c in SENT[:3]]) for x in "ab"]
+    total = F.col("a_n") + F.col("b_n")
+    distance = F.bit_count(F.col("a_sketch").bitwiseXOR(F.col("b_sketch"))) + F.bit_count(F.col("a_other").bitwiseXOR(F.col("b_other")))
+    # Each condition names both sides, so that both are the same table, dealt out once.
+    fits = (F.col("a_n") * DENOMINATOR >= F.col("b_n") * NUMERATOR) & (F.col("b_n") * DENOMINATOR >= F.col("a_n") * NUMERATOR)
+    fits &= F.least(F.col("a_n") - F.col("a_at"), F.col("b_n") - F.col("b_at")) * (NUMERATOR + DENOMINATOR) >= total * NUMERATOR
+    fits &= (distance * (DENOMINATOR + NUMERATOR) <= total * (DENOMINATOR - NUMERATOR)) & (order[0] < order[1])
+    return a.join(b, (F.col("a_key") == F.col("b_key")) & fits).withColumn("distance", distance)
+
+
+def _beaten(rows: DataFrame, pairs: DataFrame) -> DataFrame:
+    """row, place of the later lines of the ``pairs`` that are similar to the earlier one; compared by their words."""
+    lines = [pairs.select(F.col(f"{x}_row").alias("row"), F.col(f"{x}_place").alias("place")) for x in "ab"]
+    words = checkpoint(words_of(rows, checkpoint(lines[0].unionByName(lines[1]).distinct(), cores(rows))), 2 * cores(rows))
+    a, b = (words.select(*[F.col(c).alias(f"{x}_{c}") for c in (*LINE, "words")]) for x in "ab")
+    both = F.size(F.array_intersect("a_words", "b_words"))
+    met = pairs.join(b, ["b_row", "b_place"]).join(a, ["a_row", "a_place"])
+    similar = met.filter(both * (NUMERATOR + DENOMINATOR) >= (F.size("a_words") + F.size("b_words")) * NUMERATOR)
+    return checkpoint(similar.select(F.col("b_row").alias("row"), F.col("b_place").alias("place")).distinct(), cores(rows))
 
 
 def removed_lines(rows: DataFrame, heavy: int = HEAVY) -> DataFrame:
     """row, doc_id, places of all lines with words and places of the removed ones, of every (row, doc_id, text)."""
-    texts = rows.select("text")
-    ranks = rarity(texts)
-    lines = checkpoint(rows.mapInArrow(_named, "row long, doc_id long, places array<int>, names array<long>"))
-    each = lines.select("row", "doc_id", F.explode(F.arrays_zip("places", "names")).alias("l"))
-    firsts = each.groupBy(F.col("l.names").alias("node")).agg(F.min(F.struct("doc_id", "row", F.col("l.places").alias("place"))).alias("first")).select("node", "first.*")
-    loose = texts.mapInArrow(_prefixes(ranks, blocks_for(texts), heavy), PACK).groupBy("bucket").applyInArrow(_pairs, "src long, dst long")
-    clusters = checkpoint(connected_components(loose), 2 * cores(rows))
-    some = texts.mapInArrow(_words_of(_wanted(clusters.select("node"))), "node long, words binary")
-    words = checkpoint(some.join(clusters.select("node"), "node", "left_semi").dropDuplicates(["node"]))
-    kept = firsts.join(_beaten(clusters, firsts, words), "node", "left_anti")
-    stays = kept.groupBy("row").agg(F.collect_list("place").alias("stays")).withColumnRenamed("row", "r")
-    met = lines.join(stays, F.col("row") == F.col("r"), "left")
-    return met.select("row", "doc_id", "places", F.array_except("places", F.coalesce("stays", F.array().cast("array<int>"))).alias("removed"))
+    every = checkpoint(described(rows, rarity(rows)))
+    lines = every.filter("n > 0")
+    count = lines.count()
+    firsts = checkpoint(lines.groupBy("name").agg(F.min(F.struct("doc_id", "row", "place")).alias("first")).select("first.row", "first.place"))
+    sets = lines.join(firsts.hint("merge"), [*LINE], "left_semi")
+    hot = _hot(lines, heavy, count)
+    hot, segments = (None, None) if hot.isEmpty() else (broadcast_if_few(hot), checkpoint(_segments(rows, sets, hot)))
+    parts = max(shuffle_partitions(rows.sparkSession), count // PART_LINES)
+    sent = _sent(sets, hot, segments).repartition(parts, "key")
+    nearest = _met(sent, sent.hint("merge")).groupBy("b_row", "b_place").agg(F.min(F.struct("distance", "a_row", "a_place")).alias("a"), F.count(F.lit(1)).alias("times"))
+    nearest = checkpoint(nearest.select("b_row", "b_place", "a.a_row", "a.a_place", "times"), cores(rows))
+    beaten = _beaten(rows, nearest.drop("times"))
+    rest = nearest.filter("times > 1").select(F.col("b_row").alias("row"), F.col("b_place").alias("place")).join(beaten, [*LINE], "left_anti")
+    rest = broadcast_if_few(rest)
+    if not rest.isEmpty():
+        few = checkpoint(_sent(lines.join(rest, [*LINE], "left_semi"), hot, segments), 2 * cores(rows))
+        may = _bit_table(few.select(F.xxhash64("key").alias("hash")))
+        others = _met(_sent(lines, hot, segments).filter(may(F.xxhash64("key"))).repartition(parts, "key"), few.repartition(parts, "key").hint("merge"))
+        others = checkpoint(others.select("b_row", "b_place", "a_row", "a_place").distinct().join(firsts.select(F.col("row").alias("a_row"), F.col("place").alias("a_place")), ["a_row", "a_place"], "left_semi"), cores(rows))
+        beaten = beaten.unionByName(_beaten(rows, others))
+    stays = firsts.join(beaten, [*LINE], "left_anti").withColumn("stays", F.lit(True))
+    judged = every.select("row", "doc_id", "place", "n").join(stays, [*LINE], "left")
+    places = lambda which: F.array_sort(F.collect_list(F.when(which, F.col("place"))))
+    return judged.groupBy("row").agg(F.first("doc_id").alias("doc_id"), places(F.col("n") > 0).alias("places"), places((F.col("n") > 0) & F.col("stays").isNull()).alias("removed"))
 
 
 def line_dedup(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id", heavy: int = HEAVY) -> DataFrame:

@@ -670,3 +670,16 @@ def test_copies_of_one_text_are_spread(spark):
     assert len(got) == 2 * n and all(r.name == (None if r.h is None else r.h + 1) for r in got)
     shares = np.bincount([r.task for r in got], minlength=4)
     assert shares.max() < 1.2 * 2 * n / 4
+
+
+def test_line_dedup_runs_no_python(spark, monkeypatch):
+    """Line deduplication is DataFrame operations only; sets of any order and white space are compared."""
+    def stop(*args, **kwargs):
+        raise AssertionError("Python on the executors")
+
+    frame = docs(spark, ["a b c d e", "e\td  c\x0bb a f\n\nx", None, "x\ny " + "z" * 300, "z" * 300 + " y"])
+    for kind, names in ((type(frame), ("mapInArrow", "mapInPandas")), (type(frame.groupBy()), ("applyInArrow", "applyInPandas"))):
+        for name in names:
+            monkeypatch.setattr(kind, name, stop)
+    got = table(line_dedup.line_dedup(frame), "doc_id", "n_lines", "removed_lines")
+    assert {d: (n, list(x)) for d, (n, x) in got.items()} == {0: (1, []), 1: (2, [0]), 2: (0, []), 3: (2, [0]), 4: (1, [0])}
