@@ -32,9 +32,12 @@ first staying; no rows give no rows; other columns are not read.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, functions as F
 
-from caseloom.llm.frames import broadcast_if_few, checkpoint, cores, numbered, only, shuffle_partitions
+from caseloom.functions.text import bound, computed
+from caseloom.llm.frames import broadcast_if_few, checkpoint, cores, estimated_bytes, numbered, only, shuffle_partitions
 from caseloom.llm.jaccard_join import DENOMINATOR, NUMERATOR, TOPS
 
 #: Sets that may have one word in their prefix before it gives way to segments, so that no word's sets all meet.
@@ -43,14 +46,18 @@ HEAVY = 4096
 BITS = 1 << 25
 #: Lines for each partition of the keys: a line has some ten keys, and a key not more than HEAVY sets.
 PART_LINES = 1 << 15
-#: A word's number has its rank, its length and its hash, with so many bits of the hash and of the length.
-HASH_BITS, LENGTH_BITS = 54, 6
-#: Cells of the table of ranks (by the hash's last bits), and the greatest rank.
-CELLS, RANKS = 1 << 15, 7
+#: A word's number has its rank, at most 63, above so many bits of its hash.
+HASH_BITS = 57
+#: Cells of the table of ranks (by the hash's last bits): the least and most, and bytes of input for one.  It is put together from blocks.
+LEAST_CELLS, MOST_CELLS, CELL_BYTES, BLOCK = 1 << 15, 1 << 18, 1 << 10, 1 << 10
+#: Words of cells that count more than that are told apart by octaves of sizes; sets below this size have the halves of their sketch in one.
+OFTEN, SMALL = 128, 72
+#: A candidate's distance stands above so many bits of its number.
+ID_BITS = 55
 
 LINE = ("row", "place")
 #: What a set sends with each of its keys.
-SENT = ("doc_id", "row", "place", "n", "sketch", "other", "key", "at")
+SENT = ("id", "n", "sketch", "other", "key", "at")
 
 
 def _split(rows: DataFrame) -> DataFrame:
@@ -68,23 +75,30 @@ def _hash(w: Column) -> Column:
 
 
 def _words(line: Column) -> Column:
-    """The distinct words of a line as numbers of length and hash: long words are small numbers."""
+    """The distinct words of a line as their hashes."""
+    return F.array_distinct(F.array_remove(F.transform(F.split(line, " "), _hash), _hash(F.lit(""))))
+
 
-    def number(w: Column) -> Column:
-        short = F.bitwise_not(F.octet_length(w).cast("long")).bitwiseAND(F.lit((1 << LENGTH_BITS) - 1).cast("long"))
-        return F.shiftleft(short, HASH_BITS).bitwiseOR(_hash(w))
+def _cells(rows: DataFrame) -> int:
+    """Cells of the table of ranks: they grow with the input, up to a bound."""
+    return min(MOST_CELLS, max(LEAST_CELLS, 1 << (estimated_bytes(rows) // CELL_BYTES).bit_length()))
 
-    return F.array_distinct(F.array_remove(F.transform(F.split(line, " "), number), number(F.lit(""))))
 
+def _rank(times: Column, mean: float) -> Column:
+    """Half doublings from the mean cell's count, which has 32; 0 is for empty cells."""
+    return F.least(F.lit(63), F.greatest(F.lit(1), 32 + F.round(2 * F.log2(times / F.lit(mean))))).cast("byte")
 
-def rarity(rows: DataFrame) -> DataFrame:
-    """One row: by cell the rank of its words, in the bits above length and hash; the doublings of their count above the mean cell's."""
-    cells = _split(rows).select(F.explode(F.split("line", " ")).alias("w")).groupBy(_hash(F.col("w")).bitwiseAND(F.lit(CELLS - 1).cast("long")).alias("cell")).agg(F.count(F.lit(1)).alias("times"))
-    cells = checkpoint(cells, 1)  # at most CELLS rows
-    mean = (cells.agg(F.sum("times")).first()[0] or 0) / CELLS
-    ranked = cells.select("cell", F.least(F.lit(RANKS), F.greatest(F.lit(0), F.ceil(F.log2(F.col("times") / F.lit(mean or 1.0))))).cast("long").alias("rank"))
-    ranked = ranked.unionByName(rows.sparkSession.range(CELLS).select(F.col("id").alias("cell"), F.lit(0).cast("long").alias("rank"))).groupBy("cell").agg(F.max("rank").alias("rank"))
-    return checkpoint(ranked.agg(F.transform(F.sort_array(F.collect_list(F.struct("cell", "rank"))), lambda c: F.shiftleft(c["rank"], HASH_BITS + LENGTH_BITS)).alias("ranks")))
+
+def rarity(rows: DataFrame, size: int) -> DataFrame:
+    """One row: the ranks of ``size`` cells of words, a byte each, and the rank of a cell that counts ``OFTEN``."""
+    cell = _hash(F.col("w")).bitwiseAND(F.lit(size - 1).cast("long")).cast("int")
+    counts = _split(rows).select(F.explode(F.split("line", " ")).alias("w")).groupBy(cell.alias("cell")).agg(F.count(F.lit(1)).alias("times"))
+    counts = checkpoint(counts, cores(rows))  # at most ``size`` rows
+    mean = (counts.agg(F.sum("times")).first()[0] or 0) / size or 1.0
+    every = counts.select("cell", _rank(F.col("times"), mean).alias("rank")).unionByName(rows.sparkSession.range(size).select(F.col("id").cast("int").alias("cell"), F.lit(0).cast("byte").alias("rank")))
+    of_block = F.transform(F.sort_array(F.collect_list(F.struct("cell", "rank"))), lambda c: c["rank"])
+    blocks = every.groupBy("cell").agg(F.max("rank").alias("rank")).groupBy(F.floor(F.col("cell") / BLOCK).alias("block")).agg(of_block.alias("ranks"))
+    return checkpoint(blocks.agg(F.flatten(F.transform(F.sort_array(F.collect_list(F.struct("block", "ranks"))), lambda b: b["ranks"])).alias("ranks"), F.max(_rank(F.lit(float(OFTEN)), mean)).alias("often")))
 
 
 def _most_apart(total: Column) -> Column:
@@ -97,30 +111,58 @@ def _bit(value: Column) -> Column:
     return F.call_function("shiftleft", F.lit(1).cast("long"), value.bitwiseAND(F.lit(63).cast("long")).cast("int"))
 
 
-def _sketch(words: Column, half: int) -> Column:
-    """A parity sketch of one half of all words: a bit for each of 64 classes, set if the line has an odd number of them."""
-    mine = F.filter(words, lambda w: w.bitwiseAND(F.lit(64).cast("long")) == F.lit(64 * half).cast("long"))
+def _sketch(words: Column, half: int | None = None) -> Column:
+    """A parity sketch of all words or one half of them: a bit for each of 64 classes, set if the line has an odd number of them."""
+    mine = words if half is None else F.filter(words, lambda w: w.bitwiseAND(F.lit(64).cast("long")) == F.lit(64 * half).cast("long"))
     return F.aggregate(mine, F.lit(0).cast("long"), lambda a, w: a.bitwiseXOR(_bit(w)))
 
 
-def described(rows: DataFrame, ranks: DataFrame) -> DataFrame:
-    """row, doc_id, place of every line with its set's size, name, sketch and prefix; lines without words have size 0."""
-    # A column of its own reaches the words: a subquery may not stand in a lambda.
-    lines = _split(rows).select("row", "doc_id", "place", _words(F.col("line")).alias("words"), ranks.scalar().alias("ranks"))
-    ordered = F.sort_array(F.transform("words", lambda w: w.bitwiseOR(F.get("ranks", w.bitwiseAND(F.lit(CELLS - 1).cast("long")).cast("int")))))
+def described(rows: DataFrame, ranks: DataFrame, size: int) -> DataFrame:
+    """row, doc_id, place of every line with its set's size, name, sketch and prefix; lines without words have size 0.
+
+    The sketch of a set of ``SMALL`` words or more has two columns, that of a smaller one their sum.
+    """
     # Out of a generator the words are worked out once, not for each use.
-    lines = lines.select("row", "doc_id", "place", F.explode(F.array(F.coalesce(ordered, F.array().cast("array<long>")))).alias("words"))
+    once = lambda words: F.explode(F.array(F.coalesce(words, F.array().cast("array<long>")))).alias("words")
+    lines = _split(rows).select("row", "doc_id", "place", once(_words(F.col("line"))))
+    # A column of its own reaches the words, as a subquery may not stand in a lambda.  The two projections become one: a column that is made would be copied into every row.
+    rank = lambda t, w: F.coalesce(F.get(t, w.bitwiseAND(F.lit(size - 1).cast("long")).cast("int")), F.lit(0).cast("byte"))
+    ranked = bound(F.col("ranks"), lambda t: F.transform("words", lambda w: w.bitwiseOR(F.shiftleft(rank(t, w).cast("long"), HASH_BITS))))
+    lines = lines.select("row", "doc_id", "place", "words", ranks.select("ranks").scalar().alias("ranks")).select("row", "doc_id", "place", F.sort_array(ranked).alias("words"))
+    lines = lines.select("row", "doc_id", "place", once(F.col("words")))
     n = F.size("words")
     length = F.floor(n - F.ceil(n * NUMERATOR / DENOMINATOR) + 1).cast("int")
-    return lines.select("row", "doc_id", "place", n.alias("n"), F.xxhash64("words").alias("name"), _sketch(F.col("words"), 0).alias("sketch"), _sketch(F.col("words"), 1).alias("other"), F.slice("words", 1, length).alias("prefix"))
+    return lines.select("row", "doc_id", "place", n.alias("n"), F.xxhash64("words").alias("name"), F.when(n < SMALL, _sketch(F.col("words"))).otherwise(_sketch(F.col("words"), 0)).alias("sketch"), F.when(n < SMALL, F.lit(0).cast("long")).otherwise(_sketch(F.col("words"), 1)).alias("other"), F.slice("words", 1, length).alias("prefix"))
+
 
+def _keys(lines: DataFrame, often: int) -> DataFrame:
+    """The ``lines`` with a row for each word of their prefix, and octave of sizes if its rank is above ``often``: key, at.
 
-def _sent(lines: DataFrame, hot: DataFrame | None, segments: DataFrame | None) -> DataFrame:
-    """The keys of the sets of ``lines``: the words of the prefix, or segments in place of the hot ones."""
-    each = lines.select(*SENT[:-2], F.posexplode("prefix").alias("at", "key")).select(*SENT)
+    Similar sets meet in the smaller one's octave, so a set just above one also sends to that below.
+    """
+    octave = F.floor(F.log2("n")).cast("int")
+    below = F.floor(F.log2(F.ceil(F.col("n") * NUMERATOR / DENOMINATOR))).cast("int")
+    rare = F.shiftright("word", HASH_BITS) <= often
+    each = lines.select("*", F.posexplode("prefix").alias("at", "word"))
+    each = each.select("*", F.explode(F.when(rare, F.array(F.lit(-1))).when(below < octave, F.array(octave, below)).otherwise(F.array(octave))).alias("octave"))
+    return each.withColumn("key", F.xxhash64("word", "octave"))
+
+
+def _sent(sets: DataFrame, often: int, hot: DataFrame | None, segments: DataFrame | None) -> DataFrame:
+    """The keys of the ``sets``: those of the prefix, or segments in place of the hot ones."""
+    each = _keys(sets, often).select(*SENT)
     if hot is None:
         return each
-    return each.join(hot, "key", "left_anti").select(*SENT).unionByName(segments.join(lines.select(*LINE), [*LINE], "left_semi").select(*SENT))
+    return each.join(hot, "key", "left_anti").select(*SENT).unionByName(segments.join(sets.select("id"), "id", "left_semi").select(*SENT))
+
+
+def _sent_of(lines: DataFrame, often: int, firsts: DataFrame, hot: DataFrame | None, segments: DataFrame | None, may: Callable[[Column], Column]) -> DataFrame:
+    """The same of all sets, the first of the ``lines``, but only keys that ``may`` lets pass; only their rows go on."""
+    each = _keys(lines, often).filter(may(F.col("key")))
+    if hot is not None:
+        each = each.join(hot, "key", "left_anti")
+    each = each.select(*LINE, *SENT[1:]).join(firsts.hint("merge"), [*LINE]).select(*SENT)
+    return each if hot is None else each.unionByName(segments.filter(may(F.col("key"))))
 
 
 def _bit_table(hashes: DataFrame):
@@ -134,15 +176,15 @@ def _bit_table(hashes: DataFrame):
 
 
 def words_of(rows: DataFrame, lines: DataFrame) -> DataFrame:
-    """row, place, words of the ``lines`` (row, place), from a read of the texts of which only those lines go on."""
+    """id, words of the ``lines`` (id, row, place), from a read of the texts of which only those lines go on."""
     may = _bit_table(lines.select(F.explode(F.array(F.xxhash64("row"), F.xxhash64(*LINE))).alias("hash")))
     some = _split(rows.filter(may(F.xxhash64("row")))).filter(may(F.xxhash64(*LINE)))
-    return some.select(*LINE, "line").join(lines.hint("merge"), [*LINE], "left_semi").select(*LINE, _words(F.col("line")).alias("words"))
+    return some.select(*LINE, "line").join(lines.hint("merge"), [*LINE]).select("id", _words(F.col("line")).alias("words"))
 
 
-def _hot(lines: DataFrame, heavy: int, count: int) -> DataFrame:
-    """The words that more than ``heavy`` sets have in their prefix.  Words are counted by cells first, then those of full cells by sets."""
-    keys = lines.select("name", F.explode("prefix").alias("key"))
+def _hot(lines: DataFrame, often: int, heavy: int, count: int) -> DataFrame:
+    """The keys that more than ``heavy`` sets send.  Keys are counted by cells first, then those of full cells by sets."""
+    keys = _keys(lines, often).select("name", "key")
     cell = F.col("key").bitwiseAND(F.lit((1 << max(10, (count >> 5).bit_length())) - 1).cast("long"))
     full = broadcast_if_few(keys.groupBy(cell.alias("cell")).count().filter(F.col("count") > heavy).select("cell"))
     if full.isEmpty():
@@ -151,74 +193,92 @@ def _hot(lines: DataFrame, heavy: int, count: int) -> DataFrame:
     return checkpoint(sets.groupBy("key").count().filter(F.col("count") > heavy).select("key"), cores(lines))
 
 
-def _segments(rows: DataFrame, lines: DataFrame, hot: DataFrame) -> DataFrame:
-    """The keys that sets with hot words in their prefix send in place of those: the XOR of each of a set's segments.
+def _segments(rows: DataFrame, lines: DataFrame, often: int, hot: DataFrame) -> DataFrame:
+    """The keys that sets with hot keys send in place of those: the XOR of each of a set's segments.
 
     In the size band of the larger set of a similar pair the words fall into one
     segment more than can differ, so the sets agree in one of them.  A segment
-    without words tells little; its key has each hot word of the set instead.
+    without words tells little; its key has each hot key of the set instead.
     """
-    mine = checkpoint(lines.select(*SENT[:-2], F.explode("prefix").alias("key")).join(hot, "key").groupBy(*SENT[:-2]).agg(F.collect_list("key").alias("hot")))
+    known = ("id", *LINE, "n", "sketch", "other")
+    mine = checkpoint(_keys(lines, often).select(*known, "key").join(hot, "key").groupBy(*known).agg(F.collect_set("key").alias("hot")))
     tops = F.lit([int(t) for t in TOPS])
     own = F.element_at(F.filter(tops, lambda t: t >= F.col("n")), 1)
     after = F.filter(tops, lambda t: (t > own) & (F.col("n") * DENOMINATOR >= (own + 1) * NUMERATOR))
-    banded = mine.select(*LINE, F.explode(F.concat(F.array(own), F.slice(after, 1, 1))).alias("top")).withColumn("parts", _most_apart(2 * F.col("top")) + 1)
-    met = banded.join(words_of(rows, checkpoint(mine.select(*LINE))), [*LINE]).select(*LINE, "top", "parts", F.explode("words").alias("word"))
-    values = met.groupBy(*LINE, "top", "parts", F.pmod(F.xxhash64("word"), F.col("parts")).cast("int").alias("part")).agg(F.bit_xor(F.xxhash64("word", F.lit(1))).alias("value"))
-    sets = values.groupBy(*LINE, "top", "parts").agg(F.collect_list(F.struct("part", "value")).alias("full")).join(mine, [*LINE])
+    banded = mine.select("id", F.explode(F.concat(F.array(own), F.slice(after, 1, 1))).alias("top")).withColumn("parts", _most_apart(2 * F.col("top")) + 1)
+    met = banded.join(words_of(rows, checkpoint(mine.select("id", *LINE))), "id").select("id", "top", "parts", F.explode("words").alias("word"))
+    values = met.groupBy("id", "top", "parts", F.pmod(F.xxhash64("word"), F.col("parts")).cast("int").alias("part")).agg(F.bit_xor(F.xxhash64("word", F.lit(1))).alias("value"))
+    sets = values.groupBy("id", "top", "parts").agg(F.collect_list(F.struct("part", "value")).alias("full")).join(mine, "id")
     bare = F.array_except(F.sequence(F.lit(0), F.col("parts") - 1), F.col("full.part"))
     full = F.transform("full", lambda p: F.xxhash64(F.lit("full"), "top", p["part"], p["value"]))
     empty = F.flatten(F.transform(bare, lambda p: F.transform("hot", lambda h: F.xxhash64(F.lit("bare"), "top", p, h))))
     return sets.select(*SENT[:-2], F.explode(F.concat(full, empty)).alias("key"), F.lit(0).alias("at")).select(*SENT)
 
 
-def _met(earlier: DataFrame, later: DataFrame) -> DataFrame:
-    """Pairs of sets with a common key that size, position and sketch allow to be similar: both lines and the sketches' distance."""
-    a, b = (side.select(*[F.col(c).alias(f"{x}_{c}") for c in SENT]) for side, x in ((earlier, "a"), (later, "b")))
-    order = [F.struct(*[F.col(f"{x}_{c}") for c in SENT[:3]]) for x in "ab"]
+def _met(smaller: DataFrame, larger: DataFrame, built: int = 0) -> DataFrame:
+    """a, b, distance of sets with a common key that size, position and sketch allow to be similar; a is the smaller, or the earlier of one size.
+
+    Of the smaller set only the first n / 9 + 1 words count: no more are needed in its prefix.  The side ``built`` is kept in memory, by parts.
+    """
+    # Made by a generator, so that the filter stays behind the exchange and both sides can be one table, dealt out once.
+    first = computed(smaller, first=F.col("at") * (DENOMINATOR + NUMERATOR) <= F.col("n") * (DENOMINATOR - NUMERATOR)).filter("first")
+    sides = [side.select(*[F.col(c).alias(f"{x}_{c}") for c in SENT]) for side, x in ((first, "a"), (larger, "b"))]
+    sides[built] = sides[built].hint("shuffle_hash")
     total = F.col("a_n") + F.col("b_n")
-    distance = F.bit_count(F.col("a_sketch").bitwiseXOR(F.col("b_sketch"))) + F.bit_count(F.col("a_other").bitwiseXOR(F.col("b_other")))
-    # Each condition names both sides, so that both are the same table, dealt out once.
-    fits = (F.col("a_n") * DENOMINATOR >= F.col("b_n") * NUMERATOR) & (F.col("b_n") * DENOMINATOR >= F.col("a_n") * NUMERATOR)
+    apart, rest = F.col("a_sketch").bitwiseXOR(F.col("b_sketch")), F.col("a_other").bitwiseXOR(F.col("b_other"))
+    distance = F.when(F.col("a_n") < SMALL, F.bit_count(apart.bitwiseXOR(rest))).otherwise(F.bit_count(apart) + F.bit_count(rest))
+    fits = ((F.col("a_n") < F.col("b_n")) | ((F.col("a_n") == F.col("b_n")) & (F.col("a_id") < F.col("b_id")))) & (F.col("a_n") * DENOMINATOR >= F.col("b_n") * NUMERATOR)
     fits &= F.least(F.col("a_n") - F.col("a_at"), F.col("b_n") - F.col("b_at")) * (NUMERATOR + DENOMINATOR) >= total * NUMERATOR
-    fits &= (distance * (DENOMINATOR + NUMERATOR) <= total * (DENOMINATOR - NUMERATOR)) & (order[0] < order[1])
-    return a.join(b, (F.col("a_key") == F.col("b_key")) & fits).withColumn("distance", distance)
+    fits &= distance * (DENOMINATOR + NUMERATOR) <= total * (DENOMINATOR - NUMERATOR)
+    return sides[0].join(sides[1], (F.col("a_key") == F.col("b_key")) & fits).select(F.col("a_id").alias("a"), F.col("b_id").alias("b"), distance.cast("long").alias("distance"))
 
 
-def _beaten(rows: DataFrame, pairs: DataFrame) -> DataFrame:
-    """row, place of the later lines of the ``pairs`` that are similar to the earlier one; compared by their words."""
-    lines = [pairs.select(F.col(f"{x}_row").alias("row"), F.col(f"{x}_place").alias("place")) for x in "ab"]
-    words = checkpoint(words_of(rows, checkpoint(lines[0].unionByName(lines[1]).distinct(), cores(rows))), 2 * cores(rows))
-    a, b = (words.select(*[F.col(c).alias(f"{x}_{c}") for c in (*LINE, "words")]) for x in "ab")
-    both = F.size(F.array_intersect("a_words", "b_words"))
-    met = pairs.join(b, ["b_row", "b_place"]).join(a, ["a_row", "a_place"])
-    similar = met.filter(both * (NUMERATOR + DENOMINATOR) >= (F.size("a_words") + F.size("b_words")) * NUMERATOR)
-    return checkpoint(similar.select(F.col("b_row").alias("row"), F.col("b_place").alias("place")).distinct(), cores(rows))
+def _beaten(rows: DataFrame, firsts: DataFrame, pairs: DataFrame) -> DataFrame:
+    """id of the later sets of the ``pairs`` that are similar to the earlier one; compared by their words."""
+    ids = pairs.select(F.col("later").alias("id")).unionByName(pairs.select(F.col("earlier").alias("id"))).distinct()
+    words = checkpoint(words_of(rows, checkpoint(firsts.join(ids, "id", "left_semi"), cores(rows))), 2 * cores(rows))
+    a, b = (words.select(F.col("id").alias(c), F.col("words").alias(f"{c}_words")) for c in ("earlier", "later"))
+    both = F.size(F.array_intersect("earlier_words", "later_words"))
+    met = pairs.join(b, "later").join(a, "earlier")
+    similar = met.filter(both * (NUMERATOR + DENOMINATOR) >= (F.size("earlier_words") + F.size("later_words")) * NUMERATOR)
+    return checkpoint(similar.select(F.col("later").alias("id")).distinct(), cores(rows))
 
 
 def removed_lines(rows: DataFrame, heavy: int = HEAVY) -> DataFrame:
     """row, doc_id, places of all lines with words and places of the removed ones, of every (row, doc_id, text)."""
-    every = checkpoint(described(rows, rarity(rows)))
+    size = _cells(rows)
+    ranks = rarity(rows, size)
+    often = ranks.select("often").first()[0]
+    every = checkpoint(described(rows, ranks, size))
     lines = every.filter("n > 0")
     count = lines.count()
-    firsts = checkpoint(lines.groupBy("name").agg(F.min(F.struct("doc_id", "row", "place")).alias("first")).select("first.row", "first.place"))
-    sets = lines.join(firsts.hint("merge"), [*LINE], "left_semi")
-    hot = _hot(lines, heavy, count)
-    hot, segments = (None, None) if hot.isEmpty() else (broadcast_if_few(hot), checkpoint(_segments(rows, sets, hot)))
+    firsts = checkpoint(lines.groupBy("name").agg(F.min(F.struct("doc_id", "row", "place")).alias("first")).select("first"))
+    # Numbers in the order of the lines: partitions of a sort are ranges.
+    firsts = checkpoint(firsts.sort("first").select(F.monotonically_increasing_id().alias("id"), "first.row", "first.place"))
+    sets = lines.join(firsts.hint("merge"), [*LINE])
+    hot = _hot(lines, often, heavy, count)
+    hot, segments = (None, None) if hot.isEmpty() else (broadcast_if_few(hot), checkpoint(_segments(rows, sets, often, hot)))
     parts = max(shuffle_partitions(rows.sparkSession), count // PART_LINES)
-    sent = _sent(sets, hot, segments).repartition(parts, "key")
-    nearest = _met(sent, sent.hint("merge")).groupBy("b_row", "b_place").agg(F.min(F.struct("distance", "a_row", "a_place")).alias("a"), F.count(F.lit(1)).alias("times"))
-    nearest = checkpoint(nearest.select("b_row", "b_place", "a.a_row", "a.a_place", "times"), cores(rows))
-    beaten = _beaten(rows, nearest.drop("times"))
-    rest = nearest.filter("times > 1").select(F.col("b_row").alias("row"), F.col("b_place").alias("place")).join(beaten, [*LINE], "left_anti")
+    sent = _sent(sets, often, hot, segments).repartition(parts, "key")
+    met = _met(sent, sent).select(F.greatest("a", "b").alias("later"), F.least("a", "b").alias("earlier"), "distance")
+    low = (1 << ID_BITS) - 1
+    nearest = met.groupBy("later").agg(F.min(F.shiftleft("distance", ID_BITS).bitwiseOR(F.col("earlier"))).alias("nearest"), F.min("earlier").alias("least"), F.max("earlier").alias("most"))
+    nearest = checkpoint(nearest.select("later", F.col("nearest").bitwiseAND(F.lit(low)).alias("earlier"), (F.col("least") < F.col("most")).alias("several")), cores(rows))
+    beaten = _beaten(rows, firsts, nearest.select("later", "earlier"))
+    rest = nearest.filter("several").select(F.col("later").alias("id")).join(beaten, "id", "left_anti")
     rest = broadcast_if_few(rest)
     if not rest.isEmpty():
-        few = checkpoint(_sent(lines.join(rest, [*LINE], "left_semi"), hot, segments), 2 * cores(rows))
-        may = _bit_table(few.select(F.xxhash64("key").alias("hash")))
-        others = _met(_sent(lines, hot, segments).filter(may(F.xxhash64("key"))).repartition(parts, "key"), few.repartition(parts, "key").hint("merge"))
-        others = checkpoint(others.select("b_row", "b_place", "a_row", "a_place").distinct().join(firsts.select(F.col("row").alias("a_row"), F.col("place").alias("a_place")), ["a_row", "a_place"], "left_semi"), cores(rows))
-        beaten = beaten.unionByName(_beaten(rows, others))
-    stays = firsts.join(beaten, [*LINE], "left_anti").withColumn("stays", F.lit(True))
+        theirs = checkpoint(firsts.join(rest, "id", "left_semi"), cores(rows))
+        of_them = _bit_table(theirs.select(F.xxhash64(*LINE).alias("hash")))
+        few = checkpoint(_sent(lines.filter(of_them(F.xxhash64(*LINE))).join(theirs.hint("merge"), [*LINE]), often, hot, segments), 2 * cores(rows))
+        table = _bit_table(few.select(F.xxhash64("key").alias("hash")))
+        all_sent = _sent_of(lines, often, firsts, hot, segments, lambda key: table(F.xxhash64(key))).repartition(parts, "key")
+        few = few.repartition(parts, "key")
+        others = _met(all_sent, few, 1).filter("b > a").select(F.col("b").alias("later"), F.col("a").alias("earlier"))
+        others = others.unionByName(_met(few, all_sent, 0).filter("a > b").select(F.col("a").alias("later"), F.col("b").alias("earlier")))
+        others = checkpoint(others.distinct(), cores(rows))
+        beaten = beaten.unionByName(_beaten(rows, firsts, others))
+    stays = firsts.join(beaten, "id", "left_anti").select(*LINE, F.lit(True).alias("stays"))
     judged = every.select("row", "doc_id", "place", "n").join(stays, [*LINE], "left")
     places = lambda which: F.array_sort(F.collect_list(F.when(which, F.col("place"))))
     return judged.groupBy("row").agg(F.first("doc_id").alias("doc_id"), places(F.col("n") > 0).alias("places"), places((F.col("n") > 0) & F.col("stays").isNull()).alias("removed"))
