@@ -5,24 +5,27 @@ a line is removed if an earlier line has Jaccard similarity 0.8 or more with it,
 equal sets included (an earlier line counts whether or not it is itself
 removed, so the result does not depend on the order of work).
 
-1. Ranks: words are counted over all lines in ``CELLS`` cells of a hash; a word's rank
-   is the doublings of its cell's count above the mean.  (rank, length, hash) is one
-   global order of words, those of rare cells first, and long ones first among them.
-   The result does not depend on the order, only the number of candidates does.
+1. Ranks: words are counted over all lines in cells of a hash; a word's rank is the half
+   doublings of its cell's count from the mean.  (rank, hash) is one global order of words,
+   those of rare cells first.  The result does not depend on the order, only the number
+   of candidates does.
 2. Lines: of every line its place, the 64-bit name of its set, its size, a parity
    sketch and a prefix of its words in that order are written.  A set's first line is
-   the only one that can stay.
-3. Prefix join: similar sets have a word in common among the n - ceil(0.8 n) + 1
-   first ones of each.  Two sets that meet are candidates if sizes (length filter),
-   the words from that position on (positional filter) and the sketches allow 0.8.
-   Of a word that very many sets have in their prefix these sets send, in its place,
+   the only one that can stay; sets are numbered in the order of these lines.
+3. Crowds: of sets with the same keys that many send, each is compared with the first
+   one; those that it beats meet others only as the earlier set.
+4. Prefix join: similar sets have a word in common among the n - ceil(0.8 n) + 1
+   first ones of the larger and the n / 9 + 1 first ones of the smaller.  Common words
+   are told apart by octaves of sizes.  Two sets that meet are candidates if sizes
+   (length filter), the words from that position on (positional filter) and the sketches
+   allow 0.8.  Of a key that very many sets send these sets send, in its place,
    the XOR hashes of segments of their words, of which a similar set has one.
-4. Verification: each set is first compared, word by word, with the earlier candidate
+5. Verification: each set is first compared, word by word, with the earlier candidate
    of the nearest sketch; only sets that this one does not beat meet all the others.
-   So a crowd of near copies costs a comparison a set.  The words come from another
-   read of the texts, for the lines that a bit table of fixed size lets pass.
+   The words come from another read of the texts, for the lines that a bit table of
+   fixed size lets pass.
 
-Words are identified by 54-bit hashes and their length, sets by 64-bit hashes.
+Words are identified by 57-bit hashes, sets by 64-bit hashes.
 
 Defined cases: a null, empty or blank text has no line and removes nothing, and
 its row stays with 0 lines; blank lines are kept and match nothing; null ids come
@@ -57,7 +60,7 @@ ID_BITS = 55
 
 LINE = ("row", "place")
 #: What a set sends with each of its keys.
-SENT = ("id", "n", "sketch", "other", "key", "at")
+SENT = ("id", "open", "n", "sketch", "other", "key", "at")
 
 
 def _split(rows: DataFrame) -> DataFrame:
@@ -161,7 +164,7 @@ def _sent_of(lines: DataFrame, often: int, firsts: DataFrame, hot: DataFrame | N
     each = _keys(lines, often).filter(may(F.col("key")))
     if hot is not None:
         each = each.join(hot, "key", "left_anti")
-    each = each.select(*LINE, *SENT[1:]).join(firsts.hint("merge"), [*LINE]).select(*SENT)
+    each = each.select(*LINE, *SENT[2:]).join(firsts.hint("merge"), [*LINE]).select(*SENT)
     return each if hot is None else each.unionByName(segments.filter(may(F.col("key"))))
 
 
@@ -183,14 +186,14 @@ def words_of(rows: DataFrame, lines: DataFrame) -> DataFrame:
 
 
 def _hot(lines: DataFrame, often: int, heavy: int, count: int) -> DataFrame:
-    """The keys that more than ``heavy`` sets send.  Keys are counted by cells first, then those of full cells by sets."""
+    """key, count of those that more than ``heavy`` sets send.  Keys are counted by cells first, then those of full cells by sets."""
     keys = _keys(lines, often).select("name", "key")
     cell = F.col("key").bitwiseAND(F.lit((1 << max(10, (count >> 5).bit_length())) - 1).cast("long"))
     full = broadcast_if_few(keys.groupBy(cell.alias("cell")).count().filter(F.col("count") > heavy).select("cell"))
     if full.isEmpty():
-        return full.select(F.col("cell").alias("key"))
+        return full.select(F.col("cell").alias("key"), F.lit(0).cast("long").alias("count"))
     sets = keys.withColumn("cell", cell).join(full, "cell", "left_semi").select("key", "name").distinct()
-    return checkpoint(sets.groupBy("key").count().filter(F.col("count") > heavy).select("key"), cores(lines))
+    return checkpoint(sets.groupBy("key").count().filter(F.col("count") > heavy), cores(lines))
 
 
 def _segments(rows: DataFrame, lines: DataFrame, often: int, hot: DataFrame) -> DataFrame:
@@ -200,7 +203,7 @@ def _segments(rows: DataFrame, lines: DataFrame, often: int, hot: DataFrame) ->
     segment more than can differ, so the sets agree in one of them.  A segment
     without words tells little; its key has each hot key of the set instead.
     """
-    known = ("id", *LINE, "n", "sketch", "other")
+    known = ("id", *LINE, *SENT[1:-2])
     mine = checkpoint(_keys(lines, often).select(*known, "key").join(hot, "key").groupBy(*known).agg(F.collect_set("key").alias("hot")))
     tops = F.lit([int(t) for t in TOPS])
     own = F.element_at(F.filter(tops, lambda t: t >= F.col("n")), 1)
@@ -215,6 +218,28 @@ def _segments(rows: DataFrame, lines: DataFrame, often: int, hot: DataFrame) ->
     return sets.select(*SENT[:-2], F.explode(F.concat(full, empty)).alias("key"), F.lit(0).alias("at")).select(*SENT)
 
 
+def _distance(small: str, large: str) -> Column:
+    """Bits in which the sketches of a set and one that is not smaller differ."""
+    apart, rest = (F.col(f"{small}_{c}").bitwiseXOR(F.col(f"{large}_{c}")) for c in ("sketch", "other"))
+    return F.when(F.col(f"{small}_n") < SMALL, F.bit_count(apart.bitwiseXOR(rest))).otherwise(F.bit_count(apart) + F.bit_count(rest))
+
+
+def _near(distance: Column, one: str, two: str) -> Column:
+    return distance * (DENOMINATOR + NUMERATOR) <= (F.col(f"{one}_n") + F.col(f"{two}_n")) * (DENOMINATOR - NUMERATOR)
+
+
+def _crowded(rows: DataFrame, sets: DataFrame, firsts: DataFrame, often: int, keys: DataFrame) -> DataFrame:
+    """id of sets that are similar to the first with the same of the ``keys`` that many sets send: one comparison each, so a crowd need not meet as a whole."""
+    of_set = ("id", "n", "sketch", "other")
+    mine = _keys(sets, often).select(*of_set, "key").join(keys.select("key"), "key", "left_semi").groupBy(*of_set).agg(F.xxhash64(F.sort_array(F.collect_set("key"))).alias("crowd"))
+    mine = checkpoint(mine, 2 * cores(rows))
+    lead = mine.groupBy("crowd").agg(F.min(F.struct(*of_set)).alias("lead")).select("crowd", *[F.col(f"lead.{c}").alias(f"a_{c}") for c in of_set])
+    met = mine.select("crowd", *[F.col(c).alias(f"b_{c}") for c in of_set]).join(lead, "crowd").filter("a_id < b_id")
+    distance = F.when(F.col("a_n") <= F.col("b_n"), _distance("a", "b")).otherwise(_distance("b", "a"))
+    fits = (F.col("a_n") * DENOMINATOR >= F.col("b_n") * NUMERATOR) & (F.col("b_n") * DENOMINATOR >= F.col("a_n") * NUMERATOR) & _near(distance, "a", "b")
+    return _beaten(rows, firsts, checkpoint(met.filter(fits).select(F.col("b_id").alias("later"), F.col("a_id").alias("earlier")), cores(rows)))
+
+
 def _met(smaller: DataFrame, larger: DataFrame, built: int = 0) -> DataFrame:
     """a, b, distance of sets with a common key that size, position and sketch allow to be similar; a is the smaller, or the earlier of one size.
 
@@ -224,12 +249,10 @@ def _met(smaller: DataFrame, larger: DataFrame, built: int = 0) -> DataFrame:
     first = computed(smaller, first=F.col("at") * (DENOMINATOR + NUMERATOR) <= F.col("n") * (DENOMINATOR - NUMERATOR)).filter("first")
     sides = [side.select(*[F.col(c).alias(f"{x}_{c}") for c in SENT]) for side, x in ((first, "a"), (larger, "b"))]
     sides[built] = sides[built].hint("shuffle_hash")
-    total = F.col("a_n") + F.col("b_n")
-    apart, rest = F.col("a_sketch").bitwiseXOR(F.col("b_sketch")), F.col("a_other").bitwiseXOR(F.col("b_other"))
-    distance = F.when(F.col("a_n") < SMALL, F.bit_count(apart.bitwiseXOR(rest))).otherwise(F.bit_count(apart) + F.bit_count(rest))
-    fits = ((F.col("a_n") < F.col("b_n")) | ((F.col("a_n") == F.col("b_n")) & (F.col("a_id") < F.col("b_id")))) & (F.col("a_n") * DENOMINATOR >= F.col("b_n") * NUMERATOR)
-    fits &= F.least(F.col("a_n") - F.col("a_at"), F.col("b_n") - F.col("b_at")) * (NUMERATOR + DENOMINATOR) >= total * NUMERATOR
-    fits &= distance * (DENOMINATOR + NUMERATOR) <= total * (DENOMINATOR - NUMERATOR)
+    larger = (F.col("a_n") < F.col("b_n")) | ((F.col("a_n") == F.col("b_n")) & (F.col("a_id") < F.col("b_id")))
+    place = F.least(F.col("a_n") - F.col("a_at"), F.col("b_n") - F.col("b_at")) * (NUMERATOR + DENOMINATOR) >= (F.col("a_n") + F.col("b_n")) * NUMERATOR
+    distance = _distance("a", "b")
+    fits = larger & (F.col("a_n") * DENOMINATOR >= F.col("b_n") * NUMERATOR) & place & _near(distance, "a", "b") & F.when(F.col("a_id") < F.col("b_id"), F.col("b_open")).otherwise(F.col("a_open"))
     return sides[0].join(sides[1], (F.col("a_key") == F.col("b_key")) & fits).select(F.col("a_id").alias("a"), F.col("b_id").alias("b"), distance.cast("long").alias("distance"))
 
 
@@ -255,8 +278,14 @@ def removed_lines(rows: DataFrame, heavy: int = HEAVY) -> DataFrame:
     firsts = checkpoint(lines.groupBy("name").agg(F.min(F.struct("doc_id", "row", "place")).alias("first")).select("first"))
     # Numbers in the order of the lines: partitions of a sort are ranges.
     firsts = checkpoint(firsts.sort("first").select(F.monotonically_increasing_id().alias("id"), "first.row", "first.place"))
+    hot = _hot(lines, often, max(1, heavy // 4), count)
+    firsts, crowded = firsts.withColumn("open", F.lit(True)), None
+    if not hot.isEmpty():
+        crowded = _crowded(rows, lines.join(firsts.hint("merge"), [*LINE]), firsts, often, broadcast_if_few(hot))
+        # A set that is beaten only meets others as the earlier one.
+        firsts = checkpoint(firsts.drop("open").join(crowded.withColumn("open", F.lit(False)), "id", "left").select("id", *LINE, F.coalesce("open", F.lit(True)).alias("open")), 2 * cores(rows))
+        hot = hot.filter(F.col("count") > heavy).select("key")
     sets = lines.join(firsts.hint("merge"), [*LINE])
-    hot = _hot(lines, often, heavy, count)
     hot, segments = (None, None) if hot.isEmpty() else (broadcast_if_few(hot), checkpoint(_segments(rows, sets, often, hot)))
     parts = max(shuffle_partitions(rows.sparkSession), count // PART_LINES)
     sent = _sent(sets, often, hot, segments).repartition(parts, "key")
@@ -278,6 +307,7 @@ def removed_lines(rows: DataFrame, heavy: int = HEAVY) -> DataFrame:
         others = others.unionByName(_met(few, all_sent, 0).filter("a > b").select(F.col("a").alias("later"), F.col("b").alias("earlier")))
         others = checkpoint(others.distinct(), cores(rows))
         beaten = beaten.unionByName(_beaten(rows, firsts, others))
+    beaten = beaten if crowded is None else beaten.unionByName(crowded)
     stays = firsts.join(beaten, "id", "left_anti").select(*LINE, F.lit(True).alias("stays"))
     judged = every.select("row", "doc_id", "place", "n").join(stays, [*LINE], "left")
     places = lambda which: F.array_sort(F.collect_list(F.when(which, F.col("place"))))
